@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, source_mix
+from . import exact_dedup, language, licences, pieces, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit_by_remainder(docs))
+    held_out = F.coalesce(language.remainder() == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_exact_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -19,7 +27,16 @@ def op6_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_recipes, op6_fair_queue_mix)}
+def op8_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", F.size("spans").cast("long").alias("n_matches"), F.array_join("licences", ",").alias("licences"), F.array_join("spans", ",").alias("spans"))
+
+
+def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_naive_bayes_language, op5_exact_recipes, op6_fair_queue_mix, op8_sentence_rules, op9_sampled_pieces)}
 
 ORACLES = {
     "op5_exact_recipes": r"""
