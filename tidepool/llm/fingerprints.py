@@ -1,0 +1,90 @@
+"""Which 64-bit fingerprints occur more than once in the corpus, in bounded memory.
+
+Every task sorts its fingerprints and sends each range of the fingerprint space as one
+packed blob (four bytes a fingerprint); a range is counted exactly in one place. What
+comes back is of fixed size: a bitmap of BITMAP_BITS bits, and at most HEAVY_MAX of
+the most frequent fingerprints with their counts. The bitmap never misses a repeated
+fingerprint; false hits cost time only, since whatever it lets through is verified.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from .store import parallelism
+
+BITMAP_BITS = 27
+HEAVY_MAX = 1 << 18
+HEAVY_FROM = 32
+_FLUSH = 2_000_000
+
+
+class Repeated:
+    """A bitmap over the leading bits of fingerprints, and the frequent ones with counts."""
+
+    def __init__(self, bitmap: np.ndarray, heavy: np.ndarray, counts: np.ndarray, shift: int):
+        self.bitmap, self.heavy, self.counts, self.shift = bitmap, heavy, counts, shift
+
+    def test(self, prints: np.ndarray) -> np.ndarray:
+        slot = prints >> np.uint64(64 - BITMAP_BITS)
+        return (self.bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def rank(self, prints: np.ndarray) -> np.ndarray:
+        """Count of a frequent fingerprint, else 0."""
+        if not len(self.heavy):
+            return np.zeros(len(prints), np.int64)
+        key = prints >> np.uint64(self.shift)
+        at = np.minimum(np.searchsorted(self.heavy, key), len(self.heavy) - 1)
+        return np.where(self.heavy[at] == key, self.counts[at], 0)
+
+
+def repeated(docs: DataFrame, prints, heavy: bool = False) -> Repeated:
+    """prints(batch) yields arrays of fingerprints of the rows of a record batch."""
+    range_bits = max(8, (4 * parallelism(docs.sparkSession) - 1).bit_length())
+    shift = 64 - range_bits - 32
+    block = BITMAP_BITS - range_bits
+    per_range = HEAVY_MAX >> range_bits
+
+    def pack(parts):
+        everything = np.sort(np.concatenate(parts))
+        cuts = np.searchsorted(everything, np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits))
+        low = ((everything >> np.uint64(shift)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        blobs = [(r, x) for r, x in enumerate(np.split(low, cuts)) if len(x)]
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in blobs], pa.int32()), pa.array([x.tobytes() for _, x in blobs], pa.binary())], names=["range", "low"])
+
+    def send(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for x in prints(batch):
+                parts.append(x)
+                held += len(x)
+                if held >= _FLUSH:
+                    yield pack(parts)
+                    parts, held = [], 0
+        if held:
+            yield pack(parts)
+
+    def count(group: pa.Table) -> pa.Table:
+        low = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in group["low"]]))
+        edge = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1], [True])))
+        n = np.diff(edge)
+        value = low[edge[:-1]]
+        bits = np.zeros(1 << block, np.uint8)
+        bits[value[n > 1] >> np.uint32(32 - block)] = 1
+        top = np.flatnonzero(n >= HEAVY_FROM) if heavy else edge[:0]
+        if len(top) > per_range:
+            top = np.sort(top[np.argsort(-n[top], kind="stable")[:per_range]])
+        r = group["range"][0].as_py()
+        keys = value[top].astype(np.uint64) | (np.uint64(r) << np.uint64(32))
+        return pa.table({"range": pa.array([r], pa.int32()), "bitmap": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "heavy": pa.array([keys.tobytes()], pa.binary()), "n": pa.array([n[top].astype(np.int64).tobytes()], pa.binary())})
+
+    sent = docs.mapInArrow(send, "range int, low binary")
+    found = sent.groupBy("range").applyInArrow(count, "range int, bitmap binary, heavy binary, n binary").toArrow().sort_by("range")
+    bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+    size = len(bitmap) >> range_bits
+    for r, x in zip(found["range"].to_pylist(), found["bitmap"], strict=True):
+        bitmap[r * size : (r + 1) * size] = np.frombuffer(x.as_buffer(), np.uint8)
+    join = lambda name, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x.as_buffer(), kind) for x in found[name]]])
+    return Repeated(bitmap, join("heavy", np.uint64), join("n", np.int64), shift)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, licences, pieces, source_mix
+from . import exact_dedup, language, licences, pieces, shingle_join, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_components(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_naive_bayes_language, op5_exact_recipes, op6_fair_queue_mix, op8_sentence_rules, op9_sampled_pieces)}
+QUERIES = {f.__name__: f for f in (op1_naive_bayes_language, op2_grouped_prefix_join, op5_exact_recipes, op6_fair_queue_mix, op8_sentence_rules, op9_sampled_pieces)}
 
 ORACLES = {
     "op5_exact_recipes": r"""
