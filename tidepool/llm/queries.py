@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, licences, pieces, shingle_join, source_mix
+from . import automata, exact_dedup, language, licences, pieces, shingle_join, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,11 @@ def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_naive_bayes_language, op2_grouped_prefix_join, op5_exact_recipes, op6_fair_queue_mix, op8_sentence_rules, op9_sampled_pieces)}
+def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.scrub(table(spark, sf_dir, "documents"), with_text=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_naive_bayes_language, op2_grouped_prefix_join, op5_exact_recipes, op6_fair_queue_mix, op8_sentence_rules, op9_sampled_pieces, op10_suffix_automata)}
 
 ORACLES = {
     "op5_exact_recipes": r"""
