@@ -38,7 +38,7 @@ class Unit:
 
 
 def cut(unit: Unit, data: np.ndarray, offsets: np.ndarray):
-    """(anchors of every window place, whether the window lies in one row, unit offsets of rows, word starts, word ends)."""
+    """(anchors of every window place, whether the window lies in one row, its row, unit offsets of rows, word starts, word ends, k-grams)."""
     if unit.words:
         starts, ends, first = word_spans(data, offsets)
         grams = gram_hashes(span_hashes(data, starts, ends), unit.k) if len(starts) else np.zeros(0, np.uint64)
@@ -51,7 +51,7 @@ def cut(unit: Unit, data: np.ndarray, offsets: np.ndarray):
     anchor = window_min(grams, unit.win - unit.k + 1)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(anchor)]
     inside = np.arange(len(anchor)) + unit.win <= first[1:][row] if len(anchor) else np.zeros(0, bool)
-    return anchor, inside, row, first, starts, ends
+    return anchor, inside, row, first, starts, ends, grams
 
 
 def runs(anchor: np.ndarray, inside: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +71,15 @@ def _prints(unit: Unit):
     def run(batch):
         data, off = text_buffer(batch.column("text"))
         for lo, hi in slices(off):
-            anchor, inside, row, *_ = cut(unit, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            yield anchor[runs(anchor, inside, row)[0]]
+            anchor, inside, row, *_, grams = cut(unit, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            start, count = runs(anchor, inside, row)
+            yield anchor[start]
+            # An anchor twice in one run (periodic text) is repeated too.
+            span = count + unit.win - unit.k
+            own = np.repeat(np.arange(len(start)), span)
+            place = np.arange(len(own)) + np.repeat(start - (np.cumsum(span) - span), span)
+            times = np.bincount(own[grams[place] == anchor[start][own]], minlength=len(start))
+            yield anchor[start[times > 1]]
 
     return run
 
@@ -94,7 +101,7 @@ def _emit(unit: Unit, shared, with_body: bool):
             keys = batch.column("text_key").to_numpy()
             for lo, hi in slices(off):
                 part = data[off[lo] : off[hi]]
-                anchor, inside, row, first, starts, ends = cut(unit, part, off[lo : hi + 1] - off[lo])
+                anchor, inside, row, first, starts, ends, _ = cut(unit, part, off[lo : hi + 1] - off[lo])
                 start, count = runs(anchor, inside, row)
                 some = known.test(anchor[start])
                 start, count = start[some], count[some]

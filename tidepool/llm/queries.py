@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, exact_dedup, language, licences, pieces, shingle_join, source_mix
+from . import automata, exact_dedup, language, licences, pieces, run_index, shingle_join, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.scrub(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op8_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_sentences", F.size("spans").cast("long").alias("n_matches"), F.array_join("licences", ",").alias("licences"), F.array_join("spans", ",").alias("spans"))
@@ -44,7 +48,7 @@ def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.scrub(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_naive_bayes_language, op2_grouped_prefix_join, op5_exact_recipes, op6_fair_queue_mix, op8_sentence_rules, op9_sampled_pieces, op10_suffix_automata)}
+QUERIES = {f.__name__: f for f in (op1_naive_bayes_language, op2_grouped_prefix_join, op5_exact_recipes, op6_fair_queue_mix, op7_run_length_index, op8_sentence_rules, op9_sampled_pieces, op10_suffix_automata)}
 
 ORACLES = {
     "op5_exact_recipes": r"""
