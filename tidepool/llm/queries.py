@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, exact_dedup, language, licences, pieces, run_index, shingle_join, source_mix
+from . import automata, exact_dedup, forest, language, licences, pieces, run_index, shingle_join, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_components(table(spark, sf_dir, "documents"))
 
 
+def op3_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_exact_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.scrub(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_naive_bayes_language, op2_grouped_prefix_join, op5_exact_recipes, op6_fair_queue_mix, op7_run_length_index, op8_sentence_rules, op9_sampled_pieces, op10_suffix_automata)}
+QUERIES = {f.__name__: f for f in (op1_naive_bayes_language, op2_grouped_prefix_join, op3_projection_forest, op5_exact_recipes, op6_fair_queue_mix, op7_run_length_index, op8_sentence_rules, op9_sampled_pieces, op10_suffix_automata)}
 
 ORACLES = {
     "op5_exact_recipes": r"""
