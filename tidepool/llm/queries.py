@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, exact_dedup, forest, language, licences, pieces, run_index, shingle_join, source_mix
+from . import automata, exact_dedup, forest, language, licences, pieces, run_index, secrets, shingle_join, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,15 @@ def op3_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(docs))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op5_exact_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -52,7 +61,7 @@ def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.scrub(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_naive_bayes_language, op2_grouped_prefix_join, op3_projection_forest, op5_exact_recipes, op6_fair_queue_mix, op7_run_length_index, op8_sentence_rules, op9_sampled_pieces, op10_suffix_automata)}
+QUERIES = {f.__name__: f for f in (op1_naive_bayes_language, op2_grouped_prefix_join, op3_projection_forest, op4_crf_secrets, op5_exact_recipes, op6_fair_queue_mix, op7_run_length_index, op8_sentence_rules, op9_sampled_pieces, op10_suffix_automata)}
 
 ORACLES = {
     "op5_exact_recipes": r"""
