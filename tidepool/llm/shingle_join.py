@@ -12,9 +12,12 @@ n - ceil(PERCENT n) + 1 shingles. The join goes:
 3. Equal sets collapse to one; sets of one size and one prefix collapse to one group.
 4. Groups that share a prefix shingle form a bucket. First every group is verified
    against one group of a bucket (a star, linear in the bucket), and every member of a
-   group against its group's first; linked ones become components. Then only pairs
-   of different components within a bucket are expanded to members and verified, so no
-   link between components is lost and no bucket is expanded into pairs of copies.
+   group against its group's first; linked ones become components. Buckets are then
+   expanded to members, and members outside a bucket's largest component are verified
+   against drawn members of it, round by round, while that links more. Last, all
+   remaining pairs of different components within a bucket, but those that a bound on
+   the overlap rules out, are verified, so no link
+   between components is lost and no bucket is expanded into pairs of near copies.
 
 Edge cases: documents of fewer than five words are one shingle, the whole sequence; null
 and empty texts and texts without words have no shingle and no link; rows that share a
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -37,6 +40,10 @@ from .store import park
 WORDS = 5
 PERCENT = 80
 _NONE = -(1 << 63)
+#: Rounds of stars before the remaining pairs, and partners of a member in a round; they change the work, not the result.
+ROUNDS = 6
+BITS = 1024
+PARTNERS = 4
 
 
 def shingle_sets(batch: pa.RecordBatch):
@@ -65,13 +72,13 @@ def _profile(shared):
                 many = known.test(everything)
                 rank = known.rank(everything)
                 one, two = mix64(everything), mix64(everything ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-                n, s1, s2, ph, prefix, body, at = [], [], [], [], [], [], 0
+                n, s1, s2, ph, prefix, body, bits, at = [], [], [], [], [], [], [], 0
                 for s in sets:
                     end = at + len(s)
                     m, r = many[at:end], rank[at:end]
                     n.append(len(s))
                     if not len(s) or np.count_nonzero(m) < _need(len(s)):
-                        for x in (s1, s2, ph, prefix, body):
+                        for x in (s1, s2, ph, prefix, body, bits):
                             x.append(None)
                     else:
                         s1.append(int(one[at:end].sum().astype(np.int64)))
@@ -81,8 +88,11 @@ def _profile(shared):
                         ph.append(int(gram_hashes(s[order], k)[0].astype(np.int64)))
                         prefix.append(s[order][m[order]].astype(np.int64))
                         body.append(s[m].tobytes())
+                        flags = np.zeros(BITS, np.uint8)
+                        flags[(s[m] >> np.uint64(20)) % np.uint64(BITS)] = 1
+                        bits.append(np.packbits(flags).view(np.int64))
                     at = end
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(ph, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(body, pa.binary())], names=["doc_id", "n", "s1", "s2", "ph", "prefix", "body"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(ph, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(body, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "ph", "prefix", "body", "bits"])
 
     return run
 
@@ -114,6 +124,30 @@ def _sizes_fit(x, y):
     return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
 
 
+def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Bucket members (tok, rep, n) with their component, of buckets with several components."""
+    own = members.select("tok", "rep", "n", "bits").join(label.select(F.col("v").alias("rep"), "component"), "rep", "left").select("tok", "rep", "n", "bits", F.coalesce("component", "rep").alias("comp"))
+    several = own.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
+    return park(own.join(several, "tok", "left_semi"))
+
+
+def _star(spread: DataFrame, round_: int) -> DataFrame:
+    """Pairs (a, b) of a member and a drawn member of its bucket's largest component, PARTNERS a member at most."""
+    drawn = F.xxhash64("rep", "tok", F.lit(round_))
+    parts = spread.groupBy("tok", "comp").agg(F.count("*").alias("k"), F.min(F.struct(drawn.alias("h"), "rep", "n", "bits")).alias("one"))
+    largest = parts.groupBy("tok").agg(F.max(F.struct("k", F.negative("comp").alias("low"), "one")).alias("x")).select("tok", F.negative("x.low").alias("big"), F.col("x.one.rep").alias("b"), F.col("x.one.n").alias("nb"), F.col("x.one.bits").alias("xb"))
+    pairs = spread.join(largest, "tok").filter((F.col("comp") != F.col("big")) & _may_link(F.col("n"), F.col("nb"), F.col("bits"), F.col("xb"))).select(F.col("rep").alias("a"), "b").distinct()
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b"))
+    return pairs.withColumn("r", rank).filter(F.col("r") <= PARTNERS).select("a", "b")
+
+
+def _may_link(n, nb, x, xb):
+    """An exact bound: a bit that only one set has stands for a shingle that the other lacks."""
+    lacks = lambda p, q: sum((F.bit_count(p[i].bitwiseAND(F.bitwise_not(q[i]))) for i in range(BITS // 64)), F.lit(0))
+    most = F.least(n - lacks(x, xb), nb - lacks(xb, x))
+    return _sizes_fit(n, nb) & (most * (100 + PERCENT) >= (n + nb) * PERCENT)
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``."""
     spark = docs.sparkSession
@@ -125,9 +159,9 @@ def near_components(docs: DataFrame) -> DataFrame:
                 yield np.concatenate(sets)
 
     known = spark.sparkContext.broadcast(repeated(slim.select("text"), prints, heavy=True))
-    rows = park(slim.mapInArrow(_profile(known), "doc_id long, n long, s1 long, s2 long, ph long, prefix array<long>, body binary"))
+    rows = park(slim.mapInArrow(_profile(known), "doc_id long, n long, s1 long, s2 long, ph long, prefix array<long>, body binary, bits array<long>"))
     able = rows.filter("s1 IS NOT NULL")
-    sets = park(able.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("ph").alias("ph"), F.first("prefix").alias("prefix"), F.first("body").alias("body")))
+    sets = park(able.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("ph").alias("ph"), F.first("prefix").alias("prefix"), F.first("body").alias("body"), F.first("bits").alias("bits")))
     groups = sets.groupBy("n", "ph").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
     grouped = park(sets.select("n", "ph", "rep").join(groups, ["n", "ph"]).select("rep", "gid", "n", "members"))
 
@@ -146,13 +180,20 @@ def near_components(docs: DataFrame) -> DataFrame:
     edges = park(_verify(pairs, sets).union(tied))
     label = park(components(edges))
 
-    # Pairs of different components within a bucket, expanded to members.
-    left = grouped.join(label.select(F.col("v").alias("rep"), "component"), "rep", "left").select("rep", "gid", "n", F.coalesce("component", "rep").alias("comp"))
-    spread = posts.select("tok", "gid").join(left, "gid")
-    mixed = spread.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
-    spread = park(spread.join(mixed, "tok", "left_semi").select("tok", "rep", "n", "comp"))
-    other = spread.select("tok", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    cross = spread.join(other, "tok").filter((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("cb")) & _sizes_fit(F.col("n"), F.col("nb")))
+    # Further stars, from the largest component of each bucket, until they link nothing new.
+    spread = _mixed(posts.select("tok", "gid").join(grouped.select("rep", "gid"), "gid").join(sets.select("rep", "n", "bits"), "rep"), label)
+    tried = pairs.select("a", "b")
+    for round_ in range(ROUNDS):
+        star = _star(spread, round_).join(tried, ["a", "b"], "left_anti")
+        more = park(_verify(star, sets))
+        if not more.limit(1).count():
+            break
+        edges = edges.union(more)
+        label = park(components(edges))
+        spread = _mixed(spread.drop("comp"), label)
+    # What is left: all pairs of different components within a bucket.
+    other = spread.select("tok", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("comp").alias("cb"))
+    cross = spread.join(other, "tok").filter((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("cb")) & _may_link(F.col("n"), F.col("nb"), F.col("bits"), F.col("xb")))
     more = park(_verify(cross.select(F.col("rep").alias("a"), "b").distinct(), sets))
     if more.limit(1).count():
         label = park(components(edges.union(more)))
