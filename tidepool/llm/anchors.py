@@ -6,8 +6,8 @@ Consecutive windows with one anchor form a run, and a run's units are its string
 Runs whose anchor occurs once in the corpus hold no repeated window and go no further.
 Equal strings collapse before they are indexed, so copies move as counts, and the
 distinct strings of an anchor meet in one shard, whose index is of bounded size. Anchors
-with more than HOT distinct strings don't: their strings are cut to single windows,
-which collapse in turn and spread by content.
+that occur HOT times or more don't: their runs are cut to single windows, which collapse
+in turn and spread by content.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fingerprints import repeated
-from .kernels import gram_hashes, mix64, slices, span_hashes, text_buffer, window_min, word_spans
+from .kernels import _tables, gram_hashes, mix64, slices, span_hashes, text_buffer, window_min, word_spans
 from .store import park
 
-HOT = 2048
+HOT = 4096
+MARK_BITS = 22
 NO_ID = -(1 << 63)  # stands for a null doc_id: smaller than any other
 
 
@@ -105,6 +106,12 @@ def _emit(unit: Unit, shared, with_body: bool):
                 start, count = runs(anchor, inside, row)
                 some = known.test(anchor[start])
                 start, count = start[some], count[some]
+                hot = known.rank(anchor[start]) >= HOT
+                if hot.any():
+                    own = np.repeat(np.flatnonzero(hot), count[hot])
+                    single = start[own] + np.arange(len(own)) - np.searchsorted(own, own)
+                    start = np.concatenate((start[~hot], single))
+                    count = np.concatenate((count[~hot], np.ones(len(single), count.dtype)))
                 if not len(start):
                     continue
                 r = row[start]
@@ -115,14 +122,17 @@ def _emit(unit: Unit, shared, with_body: bool):
                 else:
                     a, b = start, start + count + unit.win - 1
                     hashes = span_hashes(part, a, b)
-                m, h = anchor[start].astype(np.int64), hashes.astype(np.int64)
+                m = anchor[start].astype(np.int64)
+                h = hashes.astype(np.int64)
+                if hot.any():  # a window of a hot anchor is an anchor of its own
+                    m[len(m) - len(single) :] = h[len(m) - len(single) :]
                 if not with_body:
                     yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h), pa.array(docs[lo:hi][r]), pa.array(keys[lo:hi][r]), pa.array(place), pa.array(count.astype(np.int32))], names=["m", "h", "doc", "text_key", "place", "windows"])
                     continue
                 if unit.words:
-                    word = span_hashes(part, starts, ends)
+                    word = (span_hashes(part, starts, ends) >> np.uint64(32)).astype(np.uint32)
                     units_, o = _gather(word, start, count + unit.win - 1)
-                    units_, o = units_.view(np.uint8), o * 8
+                    units_, o = units_.view(np.uint8), o * 4
                 else:
                     units_, o = _gather(part, a, b - a)
                 body = pa.Array.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer(o.astype(np.int32).tobytes()), pa.py_buffer(units_.tobytes())])
@@ -133,8 +143,6 @@ def _emit(unit: Unit, shared, with_body: bool):
 
 def gram_sums(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Hash of each run of words: a rolling sum, as for bytes."""
-    from .kernels import _tables
-
     up, down = _tables(len(words))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)))
     return mix64((sums[start + length] - sums[start]) * down[start] + length.astype(np.uint64))
@@ -147,66 +155,61 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def marks(rows: DataFrame, unit: Unit, index: Any, per_shard: int, within: bool) -> DataFrame:
-    """(doc, text_key, spans): window ranges to remove, packed as in ``_removed``.
+    """(doc, text_key, spans): ranges of windows to remove, packed as in ``_removed``.
 
-    index(bodies, docs, places) gives, for the distinct strings of a shard with their first
-    occurrences, the first occurrence (doc, place) of each window of each string.
+    index(bodies, docs, places, win) gives, for the distinct strings of a shard with their
+    first occurrences, the first occurrence (doc, place) of each window of each string.
     ``within``: an earlier place in the same document counts as earlier.
     """
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(repeated(rows.select("text"), _prints(unit)))
+    known = repeated(rows.select("text"), _prints(unit), heavy=True)
+    shared = spark.sparkContext.broadcast(known)
+    # About two strings a repeated anchor; shards only need to be of bounded size.
+    shards = max(1, 3 * known.size() // per_shard)
     strings = rows.mapInArrow(_emit(unit, shared, True), "m long, h long, body binary, doc long, place long")
-    strings = park(strings.groupBy("m", "h", "body").agg(F.min(F.struct("doc", "place")).alias("first")).select("m", "h", "body", "first.doc", "first.place"))
-    by_anchor = strings.groupBy("m").agg(F.count("*").alias("k"))
-    hot = park(by_anchor.filter(F.col("k") > HOT).select("m"))
-    n = strings.count()
-    shards = max(1, -(-n // per_shard))
-    any_hot = hot.limit(1).count() > 0
-    cold = strings.join(hot, "m", "left_anti") if any_hot else strings
-    solved = cold.groupBy(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard")).applyInArrow(_solve(unit, index), "m long, h long, first_doc array<long>, first_place array<long>")
-    if any_hot:
-        # Single windows of hot anchors: collapse by content, index, and go back to their strings.
-        single = park(strings.join(hot, "m", "left_semi").mapInArrow(_windows(unit), "m long, h long, j int, wh long, body binary, doc long, place long"))
-        distinct = single.groupBy("wh", "body").agg(F.min(F.struct("doc", "place")).alias("first")).select(F.col("wh").alias("m"), F.col("wh").alias("h"), "body", "first.doc", "first.place")
-        each = distinct.groupBy(F.pmod(F.xxhash64("m"), F.lit(max(1, shards))).alias("shard")).applyInArrow(_solve(unit, index), "m long, h long, first_doc array<long>, first_place array<long>")
-        each = each.select(F.col("m").alias("wh"), F.element_at("first_doc", 1).alias("fd"), F.element_at("first_place", 1).alias("fp"))
-        back = single.select("m", "h", "j", "wh").join(each, "wh").groupBy("m", "h").agg(F.array_sort(F.collect_list(F.struct("j", "fd", "fp"))).alias("x"))
-        solved = solved.union(back.select("m", "h", F.transform("x", lambda y: y["fd"]), F.transform("x", lambda y: y["fp"])))
-    # Only strings with a window that is known from before them can mark anything in any occurrence but the first.
-    where = rows.mapInArrow(_emit(unit, shared, False), "m long, h long, doc long, text_key long, place long, windows int")
-    found = where.join(solved.withColumnsRenamed({"m": "m2", "h": "h2"}), (F.col("m") == F.col("m2")) & (F.col("h") == F.col("h2"))).select("doc", "text_key", "place", "first_doc", "first_place")
+    place = F.struct("doc", "place")
+    strings = strings.groupBy("m", "h", "body").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    strings = strings.select("m", "h", "body", "first.doc", "first.place", F.col("last.doc").alias("last_doc"), F.col("last.place").alias("last_place"))
+    shard = F.pmod(F.xxhash64("m"), F.lit(shards))
+    solved = strings.groupBy(shard.alias("shard")).applyInArrow(_solve(unit, index, within), "m2 long, h2 long, windows int, run_at array<int>, run_doc array<long>, run_place array<long>")
+    where = rows.mapInArrow(_emit(unit, shared, False), "m long, h long, doc long, text_key long, place long, windows int").drop("windows")
+    found = where.join(solved, (F.col("m") == F.col("m2")) & (F.col("h") == F.col("h2"))).select("doc", "text_key", "place", "windows", "run_at", "run_doc", "run_place")
     ranges = found.mapInArrow(_removed(within), "doc long, text_key long, span long")
-    return ranges.groupBy("doc", "text_key").agg(F.collect_set("span").alias("spans"))
+    return park(ranges.groupBy("doc", "text_key").agg(F.collect_set("span").alias("spans")))
 
 
-def _windows(unit: Unit):
-    """Every window of a string as a row of its own."""
-    step = 8 if unit.words else 1
-
-    def run(batches):
-        for batch in batches:
-            m, h, doc, place = (batch.column(c).to_numpy() for c in ("m", "h", "doc", "place"))
-            for i, x in enumerate(batch.column("body")):
-                raw = x.as_py()
-                n = len(raw) // step - unit.win + 1
-                cuts = [raw[j * step : (j + unit.win) * step] for j in range(n)]
-                joined = np.frombuffer(b"".join(cuts), np.uint8)
-                size = unit.win * step
-                wh = span_hashes(joined, np.arange(n) * size, np.arange(1, n + 1) * size).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, m[i])), pa.array(np.full(n, h[i])), pa.array(np.arange(n, dtype=np.int32)), pa.array(wh), pa.array(cuts, pa.binary()), pa.array(np.full(n, doc[i])), pa.array(place[i] + np.arange(n))], names=["m", "h", "j", "wh", "body", "doc", "place"])
-
-    return run
+def _solve(unit: Unit, index, within: bool):
+    """First occurrences of a shard's windows, as runs (window, doc, place): within one, places go on by one a window.
 
+    Strings of which no occurrence can be marked aren't returned.
+    """
 
-def _solve(unit: Unit, index):
     def run(group: pa.Table) -> pa.Table:
-        bodies = [np.frombuffer(x.as_buffer(), np.uint64 if unit.words else np.uint8) for x in group["body"]]
+        group = group.combine_chunks()
         doc, place = group["doc"].to_numpy(), group["place"].to_numpy()
         order = np.lexsort((place, doc))
+        bodies = [np.frombuffer(x.as_buffer(), np.uint32 if unit.words else np.uint8) for x in group["body"]]
         fd, fp, off = index([bodies[i] for i in order], doc[order], place[order], unit.win)
-        take = pa.array(order)
-        lists = lambda x: pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(x, pa.int64()))
-        return pa.table({"m": group["m"].take(take), "h": group["h"].take(take), "first_doc": lists(fd), "first_place": lists(fp)})
+        string = np.repeat(np.arange(len(order)), np.diff(off))
+        new = np.ones(len(fd), bool)
+        new[1:] = (string[1:] != string[:-1]) | (fd[1:] != fd[:-1])
+        if within:
+            new[1:] |= fp[1:] != fp[:-1] + 1
+        at = np.flatnonzero(new)
+        s = string[at]
+        inside = (at - off[:-1][s]).astype(np.int32)
+        last_doc, last_place = group["last_doc"].to_numpy()[order][s], group["last_place"].to_numpy()[order][s]
+        early = fd[at] < last_doc
+        if within:
+            early |= (fd[at] == last_doc) & (fp[at] < last_place + inside)
+        useful = np.zeros(len(order), bool)
+        useful[s[early]] = True
+        keep = useful[s]
+        runs_of = np.bincount(s[keep], minlength=len(order))[useful]
+        ends = pa.array(np.concatenate(([0], np.cumsum(runs_of))), pa.int32())
+        take = pa.array(order[useful])
+        lists = lambda x: pa.ListArray.from_arrays(ends, pa.array(x))
+        return pa.table({"m2": group["m"].take(take), "h2": group["h"].take(take), "windows": pa.array(np.diff(off)[useful].astype(np.int32)), "run_at": lists(inside[keep]), "run_doc": lists(fd[at][keep]), "run_place": lists(fp[at][keep])})
 
     return run
 
@@ -216,31 +219,26 @@ def _removed(within: bool):
 
     def run(batches):
         for batch in batches:
-            doc, key, place = (batch.column(c).to_numpy() for c in ("doc", "text_key", "place"))
-            fd, fp = batch.column("first_doc"), batch.column("first_place")
-            off = np.asarray(fd.offsets, np.int64) - fd.offsets[0].as_py() if len(fd) else np.zeros(1, np.int64)
-            lengths = np.diff(off)
-            first, spot = np.asarray(fd.flatten()), np.asarray(fp.flatten())
-            occ = np.repeat(np.arange(len(doc)), lengths)
-            here = place[occ] + np.arange(len(occ)) - off[:-1][occ]
+            doc, key, place, windows = (batch.column(c).to_numpy() for c in ("doc", "text_key", "place", "windows"))
+            lists = batch.column("run_at")
+            count = np.diff(np.asarray(lists.offsets, np.int64))
+            occ = np.repeat(np.arange(len(doc)), count)
+            at = np.asarray(lists.flatten()).astype(np.int64)
+            first, spot = np.asarray(batch.column("run_doc").flatten()), np.asarray(batch.column("run_place").flatten())
+            end = windows[occ].astype(np.int64)
+            if len(occ):
+                more = np.concatenate((occ[1:] == occ[:-1], [False]))
+                end[more] = at[1:][more[:-1]]
             gone = first < doc[occ]
             if within:
-                gone |= (first == doc[occ]) & (spot < here)
-            new = gone.copy()
-            new[1:] &= ~gone[:-1] | (occ[1:] != occ[:-1])
-            start = np.flatnonzero(new)
-            stop = np.ones(len(gone) + 1, bool)
-            stop[:-1] = ~gone
-            stop[1:-1] |= occ[1:] != occ[:-1]
-            ends = np.flatnonzero(stop)
-            count = ends[np.searchsorted(ends, start, side="right")] - start if len(start) else start
+                gone |= (first == doc[occ]) & (spot < place[occ] + at)
+            o, start, n = occ[gone], place[occ[gone]] + at[gone], (end - at)[gone]
             # Very long runs are written in parts that fit the count's bits.
-            while len(count) and count.max() >= 1 << 20:
-                long = count >= 1 << 20
-                start = np.concatenate((start, start[long] + (1 << 20) - 1))
-                count = np.concatenate((np.where(long, (1 << 20) - 1, count), count[long] - (1 << 20) + 1))
-            o = occ[start]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[o]), pa.array(key[o]), pa.array((here[start].astype(np.int64) << 20) | count.astype(np.int64))], names=["doc", "text_key", "span"])
+            while len(n) and n.max() >= 1 << 20:
+                long = n >= 1 << 20
+                o, start = np.concatenate((o, o[long])), np.concatenate((start, start[long] + (1 << 20) - 1))
+                n = np.concatenate((np.where(long, (1 << 20) - 1, n), n[long] - (1 << 20) + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[o]), pa.array(key[o]), pa.array((start << 20) | n)], names=["doc", "text_key", "span"])
 
     return run
 
@@ -258,9 +256,31 @@ def covered(spans: list[int] | None, size: int, win: int) -> np.ndarray:
 
 
 def with_marks(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows with their ``spans`` (null: none)."""
+    """rows with their ``spans`` (null: none).
+
+    Texts without marks need not move: a bitmap of fixed size over the marked rows sends
+    only those (and few others) through the join.
+    """
+    slot = F.pmod(F.xxhash64("doc", "text_key"), F.lit(1 << MARK_BITS))
+    slots = found.select(slot.alias("slot")).distinct().toArrow()["slot"].to_numpy()
+    bits = np.zeros(1 << MARK_BITS, bool)
+    bits[slots] = True
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def only(marked):
+        def run(batches):
+            for batch in batches:
+                s = batch.column("slot").to_numpy()
+                keep = ((shared.value[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1) == marked
+                yield batch.filter(pa.array(keep)).select(["doc", "text_key", "text"])
+
+        return run
+
+    numbered = rows.select("doc", "text_key", "text", slot.alias("slot"))
+    kind = "doc long, text_key long, text string"
     right = found.select(F.col("doc").alias("d2"), F.col("text_key").alias("t2"), "spans").hint("shuffle_hash")
-    return rows.join(right, (F.col("doc") == F.col("d2")) & (F.col("text_key") == F.col("t2")), "left").select("doc", "text", "spans")
+    joined = numbered.mapInArrow(only(True), kind).join(right, (F.col("doc") == F.col("d2")) & (F.col("text_key") == F.col("t2")), "left").select("doc", "text", "spans")
+    return numbered.mapInArrow(only(False), kind).select("doc", "text", F.lit(None).cast("array<long>").alias("spans")).union(joined)
 
 
 def real_id(column: Column) -> Column:

@@ -31,6 +31,10 @@ class Repeated:
         slot = prints >> np.uint64(64 - BITMAP_BITS)
         return (self.bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
+    def size(self) -> int:
+        """About how many distinct fingerprints are repeated (bits that are set)."""
+        return int(np.bitwise_count(self.bitmap).sum())
+
     def rank(self, prints: np.ndarray) -> np.ndarray:
         """Count of a frequent fingerprint, else 0."""
         if not len(self.heavy):

@@ -38,7 +38,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | padded[j : j + n].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = np.empty(n, np.int64)
     sorted_key = key[order]
     rank[order] = np.cumsum(np.concatenate(([0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64))))
@@ -126,17 +126,15 @@ def first_places(bodies: list[np.ndarray], docs: np.ndarray, places: np.ndarray,
     fresh[0] = True
     start = np.flatnonzero(fresh)
     group = np.cumsum(fresh) - 1
-    # Order of starts by (doc, place): strings come sorted by it, but places within them interleave.
-    doc_at, place_at = docs[owner], places[owner] + inside
-    order = np.lexsort((place_at, doc_at))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    least = np.minimum.reduceat(rank[index.array], start)
+    # Starts as numbers that sort by (doc, place).
+    known, code = np.unique(docs, return_inverse=True)
+    value = (code[owner].astype(np.int64) << 40) | (places[owner] + inside)
+    least = np.minimum.reduceat(value[index.array], start)
     first = np.empty(n, np.int64)
-    first[index.array] = order[least[group]]
+    first[index.array] = least[group]
     keep = room >= win
     off = np.concatenate(([0], np.cumsum(lengths - win + 1)))
-    return doc_at[first[keep]], place_at[first[keep]], off
+    return known[first[keep] >> 40], first[keep] & ((1 << 40) - 1), off
 
 
 def _scrubbed(with_text: bool):
