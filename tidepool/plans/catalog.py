@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import reads  # noqa: F401
+from . import aggregates, reads, sequences  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
