@@ -76,8 +76,8 @@ def impact_bps(sol_reserve, token_reserve, sol_in) -> Column:
 
 
 def leading_digit(x) -> Column:
-    x = F.abs(_col(x))
-    return F.floor(x / F.pow(F.lit(10.0), F.floor(F.log10(x)))).cast("int")
+    """First non-zero digit as the number is written."""
+    return F.regexp_extract(_col(x).cast("string"), "[1-9]", 0).cast("int")
 
 
 def decay(value, age_hours, half_life: float = 72.0) -> Column:

@@ -91,6 +91,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **frames) if frames else spark.sql(sql)
 
 
+def bound(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A SQL text over tables and views, run by Spark."""
+    frames = {t: view(spark, sf_dir, t) for t in (*_TABLES, *_VIEWS) if _mentions(sql, t)}
+    for t in frames:
+        sql = _bind(sql, t)
+    return spark.sql(sql, **frames)
+
+
 def _mentions(sql: str, table: str) -> bool:
     import re
 
