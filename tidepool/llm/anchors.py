@@ -3,7 +3,8 @@
 A window of ``win`` units (bytes or words) has one anchor, the least hash of the k-grams
 in it, which depends on the window's content alone; equal windows have equal anchors.
 Consecutive windows with one anchor form a run, and a run's units are its string.
-Runs whose anchor occurs once in the corpus hold no repeated window and go no further.
+A repeated window has the units before or after its anchor in common with its other
+occurrences; runs of which neither context occurs twice in the corpus go no further.
 Equal strings collapse before they are indexed, so copies move as counts, and the
 distinct strings of an anchor meet in one shard, whose index is of bounded size. Anchors
 that occur HOT times or more don't: their runs are cut to single windows, which collapse
@@ -68,19 +69,54 @@ def runs(anchor: np.ndarray, inside: np.ndarray, row: np.ndarray) -> tuple[np.nd
     return start, ends[np.searchsorted(ends, start, side="right")] - start
 
 
+def _hashes(unit: Unit, part: np.ndarray, starts, ends):
+    """Hash of any span of units: f(first, length)."""
+    if unit.words:
+        words = span_hashes(part, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        return lambda at, n: gram_sums(words, at, n)
+    return lambda at, n: span_hashes(part, at, at + n)
+
+
+def contexts(unit: Unit, cutting, part: np.ndarray, start: np.ndarray, count: np.ndarray):
+    """Where the anchor of each run stands, and the hashes of its left and right contexts.
+
+    Every window of a run holds the anchor with ``half`` units before it or with the rest
+    of a window after it, so a repeated window has a repeated left or right context. Returns
+    (run of each anchor place, prints of left and right contexts where they fit, whether
+    each run has its anchor more than once).
+    """
+    anchor, _, row, first, starts, ends, grams = cutting
+    span = count + unit.win - unit.k
+    own = np.repeat(np.arange(len(start)), span)
+    place = np.arange(len(own)) + np.repeat(start - (np.cumsum(span) - span), span)
+    hit = grams[place] == anchor[start][own]
+    own, place = own[hit], place[hit]
+    tie = np.bincount(own, minlength=len(start)) > 1
+    half = (unit.win - unit.k + 1) // 2
+    right = unit.win - half + 1
+    low, high = first[row[start]][own], first[row[start] + 1][own]
+    f = _hashes(unit, part, starts, ends)
+    out = []
+    for at, n, salt in ((place - half, half + unit.k, 0x51), (place, right, 0x52)):
+        fits = (at >= low) & (at + n <= high)
+        at = np.where(fits, at, 0)
+        out.append((own[fits], mix64(f(at[fits], np.full(int(fits.sum()), n)) + np.uint64(salt))))
+    return out, tie
+
+
 def _prints(unit: Unit):
+    """Anchors of runs (for their counts) and the contexts of every anchor place."""
+
     def run(batch):
         data, off = text_buffer(batch.column("text"))
         for lo, hi in slices(off):
-            anchor, inside, row, *_, grams = cut(unit, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            start, count = runs(anchor, inside, row)
-            yield anchor[start]
-            # An anchor twice in one run (periodic text) is repeated too.
-            span = count + unit.win - unit.k
-            own = np.repeat(np.arange(len(start)), span)
-            place = np.arange(len(own)) + np.repeat(start - (np.cumsum(span) - span), span)
-            times = np.bincount(own[grams[place] == anchor[start][own]], minlength=len(start))
-            yield anchor[start[times > 1]]
+            part = data[off[lo] : off[hi]]
+            cutting = cut(unit, part, off[lo : hi + 1] - off[lo])
+            start, count = runs(*cutting[:3])
+            if len(start):
+                yield cutting[0][start]
+                for _, x in contexts(unit, cutting, part, start, count)[0]:
+                    yield x
 
     return run
 
@@ -102,15 +138,22 @@ def _emit(unit: Unit, shared, with_body: bool):
             keys = batch.column("text_key").to_numpy()
             for lo, hi in slices(off):
                 part = data[off[lo] : off[hi]]
-                anchor, inside, row, first, starts, ends, _ = cut(unit, part, off[lo : hi + 1] - off[lo])
+                cutting = cut(unit, part, off[lo : hi + 1] - off[lo])
+                anchor, inside, row, first, starts, ends, _ = cutting
                 start, count = runs(anchor, inside, row)
-                some = known.test(anchor[start])
-                start, count = start[some], count[some]
+                if not len(start):
+                    continue
+                found, tie = contexts(unit, cutting, part, start, count)
+                some = tie.copy()
+                for own, x in found:
+                    some[own[known.test(x)]] = True
+                start, count, tie = start[some], count[some], tie[some]
                 hot = known.rank(anchor[start]) >= HOT
                 if hot.any():
                     own = np.repeat(np.flatnonzero(hot), count[hot])
                     single = start[own] + np.arange(len(own)) - np.searchsorted(own, own)
                     start = np.concatenate((start[~hot], single))
+                    tie = np.concatenate((tie[~hot], np.zeros(len(single), bool)))
                     count = np.concatenate((count[~hot], np.ones(len(single), count.dtype)))
                 if not len(start):
                     continue
@@ -136,7 +179,7 @@ def _emit(unit: Unit, shared, with_body: bool):
                 else:
                     units_, o = _gather(part, a, b - a)
                 body = pa.Array.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer(o.astype(np.int32).tobytes()), pa.py_buffer(units_.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h), body, pa.array(docs[lo:hi][r]), pa.array(place)], names=["m", "h", "body", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h), body, pa.array(docs[lo:hi][r]), pa.array(place), pa.array(tie)], names=["m", "h", "body", "doc", "place", "tie"])
 
     return run
 
@@ -164,12 +207,12 @@ def marks(rows: DataFrame, unit: Unit, index: Any, per_shard: int, within: bool)
     spark = rows.sparkSession
     known = repeated(rows.select("text"), _prints(unit), heavy=True)
     shared = spark.sparkContext.broadcast(known)
-    # About two strings a repeated anchor; shards only need to be of bounded size.
-    shards = max(1, 3 * known.size() // per_shard)
-    strings = rows.mapInArrow(_emit(unit, shared, True), "m long, h long, body binary, doc long, place long")
+    # About one string a repeated context; shards only need to be of bounded size.
+    shards = max(1, known.size() // per_shard)
+    strings = rows.mapInArrow(_emit(unit, shared, True), "m long, h long, body binary, doc long, place long, tie boolean")
     place = F.struct("doc", "place")
-    strings = strings.groupBy("m", "h", "body").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    strings = strings.select("m", "h", "body", "first.doc", "first.place", F.col("last.doc").alias("last_doc"), F.col("last.place").alias("last_place"))
+    strings = strings.groupBy("m", "h", "body", "tie").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    strings = strings.select("m", "h", "body", "tie", "first.doc", "first.place", F.col("last.doc").alias("last_doc"), F.col("last.place").alias("last_place"))
     shard = F.pmod(F.xxhash64("m"), F.lit(shards))
     solved = strings.groupBy(shard.alias("shard")).applyInArrow(_solve(unit, index, within), "m2 long, h2 long, windows int, run_at array<int>, run_doc array<long>, run_place array<long>")
     where = rows.mapInArrow(_emit(unit, shared, False), "m long, h long, doc long, text_key long, place long, windows int").drop("windows")
@@ -189,7 +232,11 @@ def _solve(unit: Unit, index, within: bool):
         doc, place = group["doc"].to_numpy(), group["place"].to_numpy()
         order = np.lexsort((place, doc))
         bodies = [np.frombuffer(x.as_buffer(), np.uint32 if unit.words else np.uint8) for x in group["body"]]
-        fd, fp, off = index([bodies[i] for i in order], doc[order], place[order], unit.win)
+        # A string alone at its anchor, which it has once, shares no window with any string or
+        # with itself; the index takes the strings that have others to match with.
+        _, code, times = np.unique(group["m"].to_numpy(), return_inverse=True, return_counts=True)
+        alone = ((times[code] == 1) & ~np.asarray(group["tie"]))[order]
+        fd, fp, off = _joined(bodies, order, alone, doc, place, index, unit.win)
         string = np.repeat(np.arange(len(order)), np.diff(off))
         new = np.ones(len(fd), bool)
         new[1:] = (string[1:] != string[:-1]) | (fd[1:] != fd[:-1])
@@ -214,6 +261,20 @@ def _solve(unit: Unit, index, within: bool):
     return run
 
 
+def _joined(bodies, order, alone, doc, place, index, win):
+    """First occurrences of all windows, in the given order of strings: the index's, and a lone string's own."""
+    count = np.array([len(bodies[i]) - win + 1 for i in order], np.int64)
+    off = np.concatenate(([0], np.cumsum(count)))
+    inside = np.arange(off[-1]) - np.repeat(off[:-1], count)
+    fd, fp = np.repeat(doc[order], count), np.repeat(place[order], count) + inside
+    some = order[~alone]
+    if len(some):
+        d, p, _ = index([bodies[i] for i in some], doc[some], place[some], win)
+        where = np.repeat(~alone, count)
+        fd[where], fp[where] = d, p
+    return fd, fp, off
+
+
 def _removed(within: bool):
     """Ranges of windows of each occurrence that start earlier elsewhere: (place << 20 | windows)."""
 

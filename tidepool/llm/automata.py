@@ -116,8 +116,6 @@ class SuffixAutomaton:
 def first_documents(bodies: list[np.ndarray], docs: np.ndarray, places: np.ndarray, win: int):
     """Index of a shard: the first document of every window of every string."""
     words = [b.tolist() for b in bodies]
-    if len(words) == 1 and len(words[0]) == win:
-        return docs.copy(), places.copy(), np.array([0, 1])
     automaton = SuffixAutomaton()
     for w in words:
         automaton.add(w)
@@ -126,7 +124,7 @@ def first_documents(bodies: list[np.ndarray], docs: np.ndarray, places: np.ndarr
     automaton.settle()
     firsts = [x for w in words for x in list(automaton.matches(w, win))[win - 1 :]]
     off = np.concatenate(([0], np.cumsum([len(w) - win + 1 for w in words])))
-    return np.array(firsts, np.int64), np.zeros(len(firsts), np.int64), off
+    return np.array(firsts, np.int64), np.zeros(len(firsts), np.int64), off  # documents alone decide
 
 
 def _scrubbed(with_text: bool):
