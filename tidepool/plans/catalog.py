@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, metrics, reads, sequences, stats, texts  # noqa: F401
+from . import aggregates, evaluation, metrics, reads, scoring, sequences, stats, streams, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

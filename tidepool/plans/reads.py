@@ -129,7 +129,7 @@ def trailing_window(t):
     return pit.pit_filter(t("v_trades"), T, 600).groupBy("token_key").agg(F.count("*").alias("n"), F.sum("slot").alias("slots"))
 
 
-@key("SELECT count_if(parent_id IS NOT NULL) AS replies, count_if(parent_id IS NULL AND NOT is_repost) AS top_level, count_if(lang = 'en') AS on_platform FROM v_posts", "v_posts")
+@key("SELECT count(*) FILTER (WHERE parent_id IS NOT NULL) AS replies, count(*) FILTER (WHERE parent_id IS NULL AND NOT is_repost) AS top_level, count(*) FILTER (WHERE lang = 'en') AS on_platform FROM v_posts", "v_posts")
 def reply_split(t):
     return t("v_posts").agg(F.count_if(F.col("parent_id").isNotNull()).alias("replies"), F.count_if(F.col("parent_id").isNull() & ~F.col("is_repost")).alias("top_level"), F.count_if(F.col("lang") == "en").alias("on_platform"))
 
@@ -159,7 +159,7 @@ def resolve_query(t):
     return joined.select(F.col("p_partkey").alias("token_key"), F.coalesce(F.nullif(url, F.lit("")), F.nullif(key_, F.lit("")), F.col("token_key").cast("string")).alias("resolved"))
 
 
-@key("SELECT source, count(*) AS n, count_if(event_id % 2 = 0 AND as_of >= 1000000 - 600000) AS reverts, min(event_id) AS next_id FROM v_snapshots WHERE as_of <= 1000000 AND event_id % 3 = 0 GROUP BY source", "v_snapshots")
+@key("SELECT source, count(*) AS n, count(*) FILTER (WHERE event_id % 2 = 0 AND as_of >= 1000000 - 600000) AS reverts, min(event_id) AS next_id FROM v_snapshots WHERE as_of <= 1000000 AND event_id % 3 = 0 GROUP BY source", "v_snapshots")
 def signal_queue(t):
     rows = t("v_snapshots").filter((F.col("as_of") <= TE) & (F.col("event_id") % 3 == 0))
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if((F.col("event_id") % 2 == 0) & (F.col("as_of") >= TE - 600_000)).alias("reverts"), F.min("event_id").alias("next_id"))
