@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from .fingerprints import repeated
 from .kernels import _tables, gram_hashes, mix64, slices, span_hashes, text_buffer, window_min, word_spans
-from .store import park
+from .store import park, release
 
 HOT = 4096
-MARK_BITS = 22
+SLOT_BITS = 22
+SLICE = 1 << 18  # bytes of text worked on at once
 NO_ID = -(1 << 63)  # stands for a null doc_id: smaller than any other
 
 
@@ -109,13 +110,15 @@ def _prints(unit: Unit):
 
     def run(batch):
         data, off = text_buffer(batch.column("text"))
-        for lo, hi in slices(off):
+        for lo, hi in slices(off, SLICE):
             part = data[off[lo] : off[hi]]
             cutting = cut(unit, part, off[lo : hi + 1] - off[lo])
             start, count = runs(*cutting[:3])
             if len(start):
                 yield cutting[0][start]
-                for _, x in contexts(unit, cutting, part, start, count)[0]:
+                found, tie = contexts(unit, cutting, part, start, count)
+                yield cutting[0][start[tie]]  # an anchor twice in one run (periodic text) is repeated too
+                for _, x in found:
                     yield x
 
     return run
@@ -127,8 +130,8 @@ def _gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[
     return data[np.arange(off[-1]) + np.repeat(starts - off[:-1], lengths)], off
 
 
-def _emit(unit: Unit, shared, with_body: bool):
-    """Runs with a repeated anchor: anchor, body hash, doc, text_key, place and windows; or with the body in place of the text_key."""
+def _emit(unit: Unit, shared, several=None):
+    """Candidate runs: anchor, body hash, doc, text_key, place, windows and tie; or, for anchors in the bitmap ``several``, with the body in place of text_key and windows."""
 
     def run(batches):
         known = shared.value
@@ -136,11 +139,15 @@ def _emit(unit: Unit, shared, with_body: bool):
             data, off = text_buffer(batch.column("text"))
             docs = batch.column("doc").to_numpy()
             keys = batch.column("text_key").to_numpy()
-            for lo, hi in slices(off):
+            for lo, hi in slices(off, SLICE):
                 part = data[off[lo] : off[hi]]
                 cutting = cut(unit, part, off[lo : hi + 1] - off[lo])
                 anchor, inside, row, first, starts, ends, _ = cutting
                 start, count = runs(anchor, inside, row)
+                if not len(start):
+                    continue
+                some = known.test(anchor[start])
+                start, count = start[some], count[some]
                 if not len(start):
                     continue
                 found, tie = contexts(unit, cutting, part, start, count)
@@ -169,9 +176,13 @@ def _emit(unit: Unit, shared, with_body: bool):
                 h = hashes.astype(np.int64)
                 if hot.any():  # a window of a hot anchor is an anchor of its own
                     m[len(m) - len(single) :] = h[len(m) - len(single) :]
-                if not with_body:
-                    yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h), pa.array(docs[lo:hi][r]), pa.array(keys[lo:hi][r]), pa.array(place), pa.array(count.astype(np.int32))], names=["m", "h", "doc", "text_key", "place", "windows"])
+                if several is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h), pa.array(docs[lo:hi][r]), pa.array(keys[lo:hi][r]), pa.array(place), pa.array(count.astype(np.int32)), pa.array(tie)], names=["m", "h", "doc", "text_key", "place", "windows", "tie"])
+                    continue
+                some = _has(several.value, _slot(m))
+                if not some.any():
                     continue
+                m, h, start, count, a, b, place, tie, r = (x[some] for x in (m, h, start, count, a, b, place, tie, r))
                 if unit.words:
                     word = (span_hashes(part, starts, ends) >> np.uint64(32)).astype(np.uint32)
                     units_, o = _gather(word, start, count + unit.win - 1)
@@ -197,28 +208,63 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
+def _slot(m: np.ndarray) -> np.ndarray:
+    return (m.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _has(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
+
+def slot_bitmap(slots: DataFrame) -> np.ndarray:
+    """A packed bitmap of 2**SLOT_BITS bits with the values of the one column set; its size doesn't grow."""
+    bits = np.zeros(1 << SLOT_BITS, bool)
+    bits[slots.distinct().toArrow()[0].to_numpy()] = True
+    return np.packbits(bits)
+
+
 def marks(rows: DataFrame, unit: Unit, index: Any, per_shard: int, within: bool) -> DataFrame:
     """(doc, text_key, spans): ranges of windows to remove, packed as in ``_removed``.
 
     index(bodies, docs, places, win) gives, for the distinct strings of a shard with their
     first occurrences, the first occurrence (doc, place) of each window of each string.
     ``within``: an earlier place in the same document counts as earlier.
+
+    A string alone at its anchor, which it has once, shares no window with another string
+    or with itself: its first occurrence is all there is to know. Bodies are sent only for
+    anchors with several strings (a bitmap of fixed size tells them; a false hit sends a
+    lone string to the index as well).
     """
     spark = rows.sparkSession
-    known = repeated(rows.select("text"), _prints(unit), heavy=True)
-    shared = spark.sparkContext.broadcast(known)
-    # About one string a repeated context; shards only need to be of bounded size.
-    shards = max(1, known.size() // per_shard)
-    strings = rows.mapInArrow(_emit(unit, shared, True), "m long, h long, body binary, doc long, place long, tie boolean")
+    shared = spark.sparkContext.broadcast(repeated(rows.select("text"), _prints(unit), heavy=True))
+    release(spark)
+    where = park(rows.mapInArrow(_emit(unit, shared), "m long, h long, doc long, text_key long, place long, windows int, tie boolean"))
     place = F.struct("doc", "place")
+    firsts = park(where.groupBy("m", "h", "windows", "tie").agg(F.min(place).alias("first"), F.max(place).alias("last")))
+    release(spark)
+    top = F.shiftrightunsigned("m", 64 - SLOT_BITS)
+    by_anchor = firsts.groupBy("m").agg(F.count("*").alias("k"), F.bool_or("tie").alias("tie")).filter("k > 1 OR tie")
+    several = spark.sparkContext.broadcast(slot_bitmap(by_anchor.select(top.alias("slot"))))
+
+    def lone(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~_has(several.value, _slot(batch.column("m").to_numpy()))))
+
+    # Lone strings that occur again later: one run, from the first occurrence on.
+    kind = "m long, h long, windows int, doc long, place long"
+    again = firsts.filter("first < last" if within else "first.doc < last.doc").select("m", "h", "windows", "first.doc", "first.place").mapInArrow(lone, kind)
+    alone = again.select(F.col("m").alias("m2"), F.col("h").alias("h2"), F.array(F.lit(0)).alias("run_at"), F.array("doc").alias("run_doc"), F.array("place").alias("run_place"))
+    strings = rows.mapInArrow(_emit(unit, shared, several), "m long, h long, body binary, doc long, place long, tie boolean")
     strings = strings.groupBy("m", "h", "body", "tie").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    strings = strings.select("m", "h", "body", "tie", "first.doc", "first.place", F.col("last.doc").alias("last_doc"), F.col("last.place").alias("last_place"))
-    shard = F.pmod(F.xxhash64("m"), F.lit(shards))
-    solved = strings.groupBy(shard.alias("shard")).applyInArrow(_solve(unit, index, within), "m2 long, h2 long, windows int, run_at array<int>, run_doc array<long>, run_place array<long>")
-    where = rows.mapInArrow(_emit(unit, shared, False), "m long, h long, doc long, text_key long, place long, windows int").drop("windows")
-    found = where.join(solved, (F.col("m") == F.col("m2")) & (F.col("h") == F.col("h2"))).select("doc", "text_key", "place", "windows", "run_at", "run_doc", "run_place")
+    strings = strings.select("m", "h", "body", "first.doc", "first.place", F.col("last.doc").alias("last_doc"), F.col("last.place").alias("last_place"))
+    # Shards only need to be of bounded size: about one string a repeated context at most.
+    shards = max(1, shared.value.size() // per_shard)
+    solved = strings.groupBy(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard")).applyInArrow(_solve(unit, index, within), "m2 long, h2 long, run_at array<int>, run_doc array<long>, run_place array<long>")
+    found = where.join(alone.union(solved), (F.col("m") == F.col("m2")) & (F.col("h") == F.col("h2"))).select("doc", "text_key", "place", "windows", "run_at", "run_doc", "run_place")
     ranges = found.mapInArrow(_removed(within), "doc long, text_key long, span long")
-    return park(ranges.groupBy("doc", "text_key").agg(F.collect_set("span").alias("spans")))
+    out = park(ranges.groupBy("doc", "text_key").agg(F.collect_set("span").alias("spans")))
+    release(spark)
+    return out
 
 
 def _solve(unit: Unit, index, within: bool):
@@ -232,11 +278,7 @@ def _solve(unit: Unit, index, within: bool):
         doc, place = group["doc"].to_numpy(), group["place"].to_numpy()
         order = np.lexsort((place, doc))
         bodies = [np.frombuffer(x.as_buffer(), np.uint32 if unit.words else np.uint8) for x in group["body"]]
-        # A string alone at its anchor, which it has once, shares no window with any string or
-        # with itself; the index takes the strings that have others to match with.
-        _, code, times = np.unique(group["m"].to_numpy(), return_inverse=True, return_counts=True)
-        alone = ((times[code] == 1) & ~np.asarray(group["tie"]))[order]
-        fd, fp, off = _joined(bodies, order, alone, doc, place, index, unit.win)
+        fd, fp, off = index([bodies[i] for i in order], doc[order], place[order], unit.win)
         string = np.repeat(np.arange(len(order)), np.diff(off))
         new = np.ones(len(fd), bool)
         new[1:] = (string[1:] != string[:-1]) | (fd[1:] != fd[:-1])
@@ -256,25 +298,11 @@ def _solve(unit: Unit, index, within: bool):
         ends = pa.array(np.concatenate(([0], np.cumsum(runs_of))), pa.int32())
         take = pa.array(order[useful])
         lists = lambda x: pa.ListArray.from_arrays(ends, pa.array(x))
-        return pa.table({"m2": group["m"].take(take), "h2": group["h"].take(take), "windows": pa.array(np.diff(off)[useful].astype(np.int32)), "run_at": lists(inside[keep]), "run_doc": lists(fd[at][keep]), "run_place": lists(fp[at][keep])})
+        return pa.table({"m2": group["m"].take(take), "h2": group["h"].take(take), "run_at": lists(inside[keep]), "run_doc": lists(fd[at][keep]), "run_place": lists(fp[at][keep])})
 
     return run
 
 
-def _joined(bodies, order, alone, doc, place, index, win):
-    """First occurrences of all windows, in the given order of strings: the index's, and a lone string's own."""
-    count = np.array([len(bodies[i]) - win + 1 for i in order], np.int64)
-    off = np.concatenate(([0], np.cumsum(count)))
-    inside = np.arange(off[-1]) - np.repeat(off[:-1], count)
-    fd, fp = np.repeat(doc[order], count), np.repeat(place[order], count) + inside
-    some = order[~alone]
-    if len(some):
-        d, p, _ = index([bodies[i] for i in some], doc[some], place[some], win)
-        where = np.repeat(~alone, count)
-        fd[where], fp[where] = d, p
-    return fd, fp, off
-
-
 def _removed(within: bool):
     """Ranges of windows of each occurrence that start earlier elsewhere: (place << 20 | windows)."""
 
@@ -322,17 +350,13 @@ def with_marks(rows: DataFrame, found: DataFrame) -> DataFrame:
     Texts without marks need not move: a bitmap of fixed size over the marked rows sends
     only those (and few others) through the join.
     """
-    slot = F.pmod(F.xxhash64("doc", "text_key"), F.lit(1 << MARK_BITS))
-    slots = found.select(slot.alias("slot")).distinct().toArrow()["slot"].to_numpy()
-    bits = np.zeros(1 << MARK_BITS, bool)
-    bits[slots] = True
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    slot = F.pmod(F.xxhash64("doc", "text_key"), F.lit(1 << SLOT_BITS))
+    shared = rows.sparkSession.sparkContext.broadcast(slot_bitmap(found.select(slot.alias("slot"))))
 
     def only(marked):
         def run(batches):
             for batch in batches:
-                s = batch.column("slot").to_numpy()
-                keep = ((shared.value[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1) == marked
+                keep = _has(shared.value, batch.column("slot").to_numpy()) == marked
                 yield batch.filter(pa.array(keep)).select(["doc", "text_key", "text"])
 
         return run

@@ -28,7 +28,7 @@ from .kernels import slices, text_buffer
 
 WIN = 100
 UNIT = anchors.Unit(words=False, win=WIN, k=32)
-PER_SHARD = 6000
+PER_SHARD = 3000
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -30,3 +30,11 @@ def park(df: DataFrame) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Asks the driver to forget finished plans, so that Spark's cleaner deletes their shuffle files."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
