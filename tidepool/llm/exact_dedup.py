@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import mix64, text_buffer
+from .store import rows_with
 
 CHUNK_BITS = 12  # about 4 KiB between cuts
 CHUNK_MIN, CHUNK_MAX = 1024, 16384
@@ -121,6 +122,5 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents without later copies; all columns stay. Of rows that also share the doc_id, one stays."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi")
+    """The documents without later copies; all columns stay. Rows that share the doc_id stay or go together."""
+    return rows_with(docs, exact_groups(docs).filter("kept").select("doc_id"))

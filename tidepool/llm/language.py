@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import slices, text_buffer
+from .store import rows_with
 
 FEATURES = 1 << 15
 ORDERS = (2, 3)
@@ -171,5 +172,5 @@ def accepted(docs: DataFrame, model, least: float = 0.5) -> DataFrame:
 
     Rows that share a doc_id stay or go together: they stay if one of them is accepted.
     """
-    good = identify(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("_k")), "left_semi")
+    good = identify(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return rows_with(docs, good.select("doc_id"))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .fingerprints import repeated
 from .kernels import gram_hashes, mix64, slices, text_buffer, words_of
-from .store import park
+from .store import park, rows_with
 
 WORDS = 5
 PERCENT = 80
@@ -135,7 +135,7 @@ def _star(spread: DataFrame, round_: int) -> DataFrame:
     """Pairs (a, b) of a member and a drawn member of its bucket's largest component, PARTNERS a member at most."""
     drawn = F.xxhash64("rep", "tok", F.lit(round_))
     parts = spread.groupBy("tok", "comp").agg(F.count("*").alias("k"), F.min(F.struct(drawn.alias("h"), "rep", "n", "bits")).alias("one"))
-    largest = parts.groupBy("tok").agg(F.max(F.struct("k", F.negative("comp").alias("low"), "one")).alias("x")).select("tok", F.negative("x.low").alias("big"), F.col("x.one.rep").alias("b"), F.col("x.one.n").alias("nb"), F.col("x.one.bits").alias("xb"))
+    largest = parts.groupBy("tok").agg(F.max(F.struct("k", F.bitwise_not("comp").alias("low"), "one")).alias("x")).select("tok", F.bitwise_not(F.col("x.low")).alias("big"), F.col("x.one.rep").alias("b"), F.col("x.one.n").alias("nb"), F.col("x.one.bits").alias("xb"))
     pairs = spread.join(largest, "tok").filter((F.col("comp") != F.col("big")) & _may_link(F.col("n"), F.col("nb"), F.col("bits"), F.col("xb"))).select(F.col("rep").alias("a"), "b").distinct()
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b"))
     return pairs.withColumn("r", rank).filter(F.col("r") <= PARTNERS).select("a", "b")
@@ -171,7 +171,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     buckets = posts.groupBy("tok").agg(F.min(F.struct("gid", "n")).alias("c"), F.sum("members").alias("k")).filter("k > 1")
     posts = park(posts.join(buckets, "tok").select("tok", "gid", "n", F.col("c.gid").alias("c"), F.col("c.n").alias("cn")))
     star = posts.filter((F.col("gid") != F.col("c")) & _sizes_fit(F.col("n"), F.col("cn")))
-    star = star.groupBy("gid", "c").count().groupBy("gid").agg(F.max_by("c", F.struct("count", F.negative("c"))).alias("c"))
+    star = star.groupBy("gid", "c").count().groupBy("gid").agg(F.max_by("c", F.struct("count", F.bitwise_not("c"))).alias("c"))
     pairs = star.select(F.col("gid").alias("a"), F.col("c").alias("b")).union(grouped.filter("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("b")))
     # Equal sets that belong to one doc_id twice can't be; different sets of one doc_id are one document.
     same = able.select("doc_id", "n", "s1", "s2").distinct().join(sets.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"])
@@ -207,5 +207,4 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that are the smallest of their component; all columns stay."""
-    kept = near_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_k")), "left_semi")
+    return rows_with(docs, near_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import park
+from .store import park, unused
 
 PASSES = 3
 RANGES = 4096  # per source and per level of the global cut
@@ -141,13 +141,14 @@ def mix(docs: DataFrame, passes: int = PASSES) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, passes: int = PASSES) -> DataFrame:
     """The documents as the mix takes them: all columns, one row per pass taken."""
-    own = F.xxhash64(F.col("text").cast("string"))
-    plan = mix(docs, passes).groupBy("doc_id", "text_key").agg(F.sum("passes_taken").alias("_times"), F.count("*").alias("_rows")).filter("_times > 0")
-    plan = plan.withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
-    joined = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (own == F.col("_t")))
-    repeated = joined.filter("_rows > 1").dropDuplicates(["_d", "_t"])  # equal rows: one carries the passes of all
-    both = joined.filter("_rows = 1").unionByName(repeated)
-    return both.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(docs.columns)
+    times, number, ident, content, turn = unused(docs, "times", "number", "ident", "content", "turn")
+    own = F.xxhash64(docs["text"].cast("string"))
+    plan = mix(docs, passes).groupBy("doc_id", "text_key").agg(F.sum("passes_taken").alias(times), F.count("*").alias(number)).filter(F.col(times) > 0)
+    plan = plan.withColumnsRenamed({"doc_id": ident, "text_key": content})
+    joined = docs.join(plan, docs["doc_id"].cast("long").eqNullSafe(F.col(ident)) & (own == F.col(content)))
+    repeated = joined.filter(F.col(number) > 1).dropDuplicates([ident, content])  # equal rows: one carries the passes of all
+    both = joined.filter(F.col(number) == 1).unionByName(repeated)
+    return both.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(docs.columns)
 
 
 #: DuckDB's form of ``op6_fair_queue_mix``.

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +29,24 @@ def park(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each changed until the frame has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def rows_with(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in the one column of ``ids`` (nulls match); all columns stay."""
+    (name,) = unused(df, "kept_id")
+    ids = ids.toDF(name).distinct()
+    return df.join(ids, df["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_semi")
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
