@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from .fingerprints import repeated
 from .kernels import _tables, gram_hashes, mix64, slices, span_hashes, text_buffer, window_min, word_spans
-from .store import park, release
+from .store import park, release, small_batches
 
 HOT = 4096
 SLOT_BITS = 22
+ALL = -(1 << 62)  # a span that stands for the whole text
 SLICE = 1 << 18  # bytes of text worked on at once
 NO_ID = -(1 << 63)  # stands for a null doc_id: smaller than any other
 
@@ -204,6 +205,7 @@ def gram_sums(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nd
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc (doc_id, null as NO_ID), text_key (a row's content) and text."""
+    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
@@ -223,6 +225,28 @@ def slot_bitmap(slots: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
+def without_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to search, copies): a text equal to one of a smaller document needs no search, since all its windows start there.
+
+    Copies are told by 128 bits of the text's hash: (doc, text_key) with the one span ALL. The
+    rows come with their place in a bitmap of fixed size over the rows that aren't copies; a
+    false hit only searches a copy as well.
+    """
+    own = rows.select("doc", "text_key", F.md5("text").alias("content"))
+    groups = own.groupBy("content").agg(F.min("doc").alias("first"))
+    known = park(own.filter("content IS NOT NULL").join(groups, "content").select("doc", "text_key", (F.col("doc") > F.col("first")).alias("copy")))
+    slot = F.pmod(F.xxhash64("doc", "text_key"), F.lit(1 << SLOT_BITS))
+    shared = rows.sparkSession.sparkContext.broadcast(slot_bitmap(known.filter("NOT copy").select(slot.alias("slot"))))
+
+    def search(batches):
+        for batch in batches:
+            keep = _has(shared.value, batch.column("slot").to_numpy())
+            yield batch.filter(pa.array(keep)).select(["doc", "text_key", "text"])
+
+    searched = rows.select("doc", "text_key", "text", slot.alias("slot")).mapInArrow(search, "doc long, text_key long, text string")
+    return searched, known.filter("copy").select("doc", "text_key", F.array(F.lit(ALL)).alias("spans")).distinct()
+
+
 def marks(rows: DataFrame, unit: Unit, index: Any, per_shard: int, within: bool) -> DataFrame:
     """(doc, text_key, spans): ranges of windows to remove, packed as in ``_removed``.
 
@@ -236,6 +260,7 @@ def marks(rows: DataFrame, unit: Unit, index: Any, per_shard: int, within: bool)
     lone string to the index as well).
     """
     spark = rows.sparkSession
+    rows, copies = without_copies(rows)
     shared = spark.sparkContext.broadcast(repeated(rows.select("text"), _prints(unit), heavy=True))
     release(spark)
     where = park(rows.mapInArrow(_emit(unit, shared), "m long, h long, doc long, text_key long, place long, windows int, tie boolean"))
@@ -262,7 +287,8 @@ def marks(rows: DataFrame, unit: Unit, index: Any, per_shard: int, within: bool)
     solved = strings.groupBy(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard")).applyInArrow(_solve(unit, index, within), "m2 long, h2 long, run_at array<int>, run_doc array<long>, run_place array<long>")
     found = where.join(alone.union(solved), (F.col("m") == F.col("m2")) & (F.col("h") == F.col("h2"))).select("doc", "text_key", "place", "windows", "run_at", "run_doc", "run_place")
     ranges = found.mapInArrow(_removed(within), "doc long, text_key long, span long")
-    out = park(ranges.groupBy("doc", "text_key").agg(F.collect_set("span").alias("spans")))
+    ranges = ranges.groupBy("doc", "text_key").agg(F.collect_set("span").alias("spans"))
+    out = park(ranges.join(copies, ["doc", "text_key"], "left_anti").union(copies))
     release(spark)
     return out
 
@@ -336,6 +362,8 @@ def covered(spans: list[int] | None, size: int, win: int) -> np.ndarray:
     """Which units of a text of ``size`` units lie in a removed window."""
     if not spans:
         return np.zeros(size, bool)
+    if spans[0] == ALL:
+        return np.full(size, size >= win)
     x = np.array(spans, np.int64)
     place, count = x >> 20, x & 0xFFFFF
     edge = np.zeros(size + 1, np.int64)

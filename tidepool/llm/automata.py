@@ -29,7 +29,7 @@ from .kernels import slices, span_hashes, text_buffer, word_spans
 
 WIN = 13
 UNIT = anchors.Unit(words=True, win=WIN, k=7)
-PER_SHARD = 8192
+PER_SHARD = 4096
 MAX_REFERENCE_WORDS = 2_000_000
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from .store import parallelism
 
-BITMAP_BITS = 27
+BITMAP_BITS = 26
 HEAVY_MAX = 1 << 18
 HEAVY_FROM = 32
 _FLUSH = 2_000_000

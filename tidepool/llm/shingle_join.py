@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from .components import components
 from .fingerprints import repeated
 from .kernels import gram_hashes, mix64, slices, text_buffer, words_of
-from .store import park, rows_with
+from .store import park, release, rows_with, small_batches
 
 WORDS = 5
 PERCENT = 80
 _NONE = -(1 << 63)
 #: Rounds of stars before the remaining pairs, and partners of a member in a round; they change the work, not the result.
-ROUNDS = 6
+ROUNDS = 3
 BITS = 1024
 PARTNERS = 4
 
@@ -126,19 +126,21 @@ def _sizes_fit(x, y):
 
 def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
     """Bucket members (tok, rep, n) with their component, of buckets with several components."""
-    own = members.select("tok", "rep", "n", "bits").join(label.select(F.col("v").alias("rep"), "component"), "rep", "left").select("tok", "rep", "n", "bits", F.coalesce("component", "rep").alias("comp"))
+    own = members.select("tok", "rep", "n").join(label.select(F.col("v").alias("rep"), "component"), "rep", "left").select("tok", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     several = own.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
     return park(own.join(several, "tok", "left_semi"))
 
 
-def _star(spread: DataFrame, round_: int) -> DataFrame:
+def _star(spread: DataFrame, sets: DataFrame, round_: int) -> DataFrame:
     """Pairs (a, b) of a member and a drawn member of its bucket's largest component, PARTNERS a member at most."""
     drawn = F.xxhash64("rep", "tok", F.lit(round_))
-    parts = spread.groupBy("tok", "comp").agg(F.count("*").alias("k"), F.min(F.struct(drawn.alias("h"), "rep", "n", "bits")).alias("one"))
-    largest = parts.groupBy("tok").agg(F.max(F.struct("k", F.bitwise_not("comp").alias("low"), "one")).alias("x")).select("tok", F.bitwise_not(F.col("x.low")).alias("big"), F.col("x.one.rep").alias("b"), F.col("x.one.n").alias("nb"), F.col("x.one.bits").alias("xb"))
-    pairs = spread.join(largest, "tok").filter((F.col("comp") != F.col("big")) & _may_link(F.col("n"), F.col("nb"), F.col("bits"), F.col("xb"))).select(F.col("rep").alias("a"), "b").distinct()
+    parts = spread.groupBy("tok", "comp").agg(F.count("*").alias("k"), F.min(F.struct(drawn.alias("h"), "rep", "n")).alias("one"))
+    largest = parts.groupBy("tok").agg(F.max(F.struct("k", F.bitwise_not("comp").alias("low"), "one")).alias("x")).select("tok", F.bitwise_not(F.col("x.low")).alias("big"), F.col("x.one.rep").alias("b"), F.col("x.one.n").alias("nb"))
+    pairs = spread.join(largest, "tok").filter((F.col("comp") != F.col("big")) & _sizes_fit(F.col("n"), F.col("nb"))).select(F.col("rep").alias("a"), "b", "n", "nb").distinct()
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b"))
-    return pairs.withColumn("r", rank).filter(F.col("r") <= PARTNERS).select("a", "b")
+    pairs = pairs.withColumn("r", rank).filter(F.col("r") <= PARTNERS).drop("r")
+    both = pairs.join(sets.select(F.col("rep").alias("a"), "bits"), "a").join(sets.select(F.col("rep").alias("b"), F.col("bits").alias("xb")), "b")
+    return both.filter(_may_link(F.col("n"), F.col("nb"), F.col("bits"), F.col("xb"))).select("a", "b")
 
 
 def _may_link(n, nb, x, xb):
@@ -151,6 +153,7 @@ def _may_link(n, nb, x, xb):
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``."""
     spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def prints(batch):
@@ -159,6 +162,7 @@ def near_components(docs: DataFrame) -> DataFrame:
                 yield np.concatenate(sets)
 
     known = spark.sparkContext.broadcast(repeated(slim.select("text"), prints, heavy=True))
+    release(spark)
     rows = park(slim.mapInArrow(_profile(known), "doc_id long, n long, s1 long, s2 long, ph long, prefix array<long>, body binary, bits array<long>"))
     able = rows.filter("s1 IS NOT NULL")
     sets = park(able.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("ph").alias("ph"), F.first("prefix").alias("prefix"), F.first("body").alias("body"), F.first("bits").alias("bits")))
@@ -179,12 +183,13 @@ def near_components(docs: DataFrame) -> DataFrame:
     tied = same.join(owner.select("doc_id", "m"), "doc_id").filter("rep <> m").select(F.col("rep").alias("u"), F.col("m").alias("v"))
     edges = park(_verify(pairs, sets).union(tied))
     label = park(components(edges))
+    release(spark)
 
     # Further stars, from the largest component of each bucket, until they link nothing new.
-    spread = _mixed(posts.select("tok", "gid").join(grouped.select("rep", "gid"), "gid").join(sets.select("rep", "n", "bits"), "rep"), label)
+    spread = _mixed(posts.select("tok", "gid").join(grouped.select("rep", "gid"), "gid").join(sets.select("rep", "n"), "rep"), label)
     tried = pairs.select("a", "b")
     for round_ in range(ROUNDS):
-        star = _star(spread, round_).join(tried, ["a", "b"], "left_anti")
+        star = _star(spread, sets, round_).join(tried, ["a", "b"], "left_anti")
         more = park(_verify(star, sets))
         if not more.limit(1).count():
             break
@@ -192,6 +197,7 @@ def near_components(docs: DataFrame) -> DataFrame:
         label = park(components(edges))
         spread = _mixed(spread.drop("comp"), label)
     # What is left: all pairs of different components within a bucket.
+    spread = spread.join(sets.select("rep", "bits"), "rep")
     other = spread.select("tok", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("comp").alias("cb"))
     cross = spread.join(other, "tok").filter((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("cb")) & _may_link(F.col("n"), F.col("nb"), F.col("bits"), F.col("xb")))
     more = park(_verify(cross.select(F.col("rep").alias("a"), "b").distinct(), sets))
