@@ -62,19 +62,19 @@ def _shares(t):
     return t("v_holders").groupBy("token_key").agg(F.count("*").alias("n"), F.sum(F.col("share") * F.col("share")).alias("sq"), F.sum("share").alias("s"), F.sum(F.col("share") * F.ln("share")).alias("plogp"))
 
 
-@key("SELECT token_key, round(sum(share * share) / (sum(share) * sum(share)), 6) AS hhi FROM v_holders GROUP BY token_key", "v_holders")
+@key("SELECT token_key, round(sum(share * share) / (sum(share) * sum(share)), 9) AS hhi FROM v_holders GROUP BY token_key", "v_holders")
 def herfindahl(t):
-    return _shares(t).select("token_key", F.round(S.herfindahl("sq", "s"), 6).alias("hhi"))
+    return _shares(t).select("token_key", F.round(S.herfindahl("sq", "s"), 9).alias("hhi"))
 
 
-@key("SELECT token_key, round(CASE WHEN count(*) <= 1 THEN 0.0 ELSE -sum(share * ln(share)) / ln(count(*)) END, 6) AS entropy FROM v_holders GROUP BY token_key", "v_holders")
+@key("SELECT token_key, round(CASE WHEN count(*) <= 1 THEN 0.0 ELSE -sum(share * ln(share)) / ln(count(*)) END, 9) AS entropy FROM v_holders GROUP BY token_key", "v_holders")
 def entropy(t):
-    return _shares(t).select("token_key", F.round(S.entropy_from("plogp", "n"), 6).alias("entropy"))
+    return _shares(t).select("token_key", F.round(S.entropy_from("plogp", "n"), 9).alias("entropy"))
 
 
-@key("SELECT token_key, round((sum(share) * sum(share)) / sum(share * share), 5) AS k FROM v_holders GROUP BY token_key", "v_holders")
+@key("SELECT token_key, round((sum(share) * sum(share)) / sum(share * share), 8) AS k FROM v_holders GROUP BY token_key", "v_holders")
 def effective_number(t):
-    return _shares(t).select("token_key", F.round(1 / S.herfindahl("sq", "s"), 5).alias("k"))
+    return _shares(t).select("token_key", F.round(1 / S.herfindahl("sq", "s"), 8).alias("k"))
 
 
 @key("SELECT source, round(CASE WHEN n < 30 THEN 0.0 ELSE least(1, x / 40) END, 6) AS deviation FROM (SELECT source, max(n) AS n, sum((c - n * ln(1 + 1.0 / d) / ln(10)) * (c - n * ln(1 + 1.0 / d) / ln(10)) / (n * ln(1 + 1.0 / d) / ln(10))) AS x FROM (SELECT s.source, d, n, count(v.price) AS c FROM (SELECT source, count(*) AS n FROM v_snapshots GROUP BY ALL) s CROSS JOIN (SELECT unnest(range(1, 10)) AS d) q LEFT JOIN v_snapshots v ON v.source = s.source AND CAST(left(replace(ltrim(CAST(v.price AS VARCHAR), '0.'), '.', ''), 1) AS INTEGER) = d GROUP BY ALL) GROUP BY source)", "v_snapshots")
