@@ -197,9 +197,11 @@ def near_components(docs: DataFrame) -> DataFrame:
         label = park(components(edges))
         spread = _mixed(spread.drop("comp"), label)
     # What is left: all pairs of different components within a bucket.
-    spread = spread.join(sets.select("rep", "bits"), "rep")
-    other = spread.select("tok", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("comp").alias("cb"))
-    cross = spread.join(other, "tok").filter((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("cb")) & _may_link(F.col("n"), F.col("nb"), F.col("bits"), F.col("xb")))
+    # A pair comes from the least bucket that it shares, once.
+    own = spread.groupBy("rep").agg(F.collect_list("tok").alias("toks"))
+    spread = spread.join(own, "rep").join(sets.select("rep", "bits"), "rep")
+    other = spread.select("tok", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("comp").alias("cb"), F.col("toks").alias("tb"))
+    cross = spread.join(other, "tok").filter((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("cb")) & _may_link(F.col("n"), F.col("nb"), F.col("bits"), F.col("xb")) & (F.col("tok") == F.array_min(F.array_intersect("toks", "tb"))))
     more = park(_verify(cross.select(F.col("rep").alias("a"), "b").distinct(), sets))
     if more.limit(1).count():
         label = park(components(edges.union(more)))
