@@ -1,9 +1,17 @@
 """Queries take all rows and whole texts: held against plain Python versions."""
 
+import os
+import random
 import re
+from datetime import datetime, timedelta
+
+import duckdb
+import pytest
 
 from tidepool.plans import catalog
 
+from .test_oracles import norm
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -26,3 +34,58 @@ def test_html_strip_beyond_ascii(spark, tmp_path):
     spark.createDataFrame(list(enumerate(html)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.body for r in catalog.QUERIES["html_strip"](spark, str(tmp_path)).collect()}
     assert got == {0: "Café été & hiver", 1: "日本語 <x>", 2: "plain"}
+
+
+# The twins' filters on ids, which the queries don't have.
+NARROW = {
+    "similarity": [(" WHERE post_id < 3000", "")],
+    "expanding_peer_rank": [(" WHERE token_key < 20", "")],
+    "ewma": [(" WHERE user_id < 30", "")],
+    "decision_grid": [(" WHERE token_key % 50 = 0", "")],
+    "funder_parse": [(" WHERE token_key % 20 = 0", "")],
+    "autopsy_timeline": [(" WHERE token_key < 40", "")],
+    "fact_citations": [(" AND token_key < 200", ""), (" AND token_key < 20", "")],
+    "wallet_trades_before": [("t.wallet % 10 = 3 AND ", "")],
+    "cohort_except": [(" AND token_key % 5 = 0", ""), (" AND token_key % 7 = 0", "")],
+    "set_intersect": [(" AND token_key % 5 = 0", ""), (" AND token_key % 7 = 0", "")],
+    "set_union": [(" AND token_key % 5 = 0", ""), (" AND token_key % 7 = 0", "")],
+    "signal_queue": [(" AND event_id % 3 = 0", "")],
+    "reclaim_scan": [(" WHERE token_key % 2 = 0", "")],
+    "asof_backward": [(" WHERE event_id % 10 = 0", "")],
+    "asof_forward": [(" WHERE event_id % 10 = 0", "")],
+    "asof_nearest": [(" WHERE event_id % 10 = 0", "")],
+}
+# On the smallest tables these filters keep all rows, or none of the result's.
+LARGER = ("similarity", "expanding_peer_rank", "ewma", "fact_citations")
+
+
+@pytest.mark.parametrize("name", NARROW)
+def test_query_takes_all_ids(spark, name):
+    con, folder = duckdb.connect(), "/root/testdata/sf0.01" if name in LARGER else FOLDER
+    for f in os.listdir(folder):
+        con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{folder}/{f}'")
+    sql = catalog.ORACLES[name]
+    for filter_, whole in NARROW[name]:
+        sql = sql.replace(filter_, whole)
+    got = catalog.QUERIES[name](spark, folder)
+    columns = sorted(got.columns)
+    assert norm(got.select(*columns).collect()) == norm(con.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall())
+
+
+def test_expanding_peer_rank_counts_by_hand(spark, tmp_path):
+    r = random.Random(3)
+    events = [(i, datetime(2024, 1, 1) + timedelta(seconds=r.randrange(40)), i % 90, r.choice("ab"), float(r.randrange(12)), "{}") for i in range(150)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for e in events:
+        peers = [x[4] for x in events if x[3] == e[3] and (x[1], x[0]) < (e[1], e[0])]
+        want[e[0]] = round(sum(x <= e[4] for x in peers) / len(peers), 6) if peers else 0.5
+    got = {x.event_id: x["rank"] for x in catalog.QUERIES["expanding_peer_rank"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_reclaim_scan_counts_trades_of_all_tokens(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,), (3,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT id AS o_orderkey, id AS o_custkey, DATE'1995-02-01' AS o_orderdate FROM range(1, 3)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT id AS l_orderkey, id AS l_partkey, id AS l_suppkey, 1 AS l_linenumber, 'N' AS l_returnflag, 1D AS l_quantity, 1D AS l_extendedprice, 0D AS l_tax, 0D AS l_discount, DATE'1995-02-02' AS l_shipdate FROM range(1, 3)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert tuple(catalog.QUERIES["reclaim_scan"](spark, str(tmp_path)).first()) == (1, 0.006, 0.0054)

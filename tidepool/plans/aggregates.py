@@ -172,7 +172,7 @@ _BUY, _SELL = "SELECT DISTINCT wallet FROM v_trades WHERE side = 'buy' AND token
 
 def _sides(t):
     rows = t("v_trades")
-    return rows.filter("side = 'buy' AND token_key % 5 = 0").select("wallet"), rows.filter("side = 'sell' AND token_key % 7 = 0").select("wallet")
+    return rows.filter("side = 'buy'").select("wallet"), rows.filter("side = 'sell'").select("wallet")
 
 
 @key(f"{_BUY} EXCEPT {_SELL}", "v_trades")

@@ -33,7 +33,15 @@ plan("memory_recall", f"SELECT event_id, round(confidence * pow(0.5e0, age / 72e
 plan("memory_scd2", "SELECT token_key, source, event_id, as_of AS valid_from, lead(as_of) OVER (PARTITION BY token_key, source ORDER BY as_of, event_id) AS valid_until FROM v_snapshots", "v_snapshots")
 plan("heuristics", "SELECT source, metric, side, count(*) AS n, round(least(0.95e0, 0.4e0 + 0.12e0 * ln(CAST(count(*) AS DOUBLE)) / ln(2e0)), 9) AS confidence FROM (SELECT source, token_key % 10 AS metric, CASE WHEN price < 50 THEN 'low' ELSE 'high' END AS side FROM v_snapshots) x GROUP BY source, metric, side HAVING count(*) >= 3", "v_snapshots")
 plan("integrity_flags", "SELECT source, CASE WHEN count(*) < 100 THEN 'alarm' WHEN count(*) < 2500 THEN 'warn' ELSE 'ok' END AS volume, CASE WHEN count(DISTINCT round(price, 0)) < 10 THEN 'alarm' ELSE 'ok' END AS spread, CASE WHEN max(as_of) < 2400000 THEN 'warn' ELSE 'ok' END AS freshness FROM v_snapshots GROUP BY source", "v_snapshots")
-plan("autopsy_timeline", "SELECT token_key, as_of, 'trade' AS kind, count(*) AS n FROM v_trades WHERE token_key < 40 GROUP BY token_key, as_of UNION ALL SELECT token_key, as_of, 'snapshot', count(*) FROM v_snapshots WHERE token_key < 40 GROUP BY token_key, as_of UNION ALL SELECT token_key, created_at, 'launch', count(*) FROM v_launches WHERE token_key < 40 GROUP BY token_key, created_at", "v_launches", "v_snapshots")
+
+
+@key("SELECT token_key, as_of, 'trade' AS kind, count(*) AS n FROM v_trades WHERE token_key < 40 GROUP BY token_key, as_of UNION ALL SELECT token_key, as_of, 'snapshot', count(*) FROM v_snapshots WHERE token_key < 40 GROUP BY token_key, as_of UNION ALL SELECT token_key, created_at, 'launch', count(*) FROM v_launches WHERE token_key < 40 GROUP BY token_key, created_at", "v_launches", "v_snapshots")
+def autopsy_timeline(t):
+    kinds = (("v_trades", "as_of", "trade"), ("v_snapshots", "as_of", "snapshot"), ("v_launches", "created_at", "launch"))
+    trades, snaps, launches = (t(v).groupBy("token_key", F.col(at).alias("as_of")).agg(F.count("*").alias("n")).select("token_key", "as_of", F.lit(kind).alias("kind"), "n") for v, at, kind in kinds)
+    return trades.unionByName(snaps).unionByName(launches)
+
+
 plan("token_compare", "WITH s AS (SELECT token_key, metric_id, avg(normalized) AS v FROM v_scores WHERE token_key IN (3, 4) GROUP BY token_key, metric_id) SELECT a.metric_id, round(a.v, 9) AS a, round(b.v, 9) AS b, round(a.v - b.v, 9) AS delta FROM s a JOIN s b ON a.metric_id = b.metric_id WHERE a.token_key = 3 AND b.token_key = 4", "v_scores")
 _AT = "SELECT s.token_key, g.t, s.metric_id, s.normalized, row_number() OVER (PARTITION BY s.token_key, g.t, s.metric_id ORDER BY s.as_of DESC, s.event_id DESC) AS i FROM v_scores s JOIN (SELECT 500000 AS t UNION ALL SELECT 1000000 UNION ALL SELECT 1500000 UNION ALL SELECT 2000000) g ON s.as_of <= g.t WHERE s.normalized IS NOT NULL"
 plan("replay_ticks", f"SELECT token_key, t, round(avg(normalized), 9) AS composite, count(*) AS metrics FROM ({_AT}) x WHERE i = 1 GROUP BY token_key, t", "v_scores")
@@ -44,7 +52,15 @@ plan("recent_publication", "SELECT l.token_key FROM v_launches l WHERE EXISTS (S
 plan("training_examples", "SELECT token_key, m AS metrics, round(label, 9) AS label, round(cume_dist() OVER (ORDER BY label), 9) AS peer FROM (SELECT o.token_key, count(t.wallet) AS m, coalesce(o.multiple, 0e0) AS label FROM v_outcomes o LEFT JOIN v_trades t ON t.token_key = o.token_key AND t.as_of <= o.created_at + 300 AND t.observed_at <= o.created_at + 300 GROUP BY o.token_key, o.multiple) x", "v_outcomes")
 plan("evidence_rank", "SELECT token_key, metric_id, event_id, direction FROM (SELECT token_key, metric_id, event_id, CASE WHEN normalized >= 0.5e0 THEN 'for' ELSE 'against' END AS direction, row_number() OVER (PARTITION BY token_key ORDER BY normalized DESC, event_id) AS i FROM v_scores WHERE normalized IS NOT NULL) x WHERE i <= 8", "v_scores")
 plan("veto_histogram", "SELECT veto, count(*) AS n FROM (SELECT CASE WHEN share > 0.55e0 THEN 'top_holder' WHEN label = 'BUILDING' THEN 'insider' WHEN sold > bought THEN 'dev_sold' END AS veto FROM v_holders) x WHERE veto IS NOT NULL GROUP BY veto", "v_holders")
-plan("fact_citations", "SELECT token_key, '[' || metric_id || ':' || CAST(event_id AS VARCHAR(20)) || ']' AS fact FROM v_scores WHERE confidence = 'high' AND token_key < 20 UNION ALL SELECT token_key, '[holder:' || CAST(wallet AS VARCHAR(20)) || ']' FROM v_holders WHERE share > 0.5e0 AND token_key < 200", "v_scores", "v_holders")
+
+
+@key("SELECT token_key, '[' || metric_id || ':' || CAST(event_id AS VARCHAR(20)) || ']' AS fact FROM v_scores WHERE confidence = 'high' AND token_key < 20 UNION ALL SELECT token_key, '[holder:' || CAST(wallet AS VARCHAR(20)) || ']' FROM v_holders WHERE share > 0.5e0 AND token_key < 200", "v_scores", "v_holders")
+def fact_citations(t):
+    scores = t("v_scores").filter("confidence = 'high'").select("token_key", F.concat(F.lit("["), "metric_id", F.lit(":"), F.col("event_id").cast("string"), F.lit("]")).alias("fact"))
+    holders = t("v_holders").filter("share > 0.5").select("token_key", F.concat(F.lit("[holder:"), F.col("wallet").cast("string"), F.lit("]")).alias("fact"))
+    return scores.unionByName(holders)
+
+
 plan("session_totals", "SELECT source, count(*) AS sweeps, sum(CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END) * 1 AS failed, count(DISTINCT token_key) AS tokens FROM v_snapshots GROUP BY source".replace("sum(CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END) * 1", "count(CASE WHEN event_id % 19 = 0 THEN 1 END)"), "v_snapshots")
 plan("corpus_growth", "SELECT b.source, b.n AS before, a.n AS after, a.n - b.n AS delta FROM (SELECT source, count(*) AS n FROM v_snapshots WHERE as_of < 1000000 GROUP BY source) b JOIN (SELECT source, count(*) AS n FROM v_snapshots GROUP BY source) a ON a.source = b.source", "v_snapshots")
 plan("suggest_ids", "SELECT want, id FROM (SELECT q.want, n.id, row_number() OVER (PARTITION BY q.want ORDER BY levenshtein(q.want, n.id), n.id) AS i FROM (SELECT 'purchse' AS want UNION ALL SELECT 'clik') q CROSS JOIN (SELECT DISTINCT event_type AS id FROM events) n) x WHERE i <= 3")

@@ -103,7 +103,7 @@ def social_links(t):
 
 
 def _decisions(t):
-    return t("v_snapshots").filter("event_id % 10 = 0").select("token_key", F.col("event_id").alias("decision_id"), (F.col("as_of") + 777).alias("as_of"))
+    return t("v_snapshots").select("token_key", F.col("event_id").alias("decision_id"), (F.col("as_of") + 777).alias("as_of"))
 
 
 _DEC = ", d AS (SELECT token_key, event_id AS decision_id, as_of + 777 AS as_of FROM v_snapshots WHERE event_id % 10 = 0)"
@@ -161,7 +161,7 @@ def resolve_query(t):
 
 @key("SELECT source, count(*) AS n, count(*) FILTER (WHERE event_id % 2 = 0 AND as_of >= 1000000 - 600000) AS reverts, min(event_id) AS next_id FROM v_snapshots WHERE as_of <= 1000000 AND event_id % 3 = 0 GROUP BY source", "v_snapshots")
 def signal_queue(t):
-    rows = t("v_snapshots").filter((F.col("as_of") <= TE) & (F.col("event_id") % 3 == 0))
+    rows = t("v_snapshots").filter(F.col("as_of") <= TE)
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if((F.col("event_id") % 2 == 0) & (F.col("as_of") >= TE - 600_000)).alias("reverts"), F.min("event_id").alias("next_id"))
 
 
@@ -182,7 +182,7 @@ def deployer_history(t):
 
 @key("SELECT t.wallet, t.token_key, t.as_of, l.created_at, t.as_of - l.created_at AS after_launch FROM v_trades t LEFT JOIN v_launches l ON t.token_key = l.token_key WHERE t.wallet % 10 = 3 AND t.as_of < 1500 AND t.observed_at <= 1500", "v_launches")
 def wallet_trades_before(t):
-    rows = t("v_trades").filter("wallet % 10 = 3 AND as_of < 1500 AND observed_at <= 1500")
+    rows = t("v_trades").filter("as_of < 1500 AND observed_at <= 1500")
     return rows.join(t("v_launches").select("token_key", "created_at"), "token_key", "left").select("wallet", "token_key", "as_of", "created_at", (F.col("as_of") - F.col("created_at")).alias("after_launch"))
 
 

@@ -34,7 +34,15 @@ plan("fill_calibration", "SELECT count(*) AS n, round(avg(o), 4) AS observed, ro
 plan("social_spike", "SELECT token_key, count(DISTINCT author) AS accounts FROM v_posts WHERE n_chars >= 2000 GROUP BY token_key HAVING count(DISTINCT author) >= 4", "v_posts")
 plan("revenue_share", "SELECT c_mktsegment AS tier, count(*) AS n, round(sum(o_totalprice * CASE WHEN c_acctbal > 5000 THEN 0.005e0 ELSE 0.01e0 END), 2) AS fees, round(sum(o_totalprice * CASE WHEN c_acctbal > 5000 THEN 0.005e0 ELSE 0.01e0 END * 0.2e0), 2) AS referral FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment")
 plan("authority_audit", "SELECT p_partkey, score, CASE WHEN score <= 40 OR p_partkey % 7 = 0 THEN 'critical' WHEN score <= 80 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN p_size < 5 THEN 'QUARANTINE' WHEN score <= 40 THEN 'VETO' ELSE 'APPROVE' END AS verdict FROM (SELECT p_partkey, p_size, 100 - CASE WHEN p_partkey % 5 = 0 THEN 40 ELSE 0 END - CASE WHEN p_partkey % 7 = 0 THEN 50 ELSE 0 END - CASE WHEN p_partkey % 3 = 0 THEN 20 ELSE 0 END AS score FROM part) x")
-plan("reclaim_scan", "SELECT count(*) AS accounts, round(sum(c_custkey * 0.002e0), 6) AS total, round(sum(c_custkey * 0.002e0) * 0.9e0, 6) AS owner_part FROM customer LEFT JOIN (SELECT DISTINCT wallet FROM v_trades WHERE token_key % 2 = 0) t ON wallet = c_custkey WHERE wallet IS NULL", "v_trades")
+
+
+@key("SELECT count(*) AS accounts, round(sum(c_custkey * 0.002e0), 6) AS total, round(sum(c_custkey * 0.002e0) * 0.9e0, 6) AS owner_part FROM customer LEFT JOIN (SELECT DISTINCT wallet FROM v_trades WHERE token_key % 2 = 0) t ON wallet = c_custkey WHERE wallet IS NULL", "v_trades")
+def reclaim_scan(t):
+    idle = t("customer").join(t("v_trades").select("wallet"), F.col("c_custkey") == F.col("wallet"), "left_anti")
+    total = F.sum(F.col("c_custkey") * F.lit(0.002))
+    return idle.agg(F.count("*").alias("accounts"), F.round(total, 6).alias("total"), F.round(total * F.lit(0.9), 6).alias("owner_part"))
+
+
 plan("reputation_veto", "WITH bad AS (SELECT deployer FROM v_outcomes WHERE rugged GROUP BY deployer HAVING count(*) >= 5) SELECT l.token_key, l.deployer FROM v_launches l WHERE l.deployer IN (SELECT deployer FROM bad)", "v_outcomes")
 plan("funder_apply", "SELECT h.token_key, h.wallet, CASE WHEN f.wallets >= 1100 THEN NULL ELSE h.funded_by END AS funded_by, CASE WHEN f.wallets >= 1100 THEN 'cex' ELSE 'wallet' END AS kind FROM v_holders h JOIN (SELECT funded_by, count(*) AS wallets FROM v_holders GROUP BY funded_by) f ON f.funded_by = h.funded_by", "v_holders")
 plan("team_wallets", "SELECT DISTINCT h.token_key, h.wallet FROM v_holders h JOIN v_holders d ON d.token_key = h.token_key AND d.funded_by = h.funded_by WHERE d.wallet % 100 = h.token_key % 100 OR h.label = 'BUILDING'", "v_holders")

@@ -45,7 +45,7 @@ def shingles(t):
 def similarity(t):
     from ..operators.similarity import char_shingles, jaccard
 
-    h = t("v_chat").filter("post_id < 3000").select("post_id", char_shingles(F.lower("text")).alias("s"))
+    h = t("v_chat").select("post_id", char_shingles(F.lower("text")).alias("s"))
     other = h.select((F.col("post_id") - 1).alias("post_id"), F.col("s").alias("o"))
     return h.join(other, "post_id").select("post_id", F.round(jaccard(F.col("s"), F.col("o")), 6).alias("similarity"))
 
@@ -244,8 +244,7 @@ def corpus_manifest(t):
 
 @key("SELECT token_key, wallet, arg_min(supp_id, CASE WHEN side = 'buy' THEN 0 ELSE 1 END * 1e9 - amount_native + slot * 1e-3 + supp_id * 1e-7) AS funder FROM v_trades WHERE token_key % 20 = 0 GROUP BY ALL", "v_trades")
 def funder_parse(t):
-    rows = t("v_trades").filter("token_key % 20 = 0")
-    best = pit.ranked_by(rows, ["token_key", "wallet"], [F.when(F.col("side") == "buy", 0).otherwise(1).asc(), F.desc("amount_native"), F.asc("slot"), F.asc("supp_id")])
+    best = pit.ranked_by(t("v_trades"), ["token_key", "wallet"], [F.when(F.col("side") == "buy", 0).otherwise(1).asc(), F.desc("amount_native"), F.asc("slot"), F.asc("supp_id")])
     return best.select("token_key", "wallet", F.col("supp_id").alias("funder"))
 
 
