@@ -15,6 +15,9 @@ STOPWORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "is", "it", "for",
 SHILL = ("to the moon", "100x", "1000x", "easy 10x", "don't miss", "last chance", "still early", "buy now", "ape in", "send it", "moon", "gem", "next pepe", "lfg", "wagmi", "pump it", "huge potential", "to 10x", "guaranteed", "not financial advice")
 CONVICTION = ("because", "i think", "the reason", "compared to", "chart", "holders", "liquidity", "dev sold", "i bought", "i sold")
 
+# Code points counted as emoji.
+EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{2B00}-\x{2BFF}\x{FE0F}]"
+
 
 def normalize_ascii(text) -> Column:
     """Lower case with white space collapsed: the exact form on ASCII texts."""
@@ -62,11 +65,11 @@ def conviction_density(text) -> Column:
     return F.least(F.lit(1.0), phrase_hits(text, CONVICTION) / 2.0)
 
 
-def effort_score(text) -> Column:
-    """Length, variety and absence of pictures, for texts without emoji."""
+def effort_score(text, emoji) -> Column:
+    """Length, variety and absence of pictures, for texts without their ``emoji``, which are counted."""
     words = tokens(text)
     n = F.size(words)
-    return F.when(n == 0, 0.0).otherwise(0.5 * F.least(F.lit(1.0), n / 25.0) + 0.3 * F.size(F.array_distinct(words)) / n + 0.2)
+    return F.when(n == 0, 0.0).otherwise(0.5 * F.least(F.lit(1.0), n / 25.0) + 0.3 * F.size(F.array_distinct(words)) / n + 0.2 * (1 - F.least(F.lit(1.0), emoji / n)))
 
 
 def lexical_diversity(text) -> Column:
@@ -81,7 +84,9 @@ def entities(text) -> dict[str, Column]:
 
 
 def contains_address(text) -> Column:
-    return F.col(text).rlike(r"0x[0-9a-fA-F]{40}|\b[1-9A-HJ-NP-Za-km-z]{32,44}\b") if isinstance(text, str) else text.rlike(r"0x[0-9a-fA-F]{40}|\b[1-9A-HJ-NP-Za-km-z]{32,44}\b")
+    """Word borders by letters and digits of any script: Java's own differ between its versions."""
+    pattern = r"0x[0-9a-fA-F]{40}|(?<![\p{L}\p{N}_])[1-9A-HJ-NP-Za-km-z]{32,44}(?![\p{L}\p{N}_])"
+    return (F.col(text) if isinstance(text, str) else text).rlike(pattern)
 
 
 def strip_html(html) -> Column:

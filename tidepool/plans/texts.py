@@ -11,9 +11,14 @@ from .registry import key
 _TOK = "list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda w: len(w) > 1)"
 
 
+def _normal(t):
+    """All posts with normal texts, so that accented words are tokens too."""
+    return t("v_posts").select("post_id", X.normalize("text").alias("text"))
+
+
 @key("SELECT post_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS norm FROM v_ascii", "v_ascii")
 def text_normalize(t):
-    return t("v_ascii").select("post_id", X.normalize("text").alias("norm"))
+    return t("v_posts").select("post_id", X.normalize("text").alias("norm"))
 
 
 _SKEL = "lower(text)"
@@ -28,7 +33,7 @@ def skeletonize(t):
 
 @key(f"SELECT post_id, len({_TOK}) AS n, array_to_string({_TOK}[1:5], ' ') AS head FROM v_ascii", "v_ascii")
 def tokens(t):
-    return t("v_ascii").select("post_id", F.size(X.tokens("text")).cast("long").alias("n"), F.array_join(F.slice(X.tokens("text"), 1, 5), " ").alias("head"))
+    return _normal(t).select("post_id", F.size(X.tokens("text")).cast("long").alias("n"), F.array_join(F.slice(X.tokens("text"), 1, 5), " ").alias("head"))
 
 
 _SH = "list_distinct(list_transform(range(1, greatest(len(s) - 2, 2)), lambda i: substr(s, i, 4)))"
@@ -58,7 +63,7 @@ def template_share_exact(t):
 
 @key(f"SELECT post_id, round(CASE WHEN len({_TOK}) < 10 THEN 0.0 ELSE least(1, len(list_distinct({_TOK})) / sqrt(len({_TOK})) / 10) END, 6) AS diversity FROM v_ascii", "v_ascii")
 def lexical_diversity(t):
-    return t("v_ascii").select("post_id", F.round(X.lexical_diversity("text"), 6).alias("diversity"))
+    return _normal(t).select("post_id", F.round(X.lexical_diversity("text"), 6).alias("diversity"))
 
 
 def _hits(phrases, col="lower(text)"):
@@ -72,7 +77,8 @@ def shill_density(t):
 
 @key(f"SELECT post_id, round(CASE WHEN len({_TOK}) = 0 THEN 0.0 ELSE 0.5 * least(1, len({_TOK}) / 25.0) + 0.3 * len(list_distinct({_TOK})) / len({_TOK}) + 0.2 END, 9) AS effort FROM v_ascii", "v_ascii")
 def effort_score(t):
-    return t("v_ascii").select("post_id", F.round(X.effort_score("text"), 9).alias("effort"))
+    rows = t("v_posts").select("post_id", F.regexp_count("text", F.lit(X.EMOJI)).alias("emoji"), X.normalize(F.regexp_replace("text", X.EMOJI, "")).alias("text"))
+    return rows.select("post_id", F.round(X.effort_score("text", F.col("emoji")), 9).alias("effort"))
 
 
 @key("SELECT post_id, array_to_string(regexp_extract_all(text, '\\$([A-Za-z][A-Za-z0-9]*)', 1), ',') AS cashtags, array_to_string(regexp_extract_all(text, '#([A-Za-z0-9_]+)', 1), ',') AS hashtags, array_to_string(regexp_extract_all(text, '@([A-Za-z0-9_]+)', 1), ',') AS mentions, array_to_string(regexp_extract_all(text, '(https?://[^\\s]+)', 1), ',') AS urls FROM v_chat", "v_chat")
@@ -82,7 +88,7 @@ def extract_entities(t):
 
 @key("SELECT doc_id, regexp_matches(text, '0x[0-9a-fA-F]{40}|\\b[1-9A-HJ-NP-Za-km-z]{32,44}\\b') AS found FROM documents WHERE regexp_full_match(text, '[\\x20-\\x7e\\n]*')")
 def contains_address(t):
-    return t("documents").filter(F.col("text").rlike(r"^[\x20-\x7e\n]*$")).select("doc_id", X.contains_address("text").alias("found"))
+    return t("documents").select("doc_id", X.contains_address("text").alias("found"))
 
 
 @key("SELECT post_id, element_at(string_split(rtrim(regexp_extract(text, '(https?://[^\\s]+)', 1), '/'), '/'), -1)[1] AS tail FROM v_chat".replace("element_at(string_split(rtrim(regexp_extract(text, '(https?://[^\\s]+)', 1), '/'), '/'), -1)[1]", "string_split(rtrim(regexp_extract(text, '(https?://[^\\s]+)', 1), '/'), '/')[-1]"), "v_chat")
