@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import duckdb
 import pytest
 
+from tidepool.llm import licences
 from tidepool.plans import catalog
 
 from .test_oracles import norm
@@ -130,3 +131,15 @@ def test_novelty_scores_long_and_accented_turns(spark, tmp_path):
     want = {(c, n): 1 - max(len(grams(s) & grams(b)) / len(grams(s) | grams(b)) for _, b in items) for c, n, s in turns}
     got = {(r.conv_id, r.turn): r.novelty for r in catalog.QUERIES["novelty_vs_corpus"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_licence_sentences_wrapped_over_lines():
+    book = licences.Rulebook(licences.RULES)
+    apache = "Copyright 2020 Someone\n\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.\n"
+    names = lambda text, b=book: [m[0] for m in licences.scan_text(b, text)[1]]
+    assert names(apache) == names(apache.replace("\n", "\r\n")) == ["Apache-2.0"]
+    assert names("\n".join(f"// {x}" for x in apache.split("\n"))) == ["Apache-2.0"]
+    assert {n for n, parts in licences.RULES if names("\n\n".join(p.replace(" ", "\n * ") for p in parts)) != [n]} == set()
+    assert names("No end here\nAll\n rights  reserved.\nmore") == ["Proprietary"]
+    assert names("Nur für Gäste.\nFoo bar\nbaz.", licences.Rulebook([("own", ["Foo bar baz."])])) == ["own"]
+    assert names("Licensed under. the MIT License.") == []

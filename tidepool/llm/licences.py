@@ -1,7 +1,8 @@
 """Licence scan by sentence rules.
 
 Sentences are normalised (lower case; runs of other characters than letters and digits
-become one space) and mapped to identifiers of known licence sentences. The identifiers
+become one space) and mapped to identifiers of known licence sentences. A sentence may be
+wrapped: lines that follow one another are joined if they give a known one. The identifiers
 of a document, in order, are matched against licence rules: ordered lists of
 identifiers, in which up to GAP unknown sentences may stand between two of a rule's.
 Longer rules go first and matches don't overlap, so a licence's short notice inside its
@@ -47,10 +48,11 @@ RULES: list[tuple[str, list[str]]] = [
     ("Proprietary", ["All rights reserved."]),
 ]
 
-# A sentence ends at a line break, or at . ! or ? before white space or the end (not after "v.").
+# A piece of a sentence ends at a line break; a sentence ends at . ! or ? before white space or the end (not after "v.").
 _END = re.compile(r"(?<!\bv)[.!?](?=[\x20\x09-\x0D]|$)|[\n\r\x0b\x0c]")
 _OTHER = re.compile(r"[^a-z0-9]+")
-# Every known sentence holds one of these, so texts without them hold none.
+_BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c]")
+# Every sentence of RULES holds one of these; the scan derives its own marks from the given rules.
 TRIGGERS = ("licen", "permission", "redistribut", "all rights reserved", "unencumbered")
 
 
@@ -59,7 +61,7 @@ def normalise(sentence: str) -> str:
 
 
 def sentences(text: str):
-    """(start, end, normalised) of the sentences with a letter or digit, in code points."""
+    """(start, end, normalised) of the sentences, or lines of them, with a letter or digit, in code points."""
     at = 0
     for m in [*_END.finditer(text), None]:
         end = m.end() if m else len(text)
@@ -79,6 +81,35 @@ class Rulebook:
             self.rules.setdefault(ids[0], []).append((name, ids))
         for own in self.rules.values():
             own.sort(key=lambda r: (-len(r[1]), r[0]))
+        # What a known sentence may begin with, and a word of each: texts without these words hold none.
+        self.begins = {k[:i] for k in self.known for i in range(1, len(k) + 1) if i == len(k) or k[i] == " "}
+        self.marks = {max(k.split(), key=len) for k in self.known}
+
+    def find(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(sentence number, identifier, start, end) of the known sentences, also those wrapped over lines; the longest first at each place."""
+        parts = list(sentences(text))
+        out, number, k, inside = [], 0, 0, False
+        while k < len(parts):
+            start, end, norm = parts[k]
+            best, to, joined, whole = None, k, k, norm
+            while whole in self.begins:
+                if whole in self.known:
+                    best, to = self.known[whole], joined
+                joined += 1
+                if joined == len(parts) or not _BREAK.match(text[parts[joined - 1][1] - 1 :][:1]):
+                    break
+                whole = f"{whole} {parts[joined][2]}"
+            if best is not None:
+                number += inside
+                out.append((number, best, start, parts[to][1]))
+                number, inside, k = number + 1, False, to + 1
+                continue
+            # Lines of an unknown sentence count as one, up to its end or a blank line.
+            k += 1
+            rest = text[end - 1 : parts[k][0] + 1] if k < len(parts) else ""
+            ended = not _BREAK.match(rest[:1]) or len(_BREAK.findall(rest)) > 1
+            number, inside = (number + 1, False) if ended else (number, True)
+        return out
 
     def match(self, found: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int]]:
         """found: (sentence number, identifier, start, end). Returns (licence, start, end)."""
@@ -104,9 +135,9 @@ class Rulebook:
 def scan_text(book: Rulebook, text: str | None) -> tuple[int, list[tuple[str, int, int]]]:
     """Number of known sentences and the matches of one text."""
     low = text.lower() if text else ""
-    if not any(t in low for t in TRIGGERS):
+    if not any(w in low for w in book.marks):
         return 0, []
-    found = [(k, book.known[n], a, b) for k, (a, b, n) in enumerate(sentences(text)) if n in book.known]
+    found = book.find(text)
     return len(found), book.match(found)
 
 
