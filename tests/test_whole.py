@@ -143,3 +143,8 @@ def test_licence_sentences_wrapped_over_lines():
     assert names("No end here\nAll\n rights  reserved.\nmore") == ["Proprietary"]
     assert names("Nur für Gäste.\nFoo bar\nbaz.", licences.Rulebook([("own", ["Foo bar baz."])])) == ["own"]
     assert names("Licensed under. the MIT License.") == []
+
+
+def test_bootstrap_draws_two_thousand_resamples(spark):
+    text = catalog.QUERIES["bootstrap_ci"](spark, FOLDER)._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"explode\(sequence\(1, 2000\b", text)

@@ -106,7 +106,7 @@ def jaccard(t):
     return t("v_trades").groupBy("token_key").agg(side("buy").alias("a"), side("sell").alias("b")).select("token_key", F.round(j(F.col("a"), F.col("b")), 9).alias("j"))
 
 
-def bootstrap(df, value: str, resamples: int = 500, seed: int = 1337):
+def bootstrap(df, value: str, resamples: int = 2000, seed: int = 1337):
     """Percentile interval of the mean by Poisson(1) weights: each row draws its weight per resample, so nothing is gathered."""
     u = lambda i: F.pmod(F.xxhash64(F.monotonically_increasing_id(), i, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     rows = df.select(value).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("u", u(F.col("b")))
