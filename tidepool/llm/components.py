@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import park
+from .store import discard, park
 
 MAX_ROUNDS = 60
 
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: x's smaller neighbours, and x, move to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low.withColumnRenamed("u", "x"), large["u"] == F.col("x")).select(F.explode(F.array(F.col("v"), F.col("u"))).alias("u"), F.col("m").alias("v"))
-        edges = park(moved.filter("u <> v").distinct())
+        last, edges = edges, park(moved.filter("u <> v").distinct())
+        discard(last)
         after = _signature(edges)
         if after == before:
             break
@@ -44,4 +45,6 @@ def components(edges: DataFrame) -> DataFrame:
             raise RuntimeError("components did not settle")
     own = edges.select("u", "v").groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("v"), "component")
     roots = edges.select("v").distinct().join(own.select("v"), "v", "left_anti").select("v", F.col("v").alias("component"))
-    return own.union(roots)
+    out = park(own.union(roots))
+    discard(edges)
+    return out
