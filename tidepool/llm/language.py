@@ -2,8 +2,9 @@
 
 Counts are made in one pass over the labelled rows (all of them), summed by Spark per
 (language, feature), and fitted on the driver: the log-probability matrix has FEATURES
-columns and one row per language, so its size is bounded by MAX_LANGUAGES x FEATURES.
-It is broadcast; batches are scored as sparse rows (feature ids with row offsets)
+columns and one row per language. It is broadcast, so its size must have a bound: at most
+``most`` languages (a parameter; an error beyond, never a dropped language). A task
+counts few languages at a time (HELD) and hands its sums on before it counts more; batches are scored as sparse rows (feature ids with row offsets)
 against the matrix's rows.
 
 Edge cases: null text and texts without a letter get ``und`` with score 0; without any
@@ -19,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import slices, text_buffer
-from .store import rows_with
 
 FEATURES = 1 << 15
 ORDERS = (2, 3)
 SMOOTHING = 0.5
 MAX_LANGUAGES = 512
+HELD = 32
 UNKNOWN = "und"
 
 _memo: dict[str, np.ndarray] = {}
@@ -69,42 +70,50 @@ def _grams(points: np.ndarray, offsets: np.ndarray):
 
 
 def _count(batches):
-    names: dict[str, int] = {}
-    counts = np.zeros((0, FEATURES), np.int64)
-    docs: list[int] = []
+    sums: dict[str, np.ndarray] = {}
+    docs: dict[str, int] = {}
+
+    def flush():
+        kept = {x: np.flatnonzero(c) for x, c in sums.items()}
+        lang = [x for x, at in kept.items() for _ in range(1 + len(at))]
+        feature = np.concatenate([np.append(-1, at) for at in kept.values()])
+        number = np.concatenate([np.append(docs[x], sums[x][at]) for x, at in kept.items()])
+        sums.clear()
+        docs.clear()
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(feature, pa.int32()), pa.array(number, pa.int64())], names=["lang", "feature", "n"])
+
     for batch in batches:
         data, off = text_buffer(batch.column("text"))
-        labels = batch.column("lang").to_pylist()
-        for x in labels:
-            if x not in names:
-                names[x] = len(names)
-                docs.append(0)
-        if len(names) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
-        counts = np.vstack([counts, np.zeros((len(names) - len(counts), FEATURES), np.int64)])
-        codes = np.array([names[x] for x in labels], np.int64)
-        for c, k in zip(*np.unique(codes, return_counts=True), strict=True):
-            docs[c] += int(k)
+        labels = np.array(batch.column("lang").to_pylist(), object)
         for lo, hi in slices(off):
             points, at = _points(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            names, codes = np.unique(labels[lo:hi].astype(str), return_inverse=True)
+            own = np.repeat(codes, np.diff(at))
+            rows = np.bincount(codes)
+            for k, x in enumerate(names.tolist()):
+                docs[x] = docs.get(x, 0) + int(rows[k])
+                sums.setdefault(x, np.zeros(FEATURES, np.int64))
             for ids, first, stop in _grams(points, at):
-                row = np.repeat(codes[lo:hi], np.diff(at))[: len(ids)]
                 inside = np.zeros(len(ids) + 1, np.int32)
                 np.add.at(inside, np.minimum(first, len(ids)), 1)
                 np.add.at(inside, np.minimum(stop, len(ids)), -1)
                 ok = np.cumsum(inside[:-1]) > 0
-                counts += np.bincount(row[ok] * FEATURES + ids[ok], minlength=counts.size).reshape(counts.shape)
-    lang = [x for x, c in names.items() for _ in range(1 + np.count_nonzero(counts[c]))]
-    feature = [np.concatenate(([-1], np.flatnonzero(counts[c]))) for c in names.values()]
-    number = [np.concatenate(([docs[c]], counts[c][counts[c] > 0])) for c in names.values()]
-    if names:
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(feature), pa.int32()), pa.array(np.concatenate(number), pa.int64())], names=["lang", "feature", "n"])
+                ids, of = ids[ok], own[: len(ids)][ok]
+                for k, x in enumerate(names.tolist()):
+                    sums[x] += np.bincount(ids[of == k], minlength=FEATURES)
+            if len(sums) > HELD:
+                yield flush()
+    if sums:
+        yield flush()
 
 
-def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+def fit(labelled: DataFrame, most: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages by name, log priors, log probabilities [language, feature]; labelled has text and lang."""
     rows = labelled.filter("lang IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counted = rows.mapInArrow(_count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
+    counted = rows.mapInArrow(_count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    if (kinds := rows.select("lang").distinct().limit(most + 1).count()) > most:
+        raise ValueError(f"{kinds} languages or more, for a model of at most {most}")
+    counted = counted.toArrow()
     lang = np.array(counted["lang"].to_pylist(), object)
     names = sorted(set(lang.tolist()))
     where = {x: i for i, x in enumerate(names)}
@@ -129,29 +138,34 @@ def _score(points: np.ndarray, at: np.ndarray, prior: np.ndarray, logs: np.ndarr
     return out
 
 
+def _predicted(batch: pa.RecordBatch, names: list[str], prior: np.ndarray, logs: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Predicted language and its posterior for every row of a batch."""
+    data, off = text_buffer(batch.column("text"))
+    pred, prob = [], [np.zeros(0)]
+    for lo, hi in slices(off):
+        points, at = _points(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        letters = np.concatenate(([0], np.cumsum(_letters(points))))
+        some = (letters[at[1:]] > letters[at[:-1]]) & bool(names)
+        if not names:
+            pred += [UNKNOWN] * (hi - lo)
+            prob.append(np.zeros(hi - lo))
+            continue
+        joint = _score(points, at, prior, logs)
+        best = joint.argmax(1)
+        p = 1 / np.exp(joint - joint.max(1, keepdims=True)).sum(1)
+        pred += [names[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)]
+        prob.append(np.where(some, p, 0.0))
+    return pred, np.concatenate(prob)
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score (posterior of the predicted language)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        names, prior, logs = shared.value
         for batch in batches:
-            data, off = text_buffer(batch.column("text"))
-            pred, prob = [], []
-            for lo, hi in slices(off):
-                points, at = _points(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                letters = np.concatenate(([0], np.cumsum(_letters(points))))
-                some = (letters[at[1:]] > letters[at[:-1]]) & bool(names)
-                if not names:
-                    pred += [UNKNOWN] * (hi - lo)
-                    prob.append(np.zeros(hi - lo))
-                    continue
-                joint = _score(points, at, prior, logs)
-                best = joint.argmax(1)
-                p = 1 / np.exp(joint - joint.max(1, keepdims=True)).sum(1)
-                pred += [names[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)]
-                prob.append(np.where(some, p, 0.0))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(np.concatenate(prob) if prob else [], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            pred, prob = _predicted(batch, *shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(prob, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(score, "doc_id long, lang_pred string, score double")
@@ -170,7 +184,14 @@ def fit_by_remainder(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray
 def accepted(docs: DataFrame, model, least: float = 0.5) -> DataFrame:
     """Documents whose language is known with a posterior of ``least`` or more; all columns stay.
 
-    Rows that share a doc_id stay or go together: they stay if one of them is accepted.
+    Every row is judged by its own text, in one pass without a shuffle.
     """
-    good = identify(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return rows_with(docs, good.select("doc_id"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for batch in batches:
+            pred, prob = _predicted(batch, *shared.value)
+            good = (prob >= least) & (np.array(pred, object) != UNKNOWN)
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)
