@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import park
+from .store import park, small_hashes
 
 THRESHOLD = 0.93
 TREES = 8
@@ -64,6 +64,13 @@ class Forest:
                 todo += [(2 * at, rows[low]), (2 * at + 1, rows[~low])]
             self.trees.append(nodes)
 
+    @classmethod
+    def of(cls, dim: int, trees: list[dict]) -> Forest:
+        """A forest from plain data, which is what travels to executors."""
+        new = cls.__new__(cls)
+        new.dim, new.trees = dim, trees
+        return new
+
     def leaves(self, unit: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs of unit vectors in tree t; spilled rows have several."""
         done_rows, done_leaves, todo = [], [], [(1, np.arange(len(unit)))]
@@ -110,7 +117,7 @@ def _route(shared):
     """(label, dim, tree, leaf, id, copies, x, own): own lists (tree, leaf) of the vector, sorted."""
 
     def run(batches):
-        forest = shared.value
+        forest = Forest.of(*shared.value)
         for batch in batches:
             rows = _vectors(batch)
             dims = np.array([len(r) for r in rows])
@@ -184,15 +191,15 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     distinct = park(usable.groupBy("label", "x").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id()))
     total = distinct.count()
     labels = max(1, distinct.select("label").distinct().count())
-    # The sample: the vectors with the least hashes, at most SAMPLE.
-    sample = [np.frombuffer(r[0], np.float64) for r in distinct.select("x").orderBy(F.xxhash64("x")).limit(SAMPLE).collect()]
+    # The sample: vectors of small hashes, at most SAMPLE.
+    sample = [np.frombuffer(x, np.float64) for (x,) in small_hashes(distinct, "x", SAMPLE)]
     if sample:
         dims = np.bincount([len(s) for s in sample])
         sample = _unit([s for s in sample if len(s) == dims.argmax()])
     # A leaf holds about LEAF vectors of a label.
     share = len(sample) / max(1, total)
     forest = Forest(np.array(sample), LEAF * labels * share)
-    shared = spark.sparkContext.broadcast(forest)
+    shared = spark.sparkContext.broadcast((forest.dim, forest.trees))
     routed = park(distinct.select("label", "x", "id", "copies").mapInArrow(_route(shared), f"label {kind}, dim int, cell long, id long, copies long, x binary, own array<long>"))
     # Blocks of a leaf: as many as its size asks for; every pair of blocks is one group.
     sizes = routed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

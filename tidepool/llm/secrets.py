@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import WHITE, slices, span_hashes, text_buffer
+from .store import small_hashes
 
 # The base patterns.
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -341,10 +342,10 @@ def merge(base: list[tuple[int, int, int]], field: list[tuple[int, int]]) -> lis
 
 
 def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A field trained on at most SAMPLE documents of ``docs`` and the made-up lines."""
+    """A field trained on at most SAMPLE distinct texts of ``docs`` (those of small hashes) and the made-up lines."""
     text = F.col("text").cast("string")
-    rows = docs.select(text.alias("text")).filter("text IS NOT NULL").orderBy(F.xxhash64("text")).limit(SAMPLE)
-    return train([r[0] for r in rows.toLocalIterator()])
+    rows = docs.select(text.alias("text")).filter("text IS NOT NULL")
+    return train([x for (x,) in small_hashes(rows, "text", SAMPLE)])
 
 
 def scan(docs: DataFrame, model) -> DataFrame:

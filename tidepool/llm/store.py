@@ -65,6 +65,21 @@ def rows_with(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids, df["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
+def small_hashes(df: DataFrame, column: str, most: int) -> list[tuple]:
+    """A sample for the driver: the distinct values with the smallest hashes, at most ``most``.
+
+    A threshold on the hash, from the number of distinct values, picks the rows in place, so
+    no task meets more than the sample.
+    """
+    hashed = df.select(F.xxhash64(column).alias("h"), column)
+    distinct = max(1, hashed.agg(F.approx_count_distinct("h", 0.02)).first()[0])
+    share = min(1.0, 0.9 * most / distinct)
+    if share < 1 and distinct > most:
+        hashed = hashed.filter(F.col("h") < int(-(1 << 63) + share * (1 << 64)))
+    picked = hashed.groupBy("h").agg(F.first(column).alias(column)).orderBy("h").limit(most)
+    return [(r[1],) for r in picked.collect()]
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
