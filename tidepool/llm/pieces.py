@@ -1,10 +1,11 @@
 """SentencePiece encoding by forward filtering and backward sampling; lossless decoding.
 
-A text is cut into units: a space begins a unit, a control white-space byte is one, and
-a unit longer than UNIT_BYTES is cut there. Over each unit lies a lattice of the
-vocabulary's pieces (the word mark stands for a space) and of its 256 byte pieces. The
-forward pass sums the weight of all segmentations up to each byte; a segmentation is
-then drawn backwards, piece by piece, with the exact posterior probabilities. Draws
+A text is cut into units where no piece can stand: between two bytes that no piece of the
+vocabulary holds side by side (such as before the spaces of a word). So the lattice of a
+text is that of its units, and units may be of any length. Over each unit lies a lattice of
+the vocabulary's pieces (the word mark stands for a space) and of its 256 byte pieces. The
+forward pass sums the weight of all segmentations up to each byte, rescaled as it goes; a
+segmentation is then drawn backwards, piece by piece, with the exact posterior probabilities. Draws
 come from a counter hash of (seed, doc_id, unit, step), so a row gives the same
 segmentation in any run and partitioning. Decoding joins the pieces' bytes and gives the
 text back byte for byte.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .kernels import mix64, slices, span_hashes, text_buffer
 
 MODEL = os.environ.get("TIDEPOOL_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-UNIT_BYTES = 32
+RESCALE = 24  # bytes between two rescalings of a unit's sums
 SEED = 20
 BYTE_WEIGHT = math.exp(-14)
 _SLOT_BITS = 20
@@ -59,8 +60,13 @@ class Vocabulary:
             raw = b"" if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else model.id_to_piece(i).replace("▁", " ").encode()
             self.bytes_of.append(raw)
             weight.append((1.0 / (max(-model.get_score(i), 0.0) + 3.0)) ** alpha)
-            if 0 < len(raw) <= UNIT_BYTES:
+            if raw:
                 usable.append(i)
+        #: Pairs of bytes that stand side by side in some piece.
+        self.joint = np.zeros((256, 256), bool)
+        for i in usable:
+            b = np.frombuffer(self.bytes_of[i], np.uint8)
+            self.joint[b[:-1], b[1:]] = True
         self.weight = np.array(weight)
         self.length = np.array([len(b) for b in self.bytes_of], np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.length)))
@@ -80,6 +86,13 @@ class Vocabulary:
             self.table_hash[(slot + step) % (1 << _SLOT_BITS)] = h
             self.tries = max(self.tries, step + 1)
 
+    @classmethod
+    def of(cls, state: dict) -> Vocabulary:
+        """A vocabulary from another's attributes (plain data, which is what travels to executors)."""
+        new = cls.__new__(cls)
+        new.__dict__.update(state)
+        return new
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece of each hash, or -1."""
         slot = (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
@@ -95,21 +108,13 @@ class Vocabulary:
         return out
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def units(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the units of a slice and the first unit of each row; they tile the slice."""
     n = len(data)
-    control = (data >= 9) & (data <= 13)
-    begin = (data == 32) | control
-    begin[1:] |= control[:-1]
-    if n:
-        begin[0] = True
+    begin = np.ones(n, bool)
+    begin[1:] = ~vocab.joint[data[:-1], data[1:]]
     begin[offsets[:-1][offsets[:-1] < n]] = True
     starts = np.flatnonzero(begin)
-    lengths = np.diff(np.append(starts, n))
-    if len(lengths) and lengths.max() > UNIT_BYTES:
-        parts = -(-lengths // UNIT_BYTES)
-        inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts = np.repeat(starts, parts) + inner * UNIT_BYTES
     return starts, np.searchsorted(starts, offsets)
 
 
@@ -140,18 +145,25 @@ def lattice(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, lengths: np
     tails, ends, piece = np.concatenate(tails), np.concatenate(ends), np.concatenate(piece)
     alpha = np.zeros(int(base[-1] + lengths[-1] + 1) if len(base) else 0)
     alpha[base] = 1.0
-    place = np.zeros(len(alpha), np.uint8)
+    longest = int(lengths.max()) if len(lengths) else 0
+    place = np.zeros(len(alpha), np.uint8 if longest < 1 << 8 else np.uint16 if longest < 1 << 16 else np.int64)
     place[node + 1] = inside + 1
     depth = place[ends]
-    order = np.argsort(depth, kind="stable")  # a radix sort for bytes
+    order = np.argsort(depth, kind="stable")  # a radix sort for short types
     tails, ends, piece = tails[order], ends[order], piece[order]
-    weight = vocab.weight[piece]
-    cuts = np.concatenate(([0], np.cumsum(np.bincount(depth, minlength=UNIT_BYTES + 1))))
-    for p in range(1, UNIT_BYTES + 1):
+    weight, share = vocab.weight[piece], np.zeros(len(piece))
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(depth, minlength=longest + 1))))
+    long = np.flatnonzero(lengths > RESCALE)
+    reach = np.arange(vocab.lengths[-1] + 1)
+    for p in range(1, longest + 1):
         e = slice(cuts[p], cuts[p + 1])
-        if cuts[p] < cuts[p + 1]:
-            np.add.at(alpha, ends[e], alpha[tails[e]] * weight[e])
-    share = alpha[tails] * weight / alpha[ends]
+        part = alpha[tails[e]] * weight[e]
+        np.add.at(alpha, ends[e], part)
+        share[e] = part / alpha[ends[e]]
+        if p % RESCALE == 0:
+            long = long[lengths[long] > p]
+            nodes = base[long][:, None] + p - reach[reach <= p]
+            alpha[nodes] /= alpha[base[long] + p][:, None]
     order = np.argsort(ends - share)  # by end node, then by falling share
     ends, tails, piece, share = ends[order], tails[order], piece[order], share[order]
     first = np.concatenate(([0], np.cumsum(np.bincount(ends, minlength=len(alpha)))))
@@ -165,7 +177,7 @@ def sample(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.nd
     rows = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.int32), np.zeros(rows, np.int64)
-    starts, first_unit = units(data, offsets)
+    starts, first_unit = units(vocab, data, offsets)
     ends = np.append(starts[1:], len(data))
     _, one, kind = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
     end_node, base, piece, tail, upto, first = lattice(vocab, data, starts[one], (ends - starts)[one])
@@ -205,10 +217,10 @@ def decode(vocab: Vocabulary, ids: np.ndarray) -> np.ndarray:
 
 def encode(docs: DataFrame, path: str = MODEL, seed: int = SEED) -> DataFrame:
     """doc_id, ids (sampled pieces), n_pieces, lossless (whether decoding gave the text back)."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path).__dict__)
 
     def run(batches):
-        vocab = shared.value
+        vocab = Vocabulary.of(shared.value)
         for batch in batches:
             data, off = text_buffer(batch.column("text"))
             doc = batch.column("doc_id")
@@ -232,10 +244,10 @@ def encode(docs: DataFrame, path: str = MODEL, seed: int = SEED) -> DataFrame:
 
 def decoded(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id and the text that ``ids`` stand for."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path).__dict__)
 
     def run(batches):
-        vocab = shared.value
+        vocab = Vocabulary.of(shared.value)
         for batch in batches:
             texts = [decode(vocab, np.array(ids or [], np.int64)).tobytes().decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
