@@ -1,12 +1,12 @@
 """Licence scan by sentence rules.
 
-Sentences are normalised (lower case; runs of other characters than letters and digits
-become one space) and mapped to identifiers of known licence sentences. A sentence may be
-wrapped: lines that follow one another are joined if they give a known one. The identifiers
-of a document, in order, are matched against licence rules: ordered lists of
-identifiers, in which up to GAP unknown sentences may stand between two of a rule's.
-Longer rules go first and matches don't overlap, so a licence's short notice inside its
-whole text isn't reported twice.
+Sentences are normalised to their words (lower case; line breaks, comment marks and
+punctuation between words don't count) and mapped to identifiers of known licence
+sentences, which may be clauses that end at a colon. The identifiers of a document, in
+order, are matched against licence rules: ordered lists of identifiers, in which up to GAP
+other sentences may stand between two of a rule's. Longer rules go first and matches don't
+overlap, so a licence's short notice inside its whole text isn't reported twice. What a
+text must hold to be searched at all is derived from the rules that are given.
 
 Edge cases: null and empty texts have no sentence; repeated notices are reported each;
 the scan reads whole texts; extra columns are ignored.
@@ -15,15 +15,35 @@ the scan reads whole texts; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GAP = 2
+LONG = 8  # words from which a known sentence is known inside another too (as where a text has lost its lines)
+
+# Sentences of public licences and notices.
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+_MIT_LIABILITY = "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_CLAUSES = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+]
+_BSD_NAME = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_DISCLAIMER = [
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+]
+_ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_GPL = "This {what} is free software{sep} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+_WARRANTY = "This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
 
-# Sentences of public licences and notices, by licence rule. A rule is the
-# ordered list of sentences that must occur.
+# Licence rules. A rule is the ordered list of sentences that must occur.
 RULES: list[tuple[str, list[str]]] = [
     ("Apache-2.0", ["Licensed under the Apache License, Version 2.0."]),
     ("Apache-2.0", ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "See the License for the specific language governing permissions and limitations under the License."]),
@@ -46,89 +66,95 @@ RULES: list[tuple[str, list[str]]] = [
     ("ISC", ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."]),
     ("Unlicense", ["This is free and unencumbered software released into the public domain."]),
     ("Proprietary", ["All rights reserved."]),
+    ("MIT", [_MIT_GRANT, _MIT_NOTICE, _MIT_WARRANTY, _MIT_LIABILITY]),
+    ("BSD-2-Clause", [*_BSD_CLAUSES, *_BSD_DISCLAIMER]),
+    ("BSD-3-Clause", [*_BSD_CLAUSES, _BSD_NAME, *_BSD_DISCLAIMER]),
+    ("ISC", [_ISC_GRANT, "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.", "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."]),
+    ("Zlib", ["This software is provided 'as-is', without any express or implied warranty.", "In no event will the authors be held liable for any damages arising from the use of this software.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"]),
+    ("BSL-1.0", ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"]),
+    ("BSL-1.0", ["Distributed under the Boost Software License, Version 1.0."]),
+    ("GPL-2.0-or-later", [_GPL.format(what="program", sep=";", name="GNU General Public License", version="2"), _WARRANTY.format(what="program", name="GNU General Public License")]),
+    ("GPL-3.0-or-later", [_GPL.format(what="program", sep=":", name="GNU General Public License", version="3"), _WARRANTY.format(what="program", name="GNU General Public License")]),
+    ("AGPL-3.0-or-later", [_GPL.format(what="program", sep=":", name="GNU Affero General Public License", version="3")]),
+    ("LGPL-2.1-or-later", [_GPL.format(what="library", sep=";", name="GNU Lesser General Public License", version="2.1"), _WARRANTY.format(what="library", name="GNU Lesser General Public License")]),
+    ("LGPL-3.0-or-later", [_GPL.format(what="library", sep=":", name="GNU Lesser General Public License", version="3")]),
+    ("MPL-2.0", ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."]),
+    ("Unlicense", ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."]),
+    ("CC0-1.0", ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."]),
 ]
 
-# A piece of a sentence ends at a line break; a sentence ends at . ! or ? before white space or the end (not after "v.").
-_END = re.compile(r"(?<!\bv)[.!?](?=[\x20\x09-\x0D]|$)|[\n\r\x0b\x0c]")
-_OTHER = re.compile(r"[^a-z0-9]+")
-_BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c]")
-# Every sentence of RULES holds one of these; the scan derives its own marks from the given rules.
-TRIGGERS = ("licen", "permission", "redistribut", "all rights reserved", "unencumbered")
-
+# A sentence may begin or end at . ! ? : ; or a line break, and at the ends of the text. Whole sentences, which are
+# counted between those of a rule, end at . ! or ? before white space (not after "v.") or at an empty line.
+_WORD = re.compile(r"[A-Za-z0-9]+")
+_EDGE = re.compile(r"[.!?:;\n\r\x0b\x0c]")
+_WHOLE = re.compile(r"(?<!\bv)[.!?](?=[\x20\x09-\x0D]|$)|\n[\x20\x09]*\r?\n")
 
-def normalise(sentence: str) -> str:
-    return _OTHER.sub(" ", sentence.lower()).strip()
 
-
-def sentences(text: str):
-    """(start, end, normalised) of the sentences, or lines of them, with a letter or digit, in code points."""
-    at = 0
-    for m in [*_END.finditer(text), None]:
-        end = m.end() if m else len(text)
-        if norm := normalise(text[at:end]):
-            yield at, end, norm
-        at = end
+def normalise(sentence: str) -> tuple[str, ...]:
+    """The words of a sentence: runs of ASCII letters and digits, in lower case."""
+    return tuple(w.lower() for w in _WORD.findall(sentence))
 
 
 class Rulebook:
     """Known sentences with identifiers, and rules as identifier lists, longest first."""
 
     def __init__(self, rules: list[tuple[str, list[str]]]):
-        self.known: dict[str, int] = {}
+        self.known: dict[tuple[str, ...], int] = {}
         self.rules: dict[int, list[tuple[str, list[int]]]] = {}
         for name, parts in rules:
-            ids = [self.known.setdefault(n, len(self.known)) for p in parts for _, _, n in sentences(p)]
-            self.rules.setdefault(ids[0], []).append((name, ids))
+            ids = [self.known.setdefault(n, len(self.known)) for p in parts if (n := normalise(p))]
+            if ids:
+                self.rules.setdefault(ids[0], []).append((name, ids))
         for own in self.rules.values():
             own.sort(key=lambda r: (-len(r[1]), r[0]))
-        # What a known sentence may begin with, and a word of each: texts without these words hold none.
-        self.begins = {k[:i] for k in self.known for i in range(1, len(k) + 1) if i == len(k) or k[i] == " "}
-        self.marks = {max(k.split(), key=len) for k in self.known}
-
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(sentence number, identifier, start, end) of the known sentences, also those wrapped over lines; the longest first at each place."""
-        parts = list(sentences(text))
-        out, number, k, inside = [], 0, 0, False
-        while k < len(parts):
-            start, end, norm = parts[k]
-            best, to, joined, whole = None, k, k, norm
-            while whole in self.begins:
-                if whole in self.known:
-                    best, to = self.known[whole], joined
-                joined += 1
-                if joined == len(parts) or not _BREAK.match(text[parts[joined - 1][1] - 1 :][:1]):
+        #: Known sentences by their first word, longest first.
+        self.first: dict[str, list[tuple[str, ...]]] = {}
+        for k in sorted(self.known, key=len, reverse=True):
+            self.first.setdefault(k[0], []).append(k)
+        # A word of each known sentence: texts without these words hold none.
+        self.marks = {max(k, key=len) for k in self.known}
+
+    def find(self, text: str) -> list[tuple[int, int, int, int, int]]:
+        """(identifier, start, end, number of whole sentences before the start, before the end) of the known sentences, the longest at each place."""
+        spans = [m.span() for m in _WORD.finditer(text)]
+        words = [text[a:b].lower() for a, b in spans]
+        ends = [m.end() for m in _WHOLE.finditer(text)]
+        out, at = [], 0
+        while at < len(words):
+            best = None
+            edge = lambda i: i in (0, len(words)) or _EDGE.search(text, spans[i - 1][1], spans[i][0])
+            for known in self.first.get(words[at], ()):
+                stop = at + len(known)
+                if tuple(words[at:stop]) == known and (len(known) >= LONG or edge(at) and edge(stop)):
+                    best = known
                     break
-                whole = f"{whole} {parts[joined][2]}"
-            if best is not None:
-                number += inside
-                out.append((number, best, start, parts[to][1]))
-                number, inside, k = number + 1, False, to + 1
+            if best is None:
+                at += 1
                 continue
-            # Lines of an unknown sentence count as one, up to its end or a blank line.
-            k += 1
-            rest = text[end - 1 : parts[k][0] + 1] if k < len(parts) else ""
-            ended = not _BREAK.match(rest[:1]) or len(_BREAK.findall(rest)) > 1
-            number, inside = (number + 1, False) if ended else (number, True)
+            stop = at + len(best)
+            end = _EDGE.match(text, spans[stop - 1][1])
+            end = end.end() if end and end[0] in ".!?:;" else spans[stop - 1][1]
+            out.append((self.known[best], spans[at][0], end, bisect_left(ends, spans[at][0] + 1), bisect_left(ends, spans[stop - 1][1])))
+            at = stop
         return out
 
-    def match(self, found: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int]]:
-        """found: (sentence number, identifier, start, end). Returns (licence, start, end)."""
-        by_number = {n: (i, a, b) for n, i, a, b in found}
-        out, free = [], -1
-        for number, ident, start, _ in found:
-            if number <= free:
-                continue
-            for name, ids in self.rules.get(ident, []):
-                at, end = number, by_number[number][2]
+    def match(self, found: list[tuple[int, int, int, int, int]]) -> list[tuple[str, int, int]]:
+        """(licence, start, end) of the rules whose sentences follow one another, with at most GAP other whole sentences between two."""
+        out, k = [], 0
+        while k < len(found):
+            done = None
+            for name, ids in self.rules.get(found[k][0], []):
+                at = k
                 for want in ids[1:]:
-                    at = next((k for k in range(at + 1, at + 2 + GAP) if by_number.get(k, (None,))[0] == want), None)
+                    near = (j for j in range(at + 1, len(found)) if found[j][0] == want)
+                    at = next((j for j in near if found[j][3] - found[at][4] <= GAP + 1), None)
                     if at is None:
                         break
-                    end = by_number[at][2]
                 if at is not None:
-                    out.append((name, start, end))
-                    free = at
+                    done = at
+                    out.append((name, found[k][1], found[at][2]))
                     break
+            k = k + 1 if done is None else done + 1
         return out
 
 
