@@ -1,35 +1,34 @@
-"""Candidate search for repeated windows: documents meet at shared anchors.
+"""Repeated windows: documents meet at shared anchors, and an index answers for each shard.
 
 A window of ``win`` units (bytes or words) has one anchor, the least hash of the k-grams
 in it, which depends on the window's content alone; equal windows have equal anchors.
 Consecutive windows with one anchor form a run, and a run's units are its string.
 A repeated window has the units before or after its anchor in common with its other
-occurrences; runs of which neither context occurs twice in the corpus go no further.
-Equal strings collapse before they are indexed, so copies move as counts, and the
-distinct strings of an anchor meet in one shard, whose index is of bounded size. Anchors
-that occur HOT times or more don't: their runs are cut to single windows, which collapse
-in turn and spread by content.
+occurrences. Contexts are counted over the whole corpus and come back to the documents'
+blocks by a join (see ``blocks``); runs of which neither context occurs twice go no
+further. Equal strings collapse to one with its first occurrence, so copies move as
+counts. All strings of an anchor meet in one shard; the number of shards follows the
+number of strings, and an anchor with more than HOT distinct strings is dealt by its
+windows. An index of each shard finds the first occurrence of every window of every
+string; nothing is removed but by its answers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .fingerprints import repeated
-from .kernels import _tables, gram_hashes, mix64, slices, span_hashes, text_buffer, window_min, word_spans
-from .store import park, release
+from .blocks import NO_ID, levels, pack, spread, unpack, with_levels
+from .kernels import _tables, mix64, slices, span_hashes, window_min, word_spans
+from .store import discard, park, release
 
-HOT = 4096
-SLOT_BITS = 22
-ALL = -(1 << 62)  # a span that stands for the whole text
+HOT = 8192
 SLICE = 1 << 18  # bytes of text worked on at once
-NO_ID = -(1 << 63)  # stands for a null doc_id: smaller than any other
 
 
 @dataclass(frozen=True)
@@ -41,269 +40,142 @@ class Unit:
     k: int
 
 
-def cut(unit: Unit, data: np.ndarray, offsets: np.ndarray):
-    """(anchors of every window place, whether the window lies in one row, its row, unit offsets of rows, word starts, word ends, k-grams)."""
-    if unit.words:
-        starts, ends, first = word_spans(data, offsets)
-        grams = gram_hashes(span_hashes(data, starts, ends), unit.k) if len(starts) else np.zeros(0, np.uint64)
-        total = len(starts)
-    else:
-        starts = ends = None
-        first, total = offsets, len(data)
-        at = np.arange(max(total - unit.k + 1, 0))
-        grams = span_hashes(data, at, at + unit.k)
-    anchor = window_min(grams, unit.win - unit.k + 1)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(anchor)]
-    inside = np.arange(len(anchor)) + unit.win <= first[1:][row] if len(anchor) else np.zeros(0, bool)
-    return anchor, inside, row, first, starts, ends, grams
-
-
-def runs(anchor: np.ndarray, inside: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First window and number of windows of every run."""
-    if not len(anchor):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = inside.copy()
-    new[1:] &= ~inside[:-1] | (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
-    start = np.flatnonzero(new)
-    stop = np.ones(len(anchor) + 1, bool)
-    stop[:-1] = new | ~inside
-    ends = np.flatnonzero(stop)
-    return start, ends[np.searchsorted(ends, start, side="right")] - start
-
-
-def _hashes(unit: Unit, part: np.ndarray, starts, ends):
-    """Hash of any span of units: f(first, length)."""
-    if unit.words:
-        words = span_hashes(part, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-        return lambda at, n: gram_sums(words, at, n)
-    return lambda at, n: span_hashes(part, at, at + n)
-
-
-def contexts(unit: Unit, cutting, part: np.ndarray, start: np.ndarray, count: np.ndarray):
-    """Where the anchor of each run stands, and the hashes of its left and right contexts.
-
-    Every window of a run holds the anchor with ``half`` units before it or with the rest
-    of a window after it, so a repeated window has a repeated left or right context. Returns
-    (run of each anchor place, prints of left and right contexts where they fit, whether
-    each run has its anchor more than once).
-    """
-    anchor, _, row, first, starts, ends, grams = cutting
-    span = count + unit.win - unit.k
-    own = np.repeat(np.arange(len(start)), span)
-    place = np.arange(len(own)) + np.repeat(start - (np.cumsum(span) - span), span)
-    hit = grams[place] == anchor[start][own]
-    own, place = own[hit], place[hit]
-    tie = np.bincount(own, minlength=len(start)) > 1
-    half = (unit.win - unit.k + 1) // 2
-    right = unit.win - half + 1
-    low, high = first[row[start]][own], first[row[start] + 1][own]
-    f = _hashes(unit, part, starts, ends)
-    out = []
-    for at, n, salt in ((place - half, half + unit.k, 0x51), (place, right, 0x52)):
-        fits = (at >= low) & (at + n <= high)
-        at = np.where(fits, at, 0)
-        out.append((own[fits], mix64(f(at[fits], np.full(int(fits.sum()), n)) + np.uint64(salt))))
-    return out, tie
-
-
-def _prints(unit: Unit):
-    """Anchors of runs (for their counts) and the contexts of every anchor place."""
-
-    def run(batch):
-        data, off = text_buffer(batch.column("text"))
-        for lo, hi in slices(off, SLICE):
-            part = data[off[lo] : off[hi]]
-            cutting = cut(unit, part, off[lo : hi + 1] - off[lo])
-            start, count = runs(*cutting[:3])
-            if len(start):
-                yield cutting[0][start]
-                found, tie = contexts(unit, cutting, part, start, count)
-                yield cutting[0][start[tie]]  # an anchor twice in one run (periodic text) is repeated too
-                for _, x in found:
-                    yield x
-
-    return run
+class Cut:
+    """The units of a slice, its runs of windows with one anchor, and hashes of any span of units."""
+
+    def __init__(self, unit: Unit, data: np.ndarray, offsets: np.ndarray):
+        self.unit, self.data = unit, data
+        if unit.words:
+            self.starts, self.ends, self.first = word_spans(data, offsets)
+            units = span_hashes(data, self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
+        else:
+            self.first, units = offsets, data.astype(np.uint64) + np.uint64(1)
+        n, width = len(units), unit.win - unit.k + 1
+        self.down = _tables(n)[1]
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(units * _tables(n)[0][:n], out=self.sums[1:])
+        m = max(n - unit.k + 1, 0)
+        self.grams = mix64((self.sums[unit.k :] - self.sums[:m]) * self.down[:m]) if m else np.zeros(0, np.uint64)
+        anchor = window_min(self.grams, width)
+        row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))[: len(anchor)]
+        inside = np.arange(len(anchor)) + unit.win <= self.first[1:][row] if len(anchor) else np.zeros(0, bool)
+        new = inside.copy()
+        new[1:] &= ~inside[:-1] | (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+        stop = np.ones(len(anchor) + 1, bool)
+        stop[:-1] = new | ~inside
+        #: First window, number of windows, anchor and row of every run.
+        self.start, ends = np.flatnonzero(new), np.flatnonzero(stop)
+        self.count = ends[np.searchsorted(ends, self.start, side="right")] - self.start
+        self.m, self.row = anchor[self.start], row[self.start]
+        # Where anchors stand: a k-gram that equals the greatest of the anchors of the windows that hold it.
+        held = np.zeros(len(anchor) + 2 * (width - 1), np.uint64)
+        held[width - 1 : width - 1 + len(anchor)] = np.where(inside, anchor, 0)
+        self.chosen = np.flatnonzero(~window_min(~held, width) == self.grams) if len(anchor) else np.zeros(0, np.int64)
+
+    def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
+        return mix64((self.sums[at + n] - self.sums[at]) * self.down[at] + np.uint64(n))
+
+    def contexts(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(run, hash) of the left and of the right contexts of every anchor place, where they fit in the text.
+
+        Every window of a run holds the anchor with ``half`` units before it or with the rest
+        of a window after it, so a repeated window has a repeated left or right context.
+        """
+        unit, width = self.unit, self.unit.win - self.unit.k + 1
+        lo = np.searchsorted(self.chosen, self.start)
+        size = np.searchsorted(self.chosen, self.start + self.count + width - 1) - lo
+        own = np.repeat(np.arange(len(self.start)), size)
+        place = self.chosen[np.arange(len(own)) + np.repeat(lo - (np.cumsum(size) - size), size)]
+        hit = self.grams[place] == self.m[own]
+        own, place = own[hit], place[hit]
+        low, high = self.first[self.row[own]], self.first[self.row[own] + 1]
+        half = width // 2
+        right, out = unit.win - half + 1, []
+        for at, n, salt in ((place - half, half + unit.k, 0x51), (place, right, 0x52)):
+            fits = (at >= low) & (at + n <= high)
+            out.append((own[fits], mix64(self.hashes(at[fits], n) + np.uint64(salt))))
+        return out
+
+    def strings(self, some: np.ndarray) -> pa.Array:
+        """The strings of some runs: bytes, or words joined by single spaces."""
+        start, size = self.start[some], self.count[some] + self.unit.win - 1
+        if self.unit.words:
+            length = self.ends - self.starts + 1
+            text, off = _gather(np.append(self.data, np.uint8(32)), self.starts, length)
+            text[off[1:] - 1] = 32
+            a, b = off[start], off[start + size] - 1
+        else:
+            text, a, b = self.data, start, start + size
+        text, off = _gather(text, a, b - a)
+        return pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())]).cast(pa.binary())
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The spans of data one after another, and their offsets."""
-    off = np.concatenate(([0], np.cumsum(lengths)))
+    off = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))
     return data[np.arange(off[-1]) + np.repeat(starts - off[:-1], lengths)], off
 
 
-def _emit(unit: Unit, shared, several=None):
-    """Candidate runs: anchor, body hash, doc, text_key, place, windows and tie; or, for anchors in the bitmap ``several``, with the body in place of text_key and windows."""
-
-    def run(batches):
-        known = shared.value
-        for batch in batches:
-            data, off = text_buffer(batch.column("text"))
-            docs = batch.column("doc").to_numpy()
-            keys = batch.column("text_key").to_numpy()
-            for lo, hi in slices(off, SLICE):
-                part = data[off[lo] : off[hi]]
-                cutting = cut(unit, part, off[lo : hi + 1] - off[lo])
-                anchor, inside, row, first, starts, ends, _ = cutting
-                start, count = runs(anchor, inside, row)
-                if not len(start):
-                    continue
-                some = known.test(anchor[start])
-                start, count = start[some], count[some]
-                if not len(start):
-                    continue
-                found, tie = contexts(unit, cutting, part, start, count)
-                some = tie.copy()
-                for own, x in found:
-                    some[own[known.test(x)]] = True
-                start, count, tie = start[some], count[some], tie[some]
-                hot = known.rank(anchor[start]) >= HOT
-                if hot.any():
-                    own = np.repeat(np.flatnonzero(hot), count[hot])
-                    single = start[own] + np.arange(len(own)) - np.searchsorted(own, own)
-                    start = np.concatenate((start[~hot], single))
-                    tie = np.concatenate((tie[~hot], np.zeros(len(single), bool)))
-                    count = np.concatenate((count[~hot], np.ones(len(single), count.dtype)))
-                if not len(start):
-                    continue
-                r = row[start]
-                place = (start - first[r]).astype(np.int64)
-                if unit.words:  # a body is its words, joined by single spaces: words, then a hash of them
-                    a, b = starts[start], ends[start + count + unit.win - 2]
-                    hashes = gram_sums(span_hashes(part, starts, ends), start, count + unit.win - 1)
-                else:
-                    a, b = start, start + count + unit.win - 1
-                    hashes = span_hashes(part, a, b)
-                m = anchor[start].astype(np.int64)
-                h = hashes.astype(np.int64)
-                if hot.any():  # a window of a hot anchor is an anchor of its own
-                    m[len(m) - len(single) :] = h[len(m) - len(single) :]
-                if several is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h), pa.array(docs[lo:hi][r]), pa.array(keys[lo:hi][r]), pa.array(place), pa.array(count.astype(np.int32)), pa.array(tie)], names=["m", "h", "doc", "text_key", "place", "windows", "tie"])
-                    continue
-                some = _has(several.value, _slot(m))
-                if not some.any():
-                    continue
-                m, h, start, count, a, b, place, tie, r = (x[some] for x in (m, h, start, count, a, b, place, tie, r))
-                if unit.words:
-                    word = (span_hashes(part, starts, ends) >> np.uint64(32)).astype(np.uint32)
-                    units_, o = _gather(word, start, count + unit.win - 1)
-                    units_, o = units_.view(np.uint8), o * 4
-                else:
-                    units_, o = _gather(part, a, b - a)
-                body = pa.Array.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer(o.astype(np.int32).tobytes()), pa.py_buffer(units_.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h), body, pa.array(docs[lo:hi][r]), pa.array(place), pa.array(tie)], names=["m", "h", "body", "doc", "place", "tie"])
+def _prints(unit: Unit):
+    def run(data, off):
+        for lo, hi in slices(off, SLICE):
+            for _, x in Cut(unit, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]).contexts():
+                yield x
 
     return run
 
 
-def gram_sums(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Hash of each run of words: a rolling sum, as for bytes."""
-    up, down = _tables(len(words))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)))
-    return mix64((sums[start + length] - sums[start]) * down[start] + length.astype(np.uint64))
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc (doc_id, null as NO_ID), text_key (a row's content) and text."""
-
-    text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-
-
-def _slot(m: np.ndarray) -> np.ndarray:
-    return (m.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def _has(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
-
-
-def slot_bitmap(slots: DataFrame) -> np.ndarray:
-    """A packed bitmap of 2**SLOT_BITS bits with the values of the one column set; its size doesn't grow."""
-    bits = np.zeros(1 << SLOT_BITS, bool)
-    bits[slots.distinct().toArrow()[0].to_numpy()] = True
-    return np.packbits(bits)
+def _emit(unit: Unit):
+    """Runs with a repeated context: anchor, string, block and row, document, place and number of windows."""
 
-
-def without_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows to search, copies): a text equal to one of a smaller document needs no search, since all its windows start there.
-
-    Copies are told by 128 bits of the text's hash: (doc, text_key) with the one span ALL. The
-    rows come with their place in a bitmap of fixed size over the rows that aren't copies; a
-    false hit only searches a copy as well.
-    """
-    own = rows.select("doc", "text_key", F.md5("text").alias("content"))
-    groups = own.groupBy("content").agg(F.min("doc").alias("first"))
-    known = park(own.filter("content IS NOT NULL").join(groups, "content").select("doc", "text_key", (F.col("doc") > F.col("first")).alias("copy")))
-    slot = F.pmod(F.xxhash64("doc", "text_key"), F.lit(1 << SLOT_BITS))
-    shared = rows.sparkSession.sparkContext.broadcast(slot_bitmap(known.filter("NOT copy").select(slot.alias("slot"))))
-
-    def search(batches):
+    def run(batches):
         for batch in batches:
-            keep = _has(shared.value, batch.column("slot").to_numpy())
-            yield batch.filter(pa.array(keep)).select(["doc", "text_key", "text"])
+            for i in range(batch.num_rows):
+                docs, data, off = unpack(batch, i)
+                parts = [(lo, Cut(unit, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])) for lo, hi in slices(off, SLICE)]
+                found = [c.contexts() for _, c in parts]
+                prints = [x for f in found for _, x in f]
+                level, at = spread(batch, i, np.concatenate(prints) if prints else np.zeros(0, np.uint64)), 0
+                for (lo, c), f in zip(parts, found, strict=True):
+                    some = np.zeros(len(c.start), bool)
+                    for own, x in f:
+                        some[own[level[at : at + len(x)] > 0]] = True
+                        at += len(x)
+                    if not some.any():
+                        continue
+                    some = np.flatnonzero(some)
+                    r = c.row[some]
+                    place = (c.start[some] - c.first[r]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c.m[some].astype(np.int64)), c.strings(some), pa.array(np.full(len(some), batch.column("block")[i].as_py(), np.int64)), pa.array((lo + r).astype(np.int32)), pa.array(docs[lo + r]), pa.array(place), pa.array(c.count[some].astype(np.int32))], names=["m", "body", "block", "row", "doc", "place", "n"])
 
-    searched = rows.select("doc", "text_key", "text", slot.alias("slot")).mapInArrow(search, "doc long, text_key long, text string")
-    return searched, known.filter("copy").select("doc", "text_key", F.array(F.lit(ALL)).alias("spans")).distinct()
+    return run
 
 
-def marks(rows: DataFrame, unit: Unit, index: Any, per_shard: int, within: bool) -> DataFrame:
-    """(doc, text_key, spans): ranges of windows to remove, packed as in ``_removed``.
+def _id(body: str) -> Column:
+    """An identifier of a string's content: 128 bits of its SHA-256."""
+    return F.substring(F.unhex(F.sha2(body, 256)), 1, 16)
 
-    index(bodies, docs, places, win) gives, for the distinct strings of a shard with their
-    first occurrences, the first occurrence (doc, place) of each window of each string.
-    ``within``: an earlier place in the same document counts as earlier.
 
-    A string alone at its anchor, which it has once, shares no window with another string
-    or with itself: its first occurrence is all there is to know. Bodies are sent only for
-    anchors with several strings (a bitmap of fixed size tells them; a false hit sends a
-    lone string to the index as well).
-    """
-    spark = rows.sparkSession
-    rows, copies = without_copies(rows)
-    shared = spark.sparkContext.broadcast(repeated(rows.select("text"), _prints(unit), heavy=True))
-    release(spark)
-    where = park(rows.mapInArrow(_emit(unit, shared), "m long, h long, doc long, text_key long, place long, windows int, tie boolean"))
+def _firsts(rows: DataFrame, *more: str) -> DataFrame:
+    """Each distinct string once, with its first and last occurrence."""
     place = F.struct("doc", "place")
-    firsts = park(where.groupBy("m", "h", "windows", "tie").agg(F.min(place).alias("first"), F.max(place).alias("last")))
-    release(spark)
-    top = F.shiftrightunsigned("m", 64 - SLOT_BITS)
-    by_anchor = firsts.groupBy("m").agg(F.count("*").alias("k"), F.bool_or("tie").alias("tie")).filter("k > 1 OR tie")
-    several = spark.sparkContext.broadcast(slot_bitmap(by_anchor.select(top.alias("slot"))))
+    found = rows.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"), *[F.first(c).alias(c) for c in ("body", *more)])
+    return found.select("id", "body", *more, "first.doc", "first.place", F.col("last.doc").alias("last_doc"), F.col("last.place").alias("last_place"))
 
-    def lone(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(~_has(several.value, _slot(batch.column("m").to_numpy()))))
-
-    # Lone strings that occur again later: one run, from the first occurrence on.
-    kind = "m long, h long, windows int, doc long, place long"
-    again = firsts.filter("first < last" if within else "first.doc < last.doc").select("m", "h", "windows", "first.doc", "first.place").mapInArrow(lone, kind)
-    alone = again.select(F.col("m").alias("m2"), F.col("h").alias("h2"), F.array(F.lit(0)).alias("run_at"), F.array("doc").alias("run_doc"), F.array("place").alias("run_place"))
-    strings = rows.mapInArrow(_emit(unit, shared, several), "m long, h long, body binary, doc long, place long, tie boolean")
-    strings = strings.groupBy("m", "h", "body", "tie").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    strings = strings.select("m", "h", "body", "first.doc", "first.place", F.col("last.doc").alias("last_doc"), F.col("last.place").alias("last_place"))
-    # Shards only need to be of bounded size: about one string a repeated context at most.
-    shards = max(1, shared.value.size() // per_shard)
-    solved = strings.groupBy(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard")).applyInArrow(_solve(unit, index, within), "m2 long, h2 long, run_at array<int>, run_doc array<long>, run_place array<long>")
-    found = where.join(alone.union(solved), (F.col("m") == F.col("m2")) & (F.col("h") == F.col("h2"))).select("doc", "text_key", "place", "windows", "run_at", "run_doc", "run_place")
-    ranges = found.mapInArrow(_removed(within), "doc long, text_key long, span long")
-    ranges = ranges.groupBy("doc", "text_key").agg(F.collect_set("span").alias("spans"))
-    out = park(ranges.join(copies, ["doc", "text_key"], "left_anti").union(copies))
-    release(spark)
-    return out
+
+_SOLVED = "id binary, at int, n int, doc long, place long"
 
 
-def _solve(unit: Unit, index, within: bool):
-    """First occurrences of a shard's windows, as runs (window, doc, place): within one, places go on by one a window.
+def _solve(unit: Unit, index: Callable, within: bool):
+    """First occurrences of a shard's windows, as runs (window, number, doc, place): within one, places go on by one a window.
 
-    Strings of which no occurrence can be marked aren't returned.
+    Runs that start no earlier than the string's last occurrence aren't returned.
     """
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
         doc, place = group["doc"].to_numpy(), group["place"].to_numpy()
         order = np.lexsort((place, doc))
-        bodies = [np.frombuffer(x.as_buffer(), np.uint32 if unit.words else np.uint8) for x in group["body"]]
+        bodies = [x.as_buffer() for x in group["body"]]
         fd, fp, off = index([bodies[i] for i in order], doc[order], place[order], unit.win)
         string = np.repeat(np.arange(len(order)), np.diff(off))
         new = np.ones(len(fd), bool)
@@ -311,89 +183,104 @@ def _solve(unit: Unit, index, within: bool):
         if within:
             new[1:] |= fp[1:] != fp[:-1] + 1
         at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(fd)))
         s = string[at]
-        inside = (at - off[:-1][s]).astype(np.int32)
+        inside = at - off[:-1][s]
         last_doc, last_place = group["last_doc"].to_numpy()[order][s], group["last_place"].to_numpy()[order][s]
         early = fd[at] < last_doc
         if within:
             early |= (fd[at] == last_doc) & (fp[at] < last_place + inside)
-        useful = np.zeros(len(order), bool)
-        useful[s[early]] = True
-        keep = useful[s]
-        runs_of = np.bincount(s[keep], minlength=len(order))[useful]
-        ends = pa.array(np.concatenate(([0], np.cumsum(runs_of))), pa.int32())
-        take = pa.array(order[useful])
-        lists = lambda x: pa.ListArray.from_arrays(ends, pa.array(x))
-        return pa.table({"m2": group["m"].take(take), "h2": group["h"].take(take), "run_at": lists(inside[keep]), "run_doc": lists(fd[at][keep]), "run_place": lists(fp[at][keep])})
+        at, s = at[early], s[early]
+        return pa.table({"id": group["id"].take(pa.array(order[s])), "at": pa.array(inside[early].astype(np.int32)), "n": pa.array(size[early].astype(np.int32)), "doc": pa.array(fd[at]), "place": pa.array(fp[at])})
 
     return run
 
 
-def _removed(within: bool):
-    """Ranges of windows of each occurrence that start earlier elsewhere: (place << 20 | windows)."""
+def _windows(unit: Unit):
+    """The windows of strings, each as a string of its own."""
 
     def run(batches):
         for batch in batches:
-            doc, key, place, windows = (batch.column(c).to_numpy() for c in ("doc", "text_key", "place", "windows"))
-            lists = batch.column("run_at")
-            count = np.diff(np.asarray(lists.offsets, np.int64))
-            occ = np.repeat(np.arange(len(doc)), count)
-            at = np.asarray(lists.flatten()).astype(np.int64)
-            first, spot = np.asarray(batch.column("run_doc").flatten()), np.asarray(batch.column("run_place").flatten())
-            end = windows[occ].astype(np.int64)
-            if len(occ):
-                more = np.concatenate((occ[1:] == occ[:-1], [False]))
-                end[more] = at[1:][more[:-1]]
-            gone = first < doc[occ]
-            if within:
-                gone |= (first == doc[occ]) & (spot < place[occ] + at)
-            o, start, n = occ[gone], place[occ[gone]] + at[gone], (end - at)[gone]
-            # Very long runs are written in parts that fit the count's bits.
-            while len(n) and n.max() >= 1 << 20:
-                long = n >= 1 << 20
-                o, start = np.concatenate((o, o[long])), np.concatenate((start, start[long] + (1 << 20) - 1))
-                n = np.concatenate((np.where(long, (1 << 20) - 1, n), n[long] - (1 << 20) + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[o]), pa.array(key[o]), pa.array((start << 20) | n)], names=["doc", "text_key", "span"])
+            doc, place = batch.column("doc").to_numpy(), batch.column("place").to_numpy()
+            for i, x in enumerate(batch.column("body")):
+                raw = x.as_py()
+                parts = raw.split(b" ") if unit.words else raw
+                n = len(parts) - unit.win + 1
+                bodies = [b" ".join(parts[j : j + unit.win]) if unit.words else raw[j : j + unit.win] for j in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("id")[i].as_py()] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(bodies, pa.binary()), pa.array(np.full(n, doc[i])), pa.array(place[i] + np.arange(n))], names=["string", "at", "body", "doc", "place"])
 
     return run
 
 
-def covered(spans: list[int] | None, size: int, win: int) -> np.ndarray:
-    """Which units of a text of ``size`` units lie in a removed window."""
-    if not spans:
-        return np.zeros(size, bool)
-    if spans[0] == ALL:
-        return np.full(size, size >= win)
-    x = np.array(spans, np.int64)
-    place, count = x >> 20, x & 0xFFFFF
-    edge = np.zeros(size + 1, np.int64)
-    np.add.at(edge, place, 1)
-    np.add.at(edge, np.minimum(place + count + win - 1, size), -1)
-    return np.cumsum(edge[:-1]) > 0
+def solved(where: DataFrame, unit: Unit, index: Callable, per_shard: int, within: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """(of, at, run, first_doc, first_place): for windows at..at+run-1 of the string ``of``, their first occurrences; and the tables parked for it."""
+    strings = park(_firsts(where, "m"))
+    release(where.sparkSession)
+    crowded = park(strings.groupBy("m").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select("m"))
+    parked = [strings, crowded]
+
+    def dealt(rows: DataFrame, key: str, size: int) -> DataFrame:
+        shard = F.pmod(F.xxhash64(key), F.lit(max(1, size // per_shard)))
+        return rows.groupBy(shard.alias("shard")).applyInArrow(_solve(unit, index, within), _SOLVED)
+
+    out = dealt(strings.join(crowded, "m", "left_anti"), "m", strings.count())
+    if crowded.limit(1).count():
+        parts = strings.join(crowded, "m", "left_semi").select("id", "body", "doc", "place")
+        parts = park(parts.mapInArrow(_windows(unit), "string binary, at int, body binary, doc long, place long").withColumn("id", _id("body")))
+        parked.append(parts)
+        alone = _firsts(parts)
+        # A window is of use wherever a string holds it, so it counts as occurring last at the end of all.
+        alone = alone.withColumn("last_doc", F.lit((1 << 63) - 1)).withColumn("last_place", F.lit(0).cast("long"))
+        own = dealt(alone, "id", parts.count()).select(F.col("id").alias("w"), "doc", "place")
+        out = out.union(parts.select("string", "at", F.col("id").alias("v")).join(own, F.col("v") == F.col("w")).select("string", "at", F.lit(1), "doc", "place"))
+    return out.toDF("of", "at", "run", "first_doc", "first_place"), parked
 
 
-def with_marks(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows with their ``spans`` (null: none).
+def marked(docs: DataFrame, unit: Unit, index: Callable, per_shard: int, within: bool) -> DataFrame:
+    """The documents' blocks with ``spans``: (row, first window, number of windows) to remove.
 
-    Texts without marks need not move: a bitmap of fixed size over the marked rows sends
-    only those (and few others) through the join.
+    index(strings, docs, places, win) gives, for the distinct strings of a shard with their
+    first occurrences, the first occurrence (doc, place) of each window of each string.
+    ``within``: an earlier place in the same document counts as earlier.
     """
-    slot = F.pmod(F.xxhash64("doc", "text_key"), F.lit(1 << SLOT_BITS))
-    shared = rows.sparkSession.sparkContext.broadcast(slot_bitmap(found.select(slot.alias("slot"))))
-
-    def only(marked):
-        def run(batches):
-            for batch in batches:
-                keep = _has(shared.value, batch.column("slot").to_numpy()) == marked
-                yield batch.filter(pa.array(keep)).select(["doc", "text_key", "text"])
-
-        return run
-
-    numbered = rows.select("doc", "text_key", "text", slot.alias("slot"))
-    kind = "doc long, text_key long, text string"
-    right = found.select(F.col("doc").alias("d2"), F.col("text_key").alias("t2"), "spans").hint("shuffle_hash")
-    joined = numbered.mapInArrow(only(True), kind).join(right, (F.col("doc") == F.col("d2")) & (F.col("text_key") == F.col("t2")), "left").select("doc", "text", "spans")
-    return numbered.mapInArrow(only(False), kind).select("doc", "text", F.lit(None).cast("array<long>").alias("spans")).union(joined)
+    spark = docs.sparkSession
+    blocks = pack(docs)
+    counted = levels(blocks, _prints(unit))
+    release(spark)
+    found = with_levels(blocks, counted).mapInArrow(_emit(unit), "m long, body binary, block long, row int, doc long, place long, n int")
+    where = park(found.withColumn("id", _id("body")))
+    discard(counted)
+    release(spark)
+    runs, parked = solved(where, unit, index, per_shard, within)
+    hits = where.select("id", "block", "row", "doc", "place").join(runs, F.col("id") == F.col("of"))
+    gone = F.col("first_doc") < F.col("doc")
+    if within:
+        gone |= (F.col("first_doc") == F.col("doc")) & (F.col("first_place") < F.col("place") + F.col("at"))
+    spans = hits.filter(gone).groupBy("block").agg(F.collect_list(F.struct("row", (F.col("place") + F.col("at")).alias("at"), F.col("run").alias("n"))).alias("spans"))
+    spans = park(spans)
+    discard(where, *parked)
+    release(spark)
+    return blocks.join(spans, "block", "left")
+
+
+def covered(batch: pa.RecordBatch, i: int, rows: int, win: int) -> Callable[[int, int], np.ndarray]:
+    """For row ``i`` of a batch of marked blocks: f(row, units), which units of a text lie in a removed window."""
+    spans = batch.column("spans")[i].values if batch.column("spans")[i].is_valid else None
+    if spans is None:
+        return lambda row, size: np.zeros(size, bool)
+    row, at, n = (spans.field(c).to_numpy() for c in ("row", "at", "n"))
+    order = np.argsort(row, kind="stable")
+    at, n = at[order], n[order]
+    cuts = np.searchsorted(row[order], np.arange(rows + 1))
+
+    def of(r: int, size: int) -> np.ndarray:
+        a, b = cuts[r], cuts[r + 1]
+        edge = np.zeros(size + 1, np.int64)
+        np.add.at(edge, at[a:b], 1)
+        np.add.at(edge, at[a:b] + n[a:b] + win - 1, -1)
+        return np.cumsum(edge[:-1]) > 0
+
+    return of
 
 
 def real_id(column: Column) -> Column:

@@ -23,9 +23,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import anchors
-from .kernels import slices, span_hashes, text_buffer, word_spans
+from .blocks import NO_ID, unpack
+from .kernels import span_hashes, text_buffer, word_spans
 
 WIN = 13
 UNIT = anchors.Unit(words=True, win=WIN, k=7)
@@ -113,9 +115,9 @@ class SuffixAutomaton:
             yield self.least[state] if known >= win else None
 
 
-def first_documents(bodies: list[np.ndarray], docs: np.ndarray, places: np.ndarray, win: int):
+def first_documents(bodies: list, docs: np.ndarray, places: np.ndarray, win: int):
     """Index of a shard: the first document of every window of every string."""
-    words = [b.tolist() for b in bodies]
+    words = [bytes(b).split(b" ") for b in bodies]
     automaton = SuffixAutomaton()
     for w in words:
         automaton.add(w)
@@ -130,25 +132,20 @@ def first_documents(bodies: list[np.ndarray], docs: np.ndarray, places: np.ndarr
 def _scrubbed(with_text: bool):
     def run(batches):
         for batch in batches:
-            data, off = text_buffer(batch.column("text"))
-            spans = batch.column("spans").to_pylist()
-            for lo, hi in slices(off):
-                part = data[off[lo] : off[hi]]
-                starts, ends, first = word_spans(part, off[lo : hi + 1] - off[lo])
+            for i in range(batch.num_rows):
+                docs, data, off = unpack(batch, i)
+                of = anchors.covered(batch, i, len(docs), WIN)
                 n, removed, sha, text = [], [], [], []
-                for i in range(hi - lo):
-                    a, b = first[i], first[i + 1]
-                    gone = anchors.covered(spans[lo + i], b - a, WIN)
-                    keep = np.flatnonzero(~gone) + a
-                    if gone.any():
-                        raw = b" ".join([part[x:y].tobytes() for x, y in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)])
-                    else:
-                        raw = b" ".join(part[off[lo + i] - off[lo] : off[lo + i + 1] - off[lo]].tobytes().translate(_SPACES).split())
-                    n.append(b - a)
+                for row in range(len(docs)):
+                    words = data[off[row] : off[row + 1]].tobytes().translate(_SPACES).split(b" ")
+                    words = [w for w in words if w]
+                    gone = of(row, len(words))
+                    raw = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)
+                    n.append(len(words))
                     removed.append(int(gone.sum()))
                     sha.append(hashlib.sha256(raw).hexdigest())
                     text.append(raw.decode("utf-8", "replace") if with_text else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())], names=["doc", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())], names=["doc", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
@@ -158,9 +155,8 @@ _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 def scrub(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by one space)."""
-    rows = anchors.keyed(docs)
-    found = anchors.marks(rows, UNIT, first_documents, PER_SHARD, within=False)
-    out = anchors.with_marks(rows, found).mapInArrow(_scrubbed(with_text), "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    found = anchors.marked(docs, UNIT, first_documents, PER_SHARD, within=False)
+    out = found.mapInArrow(_scrubbed(with_text), "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.select(anchors.real_id(out["doc"]).alias("doc_id"), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))
 
 
@@ -183,9 +179,12 @@ def scrub_against(docs: DataFrame, reference: DataFrame) -> DataFrame:
     for w in texts:
         automaton.own(w, 0)
     automaton.settle()
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    # Plain lists travel; the object is made anew in each task.
+    shared = docs.sparkSession.sparkContext.broadcast((automaton.next, automaton.link, automaton.length, automaton.least))
 
     def run(batches):
+        known = SuffixAutomaton()
+        known.next, known.link, known.length, known.least = shared.value
         for batch in batches:
             data, off = text_buffer(batch.column("text"))
             n, removed, text = [], [], []
@@ -194,7 +193,7 @@ def scrub_against(docs: DataFrame, reference: DataFrame) -> DataFrame:
                 starts, ends, _ = word_spans(part, np.array([0, len(part)]))
                 words = span_hashes(part, starts, ends).tolist() if len(starts) else []
                 gone = np.zeros(len(words), bool)
-                for e, x in enumerate(shared.value.matches(words, WIN)):
+                for e, x in enumerate(known.matches(words, WIN)):
                     if x is not None:
                         gone[e - WIN + 1 : e + 1] = True
                 n.append(len(words))
@@ -202,6 +201,6 @@ def scrub_against(docs: DataFrame, reference: DataFrame) -> DataFrame:
                 text.append(b" ".join(part[a:b].tobytes() for a, b, g in zip(starts.tolist(), ends.tolist(), gone.tolist(), strict=True) if not g).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(text, pa.string())], names=["doc", "n_words", "n_removed", "kept_text"])
 
-    rows = anchors.keyed(docs).select("doc", "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(run, "doc long, n_words long, n_removed long, kept_text string")
     return out.select(anchors.real_id(out["doc"]).alias("doc_id"), "n_words", "n_removed", "kept_text")
