@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -112,27 +113,59 @@ def test_bytes_scrub(docs, rows):
 
 
 def test_scrubs_with_hot_anchors(docs, rows, monkeypatch):
-    from tidepool.llm import fingerprints
-
     monkeypatch.setattr(anchors, "HOT", 3)
-    monkeypatch.setattr(fingerprints, "HEAVY_FROM", 3)
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in automata.scrub(docs).collect()} == brute.window_scrub(rows)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run_index.scrub(docs).collect()} == brute.byte_scrub(rows)
 
 
-def test_run_index_matches():
+def test_nothing_is_removed_without_the_index(docs, monkeypatch):
+    def blind(bodies, doc_ids, places, win):
+        size = [(len(bytes(b).split(b" ")) if by_word else len(b)) - win + 1 for b in bodies]
+        here = np.concatenate([np.arange(n) for n in size])
+        return np.full(len(here), np.iinfo(np.int64).max), here, np.concatenate(([0], np.cumsum(size)))
+
+    for module, name, by_word in ((automata, "first_documents", True), (run_index, "first_places", False)):
+        monkeypatch.setattr(module, name, blind)
+        assert module.scrub(docs).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_scrubs_of_texts_over_a_block(spark):
+    rng = random.Random(11)
+    long = " ".join(f"w{rng.randrange(3000)}" for _ in range(450_000))
+    rows = [(1, long), (2, "short " + long[1_000_000:1_004_000] + " end"), (3, long[:2_300_000])]
+    assert len(long) > 1 << 21
+    df = frame(spark, rows)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in automata.scrub(df).collect()} == brute.window_scrub(rows)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run_index.scrub(df).collect()} == brute.byte_scrub(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.near_components(df).collect()} == brute.near_components(rows)
+
+
+def test_suffix_array_and_first_places():
     rng = np.random.default_rng(0)
-    parts = [rng.integers(1, 3, n).astype(np.uint16) for n in (40, 25, 60)]
-    text = np.concatenate([np.append(p, 0) for p in parts]).astype(np.uint16)
-    ends = np.repeat(np.cumsum([41, 26, 61]) - 1, [41, 26, 61])
-    index = run_index.RunIndex(text)
-    match = index.matches(ends)
-    for i in range(1, len(text)):
-        a, b = index.array[i], index.array[i - 1]
-        k = 0
-        while a + k < ends[a] and b + k < ends[b] and text[a + k] == text[b + k]:
-            k += 1
-        assert match[a] == k
+    for trial in range(60):
+        text = rng.integers(0, 3, int(rng.integers(1, 100))).astype(np.uint8)
+        text = np.tile(text[: max(1, len(text) // 7)], 7) if trial % 3 == 0 else text
+        assert run_index.suffix_array(text).tolist() == sorted(range(len(text)), key=lambda i, b=text.tobytes(): b[i:])
+    for _ in range(60):
+        bodies = [bytes(rng.integers(97, 99, int(rng.integers(6, 60))).astype(np.uint8)) for _ in range(int(rng.integers(1, 8)))]
+        docs, places = np.sort(rng.integers(0, 4, len(bodies))), rng.integers(0, 50, len(bodies))
+        best = {}
+        for b, d, p in zip(bodies, docs.tolist(), places.tolist(), strict=True):
+            for i in range(len(b) - 5):
+                best[b[i : i + 6]] = min(best.get(b[i : i + 6], (99, 9999)), (d, p + i))
+        first_doc, first_place, _ = run_index.first_places(bodies, docs, places, 6)
+        assert list(zip(first_doc.tolist(), first_place.tolist(), strict=True)) == [best[b[i : i + 6]] for b in bodies for i in range(len(b) - 5)]
+
+
+def test_run_index_holds_runs_only():
+    text = np.tile(np.append(np.tile(np.arange(1, 9), 50), 0), 40).astype(np.uint8)
+    ends = np.repeat(np.arange(40) * 401 + 400, 401)
+    index = run_index.RunIndex(text, ends)
+    assert len(index.first) == len(index.sizes) < len(text) / 20 and index.sizes.sum() == len(text)
+    before, match = index.statistics()
+    for i in range(0, len(text), 97):
+        k = int(match[i])
+        assert before[i] < 0 or np.array_equal(text[i : i + k], text[before[i] : before[i] + k])
 
 
 def test_scrub_against_a_reference(spark):
@@ -186,12 +219,35 @@ def test_viterbi_is_exact():
 
 
 def test_licence_rules(spark):
-    mit = licences.RULES[4][1]
-    texts = ["x.\nReleased under the MIT License.\ny", "\n".join(["Intro."] + mit + ["End."]), mit[0], "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0.", None, "", "no licence here"]
     book = licences.Rulebook(licences.RULES)
-    names = [[m[0] for m in licences.scan_text(book, t)[1]] for t in texts]
-    assert names == [["MIT"], ["MIT"], [], ["CC-BY-NC-4.0"] * 2, [], [], []]
-    assert all(any(t in k for t in licences.TRIGGERS) or k == "2 0" for k in book.known)
+    names = lambda t: [m[0] for m in licences.scan_text(book, t)[1]]
+    mit = [licences._MIT_GRANT, licences._MIT_NOTICE, licences._MIT_WARRANTY, licences._MIT_LIABILITY]
+    assert names("x.\nReleased under the MIT License.\ny") == ["MIT"]
+    assert names("\n".join(["Intro.", *mit, "End."])) == ["MIT"]
+    assert names(licences._MIT_GRANT) == [] and names("no licence here") == names("") == names(None) == []
+    assert names("Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0.") == ["CC-BY-NC-4.0"] * 2
+    assert names("not released under the MIT License at all") == []
+    own = licences.Rulebook([("Zlib", ["This software is provided as-is."])])
+    assert licences.scan_text(own, "This software is provided as-is.")[1] == [("Zlib", 0, 32)]
+
+
+def test_licences_however_they_are_wrapped():
+    """Every rule is found in one line, wrapped at any width, and behind comment marks; a rule with a sentence left out isn't."""
+    book = licences.Rulebook(licences.RULES)
+    for name, parts in licences.RULES:
+        flat = " ".join(parts)
+        forms = [flat, "\n".join(parts), *("\n".join(textwrap.wrap(flat, w, break_long_words=False)) for w in (40, 60, 78))]
+        forms += ["\n".join(mark + line for line in textwrap.wrap(flat, 70, break_long_words=False)) for mark in ("# ", "// ", " * ", "-- ")]
+        for text in forms:
+            found = licences.scan_text(book, f"int before;\n\n{text}\n\nint after;")[1]
+            assert found and found[0][0] == name and len(found) == 1, (name, text)
+    # Plain version: the words of each rule in order, sentence by sentence, somewhere in the text's words.
+    words = lambda t: " " + " ".join(licences.normalise(t)) + " "
+    for name, parts in licences.RULES:
+        if len(parts) > 2:
+            text = words(" ".join(parts[1:]))
+            assert all(words(p) in text for p in parts[1:]) and words(parts[0]) not in text
+            assert name not in [m[0] for m in licences.scan_text(book, ". ".join(parts[1:]))[1] if m[0] == name and len(parts) == 4]
 
 
 def test_pieces_round_trip_and_distribution(spark, docs, rows):
@@ -200,6 +256,10 @@ def test_pieces_round_trip_and_distribution(spark, docs, rows):
     back = {r.doc_id: r.text for r in pieces.decoded(out).collect()}
     assert back == {d: t or "" for d, t in rows}
     assert out.exceptAll(pieces.encode(docs.repartition(3))).count() == 0
+    check_distribution()
+
+
+def check_distribution():
     # Sampled segmentations of one word follow the lattice's exact probabilities.
     vocab = pieces.Vocabulary(pieces.MODEL)
     data = np.frombuffer(b"onion" * 1, np.uint8)
@@ -224,6 +284,40 @@ def test_pieces_round_trip_and_distribution(spark, docs, rows):
     assert abs(hits / 400 - p) < 0.1
 
 
+def test_pieces_span_no_cut():
+    """Units tile the text, and no piece of the vocabulary stands over the border of two units."""
+    vocab = pieces.Vocabulary(pieces.MODEL)
+    for text in ("漢字かな交じり文の長い例です。" * 20, "https://example.com/a/b?c=d&e=" + "f" * 300, "if (x) {\r\n                foo();\r\n}\t\t\n", "a" * 3000):
+        data = np.frombuffer(text.encode(), np.uint8)
+        at = np.array([0, len(data)])
+        starts, _ = pieces.units(vocab, data, at)
+        raw, borders = text.encode(), set(starts.tolist()) - {0}
+        known = {b for b in vocab.bytes_of if len(b) > 1}
+        assert not any(raw[i:j] in known for b in borders for i in range(max(0, b - 25), b) for j in range(b + 1, min(len(raw), i + 26) + 1))
+        ids, count = pieces.sample(vocab, data, at, np.array([5], np.uint64))
+        assert pieces.decode(vocab, ids).tobytes() == raw and count.tolist() == [len(ids)]
+    assert any(len(vocab.bytes_of[i]) >= 4 and not vocab.bytes_of[i].strip() for k in range(50) for i in pieces.sample(vocab, np.frombuffer(b"x                y", np.uint8), np.array([0, 18]), np.array([k], np.uint64))[0])
+
+
+def test_long_units_keep_the_distribution():
+    """Over a unit longer than a rescaling, the share of a first piece follows the exact sums."""
+    vocab = pieces.Vocabulary(pieces.MODEL)
+    raw = b"a" * 60
+    known = {}
+    for i, b in enumerate(vocab.bytes_of):
+        if b and set(b) == {97}:
+            known.setdefault(len(b), []).append(vocab.weight[i])
+    total = [1.0] + [0.0] * 60
+    for end in range(1, 61):
+        total[end] = sum(total[end - n] * w for n, ws in known.items() if n <= end for w in ws)
+    want = {n: sum(ws) * total[60 - n] / total[60] for n, ws in known.items()}
+    hits = dict.fromkeys(known, 0)
+    for k in range(600):
+        ids, _ = pieces.sample(vocab, np.frombuffer(raw, np.uint8), np.array([0, 60]), np.array([k], np.uint64))
+        hits[len(vocab.bytes_of[ids[0]])] += 1
+    assert all(abs(hits[n] / 600 - want[n]) < 0.08 for n in known)
+
+
 def test_forest_against_brute_force(spark):
     rng = np.random.default_rng(7)
     centres = rng.standard_normal((12, 16))
