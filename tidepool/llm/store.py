@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,8 +87,11 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def release(spark: SparkSession) -> None:
-    """Asks the driver to forget finished plans, so that Spark's cleaner deletes their shuffle files."""
-    import gc
+    """Asks the driver to forget finished plans, so that Spark's cleaner deletes their shuffle files.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    The first collection lets go of Python's handles, the second of what they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
