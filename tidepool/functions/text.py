@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Stopwords dropped by ``tokens``.
-STOPWORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "is", "it", "for", "on", "with", "this", "that")
-# Phrases that promote, and phrases that show conviction.
-SHILL = ("to the moon", "100x", "1000x", "easy 10x", "don't miss", "last chance", "still early", "buy now", "ape in", "send it", "moon", "gem", "next pepe", "lfg", "wagmi", "pump it", "huge potential", "to 10x", "guaranteed", "not financial advice")
-CONVICTION = ("because", "i think", "the reason", "compared to", "chart", "holders", "liquidity", "dev sold", "i bought", "i sold")
+STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "he", "her", "his", "i", "if", "in", "is", "it", "its", "me", "my", "not", "of", "on", "or", "our", "so", "than", "that", "the", "their", "them", "there", "these", "they", "this", "to", "up", "was", "we", "were", "what", "when", "which", "who", "will", "with", "you", "your", "just", "im", "dont", "u", "ur")
+# Phrases that promote.
+SHILL = ("to the moon", "next 100x", "lfg", "wagmi", "early gem", "dont miss", "don't miss", "aped in", "sending it", "bullish af", "this is the one", "10000x", "buy now", "last chance", "dev based", "based dev", "lock in", "cook", "chart looking", "gem found")
+# Phrases that show a position.
+CONVICTION = ("i bought", "i sold", "my entry", "took profit", "still holding", "added more", "cut my", "down bad", "up ", "average")
+# What a skeleton puts in place of kinds of tokens, in this order.
+KINDS = ((r"https?://\S+|www\.\S+", "url"), (r"[@＠][A-Za-z0-9_]{1,30}", "at"), (r"\$[A-Za-z][A-Za-z0-9]{0,14}\b", "tick"), (r"[#＃]\w{1,60}", "tag"), (r"\d[\d,._]*(?:[kmbtxKMBTX])?\b", "num"))
 
 # Code points counted as emoji.
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{2B00}-\x{2BFF}\x{FE0F}]"
@@ -39,34 +42,36 @@ def normalize(texts: pd.Series) -> pd.Series:
 
 
 def skeletonize(text) -> Column:
-    """Normal form with kinds of tokens in place of tokens; the order of replacements matters."""
-    out = normalize_ascii(text)
-    for pattern, mark in ((r"https?://\S+", "<url>"), (r"@[a-z0-9_]+", "<at>"), (r"\$[a-z][a-z0-9]*", "<tick>"), (r"#[a-z0-9_]+", "<tag>"), (r"\d+(?:\.\d+)?", "<num>"), (r"[^a-z<> ]", " "), (r"\s+", " ")):
-        out = F.regexp_replace(out, pattern, mark)
-    return F.trim(out)
+    """Template of a normal text: kinds of tokens in place of tokens, other marks as spaces."""
+    out = F.col(text) if isinstance(text, str) else text
+    for pattern, kind in (*KINDS, (f"{EMOJI}", "emo")):
+        out = F.regexp_replace(out, f"(?U){pattern}", f" <{kind}> ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?U)[^\w<>\s]", " "), r"(?U)\s+", " "))
 
 
-def tokens(text, drop_stopwords: bool = False) -> Column:
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9']+"), 0)
-    found = F.filter(found, lambda w: F.length(w) > 1)
-    return F.filter(found, lambda w: ~w.isin(*STOPWORDS)) if drop_stopwords else found
+def tokens(text, drop_stopwords: bool = True) -> Column:
+    """Words of a normal text; without stopwords and single characters unless told otherwise."""
+    found = F.regexp_extract_all(text, F.lit(r"[a-z0-9']+"), 0)
+    return F.filter(found, lambda w: ~w.isin(*STOPWORDS) & (F.length(w) > 1)) if drop_stopwords else found
 
 
 def phrase_hits(text, phrases: tuple[str, ...]) -> Column:
-    low = F.lower(text)
-    return sum((low.contains(p).cast("int") for p in phrases[1:]), low.contains(phrases[0]).cast("int"))
+    text = F.col(text) if isinstance(text, str) else text
+    return sum((text.contains(p).cast("int") for p in phrases[1:]), text.contains(phrases[0]).cast("int"))
 
 
 def shill_density(text) -> Column:
+    """Promotional phrases in a normal text, 0 to 1."""
     return F.least(F.lit(1.0), phrase_hits(text, SHILL) / 3.0)
 
 
 def conviction_density(text) -> Column:
+    """Phrases that show a position in a normal text, 0 to 1."""
     return F.least(F.lit(1.0), phrase_hits(text, CONVICTION) / 2.0)
 
 
 def effort_score(text, emoji) -> Column:
-    """Length, variety and absence of pictures, for texts without their ``emoji``, which are counted."""
+    """Length, variety and absence of pictures, for normal texts without their ``emoji``, which are counted."""
     words = tokens(text)
     n = F.size(words)
     return F.when(n == 0, 0.0).otherwise(0.5 * F.least(F.lit(1.0), n / 25.0) + 0.3 * F.size(F.array_distinct(words)) / n + 0.2 * (1 - F.least(F.lit(1.0), emoji / n)))

@@ -13,10 +13,9 @@ from pyspark.sql.types import LongType
 
 @F.pandas_udf(LongType())
 def simhash(texts: pd.Series) -> pd.Series:
-    """64 majority votes over the hashes of a text's character 4-grams; an empty text is 0."""
+    """64 majority votes over the hashes of a skeleton's character 4-grams; an empty one is 0."""
 
     def one(s):
-        s = " ".join((s or "").lower().split())
         if not s:
             return 0
         grams = {s[i : i + 4] for i in range(max(1, len(s) - 3))}
@@ -45,3 +44,17 @@ def leader_groups(df: DataFrame, group: str, id_: str, hash_: str, distance: int
 
     kind = df.schema[group].dataType.simpleString()
     return df.groupBy(group).applyInPandas(run, f"{group} {kind}, {id_} long, leader long")
+
+
+def template_share(rows: DataFrame, group: str, id_: str, skeleton: str, least: int = 3, distance: int = 8) -> DataFrame:
+    """(group, share, n): share of a group's texts in a repeated template: equal skeletons, or leader groups of the rest, of ``least`` texts or more.
+
+    Skeletons of fewer than six characters don't count; a group with fewer than ``least`` others has 0.
+    """
+    kept = rows.filter(F.length(skeleton) >= 6)
+    counts = kept.groupBy(group, skeleton).agg(F.count("*").alias("alike"))
+    exact = counts.groupBy(group).agg(F.sum("alike").alias("n"), F.sum(F.when(F.col("alike") >= least, F.col("alike")).otherwise(0)).alias("same"))
+    rest = kept.join(counts.filter(F.col("alike") < least).select(group, skeleton), [group, skeleton], "left_semi").select(group, id_, simhash(skeleton).alias("hash")).filter("hash <> 0")
+    groups = leader_groups(rest, group, id_, "hash", distance).groupBy(group, "leader").agg(F.count("*").alias("near")).filter(F.col("near") >= least)
+    near = groups.groupBy(group).agg(F.sum("near").alias("near"))
+    return exact.join(near, group, "left").select(group, F.when(F.col("n") < least, 0.0).otherwise((F.col("same") + F.coalesce("near", F.lit(0))) / F.col("n")).alias("share"), "n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SALTS = 8
+
 
 def sign_bits(embedding: str) -> Column:
     """The signs of a 64-dimensional vector as a 64-bit fingerprint."""
@@ -28,29 +30,31 @@ def hamming_pairs(df: DataFrame, id_: str, bits: str, distance: int) -> DataFram
 
 
 def char_shingles(text: Column, k: int = 4) -> Column:
-    """Distinct character k-grams; a shorter text is its own."""
-    n = F.length(text)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(k))))
+    """Distinct character k-grams; a shorter text is its own, an empty one has none."""
+    # The text is a lambda's argument, so that it isn't computed anew for every gram.
+    own = F.transform(F.array(text), lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (k - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(k))))
+    return F.array_remove(F.array_distinct(F.flatten(own)), "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays of distinct items; two empty ones give 0."""
+    """Of two arrays of distinct items; two empty ones give 1."""
     both = F.size(F.array_intersect(a, b))
-    return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0))
+    return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(1.0))
 
 
 def novelty(rows: DataFrame, ids: list[str], corpus: DataFrame, item: str) -> DataFrame:
-    """1 minus the greatest Jaccard similarity of a text's shingles with a corpus text's.
+    """1 minus the greatest Jaccard similarity of a text's shingles with a corpus text's; a text without shingles has 0.
 
-    An inverted index on shingles: an equi-join and counts, never a product of texts.
+    An inverted index on shingles: an equi-join and counts, never a product of texts. The
+    postings of a shingle are salted, so that a frequent one is spread over SALTS tasks.
     """
-    left = rows.select(*ids, F.explode(char_shingles(F.col("text"))).alias("s"))
-    right = corpus.select(item, F.explode(char_shingles(F.col("text"))).alias("s"))
-    n_left = left.groupBy(*ids).agg(F.count("*").alias("n"))
-    n_right = right.groupBy(item).agg(F.count("*").alias("m"))
-    both = left.join(right, "s").groupBy(*ids, item).agg(F.count("*").alias("both"))
-    best = both.join(n_left, ids).join(n_right, item).groupBy(*ids).agg(F.max(F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("best"))
-    return n_left.join(best, ids, "left").select(*ids, (1 - F.coalesce("best", F.lit(0.0))).alias("novelty"))
+    texts = rows.select(*ids, char_shingles(F.col("text")).alias("all")).withColumn("n", F.size("all"))
+    left = texts.select(*ids, "n", F.explode("all").alias("s"), F.pmod(F.xxhash64(*ids), F.lit(SALTS)).alias("salt"))
+    own = corpus.select(item, char_shingles(F.col("text")).alias("all"))
+    right = own.select(item, F.size("all").alias("m"), F.explode("all").alias("s")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = left.join(right, ["s", "salt"]).groupBy(*ids, "n", item, "m").agg(F.count("*").alias("both"))
+    best = both.groupBy(*ids).agg(F.max(F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("best"))
+    return texts.select(*ids, "n").join(best, ids, "left").select(*ids, F.when(F.col("n") == 0, 0.0).otherwise(1 - F.coalesce("best", F.lit(0.0))).alias("novelty"))
 
 
 def bm25(rows: DataFrame, ids: list[str], text: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -167,7 +167,7 @@ def merge_points(t):
     return pit.ranked_by(_points(t), ["token_key", "slot_at"], [F.asc("prio"), F.asc("event_id")]).select("token_key", "slot_at", "price")
 
 
-_BUY, _SELL = "SELECT DISTINCT wallet FROM v_trades WHERE side = 'buy' AND token_key % 5 = 0", "SELECT DISTINCT wallet FROM v_trades WHERE side = 'sell' AND token_key % 7 = 0"
+_BUY, _SELL = "SELECT DISTINCT wallet FROM v_trades WHERE side = 'buy'", "SELECT DISTINCT wallet FROM v_trades WHERE side = 'sell'"
 
 
 def _sides(t):

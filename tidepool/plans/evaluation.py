@@ -18,7 +18,7 @@ _CORR = "SELECT metric_id, a, b FROM (SELECT metric_id, rank() OVER (PARTITION B
 plan("metric_lift", f"SELECT metric_id, count(*) AS n, round(corr(a, b), 6) AS rho, CASE WHEN count(*) < 200 THEN 'thin' WHEN corr(a, b) > 0.02e0 THEN 'helps' WHEN corr(a, b) < -0.02e0 THEN 'hurts' ELSE 'neutral' END AS state FROM ({_CORR}) z GROUP BY metric_id", "v_scores")
 plan("metric_ic", f"SELECT metric_id, round(corr(a, b), 6) AS ic FROM ({_CORR}) z GROUP BY metric_id", "v_scores")
 plan("regime_counts", "SELECT regime, count(*) AS n, count(*) >= 200 AS fits FROM (SELECT CASE WHEN size > 40 THEN 'hot' WHEN size < 10 THEN 'dead' ELSE 'normal' END AS regime FROM v_launches) x GROUP BY regime", "v_launches")
-_FOLDS = "SELECT fold, fold * 150 AS train_start, fold * 150 + 300 AS test_start, fold * 150 + 450 AS test_end, fold * 150 + 300 - 40 AS cutoff FROM (SELECT DISTINCT CAST(floor(created_at / 150) AS BIGINT) AS fold FROM v_launches) f WHERE fold < 12"
+_FOLDS = "SELECT fold, fold * 150 AS train_start, fold * 150 + 300 AS test_start, fold * 150 + 450 AS test_end, fold * 150 + 300 - 40 AS cutoff FROM (SELECT DISTINCT CAST(floor(created_at / 150) AS BIGINT) AS fold FROM v_launches) f"
 plan("plan_folds", f"SELECT fold, train_start, cutoff, test_start, test_end FROM ({_FOLDS}) f", "v_launches")
 plan("fold_split", f"SELECT fold, count(CASE WHEN o.created_at < cutoff AND o.labeled_at < test_start THEN 1 END) AS train, count(CASE WHEN o.created_at >= test_start THEN 1 END) AS test FROM ({_FOLDS}) f JOIN v_outcomes o ON o.created_at >= f.train_start AND o.created_at < f.test_end GROUP BY fold", "v_outcomes")
 _PNL = "SELECT wallet % 20 AS account, token_key, wallet, sum(CASE WHEN side = 'sell' THEN amount_native ELSE -amount_native END) AS pnl, max(as_of) AS closed FROM v_trades GROUP BY token_key, wallet"
@@ -35,7 +35,7 @@ plan("heuristics", "SELECT source, metric, side, count(*) AS n, round(least(0.95
 plan("integrity_flags", "SELECT source, CASE WHEN count(*) < 100 THEN 'alarm' WHEN count(*) < 2500 THEN 'warn' ELSE 'ok' END AS volume, CASE WHEN count(DISTINCT round(price, 0)) < 10 THEN 'alarm' ELSE 'ok' END AS spread, CASE WHEN max(as_of) < 2400000 THEN 'warn' ELSE 'ok' END AS freshness FROM v_snapshots GROUP BY source", "v_snapshots")
 
 
-@key("SELECT token_key, as_of, 'trade' AS kind, count(*) AS n FROM v_trades WHERE token_key < 40 GROUP BY token_key, as_of UNION ALL SELECT token_key, as_of, 'snapshot', count(*) FROM v_snapshots WHERE token_key < 40 GROUP BY token_key, as_of UNION ALL SELECT token_key, created_at, 'launch', count(*) FROM v_launches WHERE token_key < 40 GROUP BY token_key, created_at", "v_launches", "v_snapshots")
+@key("SELECT token_key, as_of, 'trade' AS kind, count(*) AS n FROM v_trades GROUP BY token_key, as_of UNION ALL SELECT token_key, as_of, 'snapshot', count(*) FROM v_snapshots GROUP BY token_key, as_of UNION ALL SELECT token_key, created_at, 'launch', count(*) FROM v_launches GROUP BY token_key, created_at", "v_launches", "v_snapshots")
 def autopsy_timeline(t):
     kinds = (("v_trades", "as_of", "trade"), ("v_snapshots", "as_of", "snapshot"), ("v_launches", "created_at", "launch"))
     trades, snaps, launches = (t(v).groupBy("token_key", F.col(at).alias("as_of")).agg(F.count("*").alias("n")).select("token_key", "as_of", F.lit(kind).alias("kind"), "n") for v, at, kind in kinds)
@@ -54,7 +54,7 @@ plan("evidence_rank", "SELECT token_key, metric_id, event_id, direction FROM (SE
 plan("veto_histogram", "SELECT veto, count(*) AS n FROM (SELECT CASE WHEN share > 0.55e0 THEN 'top_holder' WHEN label = 'BUILDING' THEN 'insider' WHEN sold > bought THEN 'dev_sold' END AS veto FROM v_holders) x WHERE veto IS NOT NULL GROUP BY veto", "v_holders")
 
 
-@key("SELECT token_key, '[' || metric_id || ':' || CAST(event_id AS VARCHAR(20)) || ']' AS fact FROM v_scores WHERE confidence = 'high' AND token_key < 20 UNION ALL SELECT token_key, '[holder:' || CAST(wallet AS VARCHAR(20)) || ']' FROM v_holders WHERE share > 0.5e0 AND token_key < 200", "v_scores", "v_holders")
+@key("SELECT token_key, '[' || metric_id || ':' || CAST(event_id AS VARCHAR(20)) || ']' AS fact FROM v_scores WHERE confidence = 'high' UNION ALL SELECT token_key, '[holder:' || CAST(wallet AS VARCHAR(20)) || ']' FROM v_holders WHERE share > 0.5e0", "v_scores", "v_holders")
 def fact_citations(t):
     scores = t("v_scores").filter("confidence = 'high'").select("token_key", F.concat(F.lit("["), "metric_id", F.lit(":"), F.col("event_id").cast("string"), F.lit("]")).alias("fact"))
     holders = t("v_holders").filter("share > 0.5").select("token_key", F.concat(F.lit("[holder:"), F.col("wallet").cast("string"), F.lit("]")).alias("fact"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pit
 from .registry import key
+from .texts import _SKEL, _skeletons
 
 T = 1500  # the decision instant over order data
 TE = 1_000_000  # over events
@@ -106,7 +107,7 @@ def _decisions(t):
     return t("v_snapshots").select("token_key", F.col("event_id").alias("decision_id"), (F.col("as_of") + 777).alias("as_of"))
 
 
-_DEC = ", d AS (SELECT token_key, event_id AS decision_id, as_of + 777 AS as_of FROM v_snapshots WHERE event_id % 10 = 0)"
+_DEC = ", d AS (SELECT token_key, event_id AS decision_id, as_of + 777 AS as_of FROM v_snapshots)"
 
 
 @key(f"{_DEC} SELECT d.token_key, d.decision_id, d.as_of, s.as_of AS right_as_of, s.price AS right_price FROM d ASOF LEFT JOIN v_snapshots s ON d.token_key = s.token_key AND d.as_of >= s.as_of", "v_snapshots")
@@ -159,7 +160,7 @@ def resolve_query(t):
     return joined.select(F.col("p_partkey").alias("token_key"), F.coalesce(F.nullif(url, F.lit("")), F.nullif(key_, F.lit("")), F.col("token_key").cast("string")).alias("resolved"))
 
 
-@key("SELECT source, count(*) AS n, count(*) FILTER (WHERE event_id % 2 = 0 AND as_of >= 1000000 - 600000) AS reverts, min(event_id) AS next_id FROM v_snapshots WHERE as_of <= 1000000 AND event_id % 3 = 0 GROUP BY source", "v_snapshots")
+@key("SELECT source, count(*) AS n, count(*) FILTER (WHERE event_id % 2 = 0 AND as_of >= 1000000 - 600000) AS reverts, min(event_id) AS next_id FROM v_snapshots WHERE as_of <= 1000000 GROUP BY source", "v_snapshots")
 def signal_queue(t):
     rows = t("v_snapshots").filter(F.col("as_of") <= TE)
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if((F.col("event_id") % 2 == 0) & (F.col("as_of") >= TE - 600_000)).alias("reverts"), F.min("event_id").alias("next_id"))
@@ -180,7 +181,7 @@ def deployer_history(t):
     return rows.groupBy("deployer").agg(F.count("*").alias("launches"), F.count_if("graduated").alias("graduated"), F.count_if("rugged").alias("rugged"), F.max("multiple").alias("best"))
 
 
-@key("SELECT t.wallet, t.token_key, t.as_of, l.created_at, t.as_of - l.created_at AS after_launch FROM v_trades t LEFT JOIN v_launches l ON t.token_key = l.token_key WHERE t.wallet % 10 = 3 AND t.as_of < 1500 AND t.observed_at <= 1500", "v_launches")
+@key("SELECT t.wallet, t.token_key, t.as_of, l.created_at, t.as_of - l.created_at AS after_launch FROM v_trades t LEFT JOIN v_launches l ON t.token_key = l.token_key WHERE t.as_of < 1500 AND t.observed_at <= 1500", "v_launches")
 def wallet_trades_before(t):
     rows = t("v_trades").filter("as_of < 1500 AND observed_at <= 1500")
     return rows.join(t("v_launches").select("token_key", "created_at"), "token_key", "left").select("wallet", "token_key", "as_of", "created_at", (F.col("as_of") - F.col("created_at")).alias("after_launch"))
@@ -231,17 +232,20 @@ def hamming_pairs(t):
     return pairs(t("embeddings").select("vec_id", sign_bits("embedding").alias("h")), "vec_id", "h", 14)
 
 
-@key("""WITH g AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, greatest(len(t) - 2, 2)), lambda i: substr(t, i, 4)))) AS s FROM (SELECT item_id, lower(text) AS t FROM benchmark)),
-p AS (SELECT conv_id, turn, unnest(list_distinct(list_transform(range(1, greatest(len(t) - 2, 2)), lambda i: substr(t, i, 4)))) AS s FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations WHERE regexp_full_match(text, '[\\x20-\\x7e\\n]*') AND len(text) <= 400)),
+_GRAMS = "unnest(CASE WHEN len(t) > 0 THEN list_distinct(list_transform(range(1, greatest(len(t) - 2, 2)), lambda i: substr(t, i, 4))) ELSE [] END)"
+
+
+@key(f"""WITH g AS (SELECT item_id, {_GRAMS} AS s FROM (SELECT item_id, {_SKEL} AS t FROM benchmark)),
+p AS (SELECT conv_id, turn, {_GRAMS} AS s FROM (SELECT conv_id, turn, {_SKEL} AS t FROM conversations)),
 gn AS (SELECT item_id, count(*) AS n FROM g GROUP BY ALL), pn AS (SELECT conv_id, turn, count(*) AS n FROM p GROUP BY ALL),
 o AS (SELECT conv_id, turn, item_id, count(*) AS k FROM p JOIN g USING (s) GROUP BY ALL),
 j AS (SELECT o.conv_id, o.turn, max(CAST(k AS DOUBLE) / (pn.n + gn.n - k)) AS best FROM o JOIN pn USING (conv_id, turn) JOIN gn USING (item_id) GROUP BY ALL)
-SELECT pn.conv_id, pn.turn, round(1 - coalesce(best, 0), 6) AS novelty FROM pn LEFT JOIN j USING (conv_id, turn)""")
+SELECT c.conv_id, c.turn, round(CASE WHEN pn.n IS NULL THEN 0 ELSE 1 - coalesce(best, 0) END, 6) AS novelty FROM conversations c LEFT JOIN pn USING (conv_id, turn) LEFT JOIN j USING (conv_id, turn)""")
 def novelty_vs_corpus(t):
     from ..operators.similarity import novelty
 
-    rows = t("conversations").select("conv_id", "turn", F.lower("text").alias("text"))
-    return novelty(rows, ["conv_id", "turn"], t("benchmark").select("item_id", F.lower("text").alias("text")), "item_id").select("conv_id", "turn", F.round("novelty", 6).alias("novelty"))
+    skeletons = lambda rows, *ids: _skeletons(rows, *ids).withColumnRenamed("skel", "text")
+    return novelty(skeletons(t("conversations"), "conv_id", "turn"), ["conv_id", "turn"], skeletons(t("benchmark"), "item_id"), "item_id").select("conv_id", "turn", F.round("novelty", 6).alias("novelty"))
 
 
 @key("SELECT post_id, symbol, l.token_key FROM v_chat JOIN (SELECT DISTINCT token_key FROM v_launches) l ON CAST(regexp_extract(text, 'e\\.co/([0-9]+)', 1) AS BIGINT) = l.token_key", "v_chat", "v_launches")

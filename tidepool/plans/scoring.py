@@ -36,7 +36,7 @@ plan("revenue_share", "SELECT c_mktsegment AS tier, count(*) AS n, round(sum(o_t
 plan("authority_audit", "SELECT p_partkey, score, CASE WHEN score <= 40 OR p_partkey % 7 = 0 THEN 'critical' WHEN score <= 80 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN p_size < 5 THEN 'QUARANTINE' WHEN score <= 40 THEN 'VETO' ELSE 'APPROVE' END AS verdict FROM (SELECT p_partkey, p_size, 100 - CASE WHEN p_partkey % 5 = 0 THEN 40 ELSE 0 END - CASE WHEN p_partkey % 7 = 0 THEN 50 ELSE 0 END - CASE WHEN p_partkey % 3 = 0 THEN 20 ELSE 0 END AS score FROM part) x")
 
 
-@key("SELECT count(*) AS accounts, round(sum(c_custkey * 0.002e0), 6) AS total, round(sum(c_custkey * 0.002e0) * 0.9e0, 6) AS owner_part FROM customer LEFT JOIN (SELECT DISTINCT wallet FROM v_trades WHERE token_key % 2 = 0) t ON wallet = c_custkey WHERE wallet IS NULL", "v_trades")
+@key("SELECT count(*) AS accounts, round(sum(c_custkey * 0.002e0), 6) AS total, round(sum(c_custkey * 0.002e0) * 0.9e0, 6) AS owner_part FROM customer LEFT JOIN (SELECT DISTINCT wallet FROM v_trades) t ON wallet = c_custkey WHERE wallet IS NULL", "v_trades")
 def reclaim_scan(t):
     idle = t("customer").join(t("v_trades").select("wallet"), F.col("c_custkey") == F.col("wallet"), "left_anti")
     total = F.sum(F.col("c_custkey") * F.lit(0.002))

@@ -87,7 +87,7 @@ def percentile_rank(t):
     return t("v_snapshots").select("event_id", F.round(F.cume_dist().over(Window.partitionBy("source").orderBy("price")), 6).alias("rank"))
 
 
-@key(", p AS (SELECT event_id, source, as_of, price FROM v_snapshots WHERE token_key < 20) SELECT a.event_id, round(CASE WHEN count(b.event_id) = 0 THEN 0.5 ELSE count(*) FILTER (WHERE b.price <= a.price) / CAST(count(b.event_id) AS DOUBLE) END, 6) AS rank FROM p a LEFT JOIN p b ON a.source = b.source AND (b.as_of < a.as_of OR (b.as_of = a.as_of AND b.event_id < a.event_id)) GROUP BY a.event_id", "v_snapshots")
+@key(", p AS (SELECT event_id, source, as_of, price FROM v_snapshots) SELECT a.event_id, round(CASE WHEN count(b.event_id) = 0 THEN 0.5 ELSE count(*) FILTER (WHERE b.price <= a.price) / CAST(count(b.event_id) AS DOUBLE) END, 6) AS rank FROM p a LEFT JOIN p b ON a.source = b.source AND (b.as_of < a.as_of OR (b.as_of = a.as_of AND b.event_id < a.event_id)) GROUP BY a.event_id", "v_snapshots")
 def expanding_peer_rank(t):
     # i places earlier rows of the source; those not dearer are counted by the highest bit in which the places differ: n log n rows, no lists.
     rows = t("v_snapshots").withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("as_of", "event_id")) - 1)
@@ -99,7 +99,7 @@ def expanding_peer_rank(t):
     return found.groupBy("event_id", "i").agg(F.sum(F.when(F.col("late") & F.col("price").isNotNull(), F.col("under")).otherwise(0)).alias("n")).select("event_id", F.round(F.when(F.col("i") == 0, 0.5).otherwise(F.col("n") / F.col("i")), 6).alias("rank"))
 
 
-@key("WITH RECURSIVE s AS (SELECT user_id AS token_key, value AS price, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE user_id < 30), r AS (SELECT token_key, i, price AS e FROM s WHERE i = 1 UNION ALL SELECT s.token_key, s.i, 0.3 * s.price + 0.7 * r.e FROM r JOIN s ON s.token_key = r.token_key AND s.i = r.i + 1) SELECT token_key, round(arg_max(e, i), 6) AS ewma FROM r GROUP BY token_key")
+@key("WITH RECURSIVE s AS (SELECT user_id AS token_key, value AS price, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), r AS (SELECT token_key, i, price AS e FROM s WHERE i = 1 UNION ALL SELECT s.token_key, s.i, 0.3 * s.price + 0.7 * r.e FROM r JOIN s ON s.token_key = r.token_key AND s.i = r.i + 1) SELECT token_key, round(arg_max(e, i), 6) AS ewma FROM r GROUP BY token_key")
 def ewma(t):
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"])
     rows = t("events").groupBy(F.col("user_id").alias("token_key")).agg(ordered.alias("v"))
@@ -203,7 +203,7 @@ def evidence_parse(t):
     return t("events").select("event_id", kv.alias("kv")).select("event_id", F.col("kv")[0].alias("metric"), F.expr("try_cast(kv[1] AS double)").alias("v")).withColumn("side", F.when(F.col("v") < 50, "low").otherwise("high"))
 
 
-@key("SELECT token_key, created_at + i * 60 AS t FROM v_launches CROSS JOIN (SELECT unnest(range(1, 11)) AS i) WHERE token_key % 50 = 0", "v_launches")
+@key("SELECT token_key, created_at + i * 60 AS t FROM v_launches CROSS JOIN (SELECT unnest(range(1, 11)) AS i)", "v_launches")
 def decision_grid(t):
     return t("v_launches").select("token_key", F.explode(F.sequence(F.col("created_at") + 60, F.col("created_at") + 600, F.lit(60))).alias("t"))
 

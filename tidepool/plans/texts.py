@@ -8,74 +8,79 @@ from ..functions import text as X
 from ..operators import pit
 from .registry import key
 
-_TOK = "list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda w: len(w) > 1)"
+# DuckDB's forms. Marks are stripped and ß becomes ss; texts with compatibility characters or zero-width ones are in tests/test_whole.py.
+_NORM = r"trim(regexp_replace(replace(lower(strip_accents({})), 'ß', 'ss'), '\s+', ' ', 'g'))"
+_SKEL = _NORM.format("text")
+for _p, _r in X.KINDS:
+    _SKEL = f"regexp_replace({_SKEL}, '{_p}', ' <{_r}> ', 'g')"
+_SKEL = rf"trim(regexp_replace(regexp_replace({_SKEL}, '[^\w<>\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+_TOK = f"list_filter(regexp_extract_all({_NORM.format('text')}, '[a-z0-9'']+'), lambda w: len(w) > 1 AND w NOT IN ({_STOP}))"
+_SH = "CASE WHEN len(s) > 0 THEN list_distinct(list_transform(range(1, greatest(len(s) - 2, 2)), lambda i: substr(s, i, 4))) ELSE [] END"
 
 
-def _normal(t):
-    """All posts with normal texts, so that accented words are tokens too."""
-    return t("v_posts").select("post_id", X.normalize("text").alias("text"))
+def _normal(rows, *kept):
+    """Rows with normal texts."""
+    return rows.select(*kept, X.normalize("text").alias("text"))
 
 
-@key("SELECT post_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS norm FROM v_ascii", "v_ascii")
-def text_normalize(t):
-    return t("v_posts").select("post_id", X.normalize("text").alias("norm"))
+def _skeletons(rows, *kept):
+    return _normal(rows, *kept).select(*kept, X.skeletonize("text").alias("skel"))
 
 
-_SKEL = "lower(text)"
-for _p, _r in ((r"\s+", " "), (r"https?://\S+", "<url>"), (r"@[a-z0-9_]+", "<at>"), (r"\$[a-z][a-z0-9]*", "<tick>"), (r"#[a-z0-9_]+", "<tag>"), (r"\d+(?:\.\d+)?", "<num>"), (r"[^a-z<> ]", " "), (r"\s+", " ")):
-    _SKEL = f"regexp_replace({_SKEL}, '{_p}', '{_r}', 'g')"
+@key(f"SELECT post_id, {_NORM.format('text')} AS norm FROM v_posts", "v_posts")
+def text_normalize(t):
+    return t("v_posts").select("post_id", X.normalize("text").alias("norm"))
 
 
-@key(f"SELECT post_id, trim({_SKEL}) AS skeleton FROM v_chat", "v_chat")
+@key(f"SELECT post_id, {_SKEL} AS skeleton FROM v_chat", "v_chat")
 def skeletonize(t):
-    return t("v_chat").select("post_id", X.skeletonize("text").alias("skeleton"))
+    return _skeletons(t("v_chat"), "post_id").withColumnRenamed("skel", "skeleton")
 
 
-@key(f"SELECT post_id, len({_TOK}) AS n, array_to_string({_TOK}[1:5], ' ') AS head FROM v_ascii", "v_ascii")
+@key(f"SELECT post_id, len({_TOK}) AS n, array_to_string({_TOK}[1:5], ' ') AS head FROM v_posts", "v_posts")
 def tokens(t):
-    return _normal(t).select("post_id", F.size(X.tokens("text")).cast("long").alias("n"), F.array_join(F.slice(X.tokens("text"), 1, 5), " ").alias("head"))
+    return _normal(t("v_posts"), "post_id").select("post_id", F.size(X.tokens("text")).cast("long").alias("n"), F.array_join(F.slice(X.tokens("text"), 1, 5), " ").alias("head"))
 
 
-_SH = "list_distinct(list_transform(range(1, greatest(len(s) - 2, 2)), lambda i: substr(s, i, 4)))"
-
-
-@key(f"SELECT post_id, len({_SH}) AS n FROM (SELECT post_id, lower(text) AS s FROM v_chat)", "v_chat")
+@key(f"SELECT post_id, len({_SH}) AS n FROM (SELECT post_id, {_SKEL} AS s FROM v_chat)", "v_chat")
 def shingles(t):
     from ..operators.similarity import char_shingles
 
-    return t("v_chat").select("post_id", F.size(char_shingles(F.lower("text"))).cast("long").alias("n"))
+    return _skeletons(t("v_chat"), "post_id").select("post_id", F.size(char_shingles(F.col("skel"))).cast("long").alias("n"))
 
 
-@key(f", h AS (SELECT post_id, author, {_SH} AS s FROM (SELECT post_id, author, lower(text) AS s FROM v_chat WHERE post_id < 3000)) SELECT a.post_id, round(CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity FROM h a JOIN h b ON b.post_id = a.post_id + 1", "v_chat")
+@key(f", h AS (SELECT post_id, author, {_SH} AS s FROM (SELECT post_id, author, {_SKEL} AS s FROM v_chat)) SELECT a.post_id, round(CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity FROM h a JOIN h b ON b.post_id = a.post_id + 1", "v_chat")
 def similarity(t):
     from ..operators.similarity import char_shingles, jaccard
 
-    h = t("v_chat").select("post_id", char_shingles(F.lower("text")).alias("s"))
+    h = _skeletons(t("v_chat"), "post_id").select("post_id", char_shingles(F.col("skel")).alias("s"))
     other = h.select((F.col("post_id") - 1).alias("post_id"), F.col("s").alias("o"))
     return h.join(other, "post_id").select("post_id", F.round(jaccard(F.col("s"), F.col("o")), 6).alias("similarity"))
 
 
-@key(f", k AS (SELECT author, trim({_SKEL}) AS skel, count(*) AS n FROM v_chat GROUP BY ALL) SELECT author, round(CAST(sum(CASE WHEN n >= 3 THEN n ELSE 0 END) AS DOUBLE) / sum(n), 9) AS share FROM k WHERE len(skel) >= 6 GROUP BY author", "v_chat")
+@key(f", k AS (SELECT author, {_SKEL} AS skel, count(*) AS n FROM v_chat GROUP BY ALL) SELECT author, round(CASE WHEN sum(n) < 3 THEN 0 ELSE CAST(sum(CASE WHEN n >= 3 THEN n ELSE 0 END) AS DOUBLE) / sum(n) END, 9) AS share FROM k WHERE len(skel) >= 6 GROUP BY author", "v_chat")
 def template_share_exact(t):
-    k = t("v_chat").groupBy("author", X.skeletonize("text").alias("skel")).agg(F.count("*").alias("n")).filter(F.length("skel") >= 6)
-    return k.groupBy("author").agg(F.round(F.sum(F.when(F.col("n") >= 3, F.col("n")).otherwise(0)) / F.sum("n"), 9).alias("share"))
+    k = _skeletons(t("v_chat"), "author").groupBy("author", "skel").agg(F.count("*").alias("n")).filter(F.length("skel") >= 6)
+    share = F.when(F.sum("n") < 3, 0.0).otherwise(F.sum(F.when(F.col("n") >= 3, F.col("n")).otherwise(0)) / F.sum("n"))
+    return k.groupBy("author").agg(F.round(share, 9).alias("share"))
 
 
-@key(f"SELECT post_id, round(CASE WHEN len({_TOK}) < 10 THEN 0.0 ELSE least(1, len(list_distinct({_TOK})) / sqrt(len({_TOK})) / 10) END, 6) AS diversity FROM v_ascii", "v_ascii")
+@key(f"SELECT post_id, round(CASE WHEN len({_TOK}) < 10 THEN 0.0 ELSE least(1, len(list_distinct({_TOK})) / sqrt(len({_TOK})) / 10) END, 6) AS diversity FROM v_posts", "v_posts")
 def lexical_diversity(t):
-    return _normal(t).select("post_id", F.round(X.lexical_diversity("text"), 6).alias("diversity"))
+    return _normal(t("v_posts"), "post_id").select("post_id", F.round(X.lexical_diversity("text"), 6).alias("diversity"))
 
 
-def _hits(phrases, col="lower(text)"):
+def _hits(phrases, col="text"):
     return " + ".join("CAST(contains({}, '{}') AS INTEGER)".format(col, p.replace("'", "''")) for p in phrases)
 
 
-@key(f"SELECT post_id, round(least(1, ({_hits(X.SHILL)}) / 3.0), 6) AS shill, round(least(1, ({_hits(X.CONVICTION)}) / 2.0), 6) AS conviction FROM v_chat", "v_chat")
+@key(f"SELECT post_id, round(least(1, ({_hits(X.SHILL)}) / 3.0), 6) AS shill, round(least(1, ({_hits(X.CONVICTION)}) / 2.0), 6) AS conviction FROM (SELECT post_id, {_NORM.format('text')} AS text FROM v_talk) n", "v_talk")
 def shill_density(t):
-    return t("v_chat").select("post_id", F.round(X.shill_density("text"), 6).alias("shill"), F.round(X.conviction_density("text"), 6).alias("conviction"))
+    return _normal(t("v_talk"), "post_id").select("post_id", F.round(X.shill_density("text"), 6).alias("shill"), F.round(X.conviction_density("text"), 6).alias("conviction"))
 
 
-@key(f"SELECT post_id, round(CASE WHEN len({_TOK}) = 0 THEN 0.0 ELSE 0.5 * least(1, len({_TOK}) / 25.0) + 0.3 * len(list_distinct({_TOK})) / len({_TOK}) + 0.2 END, 9) AS effort FROM v_ascii", "v_ascii")
+@key(f"SELECT post_id, round(CASE WHEN len({_TOK}) = 0 THEN 0.0 ELSE 0.5 * least(1, len({_TOK}) / 25.0) + 0.3 * len(list_distinct({_TOK})) / len({_TOK}) + 0.2 END, 9) AS effort FROM v_posts", "v_posts")
 def effort_score(t):
     rows = t("v_posts").select("post_id", F.regexp_count("text", F.lit(X.EMOJI)).alias("emoji"), X.normalize(F.regexp_replace("text", X.EMOJI, "")).alias("text"))
     return rows.select("post_id", F.round(X.effort_score("text", F.col("emoji")), 9).alias("effort"))
@@ -86,7 +91,7 @@ def extract_entities(t):
     return t("v_chat").select("post_id", *[F.array_join(c, ",").alias(k) for k, c in X.entities(F.col("text")).items()])
 
 
-@key("SELECT doc_id, regexp_matches(text, '0x[0-9a-fA-F]{40}|\\b[1-9A-HJ-NP-Za-km-z]{32,44}\\b') AS found FROM documents WHERE regexp_full_match(text, '[\\x20-\\x7e\\n]*')")
+@key("SELECT doc_id, regexp_matches(text, '0x[0-9a-fA-F]{40}|\\b[1-9A-HJ-NP-Za-km-z]{32,44}\\b') AS found FROM documents")
 def contains_address(t):
     return t("documents").select("doc_id", X.contains_address("text").alias("found"))
 
@@ -118,30 +123,31 @@ def content_hash(t):
 def simhash_groups(t):
     from ..operators.neardup import simhash
 
-    return t("conversations").groupBy(simhash("text").alias("hash")).agg(F.count("*").alias("n"))
+    return _skeletons(t("conversations")).groupBy(simhash("skel").alias("hash")).agg(F.count("*").alias("n"))
 
 
 @key()
 def near_dup_groups(t):
+    """Groups of two or more posts of an author within 6 bits of the group's first."""
     from ..operators.neardup import leader_groups, simhash
 
-    rows = t("conversations").select("role", (F.col("conv_id") * 100 + F.col("turn")).alias("id"), simhash("text").alias("hash"))
-    return leader_groups(rows.distinct(), "role", "id", "hash", 8)
+    rows = _skeletons(t("v_talk"), "author", "post_id").select("author", F.col("post_id").alias("id"), simhash("skel").alias("hash")).filter("hash <> 0")
+    groups = leader_groups(rows, "author", "id", "hash", 6)
+    several = groups.groupBy("author", "leader").agg(F.count("*").alias("n")).filter("n > 1")
+    return groups.join(several, ["author", "leader"]).select("author", "leader", "id")
 
 
 @key()
 def template_share_fuzzy(t):
-    from ..operators.neardup import leader_groups, simhash
+    from ..operators.neardup import template_share
 
-    groups = leader_groups(t("conversations").select("role", (F.col("conv_id") * 100 + F.col("turn")).alias("id"), simhash("text").alias("hash")), "role", "id", "hash", 8)
-    sizes = groups.groupBy("role", "leader").agg(F.count("*").alias("n"))
-    return sizes.groupBy("role").agg(F.round(F.sum(F.when(F.col("n") >= 3, F.col("n")).otherwise(0)) / F.sum("n"), 9).alias("share"))
+    return template_share(_skeletons(t("v_talk"), "author", "post_id"), "author", "post_id", "skel").select("author", F.round("share", 9).alias("share"))
 
 
 # --- sources -------------------------------------------------------------------------------
 
 
-@key("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \\t\\n\\r]+', ' ', 'g')) AS body FROM pages WHERE regexp_full_match(html, '[\\x20-\\x7e\\n]*')")
+@key("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \\t\\n\\r]+', ' ', 'g')) AS body FROM pages")
 def html_strip(t):
     return t("pages").select("page_id", X.strip_html("html").alias("body"))
 
@@ -248,7 +254,7 @@ def corpus_manifest(t):
     return one("documents", "doc_id").union(one("events", "event_id"))
 
 
-@key("SELECT token_key, wallet, arg_min(supp_id, CASE WHEN side = 'buy' THEN 0 ELSE 1 END * 1e9 - amount_native + slot * 1e-3 + supp_id * 1e-7) AS funder FROM v_trades WHERE token_key % 20 = 0 GROUP BY ALL", "v_trades")
+@key("SELECT token_key, wallet, arg_min(supp_id, CASE WHEN side = 'buy' THEN 0 ELSE 1 END * 1e9 - amount_native + slot * 1e-3 + supp_id * 1e-7) AS funder FROM v_trades GROUP BY ALL", "v_trades")
 def funder_parse(t):
     best = pit.ranked_by(t("v_trades"), ["token_key", "wallet"], [F.when(F.col("side") == "buy", 0).otherwise(1).asc(), F.desc("amount_native"), F.asc("slot"), F.asc("supp_id")])
     return best.select("token_key", "wallet", F.col("supp_id").alias("funder"))

@@ -37,6 +37,11 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_chat": ((), """
         SELECT 'gm @u' || CAST(user_id AS VARCHAR(20)) || ' $' || upper(event_type) || ' to ' || CAST(event_id % 100 AS VARCHAR(20)) || 'x https://e.co/' || CAST(event_id AS VARCHAR(20)) || CASE WHEN event_id % 4 = 0 THEN ' #moon' ELSE '' END AS text,
                event_id AS post_id, user_id AS author, {sec:ts} AS as_of, event_type AS symbol FROM events"""),
+    "v_talk": ((), """
+        SELECT CASE event_id % 6 WHEN 0 THEN 'gm @u' || CAST(user_id AS VARCHAR(20)) || ' to the moon, lfg! don''t miss the next 100x' WHEN 1 THEN 'i bought at ' || CAST(event_id % 90 AS VARCHAR(20)) || 'k, my entry was late but still holding because the chart looking fine and holders grow, average ' || event_type
+               WHEN 2 THEN 'wagmi wagmi lfg gem found https://e.co/' || CAST(event_id AS VARCHAR(20)) WHEN 3 THEN 'took profit on ' || event_type || ' and cut my position by ' || CAST(event_id % 70 AS VARCHAR(20)) || ' percent after the ' || CAST(event_id % 9 AS VARCHAR(20)) || ' day move'
+               WHEN 4 THEN upper(event_type) || ' buy now, last chance $' || upper(event_type) || ' #gem' ELSE 'what does ' || event_type || ' do that ' || CAST(props AS VARCHAR(200)) || ' does not, and who funds the team behind ' || CAST(event_id % 31 AS VARCHAR(20)) END AS text,
+               event_id AS post_id, user_id AS author, event_id % 40 AS token_key, {sec:ts} AS as_of, event_type AS symbol FROM events"""),
     "v_outcomes": (("v_launches",), """
         SELECT token_key, deployer, created_at, created_at + 300 + token_key % 11 AS labeled_at, token_key % 5 = 0 AS graduated, token_key % 3 = 0 AS rugged,
                CASE WHEN token_key % 7 = 0 THEN NULL ELSE CAST(token_key % 40 AS DOUBLE) / 8 END AS multiple, CASE WHEN token_key % 6 = 0 THEN NULL ELSE CAST(token_key % 29 AS DOUBLE) / 10 END AS realizable
