@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
+from .shared import shared_folder
+
 FORMATS = ("csv", "json", "parquet", "orc")
 
 
@@ -23,9 +24,8 @@ def load(spark, path: str, fmt: str, schema) -> DataFrame:
 
 
 def roundtrip(df: DataFrame, fmt: str) -> DataFrame:
-    """Through a file format and back, in the shared folder if the session names one."""
+    """Through a file format and back, in the shared folder."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base}/export-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
     export(df, path, fmt)
     return load(spark, path, fmt, df.schema)

@@ -1,46 +1,96 @@
 """Structured Streaming jobs: ingest, late rows, dedupe, stateful upsert and position tracking.
 
-Every job runs to the end of what is there (AvailableNow) and leaves a table in the
-shared folder, so its result can be held against the batch plan.
+Every job runs to the end of what is there (AvailableNow). Its results lie in the shared
+folder, one folder a batch, written over if a batch is run again; so a batch that is
+repeated after a failure changes nothing, and a job that is started anew in the same
+place goes on from its checkpoint. Reading puts the batches together: all rows, the last
+row of each key, or sums over the batches.
 """
 
 from __future__ import annotations
 
-import tempfile
+import time
 import uuid
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..sources.shared import shared_folder
+
 
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def events(spark: SparkSession, sf_dir: str, glob: str = "events.parquet") -> DataFrame:
+    """The events table as a file stream, one file a batch."""
+    schema = spark.read.option("pathGlobFilter", glob).parquet(sf_dir).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1).parquet(sf_dir)
+
 
+@dataclass(frozen=True)
+class Budget:
+    """When a job stops before its input ends: after so many batches, rows or seconds (None: no bound)."""
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a file stream."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    batches: int | None = None
+    rows: int | None = None
+    seconds: float | None = None
 
+    def spent(self, batches: int, rows: int, seconds: float) -> bool:
+        return any(most is not None and used >= most for most, used in ((self.batches, batches), (self.rows, rows), (self.seconds, seconds)))
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream to its end; batches replace or add to a table."""
-    spark, at = stream.sparkSession, folder(stream.sparkSession)
+
+def run(stream: DataFrame, at: str, mode: str = "append", budget: Budget | None = None) -> None:
+    """Runs a stream to its end, or until its budget is spent; what is left waits for the next run at the same place."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{at}/table")
+        batch.write.mode("overwrite").parquet(f"{at}/table/batch={number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/table")
+    if budget is None:
+        query.awaitTermination()
+        return
+    began = time.monotonic()
+    while not query.awaitTermination(0.2):
+        done = query.recentProgress
+        if budget.spent(len(done), sum(p["numInputRows"] for p in done), time.monotonic() - began):
+            query.stop()
+
+
+def batches(spark: SparkSession, at: str, schema) -> DataFrame:
+    """All rows that a job has written, with their ``batch``."""
+    full = schema if "batch" in schema.fieldNames() else schema.add("batch", "long")
+    return spark.read.schema(full).option("basePath", f"{at}/table").parquet(f"{at}/table")
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The last batch's row of each key: what an updating stream holds at its end."""
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
+    return rows.withColumn("_i", last).filter("_i = 1").drop("_i", "batch")
+
+
+def drain(stream: DataFrame, mode: str = "append", keys: list[str] | None = None, at: str | None = None, budget: Budget | None = None) -> DataFrame:
+    """Runs a stream and reads what it has written: all rows, or with ``keys`` the last row of each key."""
+    at = at or folder(stream.sparkSession)
+    run(stream, at, mode, budget)
+    rows = batches(stream.sparkSession, at, stream.schema)
+    return latest(rows, keys) if keys else rows.drop("batch")
+
+
+def heartbeat(stream: DataFrame, at: str | None = None) -> DataFrame:
+    """(batch, rows): one row for each batch that a job has finished."""
+    at = at or folder(stream.sparkSession)
+    run(stream, at)
+    return batches(stream.sparkSession, at, stream.schema).groupBy("batch").agg(F.count("*").alias("rows"))
 
 
 def frames(stream: DataFrame) -> DataFrame:
-    """Events as JSON frames, the form in which a socket delivers them."""
-    return stream.select(F.to_json(F.struct(F.col("user_id").alias("mint"), F.col("event_type").alias("txType"), F.col("value").alias("solAmount"), F.col("event_id").alias("seq"))).alias("frame"))
+    """Events as JSON frames, the form in which a socket delivers them; every fiftieth is damaged."""
+    whole = F.to_json(F.struct(F.col("user_id").alias("mint"), F.col("event_type").alias("txType"), F.col("value").alias("solAmount"), F.col("event_id").alias("seq")))
+    return stream.select(F.when(F.col("event_id") % 50 == 0, F.lit("<damaged>")).otherwise(whole).alias("frame"))
 
 
 def ingest(raw: DataFrame) -> DataFrame:
@@ -49,31 +99,29 @@ def ingest(raw: DataFrame) -> DataFrame:
     return p.select(F.col("p.seq").alias("event_id"), F.col("p.mint").alias("token_key"), F.col("p.txType").alias("kind"), F.col("p.solAmount").alias("price"), F.col("p.mint").isNull().alias("unparsed"))
 
 
-def unseen(stream: DataFrame) -> DataFrame:
-    """The first sight of each (token, kind)."""
-    return stream.select(F.col("user_id").alias("token_key"), F.col("event_type").alias("kind")).dropDuplicates(["token_key", "kind"])
+def unseen(stream: DataFrame, horizon: str = "40 days") -> DataFrame:
+    """The first sight of each (token, kind); a key is forgotten ``horizon`` after its first sight, so state is bounded."""
+    rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("token_key"), F.col("event_type").alias("kind"))
+    return rows.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["token_key", "kind"]).select("token_key", "kind")
 
 
-def tumbling(stream: DataFrame, width: str = "1 hour") -> DataFrame:
-    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 hours").groupBy(F.window("ts", width)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
+def tumbling(stream: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Counts of windows that have ended; rows later than ``late`` behind the newest are dropped."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
 
 
-def upsert(stream: DataFrame) -> DataFrame:
-    """Least time and count per token, folded batch by batch into a table that is replaced."""
-    spark, at = stream.sparkSession, folder(stream.sparkSession)
-    state = {"path": None}
+def upsert(stream: DataFrame, at: str | None = None) -> DataFrame:
+    """Least event and count per token: each batch leaves its own sums, and reading merges them by key."""
+    spark, at = stream.sparkSession, at or folder(stream.sparkSession)
 
     def fold(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy(F.col("user_id").alias("token_key")).agg(F.min("event_id").alias("first_id"), F.count("*").alias("n"))
-        if state["path"]:
-            old = spark.read.parquet(state["path"])
-            new = old.unionByName(new).groupBy("token_key").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"))
-        state["path"] = f"{at}/table-{number}"
-        new.write.mode("overwrite").parquet(state["path"])
+        sums = batch.groupBy(F.col("user_id").alias("token_key")).agg(F.min("event_id").alias("first_id"), F.count("*").alias("n"))
+        sums.write.mode("overwrite").parquet(f"{at}/table/batch={number}")
 
     query = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(state["path"])
+    kind = stream.sparkSession.createDataFrame([], f"token_key {stream.schema['user_id'].dataType.simpleString()}, first_id {stream.schema['event_id'].dataType.simpleString()}, n long").schema
+    return batches(spark, at, kind).groupBy("token_key").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"))
 
 
 def positions(stream: DataFrame) -> DataFrame:
