@@ -58,3 +58,33 @@ def leading_streak(df: DataFrame, keys: list[str], order: list[Column], hit: Col
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     seen = df.withColumn("_seen", F.max(hit.cast("int")).over(w))
     return seen.groupBy(*keys).agg(F.count_if(F.col("_seen") == 0).alias(name))
+
+
+def earlier_rank(rows: DataFrame, at: str, id_: str, value: str, width: int = 1024) -> DataFrame:
+    """Adds ``earlier``: rows before in (at, id_) order, and ``lower``: those of them whose value is no greater.
+
+    Two levels: rows fall into ranges of ``width`` moments of ``at`` and are compared within
+    their range; earlier ranges come as counts by range and value, so the widest window holds
+    a row for each range and distinct value, not for each row. In both, a pair of places
+    meets at the highest bit in which they differ.
+    """
+    n = F.row_number().over(Window.partitionBy("_r").orderBy(at, id_)) - 1
+    own = rows.withColumn("_r", F.floor(F.col(at) / width)).withColumn("_i", n)
+    counts = own.groupBy("_r").agg(F.count("*").alias("_n"))
+    every = Window.partitionBy(F.lit(1))  # one row a range: their number follows the span of ``at``
+    ranges = counts.select("_r", "_n", (F.sum("_n").over(every.orderBy("_r")) - F.col("_n")).alias("_before"), F.length(F.bin(F.max("_r").over(every) + 1)).alias("_levels"))
+    placed = own.join(ranges, "_r")
+    inner = _bits(placed.withColumn("_w", F.lit(1)), [id_], value, F.col("_r"), F.col("_i"), F.length(F.bin("_n"))).groupBy(id_).agg(F.sum("_under").alias("_within"))
+    pairs = own.groupBy("_r", value).agg(F.count("*").alias("_w")).join(ranges.select("_r", "_levels"), "_r")
+    outer = _bits(pairs, ["_r", value], value, F.lit(0), F.col("_r"), F.col("_levels")).groupBy("_r", value).agg(F.sum("_under").alias("_past"))
+    out = placed.join(inner, id_).join(outer, ["_r", value])
+    return out.select(*rows.columns, (F.col("_before") + F.col("_i")).alias("earlier"), (F.col("_within") + F.col("_past")).alias("lower"))
+
+
+def _bits(rows: DataFrame, ids: list[str], value: str, scope, place, levels) -> DataFrame:
+    """(ids, _under): for each row the weights ``_w`` of smaller places in its scope whose value is no greater, in parts by the highest differing bit."""
+    part = rows.select(*ids, "_w", F.col(value).alias("_v"), scope.alias("_s"), place.alias("_p"), F.explode(F.sequence(F.lit(0), levels - 1)).alias("_l"))
+    late = F.expr("(shiftright(_p, _l) & 1) = 1")
+    run = Window.partitionBy("_s", "_l", F.expr("shiftright(_p, _l + 1)")).orderBy("_v")
+    found = part.withColumn("_late", late).withColumn("_c", F.sum(F.when(~F.col("_late"), F.col("_w")).otherwise(0)).over(run))
+    return found.select(*ids, F.when(F.col("_late"), F.col("_c")).otherwise(0).alias("_under"))

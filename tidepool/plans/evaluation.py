@@ -6,7 +6,37 @@ from pyspark.sql import functions as F
 
 from .registry import key, plan
 
-plan("wallet_priors", "SELECT c_custkey AS wallet, q.before, count(t.wallet) AS prior FROM customer CROSS JOIN (SELECT 600 AS before UNION ALL SELECT 1200) q LEFT JOIN v_trades t ON t.wallet = c_custkey AND t.as_of < q.before AND t.observed_at <= floor(q.before / 60) * 60 GROUP BY c_custkey, q.before", "v_trades")
+
+
+@key("SELECT c_custkey AS wallet, q.before, count(t.wallet) AS prior FROM customer CROSS JOIN (SELECT 600 AS before UNION ALL SELECT 1200) q LEFT JOIN v_trades t ON t.wallet = c_custkey AND t.as_of < q.before AND t.observed_at <= floor(q.before / 60) * 60 GROUP BY c_custkey, q.before", "v_trades")
+def wallet_priors(t):
+    """Trades of a wallet that were over and known before each moment: one pass over the trades with a sum a moment."""
+    moments = (600, 1200)
+    known = [F.sum(F.when((F.col("as_of") < m) & (F.col("observed_at") <= m // 60 * 60), 1).otherwise(0)).alias(f"at_{m}") for m in moments]
+    counts = t("v_trades").groupBy("wallet").agg(*known)
+    rows = t("customer").select(F.col("c_custkey").alias("wallet")).join(counts, "wallet", "left")
+    per = F.array(*[F.struct(F.lit(m).alias("before"), F.coalesce(f"at_{m}", F.lit(0)).alias("prior")) for m in moments])
+    return rows.select("wallet", F.inline(per))
+
+
+@key(""", d AS (SELECT o.token_key, o.created_at, count(t.wallet) AS m, o.multiple FROM v_outcomes o LEFT JOIN v_trades t ON t.token_key = o.token_key AND t.as_of <= o.created_at + 300 AND t.observed_at <= o.created_at + 300 GROUP BY o.token_key, o.created_at, o.multiple),
+c AS (SELECT CAST(floor(created_at / 300) AS BIGINT) AS b, count(*) AS launches FROM v_launches GROUP BY 1)
+SELECT a.token_key, a.m AS metrics, round(coalesce(a.multiple, 0e0), 9) AS label, CASE WHEN launches >= 300 THEN 'hot' WHEN launches <= 100 THEN 'dead' ELSE 'normal' END AS regime, CAST(count(p.token_key) AS BIGINT) AS peers, round(CASE WHEN count(p.token_key) = 0 THEN 0.5e0 ELSE count(*) FILTER (WHERE p.m <= a.m) / CAST(count(p.token_key) AS DOUBLE) END, 6) AS peer
+FROM d a LEFT JOIN d p ON p.created_at < a.created_at OR (p.created_at = a.created_at AND p.token_key < a.token_key) LEFT JOIN c ON c.b = CAST(floor(a.created_at / 300) AS BIGINT) GROUP BY a.token_key, a.m, a.multiple, launches""", "v_outcomes")
+def training_examples(t):
+    """A row per labelled token at launch + 300 s: what was known then, its rank among the tokens launched before it (never later ones), the regime of its period, and the label."""
+    from ..operators.sequence import earlier_rank
+
+    seen = t("v_trades").join(t("v_outcomes").select("token_key", "created_at"), "token_key").filter((F.col("as_of") <= F.col("created_at") + 300) & (F.col("observed_at") <= F.col("created_at") + 300)).groupBy("token_key").agg(F.count("*").alias("m"))
+    rows = t("v_outcomes").select("token_key", "created_at", "multiple").join(seen, "token_key", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    ranked = earlier_rank(rows, "created_at", "token_key", "m")
+    period = t("v_launches").groupBy(F.floor(F.col("created_at") / 300).alias("b")).agg(F.count("*").alias("launches"))
+    out = ranked.join(period, F.floor(F.col("created_at") / 300) == F.col("b"), "left")
+    regime = F.when(F.col("launches") >= 300, "hot").when(F.col("launches") <= 100, "dead").otherwise("normal")
+    share = F.when(F.col("earlier") == 0, 0.5).otherwise(F.col("lower") / F.col("earlier"))
+    return out.select("token_key", F.col("m").alias("metrics"), F.round(F.coalesce("multiple", F.lit(0.0)), 9).alias("label"), regime.alias("regime"), F.col("earlier").alias("peers"), F.round(share, 6).alias("peer"))
+
+
 plan("denomination", "SELECT token_key, CASE WHEN count(CASE WHEN event_id % 4 <> 0 THEN price END) < count(price) * 0.7e0 THEN 'usd' ELSE 'native' END AS denomination FROM v_snapshots GROUP BY token_key", "v_snapshots")
 _PATH = "SELECT token_key, as_of, price, progress, liquidity, event_id, min(as_of) OVER (PARTITION BY token_key) AS t0 FROM v_snapshots"
 plan("price_path", "SELECT token_key, hour, round(median(price), 6) AS price, max(progress) AS progress, count(*) AS n FROM (SELECT token_key, floor(as_of / 3600) AS hour, price, progress FROM v_snapshots) x GROUP BY token_key, hour", "v_snapshots")
@@ -49,7 +79,6 @@ plan("backtest_scores", f"SELECT t, count(*) AS decisions, round(avg(c), 9) AS m
 plan("threshold_sensitivity", "SELECT q.f, count(*) AS entries, round(avg(s.v), 9) AS mean FROM (SELECT token_key, avg(normalized) AS v FROM v_scores GROUP BY token_key) s CROSS JOIN (SELECT 0.5e0 AS f UNION ALL SELECT 0.75e0 UNION ALL SELECT 0.9e0 UNION ALL SELECT 1e0 UNION ALL SELECT 1.1e0 UNION ALL SELECT 1.25e0) q WHERE s.v >= 0.165e0 * q.f GROUP BY q.f", "v_scores")
 plan("meme_lineage", "SELECT text_key, count(*) AS n, min(post_id) AS root, round(count(DISTINCT author) / CAST(count(*) AS DOUBLE), 9) AS originality FROM (SELECT post_id, author, md5(text) AS text_key FROM v_posts) x GROUP BY text_key HAVING count(*) > 1", "v_posts")
 plan("recent_publication", "SELECT l.token_key FROM v_launches l WHERE EXISTS (SELECT 1 FROM v_trades t WHERE t.token_key = l.token_key AND t.as_of >= 1500 - 24 AND t.as_of <= 1500)", "v_launches")
-plan("training_examples", "SELECT token_key, m AS metrics, round(label, 9) AS label, round(cume_dist() OVER (ORDER BY label), 9) AS peer FROM (SELECT o.token_key, count(t.wallet) AS m, coalesce(o.multiple, 0e0) AS label FROM v_outcomes o LEFT JOIN v_trades t ON t.token_key = o.token_key AND t.as_of <= o.created_at + 300 AND t.observed_at <= o.created_at + 300 GROUP BY o.token_key, o.multiple) x", "v_outcomes")
 plan("evidence_rank", "SELECT token_key, metric_id, event_id, direction FROM (SELECT token_key, metric_id, event_id, CASE WHEN normalized >= 0.5e0 THEN 'for' ELSE 'against' END AS direction, row_number() OVER (PARTITION BY token_key ORDER BY normalized DESC, event_id) AS i FROM v_scores WHERE normalized IS NOT NULL) x WHERE i <= 8", "v_scores")
 plan("veto_histogram", "SELECT veto, count(*) AS n FROM (SELECT CASE WHEN share > 0.55e0 THEN 'top_holder' WHEN label = 'BUILDING' THEN 'insider' WHEN sold > bought THEN 'dev_sold' END AS veto FROM v_holders) x WHERE veto IS NOT NULL GROUP BY veto", "v_holders")
 

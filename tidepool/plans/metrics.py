@@ -10,7 +10,6 @@ from .registry import plan
 
 T = 1500
 _SEEN = f"SELECT * FROM v_trades WHERE as_of <= {T} AND observed_at <= {T}"
-_PRIOR = f"SELECT t.token_key, t.wallet, count(p.wallet) AS prior FROM (SELECT DISTINCT v.token_key, v.wallet, l.created_at FROM ({_SEEN}) v JOIN v_launches l ON v.token_key = l.token_key WHERE side = 'buy') t LEFT JOIN ({_SEEN}) p ON p.wallet = t.wallet AND p.as_of < t.created_at GROUP BY t.token_key, t.wallet"
 _CLAMP = "greatest(0e0, least(1e0, {}))"
 
 
@@ -33,23 +32,10 @@ _CLUSTER = """SELECT h.token_key, h.wallet, h.share, CASE WHEN q.funded_by IS NO
  ON h.token_key = q.token_key AND h.funded_by = q.funded_by"""
 plan("funder_clusters", f"SELECT token_key, cluster, count(*) AS wallets, round(sum(share), 6) AS share FROM ({_CLUSTER}) x GROUP BY token_key, cluster", "v_holders")
 _metric("funder_graph_dispersion", f"SELECT token_key, CASE WHEN sum(n) >= 6 THEN sum(s) * sum(s) / sum(s * s) END AS raw, CAST(sum(n) AS BIGINT) AS evidence FROM (SELECT token_key, cluster, sum(share) AS s, count(*) AS n FROM ({_CLUSTER}) c GROUP BY token_key, cluster) x GROUP BY token_key", "v_holders", digits=9)
-_metric("fresh_wallet_ratio", f"SELECT token_key, CASE WHEN count(*) >= 8 THEN sum(greatest(0e0, least(1e0, 1 - ln(1e0 + prior) / ln(21e0)))) / count(*) END AS raw, count(*) AS evidence FROM ({_PRIOR}) p GROUP BY token_key", "v_launches")
-_metric("sniper_supply_share", f"SELECT s.token_key, CASE WHEN count(*) >= 2 THEN sum(h.share * (0.4e0 + 0.6e0 * greatest(0e0, least(1e0, ln(1e0 + prior) / ln(201e0))))) END AS raw, count(*) AS evidence FROM (SELECT v.token_key, v.wallet FROM ({_SEEN}) v JOIN v_launches l ON v.token_key = l.token_key WHERE side = 'buy' AND v.as_of <= l.created_at + 20 GROUP BY v.token_key, v.wallet) s JOIN v_holders h ON h.token_key = s.token_key AND h.wallet = s.wallet JOIN ({_PRIOR}) p ON p.token_key = s.token_key AND p.wallet = s.wallet GROUP BY s.token_key", "v_launches", "v_holders")
-_metric("bundle_supply_share", f"SELECT b.token_key, sum(h.share) AS raw, count(*) AS evidence FROM (SELECT DISTINCT v.token_key, v.wallet FROM ({_SEEN}) v JOIN (SELECT token_key, slot FROM ({_SEEN}) w WHERE side = 'buy' GROUP BY token_key, slot HAVING count(DISTINCT wallet) >= 3 AND ((max(amount_token) - min(amount_token)) / max(amount_token) < 0.15e0 OR avg(CASE WHEN amount_token % 5 = 0 THEN 1e0 ELSE 0e0 END) > 0.3e0)) g ON v.token_key = g.token_key AND v.slot = g.slot WHERE side = 'buy') b JOIN v_holders h ON h.token_key = b.token_key AND h.wallet = b.wallet GROUP BY b.token_key", "v_trades", "v_holders")
-_SKILL = f"""SELECT wallet, n, shrunk AS skill FROM (SELECT wallet, count(*) AS n, 0.5e0 + (0.5e0 * avg(CASE WHEN mult > 1 THEN 1e0 ELSE 0e0 END) + 0.5e0 * avg(greatest(0e0, least(1e0, (mult - 1) / 2 + 0.5e0))) - 0.5e0) * count(*) / (count(*) + 3e0) AS shrunk
- FROM (SELECT token_key, wallet, sum(CASE WHEN side = 'sell' THEN amount_native ELSE 0e0 END) / nullif(sum(CASE WHEN side = 'buy' THEN amount_native ELSE 0e0 END), 0) AS mult FROM ({_SEEN}) v GROUP BY token_key, wallet) x WHERE mult IS NOT NULL GROUP BY wallet) y"""
-plan("wallet_skill", f"SELECT wallet, n, round(skill, 6) AS skill FROM ({_SKILL}) s", "v_trades")
-plan("smart_money", f"SELECT wallet, round(skill, 6) AS skill FROM ({_SKILL}) s WHERE n >= 5 ORDER BY round(skill, 6) DESC, wallet LIMIT 50", "v_trades")
-_metric("smart_wallet_participation", f"SELECT v.token_key, CASE WHEN count(*) >= 5 THEN sum(CASE WHEN skill > 0.3e0 THEN v.amount_native * 2 * (skill - 0.3e0) ELSE 0e0 END) / sum(v.amount_native) END AS raw, count(*) AS evidence FROM ({_SEEN}) v JOIN ({_SKILL}) s ON v.wallet = s.wallet WHERE side = 'buy' GROUP BY v.token_key", "v_trades")
-_metric("early_holder_retention", f"SELECT c.token_key, CASE WHEN count(*) >= 4 THEN {_wilson('count(h.wallet)', 'count(*)')} END AS raw, count(*) AS evidence FROM (SELECT DISTINCT v.token_key, v.wallet FROM ({_SEEN}) v JOIN v_launches l ON v.token_key = l.token_key WHERE side = 'buy' AND v.as_of <= l.created_at + 300) c LEFT JOIN v_holders h ON h.token_key = c.token_key AND h.wallet = c.wallet GROUP BY c.token_key", "v_launches", "v_holders")
 _GINI = "SELECT token_key, 2 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1e0) / count(*) AS g, count(*) AS k, CASE WHEN count(*) <= 1 THEN 0e0 ELSE -sum(x / t * ln(x / t)) / ln(CAST(count(*) AS DOUBLE)) END AS e FROM (SELECT token_key, x, row_number() OVER (PARTITION BY token_key ORDER BY x) AS i, sum(x) OVER (PARTITION BY token_key) AS t FROM ({src}) s) r GROUP BY token_key"
 _metric("holder_distribution_health", f"SELECT a.token_key, CASE WHEN a.k >= 8 THEN 0.5e0 * (1 - c.g) * (1 - 2 * greatest(0e0, c.g - a.g)) + 0.3e0 * greatest(0e0, least(1e0, c.e)) + 0.2e0 * (c.k / (c.k + 25e0)) END AS raw, a.k AS evidence FROM ({_GINI.format(src='SELECT token_key, share AS x FROM v_holders')}) a JOIN ({_GINI.format(src=f'SELECT token_key, sum(share) AS x FROM ({_CLUSTER}) q GROUP BY token_key, cluster')}) c ON a.token_key = c.token_key", "v_holders")
 plan("tradeable_holders", "WITH k AS (SELECT token_key, wallet, share FROM v_holders WHERE share > 0 AND lower(label) <> 'machinery'), s AS (SELECT token_key, sum(share) AS total FROM k GROUP BY token_key) SELECT k.token_key, k.wallet, round(CASE WHEN abs(total - 1) < 1e-6 THEN share ELSE share / total END, 9) AS share FROM k JOIN s ON k.token_key = s.token_key", "v_holders")
-_metric("insider_supply_overhang", "SELECT token_key, CASE WHEN count(*) >= 5 THEN coalesce(sum(CASE WHEN label = 'BUILDING' THEN share * greatest(0e0, balance - greatest(0e0, bought - sold) * 0.5e0) / balance END), 0e0) END AS raw, count(*) AS evidence FROM v_holders GROUP BY token_key", "v_holders")
 _metric("entry_contention", f"SELECT token_key, CASE WHEN count(*) >= 6 AND count(DISTINCT wallet) >= 4 THEN exp(-pow((log10(median(fee) * 100 + 1) - 0.5e0) / 0.45e0, 2) / 2) * (0.4e0 + 0.6e0 * (count(DISTINCT wallet) / (count(DISTINCT wallet) + 12e0))) END AS raw, count(*) AS evidence FROM ({_SEEN}) v WHERE as_of >= {T} - 600 GROUP BY token_key", "v_trades")
-_metric("buy_pressure_quality", f"SELECT v.token_key, CASE WHEN count(*) >= 6 THEN CASE WHEN sum(CASE WHEN side = 'sell' THEN amount_native ELSE 0e0 END) = 0 OR sum(CASE WHEN side = 'buy' THEN amount_native ELSE 0e0 END) = 0 THEN NULL ELSE ln(sum(CASE WHEN side = 'buy' THEN amount_native ELSE 0e0 END) / sum(CASE WHEN side = 'sell' THEN amount_native ELSE 0e0 END)) * (0.3e0 + 0.7e0 * count(DISTINCT v.wallet) / count(*)) END END AS raw, count(*) AS evidence FROM ({_SEEN}) v LEFT JOIN (SELECT token_key, wallet FROM ({_SEEN}) w GROUP BY token_key, wallet HAVING min(side) <> max(side)) r ON r.token_key = v.token_key AND r.wallet = v.wallet WHERE r.wallet IS NULL AND as_of >= {T} - 900 GROUP BY v.token_key", "v_trades")
-_metric("deployer_lineage", "SELECT l.token_key, CASE WHEN count(o.token_key) = 0 THEN 0e0 ELSE 0.4e0 * ln(1e0 + coalesce(max(o.multiple), 0e0)) + 2 * " + _wilson("sum(CASE WHEN o.graduated THEN 1 ELSE 0 END)", "nullif(count(o.token_key), 0)") + " - 4 * " + _wilson("sum(CASE WHEN o.rugged THEN 1 ELSE 0 END)", "nullif(count(o.token_key), 0)") + " - 0.5e0 * (count(o.token_key) / (count(o.token_key) + 60e0)) END AS raw, count(o.token_key) AS evidence FROM v_launches l LEFT JOIN v_outcomes o ON o.deployer = l.deployer AND o.labeled_at < l.created_at AND o.token_key <> l.token_key GROUP BY l.token_key", "v_outcomes")
-_metric("deployer_behaviour_now", f"SELECT l.token_key, CASE WHEN {T} - l.created_at < 120 THEN NULL WHEN count(v.wallet) = 0 THEN 0.5e0 WHEN sum(CASE WHEN side = 'sell' THEN amount_token ELSE 0e0 END) = 0 THEN 1 + sum(amount_token) / (sum(amount_token) + 2e0) ELSE -3 * sum(CASE WHEN side = 'sell' THEN amount_token ELSE 0e0 END) / sum(amount_token) * (1 + sum(CASE WHEN side = 'sell' AND v.as_of >= {T} - 300 THEN amount_token ELSE 0e0 END) / sum(CASE WHEN side = 'sell' THEN amount_token ELSE 0e0 END)) END AS raw, count(v.wallet) AS evidence FROM v_launches l LEFT JOIN ({_SEEN}) v ON v.token_key = l.token_key AND v.wallet % 100 = l.deployer GROUP BY l.token_key, l.created_at", "v_launches")
 
 # --- snapshots -----------------------------------------------------------------------------
 
@@ -57,29 +43,11 @@ _ES = "SELECT * FROM v_snapshots WHERE as_of <= 1000000 AND observed_at <= 10000
 _metric("realizable_exit_depth", f"SELECT token_key, min(liquidity) * (0.25e0 + 0.75e0 * max(progress)) * (0.05e0 / 1.05e0) / 40 AS raw, count(*) AS evidence FROM ({_ES}) s WHERE as_of >= 700000 GROUP BY token_key", "v_snapshots")
 _metric("price_stability_under_flow", f"SELECT token_key, CASE WHEN count(*) >= 3 THEN CASE WHEN max(price) = min(price) THEN ln(1e0 + sum(liquidity)) ELSE ln(1e0 + sum(liquidity) / abs(ln(max(price) / min(price)))) - 3 END END AS raw, count(*) AS evidence FROM ({_ES}) s GROUP BY token_key", "v_snapshots")
 _metric("launch_timing_quality", f"SELECT token_key, 0.5e0 * {_CLAMP.format('avg(CASE WHEN progress >= 0.95e0 THEN 1e0 ELSE 0e0 END) / 0.02e0')} + 0.3e0 * (sum(liquidity) / (sum(liquidity) + 750000e0)) + 0.2e0 * (1 - count(*) / (count(*) + 400e0)) AS raw, count(*) AS evidence FROM ({_ES}) s GROUP BY token_key", "v_snapshots")
-_metric("ticker_contention", "SELECT a.token_key, sum(CASE WHEN b.token_key IS NULL THEN 0e0 ELSE 0.2e0 + b.price / (b.price + 20000e0) END) AS raw, count(b.token_key) AS evidence FROM v_launches a LEFT JOIN v_launches b ON a.symbol = b.symbol AND a.token_key <> b.token_key AND b.created_at <= a.created_at GROUP BY a.token_key", "v_launches")
-_metric("description_substance", "SELECT token_key, 0.30e0 * least(1e0, length(name) / 20e0) + 0.15e0 * CASE WHEN length(name) > 8 THEN 1e0 ELSE 0e0 END + 0.30e0 * (size / 50e0) + 0.15e0 * CASE WHEN position(' ' IN name) > 0 THEN 1e0 ELSE 0e0 END + 0.10e0 * CASE WHEN token_key % 2 = 0 THEN 1e0 ELSE 0e0 END AS raw, CAST(1 AS BIGINT) AS evidence FROM v_launches", "v_launches", digits=9)
 
 # --- posts ---------------------------------------------------------------------------------
 
-_metric("engager_age_dispersion", "SELECT token_key, CASE WHEN sum(c) >= 8 THEN greatest(0e0, least(1e0, h / ln(16e0) * (1 - 0.5e0 * top))) END AS raw, CAST(max(n) AS BIGINT) AS evidence FROM (SELECT token_key, c, n, -sum(CAST(c AS DOUBLE) / n * ln(CAST(c AS DOUBLE) / n)) OVER (PARTITION BY token_key) AS h, max(CAST(c AS DOUBLE) / n) OVER (PARTITION BY token_key) AS top FROM (SELECT token_key, b, c, sum(c) OVER (PARTITION BY token_key) AS n FROM (SELECT token_key, floor(ln(1e0 + likes) * 2) AS b, count(*) AS c FROM v_posts GROUP BY token_key, floor(ln(1e0 + likes) * 2)) x) y) z GROUP BY token_key, h, top", "v_posts")
-_GAP = "SELECT token_key, as_of - lag(as_of) OVER (PARTITION BY token_key ORDER BY as_of, post_id) + likes AS gap FROM v_posts"
-_metric("reply_rhythm_naturalness", f"SELECT g.token_key, CASE WHEN count(*) >= 8 THEN ((stddev_pop(gap) - avg(gap)) / (stddev_pop(gap) + avg(gap)) + 1) / 2 * (1 - avg(CASE WHEN abs(gap - m) <= 0.15e0 * m THEN 1e0 ELSE 0e0 END)) END AS raw, count(*) AS evidence FROM ({_GAP}) g JOIN (SELECT token_key, median(gap) AS m FROM ({_GAP}) a GROUP BY token_key) q ON g.token_key = q.token_key WHERE gap IS NOT NULL GROUP BY g.token_key", "v_posts")
-_metric("follower_engagement_coherence", "SELECT token_key, CASE WHEN count(*) >= 4 THEN 1 - avg(abs(log10((likes + replies) / (0.02e0 * pow(CAST(n_chars AS DOUBLE), 0.75e0))))) / 1.5e0 END AS raw, count(*) AS evidence FROM v_posts WHERE n_chars >= 10 AND likes + replies > 0 GROUP BY token_key", "v_posts")
-_metric("engagement_depth_ratio", "SELECT token_key, CASE WHEN count(*) >= 3 THEN sum(2e0 * quotes + 1.5e0 * bookmarks + replies) / nullif(sum(likes + 0.5e0 * reposts) + sum(2e0 * quotes + 1.5e0 * bookmarks + replies), 0) END AS raw, count(*) AS evidence FROM v_posts GROUP BY token_key", "v_posts")
-_metric("conviction_language_share", "SELECT token_key, CASE WHEN count(*) >= 8 THEN " + _wilson("sum(CASE WHEN lower(text) LIKE '%that%' AND NOT lower(text) LIKE '%moon%' THEN 1 ELSE 0 END)", "count(*)") + " END AS raw, count(*) AS evidence FROM v_posts WHERE n_chars > 8 GROUP BY token_key", "v_posts")
 _metric("mention_author_diversity", "SELECT token_key, CASE WHEN sum(c) < 8 THEN NULL WHEN count(*) < 3 THEN 1e0 ELSE exp(-sum(CAST(c AS DOUBLE) / n * ln(CAST(c AS DOUBLE) / n))) * (0.5e0 + 0.5e0 * avg(CASE WHEN c > 1 THEN 1e0 ELSE 0e0 END)) END AS raw, CAST(sum(c) AS BIGINT) AS evidence FROM (SELECT token_key, author, count(*) AS c, sum(count(*)) OVER (PARTITION BY token_key) AS n FROM v_posts GROUP BY token_key, author) x GROUP BY token_key", "v_posts")
-_metric("social_velocity_acceleration", "SELECT token_key, CASE WHEN count(*) >= 10 THEN ln((sum(CASE WHEN b >= 3 THEN a ELSE 0 END) + 1e0) / (sum(CASE WHEN b < 3 THEN a ELSE 0 END) + 1e0)) END AS raw, count(*) AS evidence FROM (SELECT token_key, b, CASE WHEN row_number() OVER (PARTITION BY token_key, b, author ORDER BY post_id) = 1 THEN 1 ELSE 0 END AS a FROM (SELECT token_key, author, post_id, least(5, floor(as_of / 10000)) AS b FROM v_posts) p) x GROUP BY token_key", "v_posts")
-_metric("purchased_follower_signal", "SELECT token_key, least(1e0, max_by(CAST(likes AS DOUBLE), post_id) / (max_by(n_chars, post_id) + 1)) AS raw, CAST(1 AS BIGINT) AS evidence FROM v_posts WHERE NOT is_repost GROUP BY token_key", "v_posts", digits=9)
-_metric("identity_discontinuity", "SELECT token_key, CASE WHEN count(*) >= 3 THEN avg(CASE WHEN likes < 10 THEN 1e0 ELSE 0e0 END) * avg(CASE WHEN parent_id IS NULL THEN 1e0 ELSE 0e0 END) END AS raw, count(*) AS evidence FROM v_posts GROUP BY token_key", "v_posts", digits=9)
-_metric("organic_media_production_rate", "SELECT token_key, count(DISTINCT CASE WHEN NOT is_repost AND n_chars > 500 THEN author END) / greatest(0.25e0, (max(as_of) - min(as_of)) / 3600e0) AS raw, count(*) AS evidence FROM v_posts GROUP BY token_key", "v_posts")
-_metric("cross_platform_propagation_lag", "SELECT token_key, CASE WHEN min(CASE WHEN lang <> 'en' THEN as_of END) IS NULL THEN -ln(1 + (60000 - min(as_of)) / 3600e0) ELSE -ln(1 + greatest(0, min(CASE WHEN lang <> 'en' THEN as_of END) - min(as_of)) / 3600e0) + 0.35e0 * (count(DISTINCT lang) - 1) END AS raw, count(*) AS evidence FROM v_posts GROUP BY token_key", "v_posts")
-_metric("unpaid_promoter_share", "SELECT token_key, CASE WHEN count(*) >= 6 THEN avg(CASE WHEN tokens >= 40 THEN 0e0 ELSE 1e0 END) END AS raw, count(*) AS evidence FROM (SELECT p.token_key, p.author, a.tokens FROM (SELECT DISTINCT token_key, author FROM v_posts) p JOIN (SELECT author, count(DISTINCT token_key) AS tokens FROM v_posts GROUP BY author) a ON p.author = a.author) x GROUP BY token_key", "v_posts", digits=9)
-_metric("reply_template_ratio", "SELECT token_key, CASE WHEN sum(n) >= 6 THEN CAST(sum(CASE WHEN n >= 2 THEN n ELSE 0 END) AS DOUBLE) / sum(n) END AS raw, CAST(sum(n) AS BIGINT) AS evidence FROM (SELECT token_key, lower(text) AS skel, count(*) AS n FROM v_posts GROUP BY token_key, lower(text)) k GROUP BY token_key", "v_posts", digits=9)
-_metric("community_content_originality", "SELECT token_key, CASE WHEN count(*) >= 8 THEN (1 - (count(*) - count(DISTINCT text)) / CAST(count(*) AS DOUBLE)) * (0.5e0 + 0.5e0 * least(1e0, 2 * avg(least(1e0, n_chars / 2000e0)))) END AS raw, count(*) AS evidence FROM v_posts WHERE n_chars > 15 GROUP BY token_key", "v_posts")
 _metric("derivative_remix_depth", "SELECT token_key, CASE WHEN count(*) <= 1 THEN 0e0 ELSE -sum(CAST(c AS DOUBLE) / n * ln(CAST(c AS DOUBLE) / n)) / ln(CAST(count(*) AS DOUBLE)) * (count(*) / (count(*) + 8e0)) END AS raw, CAST(sum(c) AS BIGINT) AS evidence FROM (SELECT token_key, text, count(*) AS c, sum(count(*)) OVER (PARTITION BY token_key) AS n FROM v_posts GROUP BY token_key, text) x GROUP BY token_key", "v_posts")
-plan("meta_alignment", "WITH p AS (SELECT l.token_key, count(DISTINCT o.launchpad) AS themes, max(CASE WHEN o.symbol = l.symbol THEN 1e0 ELSE 0e0 END * 0.5e0 + CASE WHEN o.name = l.name THEN 0.5e0 ELSE 0e0 END) AS raw FROM v_launches l JOIN v_launches o ON o.launchpad = l.launchpad AND o.token_key < l.token_key AND o.token_key >= l.token_key - 60 GROUP BY l.token_key) SELECT token_key, raw, themes AS evidence FROM p", "v_launches")
-_metric("narrative_novelty", "SELECT l.token_key, 1 - (1 - 0.4e0) * greatest(0e0, least(1e0, count(o.token_key) / 8e0)) AS raw, count(o.token_key) AS evidence FROM v_launches l LEFT JOIN v_launches o ON o.name = l.name AND o.created_at < l.created_at GROUP BY l.token_key", "v_launches", digits=9)
 plan("team_accounts", "SELECT DISTINCT l.token_key, lower('@' || s_name) AS handle FROM v_launches l JOIN supplier ON s_suppkey = l.deployer", "v_launches")
 
 # --- the framework -------------------------------------------------------------------------

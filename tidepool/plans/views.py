@@ -42,13 +42,19 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                WHEN 2 THEN 'wagmi wagmi lfg gem found https://e.co/' || CAST(event_id AS VARCHAR(20)) WHEN 3 THEN 'took profit on ' || event_type || ' and cut my position by ' || CAST(event_id % 70 AS VARCHAR(20)) || ' percent after the ' || CAST(event_id % 9 AS VARCHAR(20)) || ' day move'
                WHEN 4 THEN upper(event_type) || ' buy now, last chance $' || upper(event_type) || ' #gem' ELSE 'what does ' || event_type || ' do that ' || CAST(props AS VARCHAR(200)) || ' does not, and who funds the team behind ' || CAST(event_id % 31 AS VARCHAR(20)) END AS text,
                event_id AS post_id, user_id AS author, event_id % 40 AS token_key, {sec:ts} AS as_of, event_type AS symbol FROM events"""),
+    "v_social": (("v_talk",), """
+        SELECT * FROM (SELECT post_id, token_key, author, text, CAST(floor(as_of / 240) AS BIGINT) AS as_of, CAST(token_key * 97 % 6000 AS BIGINT) AS created_at, 9000 - CAST(token_key * 97 % 6000 AS BIGINT) AS age,
+               CASE post_id % 5 WHEN 0 THEN 'x' WHEN 1 THEN 'x' WHEN 2 THEN 'telegram' WHEN 3 THEN 'reddit' ELSE 'tiktok' END AS platform, post_id % 3 = 0 AS is_reply, post_id % 7 = 0 AS is_repost, post_id % 4 = 1 AS has_media,
+               author % 23 = 0 AS is_team, post_id % 97 AS likes, post_id % 13 AS replies, post_id % 9 AS reposts, post_id % 5 AS quotes, post_id % 11 AS bookmarks, symbol,
+               CASE WHEN author % 11 = 0 THEN NULL ELSE author * 7919 % 90000 END AS followers, author * 31 % 4000 AS fast_followers, CASE WHEN author % 9 = 0 THEN NULL ELSE author * 104729 % 3000 END AS account_days, author * 13 % 40 AS post_count
+               FROM v_talk) v WHERE as_of >= created_at AND as_of <= 9000"""),
     "v_outcomes": (("v_launches",), """
         SELECT token_key, deployer, created_at, created_at + 300 + token_key % 11 AS labeled_at, token_key % 5 = 0 AS graduated, token_key % 3 = 0 AS rugged,
                CASE WHEN token_key % 7 = 0 THEN NULL ELSE CAST(token_key % 40 AS DOUBLE) / 8 END AS multiple, CASE WHEN token_key % 6 = 0 THEN NULL ELSE CAST(token_key % 29 AS DOUBLE) / 10 END AS realizable
         FROM v_launches WHERE token_key % 4 <> 3"""),
     "v_scores": (("v_snapshots",), """
         SELECT token_key, event_id, as_of, source AS metric_id, CASE WHEN source IN ('view', 'click') THEN 'social' WHEN source = 'error' THEN 'execution' ELSE 'topology' END AS family,
-               CASE WHEN event_id % 17 = 0 THEN NULL ELSE price / 500 END AS normalized, CASE WHEN event_id % 17 = 0 THEN 'missing' WHEN event_id % 13 = 0 THEN 'stale' WHEN event_id % 5 = 0 THEN 'low' WHEN event_id % 3 = 0 THEN 'medium' ELSE 'high' END AS confidence,
+               CASE WHEN event_id % 17 = 0 THEN NULL ELSE least(1e0, price / 60e0 * (0.4e0 + 0.2e0 * (token_key % 10))) END AS normalized, CASE WHEN event_id % 17 = 0 THEN 'missing' WHEN event_id % 13 = 0 THEN 'stale' WHEN event_id % 5 = 0 THEN 'low' WHEN event_id % 3 = 0 THEN 'medium' ELSE 'high' END AS confidence,
                price AS raw FROM v_snapshots"""),
 }
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
