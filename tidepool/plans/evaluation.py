@@ -114,11 +114,3 @@ def ablation(t):
     from ..operators.fitting import ablate
 
     return ablate(t("v_scores").filter("normalized IS NOT NULL").select("token_key", "metric_id", "normalized"), t("v_outcomes").select("token_key", F.coalesce("multiple", F.lit(0.0)).alias("label")))
-
-
-@key()
-def backtest_replay(t):
-    from ..operators.portfolio import risk_entries
-
-    taken = risk_entries(t("v_snapshots").select((F.col("token_key") % 5).alias("account"), "event_id", "as_of", F.col("price").alias("size"), "liquidity"))
-    return taken.groupBy("account", "reason").agg(F.count("*").alias("n"))

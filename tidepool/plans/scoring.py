@@ -16,22 +16,16 @@ _COMPOSITE = f"SELECT s.token_key, sum(share * normalized) / sum(share) AS compo
 
 plan("composite_score", f"SELECT token_key, round(composite, 6) AS composite, round(coverage, 9) AS coverage FROM ({_COMPOSITE}) c", "v_scores")
 plan("usable_values", f"SELECT token_key, count(*) AS usable, round(sum(w), 6) AS weight FROM ({_USABLE}) u GROUP BY token_key", "v_scores")
-plan("regime_weights", "WITH r AS (SELECT metric_id, CASE WHEN avg(normalized) >= 0.17e0 THEN 'hot' WHEN avg(normalized) <= 0.16e0 THEN 'dead' ELSE 'normal' END AS regime, count(*) AS n FROM v_scores GROUP BY metric_id), w AS (SELECT metric_id, regime, n * CASE regime WHEN 'hot' THEN 1.25e0 WHEN 'dead' THEN 0.8e0 ELSE 1e0 END AS w FROM r) SELECT metric_id, regime, round(w / sum(w) OVER (), 9) AS weight FROM w", "v_scores")
 plan("wash_filter", "WITH v AS (SELECT token_key, wallet, sum(amount_native) AS x, count(*) AS n FROM v_trades GROUP BY token_key, wallet), r AS (SELECT token_key, x, n, row_number() OVER (PARTITION BY token_key ORDER BY x) AS i, row_number() OVER (PARTITION BY token_key ORDER BY x DESC) AS j FROM v), g AS (SELECT token_key, sum(n) AS trades, count(*) AS k, sum(CASE WHEN j <= 2 THEN x ELSE 0e0 END) / sum(x) AS top2, 2 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1e0) / count(*) AS gini FROM r GROUP BY token_key) SELECT token_key, CAST(trades AS BIGINT) AS trades, round(top2, 6) AS top2, trades >= 6 AND (top2 >= 0.75e0 OR (gini >= 0.9e0 AND k > 3)) AS washed FROM g", "v_trades")
 plan("curve_stage", "SELECT event_id, round(least(1e0, liquidity / 4000e0), 9) AS progress, least(1e0, liquidity / 4000e0) > 0.85e0 AS late, source = 'purchase' AS suffix_ok FROM v_snapshots", "v_snapshots")
-plan("copycat", "SELECT l.token_key, count(o.token_key) AS twins FROM v_launches l JOIN v_launches o ON l.symbol = o.symbol AND l.name = o.name AND o.created_at < l.created_at AND o.token_key <> l.token_key GROUP BY l.token_key", "v_launches")
 plan("bundle_sybil", "SELECT token_key, round(b, 9) AS bundled, round(i, 9) AS insider, b >= 0.25e0 OR (b >= 0.2e0 AND i >= 0.2e0) AS sybil FROM (SELECT token_key, coalesce(sum(CASE WHEN label = 'FURNITURE' THEN share END), 0e0) AS b, coalesce(sum(CASE WHEN label = 'BUILDING' THEN share END), 0e0) AS i FROM v_holders GROUP BY token_key) x", "v_holders")
-plan("entry_gate", f"SELECT token_key, CASE WHEN token_key % 9 = 0 THEN 'vetoed' WHEN coverage < 0.2e0 THEN 'thin' WHEN composite >= 0.2e0 THEN 'enter' WHEN composite < 0.12e0 THEN 'exit' ELSE 'hold' END AS decision FROM ({_COMPOSITE}) c", "v_scores")
-plan("verdict_band", f"SELECT token_key, CASE WHEN token_key % 9 = 0 THEN 'vetoed' WHEN coverage < 0.4e0 THEN 'thin evidence' WHEN composite >= 0.25e0 THEN 'strong' WHEN composite >= 0.2e0 THEN 'good' WHEN composite >= 0.15e0 THEN 'mixed' ELSE 'weak' END AS band FROM ({_COMPOSITE}) c", "v_scores")
 plan("screen", "SELECT token_key, event_id, round(rank, 6) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY token_key ORDER BY rank DESC, event_id) AS i FROM (SELECT token_key, event_id, price / (price + 100e0) + 0.3e0 * progress + CASE WHEN source = 'signup' THEN 0.2e0 ELSE 0e0 END - 0.1e0 * (event_id % 3) AS rank FROM v_snapshots WHERE liquidity >= 400 AND as_of >= 1000000) a) b WHERE i = 1 ORDER BY rank DESC, token_key LIMIT 40", "v_snapshots")
 plan("ticker_index", "SELECT symbol, count(*) AS tokens, min(token_key) AS first_token, round(sum(price), 2) AS liquidity FROM v_launches WHERE created_at <= 900 AND created_at >= 300 GROUP BY symbol", "v_launches")
 plan("confluence_boost", "SELECT t.token_key, count(DISTINCT t.wallet) AS matches, round(CASE WHEN count(DISTINCT t.wallet) >= 2 THEN greatest(0.99e0, 0.6e0 * max(c_acctbal) / 10000) ELSE 0.45e0 * max(c_acctbal) / 10000 END, 9) AS boost FROM v_trades t JOIN customer ON c_custkey = t.wallet WHERE c_acctbal > 9500 AND side = 'buy' GROUP BY t.token_key", "v_trades")
 plan("fill_sim", "SELECT event_id, round(tokens * (1 - 0.013e0), 6) AS tokens, round((d / tokens / (x / y) - 1) * 10000, 4) AS bps, (d / tokens / (x / y) - 1) * 10000 > 350 AS rejected FROM (SELECT event_id, 30e0 + event_id % 85 AS x, 1000e0 + event_id % 777 AS y, 0.2e0 + event_id % 3 AS d, (1000e0 + event_id % 777) - (30e0 + event_id % 85) * (1000e0 + event_id % 777) / ((30e0 + event_id % 85) + (0.2e0 + event_id % 3)) AS tokens FROM events) q")
 plan("contention", "SELECT token_key, round(least(1e0, greatest(0e0, log10(1 + median(fee) * 100) / 1.5e0)), 6) AS contention FROM v_trades WHERE as_of <= 1500 AND observed_at <= 1500 AND as_of >= 1200 GROUP BY token_key", "v_trades")
-plan("tip_tier", "SELECT p.wallet, round(least(p.size * 0.05e0, CASE WHEN p.wallet % 3 = 0 THEN q.p25 WHEN p.wallet % 3 = 1 THEN q.p50 ELSE q.p75 END), 6) AS tip FROM (SELECT wallet, avg(amount_token) AS size FROM v_trades GROUP BY wallet) p CROSS JOIN (SELECT min(fee) AS p25, median(fee) AS p50, max(fee) AS p75 FROM v_trades) q", "v_trades")
 plan("kill_switch", "SELECT token_key, round(min(m), 6) AS worst, max(CASE WHEN e AND e1 AND e2 THEN 1 ELSE 0 END) AS tripped FROM (SELECT token_key, avg(price) OVER (PARTITION BY token_key ORDER BY as_of, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS m, source = 'error' AS e, lag(source) OVER (PARTITION BY token_key ORDER BY as_of, event_id) = 'error' AS e1, lag(source, 2) OVER (PARTITION BY token_key ORDER BY as_of, event_id) = 'error' AS e2 FROM v_snapshots) x GROUP BY token_key", "v_snapshots")
 plan("fill_calibration", "SELECT count(*) AS n, round(avg(o), 4) AS observed, round(avg(m), 4) AS modelled, round(avg(o) - avg(m), 4) AS gap FROM (SELECT (t.amount_native / t.amount_token / s.price - 1) * 10000 AS o, t.discount * 10000 AS m FROM v_trades t JOIN v_snapshots s ON s.token_key = t.token_key AND s.as_of <= t.as_of * 1000 AND t.as_of * 1000 <= s.as_of + 3000 WHERE side = 'buy') x", "v_trades", "v_snapshots")
-plan("social_spike", "SELECT token_key, count(DISTINCT author) AS accounts FROM v_posts WHERE n_chars >= 2000 GROUP BY token_key HAVING count(DISTINCT author) >= 4", "v_posts")
 plan("revenue_share", "SELECT c_mktsegment AS tier, count(*) AS n, round(sum(o_totalprice * CASE WHEN c_acctbal > 5000 THEN 0.005e0 ELSE 0.01e0 END), 2) AS fees, round(sum(o_totalprice * CASE WHEN c_acctbal > 5000 THEN 0.005e0 ELSE 0.01e0 END * 0.2e0), 2) AS referral FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment")
 plan("authority_audit", "SELECT p_partkey, score, CASE WHEN score <= 40 OR p_partkey % 7 = 0 THEN 'critical' WHEN score <= 80 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN p_size < 5 THEN 'QUARANTINE' WHEN score <= 40 THEN 'VETO' ELSE 'APPROVE' END AS verdict FROM (SELECT p_partkey, p_size, 100 - CASE WHEN p_partkey % 5 = 0 THEN 40 ELSE 0 END - CASE WHEN p_partkey % 7 = 0 THEN 50 ELSE 0 END - CASE WHEN p_partkey % 3 = 0 THEN 20 ELSE 0 END AS score FROM part) x")
 
@@ -48,14 +42,6 @@ plan("funder_apply", "SELECT h.token_key, h.wallet, CASE WHEN f.wallets >= 1100
 plan("team_wallets", "SELECT DISTINCT h.token_key, h.wallet FROM v_holders h JOIN v_holders d ON d.token_key = h.token_key AND d.funded_by = h.funded_by WHERE d.wallet % 100 = h.token_key % 100 OR h.label = 'BUILDING'", "v_holders")
 plan("funding_cabal", "SELECT DISTINCT h.token_key FROM v_holders h JOIN v_launches l ON l.token_key = h.token_key JOIN supplier ON s_suppkey = l.deployer WHERE s_nationkey = h.funded_by", "v_holders", "v_launches")
 plan("topology_edges", "WITH h AS (SELECT token_key, wallet, funded_by, share, row_number() OVER (PARTITION BY token_key ORDER BY share DESC, wallet) AS i FROM v_holders) SELECT token_key, 'holds' AS kind, wallet AS source, token_key AS target FROM h WHERE i <= 40 UNION ALL SELECT DISTINCT token_key, 'funded', funded_by AS source, wallet AS target FROM h WHERE i <= 40", "v_holders")
-plan("explain", f"SELECT token_key, 'score ' || CAST(CAST(round(composite * 100, 0) AS INT) AS VARCHAR(10)) || ' coverage ' || CAST(CAST(round(coverage * 100, 0) AS INT) AS VARCHAR(10)) AS text FROM ({_COMPOSITE}) c", "v_scores")
-
-
-@key("SELECT token_key, array_to_string(list_filter([CASE WHEN max(share) > 0.55 THEN 'top_holder_concentration' END, CASE WHEN sum(share) FILTER (WHERE label = 'BUILDING') > 0.3 THEN 'insider_supply' END, CASE WHEN count(*) < 5 THEN 'holder_breadth' END, CASE WHEN max(sold) > max(bought) THEN 'dev_sold' END], lambda x: x IS NOT NULL), ',') AS vetoes FROM v_holders GROUP BY token_key", "v_holders")
-def veto_set(t):
-    g = t("v_holders").groupBy("token_key").agg(F.max("share").alias("top"), F.sum(F.when(F.col("label") == "BUILDING", F.col("share"))).alias("insider"), F.count("*").alias("n"), F.max("sold").alias("sold"), F.max("bought").alias("bought"))
-    rules = F.array(F.when(F.col("top") > 0.55, "top_holder_concentration"), F.when(F.col("insider") > 0.3, "insider_supply"), F.when(F.col("n") < 5, "holder_breadth"), F.when(F.col("sold") > F.col("bought"), "dev_sold"))
-    return g.select("token_key", F.array_join(F.array_distinct(F.array_compact(rules)), ",").alias("vetoes"))
 
 
 @key()
@@ -65,17 +51,3 @@ def phash_clusters(t):
 
     pairs = hamming_pairs(t("embeddings").select("vec_id", sign_bits("embedding").alias("h")), "vec_id", "h", 17)
     return label_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-
-@key()
-def risk_entry(t):
-    from ..operators.portfolio import risk_entries
-
-    return risk_entries(t("v_snapshots").select((F.col("token_key") % 10).alias("account"), "event_id", "as_of", F.col("price").alias("size"), "liquidity"))
-
-
-@key()
-def exit_policy(t):
-    from ..operators.portfolio import exits
-
-    return exits(t("v_snapshots").select("token_key", "event_id", "as_of", "price"))

@@ -48,6 +48,12 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                author % 23 = 0 AS is_team, post_id % 97 AS likes, post_id % 13 AS replies, post_id % 9 AS reposts, post_id % 5 AS quotes, post_id % 11 AS bookmarks, symbol,
                CASE WHEN author % 11 = 0 THEN NULL ELSE author * 7919 % 90000 END AS followers, author * 31 % 4000 AS fast_followers, CASE WHEN author % 9 = 0 THEN NULL ELSE author * 104729 % 3000 END AS account_days, author * 13 % 40 AS post_count
                FROM v_talk) v WHERE as_of >= created_at AND as_of <= 9000"""),
+    "v_security": (("v_launches", "v_holders"), """
+        SELECT l.token_key, l.deployer, l.symbol, l.name, l.created_at, 1500 - l.created_at AS age, CASE WHEN l.token_key % 13 = 0 THEN false WHEN l.token_key % 7 = 0 THEN NULL ELSE true END AS mint_revoked, CASE WHEN l.token_key % 17 = 0 THEN false ELSE true END AS freeze_revoked,
+               CASE WHEN l.token_key % 19 = 0 THEN 50 ELSE 0 END AS transfer_fee_bps, CASE WHEN l.token_key % 4 = 0 THEN CAST(l.token_key % 10 AS DOUBLE) / 10 END AS lp_burned, l.token_key % 5 = 0 AS graduated, l.token_key % 23 = 0 AS dev_sold, l.token_key % 997 = 0 AS halted,
+               h.top10, h.insider, h.bundled, l.price * 10 AS liquidity, 60 + l.token_key % 200 AS holder_count, CAST(l.token_key % 50 AS DOUBLE) / 50 AS template, CASE WHEN l.token_key % 3 = 0 THEN 'low' ELSE 'high' END AS template_confidence, CAST(l.token_key % 100 AS DOUBLE) / 100 AS progress, l.token_key % 11 + 0.5e0 AS depth
+        FROM v_launches l LEFT JOIN (SELECT token_key, sum(CASE WHEN i <= 2 THEN share ELSE 0e0 END) AS top10, sum(CASE WHEN label = 'BUILDING' THEN share ELSE 0e0 END) AS insider, sum(CASE WHEN label = 'FURNITURE' THEN share ELSE 0e0 END) AS bundled
+          FROM (SELECT token_key, share, label, row_number() OVER (PARTITION BY token_key ORDER BY share DESC, wallet) AS i FROM v_holders) r GROUP BY token_key) h ON h.token_key = l.token_key"""),
     "v_outcomes": (("v_launches",), """
         SELECT token_key, deployer, created_at, created_at + 300 + token_key % 11 AS labeled_at, token_key % 5 = 0 AS graduated, token_key % 3 = 0 AS rugged,
                CASE WHEN token_key % 7 = 0 THEN NULL ELSE CAST(token_key % 40 AS DOUBLE) / 8 END AS multiple, CASE WHEN token_key % 6 = 0 THEN NULL ELSE CAST(token_key % 29 AS DOUBLE) / 10 END AS realizable
