@@ -38,6 +38,16 @@ def test_query_matches_its_twin(spark, duck, name):
     assert norm(got.select(*columns).collect()) == norm(duck.sql(f"SELECT {quoted} FROM ({catalog.ORACLES[name]})").fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_query_without_twin_runs(spark, name):
-    assert catalog.QUERIES[name](spark, FOLDER).count() >= 0
+def test_queries_without_twins_are_tested_elsewhere():
+    from . import test_plain
+
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == test_plain.TESTED
+
+
+#: Right answers that are empty on the smallest tables.
+EMPTY = {"hamming_pairs"}
+
+
+def test_twins_give_rows(duck):
+    empty = {n for n, sql in catalog.ORACLES.items() if not duck.sql(f"SELECT count(*) FROM ({sql})").fetchall()[0][0]}
+    assert empty <= EMPTY

@@ -94,8 +94,3 @@ def test_novelty_scores_long_and_accented_turns(spark, tmp_path):
     want = {(c, n): 1 - max(len(grams(s) & grams(b)) / len(grams(s) | grams(b)) for _, b in items) for c, n, s in turns}
     got = {(r.conv_id, r.turn): r.novelty for r in catalog.QUERIES["novelty_vs_corpus"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=1e-6)
-
-
-def test_bootstrap_draws_two_thousand_resamples(spark):
-    text = catalog.QUERIES["bootstrap_ci"](spark, FOLDER)._jdf.queryExecution().analyzed().toString()
-    assert re.search(r"explode\(sequence\(1, 2000\b", text)

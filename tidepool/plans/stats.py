@@ -106,18 +106,11 @@ def jaccard(t):
     return t("v_trades").groupBy("token_key").agg(side("buy").alias("a"), side("sell").alias("b")).select("token_key", F.round(j(F.col("a"), F.col("b")), 9).alias("j"))
 
 
-def bootstrap(df, value: str, resamples: int = 2000, seed: int = 1337):
-    """Percentile interval of the mean by Poisson(1) weights: each row draws its weight per resample, so nothing is gathered."""
-    u = lambda i: F.pmod(F.xxhash64(F.monotonically_increasing_id(), i, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rows = df.select(value).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("u", u(F.col("b")))
-    weight = sum(((F.col("u") > c).cast("int") for c in (0.7357588823, 0.9196986029, 0.9810118431, 0.9963401532)), (F.col("u") > 0.3678794412).cast("int"))
-    means = rows.withColumn("w", weight).groupBy("b").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
-    return means.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
-
-
 @key()
 def bootstrap_ci(t):
-    return bootstrap(t("v_snapshots").filter("source = 'purchase'"), "price")
+    from ..operators.resample import bootstrap
+
+    return bootstrap(t("v_snapshots").filter("source = 'purchase'"), "event_id", "price")
 
 
 @key("SELECT event_id, round(greatest(0, least(0.05, 0.25 * (p - (1 - p) / (0.5 + event_id % 5)))), 9) AS size FROM (SELECT event_id, event_id % 100 / 100.0 AS p FROM events)")
