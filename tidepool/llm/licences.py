@@ -87,6 +87,7 @@ RULES: list[tuple[str, list[str]]] = [
 # counted between those of a rule, end at . ! or ? before white space (not after "v.") or at an empty line.
 _WORD = re.compile(r"[A-Za-z0-9]+")
 _EDGE = re.compile(r"[.!?:;\n\r\x0b\x0c]")
+_STOP = re.compile(r"(?<!\bv)[.!?](?=[\x20\x09-\x0D])")
 _WHOLE = re.compile(r"(?<!\bv)[.!?](?=[\x20\x09-\x0D]|$)|\n[\x20\x09]*\r?\n")
 
 
@@ -119,13 +120,16 @@ class Rulebook:
         spans = [m.span() for m in _WORD.finditer(text)]
         words = [text[a:b].lower() for a, b in spans]
         ends = [m.end() for m in _WHOLE.finditer(text)]
+        stops = [m.start() for m in _STOP.finditer(text)]
         out, at = [], 0
         while at < len(words):
             best = None
             edge = lambda i: i in (0, len(words)) or _EDGE.search(text, spans[i - 1][1], spans[i][0])
             for known in self.first.get(words[at], ()):
                 stop = at + len(known)
-                if tuple(words[at:stop]) == known and (len(known) >= LONG or edge(at) and edge(stop)):
+                if tuple(words[at:stop]) != known or bisect_left(stops, spans[at][0]) != bisect_left(stops, spans[stop - 1][0]):
+                    continue  # other words, or a sentence ends within
+                if len(known) >= LONG or edge(at) and edge(stop):
                     best = known
                     break
             if best is None:
