@@ -341,6 +341,34 @@ def test_forest_against_brute_force(spark):
     assert got[301] == got[302][:0] + (0, 301, True)
 
 
+@pytest.mark.parametrize("size", [1200, 3600])
+def test_forest_splits_full_leaves(spark, monkeypatch, size):
+    """Recall against brute force at two sizes, with leaves far smaller than the sample would make them."""
+    monkeypatch.setattr(forest, "SAMPLE", 200)
+    monkeypatch.setattr(forest, "FULL", 100)
+    rng = np.random.default_rng(size)
+    centres = rng.standard_normal((size // 4, 24))
+    x = centres[np.arange(size) % len(centres)] + 0.1 * rng.standard_normal((size, 24))
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in forest.near_vectors(df).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (np.arange(size)[:, None] % 2 == np.arange(size)[None] % 2) & ~np.eye(size, dtype=bool)
+    want = near.sum(1)
+    assert want.sum() > size and all(got[i] <= want[i] for i in range(size)) and sum(got.values()) >= 0.9 * want.sum()
+
+
+def test_forest_with_odd_rows(spark):
+    kind = "vec_id long, embedding array<double>, label int, x string, id long, cell long, copies long, own string"
+    more = ("x", 1, 2, 3, "y")
+    assert forest.near_vectors(spark.createDataFrame([], kind)).count() == 0
+    a, b = [1.0, 0.0], [1.0, 0.01]
+    rows = [(None, a, 1), (None, None, 1), (1, a, 1), (1, a, 1), (1, [0.0, 1.0], 1), (2, b, 1), (3, a, None), (4, [], 1), (5, [float("inf"), 1.0], 1), (6, [1.0], 1), (7, [0.0, 0.0], 1), (8, [1.0, None], 1)]
+    got = forest.near_vectors(spark.createDataFrame([(*r, *more) for r in rows], kind)).collect()
+    assert len(got) == len(rows) and {(r.n_links, r.component_id, r.kept) for r in got if r.vec_id in (3, 4, 5, 6, 7, 8)} == {(0, i, True) for i in (3, 4, 5, 6, 7, 8)}
+    linked = {r.vec_id: (r.n_links, r.component_id) for r in got if r.vec_id in (None, 1, 2)}
+    assert linked[2] == (3, None) and linked[None][1] is None and linked[1][1] is None
+
+
 def test_mix_targets_and_takes(spark):
     rng = random.Random(9)
     rows = [(i, "w " * rng.randint(1, 40), ("a", "b", "c", None)[min(3, int(rng.random() ** 2 * 5))]) for i in range(600)]

@@ -1,15 +1,18 @@
 """Embedding near-dedup with a random-projection tree forest.
 
-Trees are sets of random hyperplanes with split values, fitted on a bounded sample; every
-vector is routed through all of them. At a split, a vector whose projection lies
-within the spill margin goes to both sides, so near neighbours rarely part. Vectors are
-compared within (label, leaf) only; a pair that shares leaves of several trees counts in
-the first of them. Links (cosine of at least THRESHOLD in double precision) are counted
+Trees are sets of random hyperplanes with split values; their upper levels are fitted on a
+bounded sample, and every vector is routed through all of them. Leaves that hold too many
+vectors of a label are split further, level by level, at the medians of seeded projections
+that Spark computes over the leaf's own vectors, so leaves don't grow with the table. At a
+split, a vector whose projection lies within the spill margin goes to both sides, so near
+neighbours rarely part. Vectors are compared within (label, leaf) only; a pair that shares
+leaves of several trees counts in the first of them. Links (cosine of at least THRESHOLD in double precision) are counted
 per vector and joined into components by one edge a vector and leaf.
 
 Equal vectors of a label collapse to one with a multiplicity before routing. A leaf is
 compared in blocks: its members are dealt to blocks of BLOCK rows and every pair of blocks
-is a task of its own, so no leaf, however full, is gathered whole.
+is a task of its own, so no leaf that can't be split (of vectors that are all near) is
+gathered whole.
 
 Edge cases: rows with a null label link with nothing, and so do null, empty and zero vectors
 and those with null or non-finite components; vectors of different length don't link; rows that share a vec_id
@@ -20,13 +23,15 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import park, small_hashes
+from .store import park, release, small_hashes
 
 THRESHOLD = 0.93
 TREES = 8
@@ -35,6 +40,9 @@ SAMPLE = 20_000
 SPILL = 0.10  # margin of a split, in cosine units
 BLOCK = 1024
 MAX_DEPTH = 24
+FULL = 2048  # vectors of a label from which a leaf is split further
+LEVELS = 24  # further levels at most
+LEAST_GAIN = 0.9  # a split whose larger side keeps more than this share isn't made
 SEED = 11
 _NONE = -(1 << 63)
 
@@ -114,7 +122,7 @@ def _unit(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def _route(shared):
-    """(label, dim, tree, leaf, id, copies, x, own): own lists (tree, leaf) of the vector, sorted."""
+    """(label, dim, cell, id): the leaves of every vector, cells being tree << 40 | leaf."""
 
     def run(batches):
         forest = Forest.of(*shared.value)
@@ -123,22 +131,61 @@ def _route(shared):
             dims = np.array([len(r) for r in rows])
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                parts = [[] for _ in at]
+                who, cells = [at], [np.ones(len(at), np.int64)]  # a length of its own: one leaf
                 if d == forest.dim:
                     unit = _unit([rows[i] for i in at])
-                    for t in range(len(forest.trees)):
-                        for r, leaf in zip(*forest.leaves(unit, t), strict=True):
-                            parts[r].append((t << 32) | int(leaf))
-                else:
-                    parts = [[1] for _ in at]  # a length of its own: one leaf
-                count = [len(p) for p in parts]
-                take = pa.array(np.repeat(at, count))
-                own = [sorted(p) for p in parts]
-                yield pa.RecordBatch.from_arrays([batch.column("label").take(take), pa.array([int(d)] * len(take), pa.int32()), pa.array([c for p in own for c in p], pa.int64()), batch.column("id").take(take), batch.column("copies").take(take), batch.column("x").take(take), pa.array([p for p, c in zip(own, count, strict=True) for _ in range(c)], pa.list_(pa.int64()))], names=["label", "dim", "cell", "id", "copies", "x", "own"])
+                    found = [forest.leaves(unit, t) for t in range(len(forest.trees))]
+                    who, cells = [at[r] for r, _ in found], [(t << 40) | leaf for t, (_, leaf) in enumerate(found)]
+                take = pa.array(np.concatenate(who))
+                yield pa.RecordBatch.from_arrays([batch.column("label").take(take), pa.array(np.full(len(take), d, np.int32)), pa.array(np.concatenate(cells)), batch.column("id").take(take)], names=["label", "dim", "cell", "id"])
 
     return run
 
 
+def _project(batches):
+    """Projections of vectors on the plane of their cell."""
+    planes: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        put = []
+        for v, cell in zip(_vectors(batch), batch.column("cell").to_pylist(), strict=True):
+            plane = planes.get((cell, len(v)))
+            if plane is None:
+                if len(planes) > 4096:
+                    planes.clear()
+                plane = np.random.default_rng([SEED, cell]).standard_normal(len(v))
+                plane = planes[cell, len(v)] = plane / np.linalg.norm(plane)
+            put.append(float(v @ plane) / float(np.sqrt(v @ v)))
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("dim"), batch.column("cell"), batch.column("id"), pa.array(put, pa.float64())], names=["label", "dim", "cell", "id", "put"])
+
+
+def _split_full(cells: DataFrame, vectors: DataFrame, kind: str) -> DataFrame:
+    """Cells with those of more than FULL vectors split until none is left that a split makes smaller."""
+    spark, keys = cells.sparkSession, ["label", "dim", "cell"]
+    done, open_ = [], cells
+    for _ in range(LEVELS):
+        sizes = park(open_.groupBy(*keys).agg(F.count("*").alias("n")))
+        full = sizes.filter(F.col("n") > FULL)
+        if not full.limit(1).count():
+            break
+        done.append(park(open_.join(full, keys, "left_anti")))
+        rows = open_.join(full.select(*keys), keys, "left_semi").join(vectors.select("id", "x"), "id")
+        put = park(rows.select(*keys, "id", "x").mapInArrow(_project, f"label {kind}, dim int, cell long, id long, put double"))
+        mid = put.groupBy(*keys).agg(F.percentile_approx("put", 0.5, 1000).alias("mid"), F.count("*").alias("n"))
+        low, high = F.col("put") < F.col("mid") + SPILL / 2, F.col("put") >= F.col("mid") - SPILL / 2
+        counted = put.join(mid, keys).groupBy(*keys, "mid", "n").agg(F.count_if(low).alias("a"), F.count_if(high).alias("b"))
+        good = F.greatest("a", "b") <= F.col("n") * LEAST_GAIN
+        counted = park(counted.select(*keys, "mid", good.alias("good")))
+        split = put.join(counted, keys)
+        leaf = F.col("cell").bitwiseAND((1 << 40) - 1)
+        child = F.col("cell") - leaf + leaf * 2
+        sides = F.array_compact(F.array(F.when(low, child), F.when(high, child + 1)))
+        done.append(park(split.filter("NOT good").select(*keys, "id")))
+        open_ = park(split.filter((F.col("good")) & (leaf < 1 << 38)).select("label", "dim", F.explode(sides).alias("cell"), "id"))
+        done.append(park(split.filter((F.col("good")) & (leaf >= 1 << 38)).select(*keys, "id")))
+        release(spark)
+    return reduce(DataFrame.union, [*done, open_])
+
+
 def _compare(group: pa.Table) -> pa.Table:
     """Links between two blocks of a leaf (or within one): per vector the copies linked, and one partner."""
     cell, side = group["cell"][0].as_py(), group["side"].to_numpy()
@@ -200,9 +247,12 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     share = len(sample) / max(1, total)
     forest = Forest(np.array(sample), LEAF * labels * share)
     shared = spark.sparkContext.broadcast((forest.dim, forest.trees))
-    routed = park(distinct.select("label", "x", "id", "copies").mapInArrow(_route(shared), f"label {kind}, dim int, cell long, id long, copies long, x binary, own array<long>"))
+    cells = park(distinct.select("label", "x", "id").mapInArrow(_route(shared), f"label {kind}, dim int, cell long, id long"))
+    cells = _split_full(cells, distinct, kind)
+    own = cells.groupBy("id").agg(F.array_sort(F.collect_list("cell")).alias("own"))
+    routed = cells.join(park(distinct.select("id", "copies", "x").join(own, "id")), "id")
     # Blocks of a leaf: as many as its size asks for; every pair of blocks is one group.
-    sizes = routed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = cells.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocked = routed.join(sizes, ["label", "dim", "cell"]).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("lo"), F.greatest("b", o).alias("hi"), F.when(F.col("b") == o, 0).when(F.col("b") < o, 1).otherwise(2).alias("side")))
     dealt = blocked.withColumn("p", F.explode(pairs)).select("label", "dim", "cell", "id", "copies", "x", "own", F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi"), F.col("p.side").alias("side"))
