@@ -30,7 +30,7 @@ from .blocks import NO_ID, unpack
 from .kernels import span_hashes, text_buffer, word_spans
 
 WIN = 13
-UNIT = anchors.Unit(words=True, win=WIN, k=7)
+UNIT = anchors.Unit(words=True, win=WIN, k=5)
 PER_SHARD = 4096
 MAX_REFERENCE_WORDS = 2_000_000
 
