@@ -49,9 +49,3 @@ _metric("launch_timing_quality", f"SELECT token_key, 0.5e0 * {_CLAMP.format('avg
 _metric("mention_author_diversity", "SELECT token_key, CASE WHEN sum(c) < 8 THEN NULL WHEN count(*) < 3 THEN 1e0 ELSE exp(-sum(CAST(c AS DOUBLE) / n * ln(CAST(c AS DOUBLE) / n))) * (0.5e0 + 0.5e0 * avg(CASE WHEN c > 1 THEN 1e0 ELSE 0e0 END)) END AS raw, CAST(sum(c) AS BIGINT) AS evidence FROM (SELECT token_key, author, count(*) AS c, sum(count(*)) OVER (PARTITION BY token_key) AS n FROM v_posts GROUP BY token_key, author) x GROUP BY token_key", "v_posts")
 _metric("derivative_remix_depth", "SELECT token_key, CASE WHEN count(*) <= 1 THEN 0e0 ELSE -sum(CAST(c AS DOUBLE) / n * ln(CAST(c AS DOUBLE) / n)) / ln(CAST(count(*) AS DOUBLE)) * (count(*) / (count(*) + 8e0)) END AS raw, CAST(sum(c) AS BIGINT) AS evidence FROM (SELECT token_key, text, count(*) AS c, sum(count(*)) OVER (PARTITION BY token_key) AS n FROM v_posts GROUP BY token_key, text) x GROUP BY token_key", "v_posts")
 plan("team_accounts", "SELECT DISTINCT l.token_key, lower('@' || s_name) AS handle FROM v_launches l JOIN supplier ON s_suppkey = l.deployer", "v_launches")
-
-# --- the framework -------------------------------------------------------------------------
-
-_N = "SELECT token_key, event_id, source AS metric_id, price AS raw, event_id % 40 AS evidence, (event_id % 7) * 60 AS age, cume_dist() OVER (PARTITION BY source ORDER BY price) AS pct, count(*) OVER (PARTITION BY source) AS peers FROM v_snapshots"
-plan("metric_normalize", f"SELECT event_id, round(CASE WHEN metric_id = 'error' THEN 1 - n ELSE n END, 9) AS normalized FROM (SELECT event_id, metric_id, CASE WHEN peers >= 30 AND event_id % 2 = 0 THEN pct ELSE 1 / (1 + exp(-greatest(-60e0, least(60e0, 0.02e0 * (raw - 80e0))))) END AS n FROM ({_N}) x) y", "v_snapshots")
-plan("metric_confidence", f"SELECT event_id, CASE WHEN evidence <= 0 THEN 'missing' WHEN age < 120 THEN 'low' WHEN event_id % 11 = 0 THEN 'low' WHEN evidence < 10 THEN 'low' WHEN evidence < 30 THEN 'medium' ELSE 'high' END AS confidence FROM ({_N}) x", "v_snapshots")

@@ -225,11 +225,11 @@ def funder_edges(t):
 
 
 @key("""WITH h AS (SELECT vec_id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (CAST(1 AS HUGEINT) << i) ELSE 0 END))::UHUGEINT AS h FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(CAST(xor(a.h, b.h) AS HUGEINT)) AS INTEGER) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(CAST(xor(a.h, b.h) AS HUGEINT)) <= 14""")
+SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(CAST(xor(a.h, b.h) AS HUGEINT)) AS INTEGER) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(CAST(xor(a.h, b.h) AS HUGEINT)) <= 16""")
 def hamming_pairs(t):
     from ..operators.similarity import hamming_pairs as pairs, sign_bits
 
-    return pairs(t("embeddings").select("vec_id", sign_bits("embedding").alias("h")), "vec_id", "h", 14)
+    return pairs(t("embeddings").select("vec_id", sign_bits("embedding").alias("h")), "vec_id", "h", 16)
 
 
 _GRAMS = "unnest(CASE WHEN len(t) > 0 THEN list_distinct(list_transform(range(1, greatest(len(t) - 2, 2)), lambda i: substr(t, i, 4))) ELSE [] END)"
