@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import duckdb
 import pytest
 
+from tidepool.functions.text import STOPWORDS
 from tidepool.plans import catalog
 
 from .test_oracles import norm
@@ -65,7 +66,7 @@ def normal(s):
 
 
 def words(s):
-    return [w for w in re.findall(r"[a-z0-9']+", normal(s)) if len(w) > 1]
+    return [w for w in re.findall(r"[a-z0-9']+", normal(s)) if len(w) > 1 and w not in STOPWORDS]
 
 
 def effort(s):

@@ -58,8 +58,8 @@ plan("edge_verdict", "SELECT min(b.mean) < s.mean AS beats_one, max(b.mean) < s.
 plan("metric_coverage", "SELECT metric_id, count(*) AS evaluated, count(normalized) AS usable, round(count(normalized) / CAST(count(*) AS DOUBLE), 9) AS coverage, min(CASE WHEN normalized IS NULL THEN event_id END) AS first_absent FROM v_scores GROUP BY metric_id", "v_scores")
 plan("channel_candidates", "SELECT author, count(DISTINCT token_key) AS tokens FROM (SELECT author, token_key FROM v_posts WHERE n_chars > 800 UNION ALL SELECT author, (token_key + 7) % 50 FROM v_posts WHERE is_repost) x GROUP BY author HAVING count(DISTINCT token_key) >= 2", "v_posts")
 plan("channel_drop", "SELECT author, median(likes) AS median_likes, round(avg(CASE WHEN likes > 48 THEN 1e0 ELSE 0e0 END), 9) AS led, CASE WHEN count(*) >= 3 AND median(likes) <= 40 THEN 'weak' WHEN count(*) < 3 THEN 'thin' ELSE 'kept' END AS state FROM v_posts GROUP BY author", "v_posts")
-_MEM = "SELECT event_id, source AS kind, as_of, price / 500e0 AS confidence, (2500000 - as_of) / 3600e0 AS age FROM v_snapshots"
-plan("memory_recall", f"SELECT event_id, round(confidence * pow(0.5e0, age / 72e0), 6) AS score FROM ({_MEM}) m WHERE confidence * pow(0.5e0, age / 72e0) >= 0.0035e0 ORDER BY confidence * pow(0.5e0, age / 72e0) DESC, event_id LIMIT 24", "v_snapshots")
+_MEM = "SELECT event_id, source AS kind, as_of, least(1e0, price / 80e0) AS confidence, (2500000 - as_of) / 3600e0 AS age FROM v_snapshots"
+plan("memory_recall", f"SELECT event_id, round(confidence * pow(0.5e0, age / 72e0), 6) AS score FROM ({_MEM}) m WHERE confidence * pow(0.5e0, age / 72e0) >= 0.35e0 ORDER BY confidence * pow(0.5e0, age / 72e0) DESC, event_id LIMIT 24", "v_snapshots")
 plan("memory_scd2", "SELECT token_key, source, event_id, as_of AS valid_from, lead(as_of) OVER (PARTITION BY token_key, source ORDER BY as_of, event_id) AS valid_until FROM v_snapshots", "v_snapshots")
 plan("heuristics", "SELECT source, metric, side, count(*) AS n, round(least(0.95e0, 0.4e0 + 0.12e0 * ln(CAST(count(*) AS DOUBLE)) / ln(2e0)), 9) AS confidence FROM (SELECT source, token_key % 10 AS metric, CASE WHEN price < 50 THEN 'low' ELSE 'high' END AS side FROM v_snapshots) x GROUP BY source, metric, side HAVING count(*) >= 3", "v_snapshots")
 plan("integrity_flags", "SELECT source, CASE WHEN count(*) < 100 THEN 'alarm' WHEN count(*) < 2500 THEN 'warn' ELSE 'ok' END AS volume, CASE WHEN count(DISTINCT round(price, 0)) < 10 THEN 'alarm' ELSE 'ok' END AS spread, CASE WHEN max(as_of) < 2400000 THEN 'warn' ELSE 'ok' END AS freshness FROM v_snapshots GROUP BY source", "v_snapshots")
