@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import types
 
 import numpy as np
 import pytest
@@ -80,8 +81,13 @@ def test_chunks_tile_and_follow_content():
 
 
 def test_ambiguous_chunks_are_found(spark, monkeypatch):
-    df = spark.createDataFrame([("aaaa",), ("bbbb",), ("aaaa",)], "text string")
+    """Where all chunks have one hash, their bytes still tell texts apart."""
+    df = spark.createDataFrame([(1, "aaaa"), (2, "bbbb"), (3, "aaaa"), (4, None)], "doc_id long, text string")
     assert exact_dedup.ambiguous_chunks(df).count() == 0
+    one = types.SimpleNamespace(digest=lambda: b"0" * 16)
+    monkeypatch.setattr(exact_dedup, "hashlib", types.SimpleNamespace(blake2b=lambda *a, **k: one, sha256=hashlib.sha256))
+    assert exact_dedup.ambiguous_chunks(df).count() == 1
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(df).collect()} == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 1)}
 
 
 def test_near_components(docs, rows):

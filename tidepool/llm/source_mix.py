@@ -68,18 +68,6 @@ def _by_order(sized: DataFrame) -> DataFrame:
     return joined.withColumn("cum", F.col("start") + F.sum("size").over(within)).drop("start", "range")
 
 
-def schedule(docs: DataFrame, passes: int = PASSES) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, key, cum, plan.
-
-    ``plan`` lists the passes as structs (finish, pass); finish is null for size 0.
-    """
-    sized = park(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size")))
-    per_source = targets(sized, passes).withColumnRenamed("source", "s")
-    rows = _by_order(sized).join(per_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    finish = [F.struct((F.try_divide(F.col("cum") + F.col("source_size") * p, "target")).alias("finish"), F.lit(p).alias("pass")) for p in range(passes)]
-    return park(rows.withColumn("plan", F.when(F.col("size") > 0, F.array(*finish))))
-
-
 def _cut(scheduled: DataFrame) -> Column:
     """Whether a scheduled pass ``x`` of a row is taken, as a function on structs (code, tail).
 
