@@ -430,6 +430,25 @@ def test_pipeline_stages(spark):
     assert len(last) == docs.count() and all(r.lossless for r in last)
 
 
+def test_pipeline_stages_on_empty_and_odd_tables(spark, empty, odd):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for table in (empty, odd):
+        docs = table
+        for name, stage in pipeline.STAGES[:-1]:
+            after = stage(spark, docs, "")
+            assert after.columns == docs.columns, name
+            docs = spark.createDataFrame(after.collect(), docs.schema)
+        assert pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
+
+
+def test_scrub_against_odd_tables(empty, odd):
+    assert automata.scrub_against(empty, odd.select("text")).count() == 0
+    got = automata.scrub_against(odd, empty.select("text")).collect()
+    assert len(got) == 8 and all(r.n_removed == 0 for r in got)
+    own = automata.scrub_against(odd, odd.select("text")).collect()
+    assert all(r.n_removed == r.n_words for r in own if r.n_words >= automata.WIN)
+
+
 def test_licence_sentences_wrapped_over_lines():
     book = licences.Rulebook(licences.RULES)
     apache = "Copyright 2020 Someone\n\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.\n"
