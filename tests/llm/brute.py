@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -86,3 +87,23 @@ def byte_scrub(rows, win=100):
         spans = sum(1 for i in range(len(b)) if drop[i] and not (i and drop[i - 1]))
         out[d] = (len(b), sum(drop), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def conversation_trie(rows):
+    """rows: (conv_id, turn, role, text). Sorted (conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256)."""
+    own = {}
+    for c, turn, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] or "")):
+        own.setdefault(c, []).append((role or "", text or ""))
+    members, ends = {}, {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        built = tuple(own.get(c - c % 100, [])[:h] + turns[h:])
+        for d in range(len(built) + 1):
+            members.setdefault(built[:d], []).append(c)
+        ends.setdefault(built, []).append(c)
+    out = []
+    for node, cs in members.items():
+        below = [x for x in members if x[: len(node)] == node]
+        inner = {x[:-1] for x in members if x}
+        out.append((min(cs), len(node), min(members[node[:-1]]) if node else None, len(cs), sum(len(x) == len(node) + 1 for x in below), sum(x not in inner for x in below), sum((len(members[x]) - 1) * len(x[-1][1]) for x in below if x), hashlib.sha256(",".join(map(str, sorted(ends.get(node, [])))).encode()).hexdigest()))
+    return sorted(out, key=str)

@@ -164,7 +164,7 @@ def lattice(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, lengths: np
             long = long[lengths[long] > p]
             nodes = base[long][:, None] + p - reach[reach <= p]
             alpha[nodes] /= alpha[base[long] + p][:, None]
-    order = np.argsort(ends - share)  # by end node, then by falling share
+    order = np.lexsort((-share, ends))  # by end node, then by falling share
     ends, tails, piece, share = ends[order], tails[order], piece[order], share[order]
     first = np.concatenate(([0], np.cumsum(np.bincount(ends, minlength=len(alpha)))))
     run = np.cumsum(share)

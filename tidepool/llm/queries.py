@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, exact_dedup, forest, language, licences, pieces, run_index, secrets, shingle_join, source_mix
+from . import automata, exact_dedup, forest, language, licences, pieces, prefix_trie, run_index, secrets, shingle_join, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,11 @@ def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.scrub(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_naive_bayes_language, op2_grouped_prefix_join, op3_projection_forest, op4_crf_secrets, op5_exact_recipes, op6_fair_queue_mix, op7_run_length_index, op8_sentence_rules, op9_sampled_pieces, op10_suffix_automata)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_naive_bayes_language, op2_grouped_prefix_join, op3_projection_forest, op4_crf_secrets, op5_exact_recipes, op6_fair_queue_mix, op7_run_length_index, op8_sentence_rules, op9_sampled_pieces, op10_suffix_automata, op11_prefix_trie)}
 
 ORACLES = {
     "op5_exact_recipes": r"""
@@ -69,4 +73,5 @@ WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(n) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY n)""",
     "op6_fair_queue_mix": source_mix.MIX_SQL,
+    "op11_prefix_trie": prefix_trie.TRIE_SQL,
 }
