@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, exact_dedup, forest, language, licences, pieces, prefix_trie, run_index, secrets, shingle_join, source_mix
+from . import automata, exact_dedup, forest, language, licences, packing, pieces, prefix_trie, run_index, secrets, shingle_join, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +65,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_naive_bayes_language, op2_grouped_prefix_join, op3_projection_forest, op4_crf_secrets, op5_exact_recipes, op6_fair_queue_mix, op7_run_length_index, op8_sentence_rules, op9_sampled_pieces, op10_suffix_automata, op11_prefix_trie)}
+def op12_length_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_naive_bayes_language, op2_grouped_prefix_join, op3_projection_forest, op4_crf_secrets, op5_exact_recipes, op6_fair_queue_mix, op7_run_length_index, op8_sentence_rules, op9_sampled_pieces, op10_suffix_automata, op11_prefix_trie, op12_length_histogram_packing)}
 
 ORACLES = {
     "op5_exact_recipes": r"""
