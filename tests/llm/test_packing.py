@@ -90,3 +90,12 @@ def test_packing_of_empty_and_odd_tables(spark, model):
     assert sum(r.length for r in got) == sum(len(ids_of(model, t)) for _, t in rows)
     assert sorted(r.doc_tokens for r in got if r.start == 0) == sorted(len(ids_of(model, t)) for _, t in rows)
     assert packing.packed(frame(spark, [(7, None)])).collect()[0].length == 1
+
+
+def test_a_small_cache_forgets(model, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 8)
+    encoder, rng = packing.Encoder(packing._tokenizer()), random.Random(2)
+    for _ in range(30):
+        text = " ".join(rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(rng.choice((3, 200))))
+        ids, _ = encoder.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert ids.tolist() == ids_of(model, text).tolist()

@@ -7,6 +7,11 @@ single text, whichever is larger; nothing is truncated.
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+from typing import Any
+
 import numpy as np
 import pyarrow as pa
 
@@ -137,3 +142,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.nda
         data = LOWER[data]
     starts, ends, first = word_spans(data, offsets)
     return (span_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)), first
+
+
+def of_worker(name: str, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker keeps from task to task; functions that travel by value bring no globals that last."""
+    module = sys.modules.setdefault("_tidepool_worker", types.ModuleType("_tidepool_worker"))
+    if name not in module.__dict__:
+        module.__dict__[name] = make()
+    return module.__dict__[name]

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 from itertools import count as counter
 
 import numpy as np
@@ -35,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import discard, parallelism, park
+from .kernels import LOWER, of_worker, slices, span_hashes, text_buffer, word_spans
+from .store import parallelism, park
 
 WINDOW, END = 4096, 2  # fixed values of the contract
 BINS = 64
@@ -53,55 +55,102 @@ def _tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of texts; distinct pieces between white space are encoded once."""
+    """Ids of texts; distinct pieces between white space are encoded once.
+
+    ASCII letters go by their small ones, as the tokenizer lowers them anyway, and a full stop or
+    comma between an ASCII letter and white space is a piece of its own, as it is a token group of
+    its own; so there are fewer distinct pieces. A text that may hold a special token's
+    string is left as it is. Pieces are known by hashes of 64 bits, at most CACHE at a time.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
         self.forget()
 
-    def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
-        self.start, self.used = np.zeros(1 << 14, np.int64), 0
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        found = self.model.encode_batch([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        lists = [f.ids for f in found]
-        size = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
-        n = len(self.number)
+    def forget(self, most: int = 0) -> None:
+        most = most or CACHE
+        self.bits = most.bit_length() + 1
+        self.hash, self.number = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.size, self.start, self.known = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each piece, or -1."""
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.where(self.hash[slot] == hashes, self.number[slot], -1)
+        open_ = np.flatnonzero((out < 0) & (self.number[slot] >= 0))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) % len(self.hash)
+            hit = self.hash[slot] == hashes[open_]
+            out[open_[hit]] = self.number[slot[hit]]
+            more = ~hit & (self.number[slot] >= 0)
+            open_, slot = open_[more], slot[more]
+        return out
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        lists = [f.ids for f in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
+        n, k = self.known, len(lists)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while n + len(pieces) > len(self.size):
+        while n + k > len(self.size):
             self.size, self.start = (np.concatenate((x, np.zeros_like(x))) for x in (self.size, self.start))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.size[n : n + len(pieces)] = size
-        self.start[n : n + len(pieces)] = self.used + np.cumsum(size) - size
+        self.size[n : n + k] = size
+        self.start[n : n + k] = self.used + np.cumsum(size) - size
         self.used += len(flat)
-        self.number.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-
-    def encode(self, raw: bytes) -> np.ndarray:
-        words = raw.split()  # the six ASCII white-space bytes
-        new = [w for w in dict.fromkeys(words) if w not in self.number]
-        if new:
-            if len(self.number) + len(new) > CACHE:
-                self.forget()
-                new = list(dict.fromkeys(words))
-            self._learn(new)
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        out = np.empty(total + 1, np.uint32)
-        out[:total] = self.ids[np.arange(total) + np.repeat(self.start[at] - (ends - size), size)]
-        out[total] = END
-        return out
-
-
-def _crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+        self.known += k
+        own, slot = np.arange(n, n + k, dtype=np.int32), (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(own):
+            free = np.flatnonzero(self.number[slot] < 0)
+            self.number[slot[free]] = own[free]  # of several, the last gets the slot
+            held = self.number[slot] == own
+            self.hash[slot[held]] = hashes[held]
+            own, hashes, slot = own[~held], hashes[~held], (slot[~held] + 1) % len(self.hash)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after another, each with its end id, and their offsets."""
+        small = LOWER[data]
+        special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        for row in np.unique(np.searchsorted(offsets, special, side="right") - 1):
+            small[offsets[row] : offsets[row + 1]] = data[offsets[row] : offsets[row + 1]]
+        starts, ends, _ = word_spans(small, offsets)
+        # Full stops and commas at the end of a piece.
+        last = ends - 1
+        stop = ((small[last] == 46) | (small[last] == 44)) & (ends - starts > 1)
+        stop &= (small[last - 1] >= 97) & (small[last - 1] <= 122)
+        if len(special):
+            stop &= ~np.isin(np.searchsorted(offsets, starts, side="right"), np.searchsorted(offsets, special, side="right"))
+        at = np.arange(len(starts)) + np.cumsum(stop) - stop
+        begin, end = np.empty(len(starts) + int(stop.sum()), np.int64), np.empty(len(starts) + int(stop.sum()), np.int64)
+        begin[at], end[at] = starts, ends - stop
+        begin[at[stop] + 1], end[at[stop] + 1] = last[stop], ends[stop]
+        hashes = span_hashes(small, begin, end) if len(begin) else np.zeros(0, np.uint64)
+        piece = self._find(hashes)
+        if (piece < 0).any():
+            new, one = np.unique(hashes[piece < 0], return_index=True)
+            if self.known + len(new) > CACHE:
+                new, one = np.unique(hashes, return_index=True)
+                self.forget(max(CACHE, len(new)))
+            else:
+                one = np.flatnonzero(piece < 0)[one]
+            raw = small.tobytes()
+            self._learn(new, [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)])
+            piece = self._find(hashes)
+        size = self.size[piece]
+        upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        cuts = upto[np.searchsorted(begin, offsets)]
+        out_at = cuts + np.arange(len(cuts))
+        out = np.full(int(out_at[-1]), END, np.uint32)
+        keep = np.ones(len(out), bool)
+        keep[out_at[1:] - 1] = False
+        out[keep] = self.ids[np.arange(upto[-1]) + np.repeat(self.start[piece] - upto[:-1], size)]
+        return out, out_at
 
 
 _TOKENS = "doc_id long, n long, rest binary, rest_crc long, full_crc array<long>"
@@ -109,23 +158,17 @@ _TOKENS = "doc_id long, n long, rest binary, rest_crc long, full_crc array<long>
 
 def _tokens(path: str):
     def run(batches):
-        encoder = Encoder(path)
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
-        names = [c.split()[0] for c in _TOKENS.split(", ")]
+        encoder = of_worker(f"packing {path}", lambda: Encoder(path))
         for batch in batches:
-            rows, held = [], 0
-            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                raw = text.as_buffer() if text.is_valid else None
-                ids = encoder.encode(raw.to_pybytes() if raw is not None else b"")
-                whole = len(ids) - len(ids) % WINDOW
-                rest = ids[whole:]
-                rows.append((doc.as_py(), len(ids), rest.astype("<u4").tobytes(), _crc(rest), [_crc(ids[i : i + WINDOW]) for i in range(0, whole, WINDOW)]))
-                held += 4 * len(rest)
-                if held > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            data, off = text_buffer(batch.column("text"))
+            for lo, hi in slices(off):
+                ids, at = encoder.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                raw = memoryview(ids.astype("<u4").tobytes())
+                n = np.diff(at)
+                middle = at[1:] - n % WINDOW
+                rest = [raw[4 * a : 4 * b] for a, b in zip(middle.tolist(), at[1:].tolist(), strict=True)]
+                full = [[zlib.crc32(raw[4 * i : 4 * (i + WINDOW)]) for i in range(a, b, WINDOW)] for a, b in zip(at[:-1].tolist(), middle.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(rest, pa.binary()), pa.array(map(zlib.crc32, rest), pa.int64()), pa.array(full, pa.list_(pa.int64()))], names=["doc_id", "n", "rest", "rest_crc", "full_crc"])
 
     return run
 
