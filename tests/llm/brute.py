@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -107,3 +108,32 @@ def conversation_trie(rows):
         inner = {x[:-1] for x in members if x}
         out.append((min(cs), len(node), min(members[node[:-1]]) if node else None, len(cs), sum(len(x) == len(node) + 1 for x in below), sum(x not in inner for x in below), sum((len(members[x]) - 1) * len(x[-1][1]) for x in below if x), hashlib.sha256(",".join(map(str, sorted(ends.get(node, [])))).encode()).hexdigest()))
     return sorted(out, key=str)
+
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def ranked_search(docs, items, k=20):
+    """Rows (item_id, rank, doc_id, score) of every item, sorted; ids may repeat or be null."""
+    lower = {c: c + 32 for c in range(65, 91)}
+    terms = lambda t: TERM.findall((t or "").translate(lower))
+    found = [(d, terms(t)) for d, t in docs]
+    n = sum(bool(t) for _, t in found)
+    total = sum(len(t) for _, t in found)
+    df = {}
+    for _, t in found:
+        for x in set(t):
+            df[x] = df.get(x, 0) + 1
+    out = []
+    for item, text in items:
+        scores = []
+        for d, t in found:
+            m = 75 + 25 * len(t) * n // total if total else 0
+            s = 0
+            for x in terms(text):
+                if tf := t.count(x):
+                    s += math.floor(1000 * math.log((2 * n + 2) / (2 * df[x] + 1))) * (1000000000 * tf // (1000 * tf + 12 * m))
+            if s > 0:
+                scores.append((-s, d is not None, d or 0, d))
+        out += [(item, i, d, -s) for i, (s, _, _, d) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out, key=str)

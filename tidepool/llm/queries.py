@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, exact_dedup, forest, language, licences, packing, pieces, prefix_trie, run_index, secrets, shingle_join, source_mix
+from . import automata, exact_dedup, forest, language, lexical, licences, packing, pieces, prefix_trie, run_index, secrets, shingle_join, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +69,11 @@ def op12_length_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_naive_bayes_language, op2_grouped_prefix_join, op3_projection_forest, op4_crf_secrets, op5_exact_recipes, op6_fair_queue_mix, op7_run_length_index, op8_sentence_rules, op9_sampled_pieces, op10_suffix_automata, op11_prefix_trie, op12_length_histogram_packing)}
+def op13_two_level_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_naive_bayes_language, op2_grouped_prefix_join, op3_projection_forest, op4_crf_secrets, op5_exact_recipes, op6_fair_queue_mix, op7_run_length_index, op8_sentence_rules, op9_sampled_pieces, op10_suffix_automata, op11_prefix_trie, op12_length_histogram_packing, op13_two_level_search)}
 
 ORACLES = {
     "op5_exact_recipes": r"""
@@ -78,4 +82,5 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM t WINDOW w AS (PARTITION BY n)""",
     "op6_fair_queue_mix": source_mix.MIX_SQL,
     "op11_prefix_trie": prefix_trie.TRIE_SQL,
+    "op13_two_level_search": lexical.SEARCH_SQL,
 }
