@@ -43,7 +43,8 @@ WINDOW, END = 4096, 2  # fixed values of the contract
 BINS = 64
 _Q = WINDOW // BINS
 BLOCK = 1 << 20  # positions in one block of the line
-CACHE = 1 << 20  # pieces of text a task remembers
+CACHE = 1 << 19  # pieces of text a worker remembers
+SLICE = 1 << 18  # bytes of text worked on at once
 
 
 def _tokenizer() -> str:
@@ -161,7 +162,7 @@ def _tokens(path: str):
         encoder = of_worker(f"packing {path}", lambda: Encoder(path))
         for batch in batches:
             data, off = text_buffer(batch.column("text"))
-            for lo, hi in slices(off):
+            for lo, hi in slices(off, SLICE):
                 ids, at = encoder.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 raw = memoryview(ids.astype("<u4").tobytes())
                 n = np.diff(at)
