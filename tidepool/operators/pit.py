@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def pit_filter(df: DataFrame, t, lookback=None, as_of: str = "as_of", observed_at: str = "observed_at") -> DataFrame:
     """Rows that had happened and were known at t; no older than ``lookback``, if given."""
@@ -29,38 +31,43 @@ def latest_slice(df: DataFrame, keys: list[str], at: str = "as_of") -> DataFrame
     return df.withColumn("_last", F.max(at).over(Window.partitionBy(*keys))).filter(F.col(at) == F.col("_last")).drop("_last")
 
 
-def _as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, tie: list[str], forward: bool) -> DataFrame:
-    """Both sides go through one shuffle on the keys; each left row takes the nearest right row seen on the way."""
+def _as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, tie: list[str], ways: dict[str, bool]) -> DataFrame:
+    """The left rows with a struct of the nearest right row for each way (True: strictly after, False: at or before).
+
+    Both sides go through one shuffle on the keys, and on ranges of time for keys with a large
+    share of the rows (see ``ranges``).
+    """
     payload = [c for c in right.columns if c not in keys and c != at]
-    l = left.select(F.struct(*[F.col(c) for c in left.columns]).alias("_l"), *keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("boolean").alias("_has"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"_r_{c}") for c in (at, *payload)])
-    r = right.select(F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), *keys, F.col(at).alias("_t"), F.lit(0).alias("_side"), F.lit(True).alias("_has"), *[F.col(c).alias(f"_r_{c}") for c in (at, *payload)])
-    both = l.unionByName(r)
-    found = F.when(F.col("_has"), F.struct(*[f"_r_{c}" for c in (at, *payload)]))
-    if forward:  # strictly later: at equal times the left row comes last on the way back
-        w = Window.partitionBy(*keys).orderBy(F.col("_t").desc(), F.col("_side").desc(), *[F.col(f"_r_{c}").desc() for c in tie])
-    else:  # at or before: at equal times the right rows come first
-        w = Window.partitionBy(*keys).orderBy(F.col("_t"), F.col("_side"), *[F.col(f"_r_{c}") for c in tie])
-    both = both.withColumn("_match", F.last(found, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return both.filter("_side = 1").select("_l.*", *[F.col(f"_match._r_{c}").alias(f"right_{c}") for c in (at, *payload)])
+    found = F.struct(*[F.col(c).alias(f"_r_{c}") for c in (at, *payload)])
+    r = right.select(*keys, F.col(at).alias("_t"), F.lit(0).alias("_side"), *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie)], found.alias("_found"))
+    l = left.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"_tie{i}") for i, c in enumerate(tie)], F.struct(*[F.col(c) for c in left.columns]).alias("_l"))
+    both = r.unionByName(l, allowMissingColumns=True)
+    # At equal times right rows come first, so those at the left row's time are before it and never after it.
+    order = ["_t", "_side", *[f"_tie{i}" for i in range(len(tie))]]
+    return ranges.last_seen(both, keys, order, {n: ("_found", later) for n, later in ways.items()}).filter("_side = 1")
+
+
+def _one_way(left: DataFrame, right: DataFrame, keys: list[str], at: str, tie: list[str] | None, later: bool) -> DataFrame:
+    rows = _as_of(left, right, keys, at, tie or [], {"_match": later})
+    return rows.select("_l.*", *[F.col(f"_match._r_{c}").alias(f"right_{c}") for c in (at, *[c for c in right.columns if c not in keys and c != at])])
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], at: str = "as_of", tie: list[str] | None = None) -> DataFrame:
     """Each left row with the last right row at or before it (right_* columns; null if none)."""
-    return _as_of(left, right, keys, at, tie or [], False)
+    return _one_way(left, right, keys, at, tie, False)
 
 
 def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], at: str = "as_of", tie: list[str] | None = None) -> DataFrame:
     """Each left row with the first right row strictly after it."""
-    return _as_of(left, right, keys, at, tie or [], True)
+    return _one_way(left, right, keys, at, tie, True)
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], id_: str, at: str = "as_of", tie: list[str] | None = None) -> DataFrame:
-    """Each left row (unique ``id_``) with the nearest right row on either side; the earlier one on ties."""
-    back = asof_backward(left, right, keys, at, tie)
-    ahead = asof_forward(left, right, keys, at, tie).select(id_, *[F.col(f"right_{c}").alias(f"next_{c}") for c in right.columns if c not in keys])
-    both = back.join(ahead, id_)
-    nearer = F.col(f"next_{at}").isNotNull() & (F.col(f"right_{at}").isNull() | (F.col(f"next_{at}") - F.col(at) < F.col(at) - F.col(f"right_{at}")))
-    return both.select(*left.columns, *[F.when(nearer, F.col(f"next_{c}")).otherwise(F.col(f"right_{c}")).alias(f"right_{c}") for c in right.columns if c not in keys])
+def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str = "as_of", tie: list[str] | None = None) -> DataFrame:
+    """Each left row with the nearest right row on either side, found in one pass; the earlier one on ties."""
+    rows = _as_of(left, right, keys, at, tie or [], {"_back": False, "_ahead": True})
+    nearer = F.col("_ahead").isNotNull() & (F.col("_back").isNull() | (F.col(f"_ahead._r_{at}") - F.col(f"_l.{at}") < F.col(f"_l.{at}") - F.col(f"_back._r_{at}")))
+    rows = rows.withColumn("_match", F.when(nearer, F.col("_ahead")).otherwise(F.col("_back")))
+    return rows.select("_l.*", *[F.col(f"_match._r_{c}").alias(f"right_{c}") for c in right.columns if c not in keys])
 
 
 def band_join(left: DataFrame, right: DataFrame, key: str, width: int, at: str = "as_of", right_at: str = "as_of") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def gaps(df: DataFrame, keys: list[str], at: str, tie: list[str], name: str = "gap") -> DataFrame:
     """Time since the row before, within keys (null for the first)."""
@@ -21,23 +23,36 @@ def sessionize(df: DataFrame, keys: list[str], at: str, tie: list[str], toleranc
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
     """Percentiles as the value at index round-half-even(f * (n - 1)), per key."""
-    w = Window.partitionBy(*keys)
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    picks = [F.max(F.when(F.col("_i") == F.bround((F.col("_n") - 1) * f, 0), F.col(value))).alias(name) for name, f in fractions.items()]
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), *picks)
+    return ranges.value_at(df, keys, value, fractions)
+
+
+def cumulative_share(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Adds the share of a key's rows whose value is no greater; null where the value is null."""
+    return ranges.ranked(df, keys, value).withColumn(name, F.col("upto") / F.col("n")).drop("same", "upto", "n")
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Ranks with ties sharing their mean."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
+def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Adds ranks with ties sharing their mean; null where the value is null."""
+    return ranges.ranked(df, keys, value).withColumn(name, F.col("upto") - (F.col("same") - 1) / 2).drop("same", "upto", "n")
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str, name: str = "rho") -> DataFrame:
-    ranked = df.withColumn("_a", average_rank(a, keys)).withColumn("_b", average_rank(b, keys))
+    """Rank correlation of the rows that have both values."""
+    whole = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b)
+    ranked = average_rank(average_rank(whole, keys, a, "_a"), keys, b, "_b")
     return ranked.groupBy(*keys).agg(F.corr("_a", "_b").alias(name))
 
 
+def top_share_lift(df: DataFrame, keys: list[str], by: str, tie: str, value: str, share: int = 10, least: int = 20, name: str = "lift") -> DataFrame:
+    """Mean value of the first 1/share of a key's rows in falling order of ``by`` (then ``tie``), over its mean of all; null under ``least`` rows."""
+    rows = df.withColumn("_down", -F.col(by))
+    rows = ranges.placed(rows, keys, ["_down", tie], "_i")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    rows = ranges.with_keys(rows, keys, sizes)
+    lift = F.avg(F.when(F.col("_i") <= F.floor(F.col("_n") / share), F.col(value))) / F.avg(value)
+    return rows.groupBy(*keys).agg(F.when(F.max("_n") >= least, lift).alias(name))
+
+
 def gini(df: DataFrame, keys: list[str], value: str, name: str = "gini") -> DataFrame:
     from ..functions.stats import gini_from
 
@@ -60,6 +75,23 @@ def leading_streak(df: DataFrame, keys: list[str], order: list[Column], hit: Col
     return seen.groupBy(*keys).agg(F.count_if(F.col("_seen") == 0).alias(name))
 
 
+def earlier_share(rows: DataFrame, keys: list[str], order: list[str], id_: str, value: str) -> DataFrame:
+    """(id, earlier, lower): the key's rows before in order, and those of them whose value is no greater.
+
+    Two places in the order meet at the highest bit in which they differ, so each row stands
+    in as many groups as its place has bits; within a group the later half counts the
+    earlier half's values by running sums. Groups of the high bits hold a whole key and
+    are cut into ranges of the value like any hot key.
+    """
+    numbered = ranges.placed(rows, keys, order, "_i").withColumn("_i", F.col("_i") - 1)
+    bits = numbered.groupBy(*keys).agg(F.length(F.bin(F.max("_i"))).alias("_bits"))
+    part = ranges.with_keys(numbered, keys, bits).select(*keys, F.col(id_), F.col(value).alias("_v"), "_i", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)).alias("_level"))
+    part = part.withColumn("_block", F.expr("shiftright(_i, _level + 1)")).withColumn("_late", F.expr("(shiftright(_i, _level) & 1) = 1"))
+    early = F.when(~F.col("_late") & F.col("_v").isNotNull(), 1).otherwise(0)
+    found = ranges.running(part, [*keys, "_level", "_block"], ["_v"], {"_under": early}, peers=True)
+    return found.groupBy(id_, "_i").agg(F.sum(F.when(F.col("_late") & F.col("_v").isNotNull(), F.col("_under")).otherwise(0)).alias("lower")).select(id_, F.col("_i").alias("earlier"), "lower")
+
+
 def earlier_rank(rows: DataFrame, at: str, id_: str, value: str, width: int = 1024) -> DataFrame:
     """Adds ``earlier``: rows before in (at, id_) order, and ``lower``: those of them whose value is no greater.
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import pit, sequence
+from ..operators import pit, ranges, sequence
 from .registry import key
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -127,7 +127,7 @@ def regime_cube(t):
 def channel_rank(t):
     stats = t("v_posts").groupBy("author").agg((F.count("*") > 45).alias("measured"), F.median("likes").alias("median"), F.count("*").alias("n"))
     order = [F.desc("measured"), F.desc("median"), F.desc("n"), F.asc("author")]
-    return stats.select("author", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place")).orderBy("place")
+    return ranges.numbered(stats, order).select("author", "place")
 
 
 @key("SELECT token_key, event_id, normalized FROM v_scores WHERE normalized IS NOT NULL ORDER BY normalized DESC, event_id LIMIT 40", "v_scores")

@@ -13,10 +13,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..operators import ranges
 from . import metrics, signals
 from .registry import ORACLES, QUERIES, Tables, key
 
@@ -106,9 +107,9 @@ class MetricRegistry:
             extra = {"metric_id": m.id, "family": m.family, "bearish": m.direction == "bearish", "mid": m.midpoint, "k": m.steepness, "earliest": m.earliest, "least": m.least, "dark": any(s in degraded for s in m.sources)}
             parts.append(own.withColumns({n: F.lit(v) for n, v in extra.items()}))
         rows = reduce(DataFrame.unionByName, parts).withColumn("raw", F.when(~F.isnan("raw") & (F.abs("raw") != float("inf")), F.col("raw")))
-        rows = rows.withColumn("peers", F.count("raw").over(Window.partitionBy("metric_id")))
-        rank = F.cume_dist().over(Window.partitionBy("metric_id", F.col("raw").isNull()).orderBy("raw"))
-        rows = rows.withColumn("rank", rank).join(ages.select("token_key", "age"), "token_key", "left")
+        # A metric has a row for each token, so its percentiles come from counted values in ranges, not from one task's window.
+        rows = ranges.ranked(rows, ["metric_id"], "raw").withColumnRenamed("n", "peers").withColumn("rank", F.col("upto") / F.col("peers"))
+        rows = rows.join(ages.select("token_key", "age"), "token_key", "left")
         value = F.when(F.col("peers") >= PEERS, F.col("rank")).otherwise(S.logistic("raw", "mid", "k"))
         trust = confidence(F.col("raw"), F.col("evidence"), F.col("age"), F.col("earliest"), F.col("least"), F.col("dark"))
         rows = rows.withColumn("confidence", trust)

@@ -122,7 +122,7 @@ def asof_forward(t):
 
 @key(f"{_DEC} SELECT d.token_key, d.decision_id, d.as_of, min_by(s.as_of, abs(s.as_of - d.as_of) * 2 + CASE WHEN s.as_of > d.as_of THEN 1 ELSE 0 END) AS right_as_of FROM d LEFT JOIN v_snapshots s ON d.token_key = s.token_key GROUP BY ALL", "v_snapshots")
 def asof_nearest(t):
-    return pit.asof_nearest(_decisions(t), t("v_snapshots").select("token_key", "as_of", "event_id"), ["token_key"], "decision_id", tie=["event_id"]).select("token_key", "decision_id", "as_of", "right_as_of")
+    return pit.asof_nearest(_decisions(t), t("v_snapshots").select("token_key", "as_of", "event_id"), ["token_key"], tie=["event_id"]).select("token_key", "decision_id", "as_of", "right_as_of")
 
 
 @key("SELECT token_key, count(*) AS n, CAST(sum(slot) AS BIGINT) AS slots FROM v_trades WHERE as_of <= 1500 AND observed_at <= 1500 AND as_of >= 1500 - 600 GROUP BY token_key", "v_trades")

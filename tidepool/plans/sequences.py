@@ -76,27 +76,19 @@ def spearman(t):
 
 @key("SELECT source, CASE WHEN max(n) >= 20 THEN round(avg(CASE WHEN i <= n // 10 THEN progress END) / avg(progress), 6) END AS lift FROM (SELECT source, progress, row_number() OVER (PARTITION BY source ORDER BY price DESC, event_id) AS i, count(*) OVER (PARTITION BY source) AS n FROM v_snapshots) GROUP BY source", "v_snapshots")
 def top_decile_lift(t):
-    w = Window.partitionBy("source")
-    rows = t("v_snapshots").withColumn("i", F.row_number().over(w.orderBy(F.desc("price"), "event_id"))).withColumn("n", F.count("*").over(w))
-    lift = F.avg(F.when(F.col("i") <= F.floor(F.col("n") / 10), F.col("progress"))) / F.avg("progress")
-    return rows.groupBy("source").agg(F.when(F.max("n") >= 20, F.round(lift, 6)).alias("lift"))
+    return sequence.top_share_lift(t("v_snapshots"), ["source"], "price", "event_id", "progress").select("source", F.round("lift", 6).alias("lift"))
 
 
 @key("SELECT event_id, round(cume_dist() OVER (PARTITION BY source ORDER BY price), 6) AS rank FROM v_snapshots", "v_snapshots")
 def percentile_rank(t):
-    return t("v_snapshots").select("event_id", F.round(F.cume_dist().over(Window.partitionBy("source").orderBy("price")), 6).alias("rank"))
+    return sequence.cumulative_share(t("v_snapshots").select("event_id", "source", "price"), ["source"], "price", "rank").select("event_id", F.round("rank", 6).alias("rank"))
 
 
 @key(", p AS (SELECT event_id, source, as_of, price FROM v_snapshots) SELECT a.event_id, round(CASE WHEN count(b.event_id) = 0 THEN 0.5 ELSE count(*) FILTER (WHERE b.price <= a.price) / CAST(count(b.event_id) AS DOUBLE) END, 6) AS rank FROM p a LEFT JOIN p b ON a.source = b.source AND (b.as_of < a.as_of OR (b.as_of = a.as_of AND b.event_id < a.event_id)) GROUP BY a.event_id", "v_snapshots")
 def expanding_peer_rank(t):
-    # i places earlier rows of the source; those not dearer are counted by the highest bit in which the places differ: n log n rows, no lists.
-    rows = t("v_snapshots").withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("as_of", "event_id")) - 1)
-    rows = rows.withColumn("levels", F.length(F.bin(F.count("*").over(Window.partitionBy("source")))))
-    rows = rows.select("event_id", "source", "price", "i", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)).alias("level"))
-    rows = rows.withColumn("block", F.expr("shiftright(i, level + 1)")).withColumn("late", F.expr("(shiftright(i, level) & 1) = 1"))
-    early = F.when(~F.col("late") & F.col("price").isNotNull(), 1).otherwise(0)
-    found = rows.withColumn("under", F.sum(early).over(Window.partitionBy("source", "level", "block").orderBy("price")))
-    return found.groupBy("event_id", "i").agg(F.sum(F.when(F.col("late") & F.col("price").isNotNull(), F.col("under")).otherwise(0)).alias("n")).select("event_id", F.round(F.when(F.col("i") == 0, 0.5).otherwise(F.col("n") / F.col("i")), 6).alias("rank"))
+    rows = t("v_snapshots").select("event_id", "source", "as_of", "price")
+    found = sequence.earlier_share(rows, ["source"], ["as_of", "event_id"], "event_id", "price")
+    return found.select("event_id", F.round(F.when(F.col("earlier") == 0, 0.5).otherwise(F.col("lower") / F.col("earlier")), 6).alias("rank"))
 
 
 @key("WITH RECURSIVE s AS (SELECT user_id AS token_key, value AS price, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), r AS (SELECT token_key, i, price AS e FROM s WHERE i = 1 UNION ALL SELECT s.token_key, s.i, 0.3 * s.price + 0.7 * r.e FROM r JOIN s ON s.token_key = r.token_key AND s.i = r.i + 1) SELECT token_key, round(arg_max(e, i), 6) AS ewma FROM r GROUP BY token_key")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -22,3 +23,20 @@ def shared_folder(spark: SparkSession) -> str:
         _own.append(tempfile.mkdtemp(prefix="tidepool-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return f"file://{_own[0]}"
+
+
+def park(df: DataFrame) -> DataFrame:
+    """Writes a frame to the shared folder once and reads it back, so that all that follows sees the same rows and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tidepool-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidepool_path = path
+    return out
+
+
+def discard(*parked: DataFrame) -> None:
+    """Deletes parked tables; only for those that no later job reads, not even to recompute."""
+    for df in parked:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tidepool_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
