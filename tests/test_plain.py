@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import re
+import types
 import unicodedata
 
 import duckdb
@@ -218,33 +219,35 @@ def test_fit_and_ablation(spark):
 
 
 @pytest.mark.parametrize(
-    ("peak", "price", "held", "sold", "extra", "want"),
+    ("peak", "price", "held", "more", "want"),
     [
-        (1.0, 1.0, 10, 0.0, {"liquidity": 5000.0}, [(1.0, "drain")]),
-        (1.5, 1.01, 10, 0.0, {}, [(1.0, "breakeven")]),
-        (1.3, 0.8, 10, 0.0, {}, [(1.0, "stop")]),
-        (1.05, 1.05, 120, 0.0, {}, [(1.0, "momentum")]),
-        (3.0, 2.2, 200, 0.5, {}, [(1.0, "trail")]),
-        (1.5, 1.4, 21600, 0.0, {}, [(1.0, "time")]),
-        (2.0, 2.0, 200, 0.0, {}, [(0.5, "take_1")]),
-        (4.0, 4.0, 200, 0.5, {}, [(0.6, "take_2")]),
-        (2.0, 2.0, 200, 0.5, {}, []),
-        (1.5, 1.5, 200, 0.0, {"market_cap": 70000.0}, [(0.7, "derisk")]),
-        (1.2, 1.2, 200, 0.0, {}, []),
+        (1.0, 1.0, 10, {"liquidity": 5000.0}, "drain"),
+        (1.5, 1.01, 10, {}, "breakeven"),
+        (1.3, 0.8, 10, {}, "stop"),
+        (1.05, 1.05, 120, {}, "momentum"),
+        (3.0, 2.2, 200, {}, "trail"),
+        (1.5, 1.4, 21600, {}, "time"),
+        (1.2, 1.2, 200, {}, ""),
     ],
 )
-def test_rules_of_leaving(peak, price, held, sold, extra, want):
-    got = P.leaving(P.Exit(), 1.0, peak, price, held, sold, **extra)
-    assert [r for _, r in got] == [r for _, r in want] and [s for s, _ in got] == pytest.approx([s for s, _ in want])
+def test_rules_that_sell_all(peak, price, held, more, want):
+    row = types.SimpleNamespace(**({"entry": 1.0, "peak": peak, "price": price, "held": held, "liquidity": math.inf} | more))
+    assert P.decide(P.sale_rules(P.Exit()), row) == want
+
+
+@pytest.mark.parametrize(("sold", "multiple", "cap", "want"), [(0.0, 2.0, 0, [("take_1", 0.5)]), (0.5, 4.0, 0, [("take_2", 0.8)]), (0.5, 2.0, 0, []), (0.0, 1.5, 7e4, [("derisk", 0.7)]), (0.0, 2.0, 7e4, [("take_1", 0.5), ("derisk", 0.85)]), (0.8, 10.0, 7e4, [("take_3", 1.0)])])
+def test_rules_that_sell_a_part(sold, multiple, cap, want):
+    got = P.partial_sales(P.Exit(), sold, multiple, cap)
+    assert [r for r, _ in got] == [r for r, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
 
 
 @pytest.mark.parametrize(
     ("change", "want"),
-    [({}, ""), ({"size": 0.0}, "size"), ({"holding": True}, "holding"), ({"open_": 3}, "slots"), ({"open_": 2}, "elite"), ({"open_": 2, "score": 0.96}, ""), ({"used": 140.0}, "exposure"), ({"cash": 0.0}, "cash"), ({"lost": 50.0}, "daily_loss"), ({"recent": 5}, "rate"), ({"age": 59.0}, "young"), ({"age": 21601.0}, "old"), ({"liquidity": 79.0}, "liquidity"), ({"liquidity": None}, "")],
+    [({}, ""), ({"size": 0.0}, "size"), ({"holding": True}, "holding"), ({"open": 3}, "slots"), ({"open": 2}, "elite"), ({"open": 2, "score": 0.96}, ""), ({"used": 140.0}, "exposure"), ({"cash": 0.0}, "cash"), ({"lost": 50.0}, "daily_loss"), ({"recent": 5}, "rate"), ({"age": 59.0}, "young"), ({"age": 21601.0}, "old"), ({"liquidity": 79.0}, "liquidity"), ({"liquidity": math.inf}, "")],
 )
-def test_reasons_of_refusal(change, want):
-    base = {"size": 40.0, "score": 0.8, "age": 100.0, "liquidity": 500.0, "holding": False, "open_": 0, "used": 0.0, "cash": 1e6, "lost": 0.0, "recent": 0}
-    assert P.refusal(P.Risk(), **(base | change))[0] == want
+def test_rules_that_refuse(change, want):
+    base = {"size": 40.0, "score": 0.8, "age": 100.0, "liquidity": 500.0, "holding": False, "open": 0, "used": 0.0, "cash": 1e6, "lost": 0.0, "recent": 0}
+    assert P.decide(P.entry_rules(P.Risk()), types.SimpleNamespace(**(base | change))) == want
 
 
 def test_daily_loss_stops_entries_until_the_next_day(spark):
@@ -266,17 +269,93 @@ def test_replay_marks_exits_scores_and_enters(spark):
     rows = [(1, 7, 1, 0, 1.0, 1e5, 0.9), (1, 7, 2, 60, 2.0, 1e5, 0.1), (1, 7, 3, 90, 0.5, 1e5, 0.9), (1, 8, 4, 100, 1.0, 1e5, 0.5), (1, 9, 5, 110, 4.0, 1e5, 0.9), (1, 9, 6, 120, 5.0, 1e5, 0.2)]
     df = spark.createDataFrame(rows, "account long, token_key long, event_id long, as_of long, price double, liquidity double, score double")
     got = {r.token_key: r for r in P.replay(df).collect()}
-    size = P.kelly_size(P.Risk().size, 0.9, P.Risk())
+    size = P.entry_size(P.Risk(), types.SimpleNamespace(score=0.9, used=0.0, cash=1e9))
     assert set(got) == {7, 9} and got[7].rule == "breakeven" and got[7].returned == pytest.approx(size * (0.5 * 2 + 0.5 * 0.5))
     assert got[9].rule == "open" and got[9].closed == -1 and got[9].returned == pytest.approx(got[9].spent * 1.25)
 
 
-def test_registered_folds(spark):
-    taken = query(spark, "risk_entry")
-    assert {r.accepted == (r.reason == "") for r in taken} == {True} and any(r.accepted for r in taken) and len({r.reason for r in taken}) > 3
-    left = pd.DataFrame([r.asDict() for r in query(spark, "exit_policy")])
-    assert left.groupby("token_key")["part"].sum().max() <= 1 + 1e-9 and left["rule"].nunique() > 1
-    assert all(r.spent > 0 for r in query(spark, "backtest_replay"))
+def snapshots(spark, folder=FOLDER):
+    from tidepool.plans.views import view
+
+    by = {}
+    for r in view(spark, folder, "v_snapshots").orderBy("as_of", "event_id").collect():
+        by.setdefault(r.token_key, []).append(r)
+    return by
+
+
+def test_exit_policy(spark):
+    """Every position by hand: one mark after another."""
+    want = set()
+    for token, marks in snapshots(spark).items():
+        entry, top, gone = marks[0].price, marks[0].price, 0.0
+        for m in marks[1:]:
+            top = max(top, m.price)
+            if entry <= 0 or m.price <= 0 or gone >= 1 - 1e-9:
+                continue
+            x, age = m.price / entry, m.as_of - marks[0].as_of
+            whole = [
+                r
+                for r, ok in (("drain", m.liquidity * 100 < 5600), ("breakeven", top >= 1.4 * entry and x <= 1.02), ("stop", x <= 0.8), ("momentum", age >= 120 and x < 1.1), ("trail", top >= 2 * entry and 1 - m.price / top >= 0.25), ("time", age >= 21600))
+                if ok
+            ]
+            if whole:
+                want.add((token, m.event_id, whole[0], round(1 - gone, 6)))
+                break
+            before = gone
+            for name, target, level in (("take_1", 2, 0.5), ("take_2", 4, 0.8), ("take_3", 10, 1.0)):
+                if x >= target and before < level - 1e-6:
+                    want.add((token, m.event_id, name, round(level - gone, 6)))
+                    gone = level
+                    break
+            if m.liquidity * 400 >= 65000 and before < 1 and (0.7 - before) / (1 - before) > 0.05 and gone < 1 - 1e-9:
+                part = (0.7 - before) / (1 - before) * (1 - gone)
+                want.add((token, m.event_id, "derisk", round(part, 6)))
+                gone += part
+    got = [(r.token_key, r.event_id, r.rule, round(r.part, 6)) for r in query(spark, "exit_policy")]
+    assert len(got) == len(set(got)) and set(got) == want and len({r for _, _, r, _ in want}) > 2
+
+
+def test_risk_entry(spark):
+    """Every account by hand."""
+    by, want = {}, {}
+    for token, marks in snapshots(spark).items():
+        for m in marks:
+            by.setdefault(token // 8, []).append(m)
+    for rows in by.values():
+        taken, lost = [], []
+        for m in sorted(rows, key=lambda m: (m.as_of, m.event_id)):
+            score, age = m.event_id % 101 / 100, m.event_id % 9000
+            lost += [(t.end, max(0, 50 - t.m.price)) for t in taken if t.end <= m.as_of and not t.done]
+            for t in taken:
+                t.done = t.done or t.end <= m.as_of
+            live = [t for t in taken if t.end > m.as_of]
+            chance = min(0.75, max(0.4, 0.4 + score - 0.65))
+            edge = (chance * 2.5 - (1 - chance)) / 2.5
+            size = min(60 * min(1, max(0.1, edge * 0.25 * 3.5)), 140 - sum(t.size for t in live))
+            day = sum(v for end, v in lost if end // 86400 == m.as_of // 86400)
+            tests = [("size", m.price <= 0), ("holding", any(t.m.token_key == m.token_key for t in live)), ("slots", len(live) >= 3), ("elite", len(live) >= 2 and score < 0.95), ("exposure", sum(t.size for t in live) >= 140), ("cash", size <= 1e-6), ("daily_loss", day >= 50), ("rate", sum(t.m.as_of >= m.as_of - 3600 for t in taken) >= 5), ("young", age < 60), ("old", age > 21600), ("liquidity", m.liquidity < 80)]
+            why = next((n for n, hit in tests if hit), "")
+            want[m.event_id] = (why, 0 if why else size)
+            if not why:
+                taken.append(types.SimpleNamespace(m=m, end=m.as_of + 7200, size=size, done=False))
+    got = {r.event_id: (r.reason, r.taken) for r in query(spark, "risk_entry")}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and len({v[0] for v in want.values()}) > 3
+    assert [got[k][1] for k in sorted(got)] == pytest.approx([want[k][1] for k in sorted(want)])
+
+
+def test_backtest_replay(spark):
+    """Positions don't overlap within a token, spend a size within the limits, and return what their marks make of the parts sold."""
+    larger = "/root/testdata/sf0.01"
+    by = snapshots(spark, larger)
+    got = catalog.QUERIES["backtest_replay"](spark, larger).collect()
+    assert got and all(0 < r.spent <= 60 and r.account == r.token_key // 8 for r in got)
+    for r in got:
+        path = [m.price for m in by[r.token_key] if m.as_of >= r.opened and (r.closed < 0 or m.as_of <= r.closed)]
+        assert r.spent * min(path) / path[0] - 1e-9 <= r.returned <= r.spent * max(path) / path[0] + 1e-9
+        assert (r.rule == "open") == (r.closed == -1)
+    for token in {r.token_key for r in got}:
+        own = sorted((r.opened, r.closed) for r in got if r.token_key == token)
+        assert all(0 <= a[1] <= b[0] for a, b in zip(own, own[1:], strict=False))
 
 
 def test_a_row_of_each_event_is_judged(spark):

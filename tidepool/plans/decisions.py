@@ -145,7 +145,7 @@ def tip_tier(t):
 def risk_entry(t):
     from ..operators.portfolio import risk_entries
 
-    orders = t("v_snapshots").select((F.col("token_key") % 10).alias("account"), "token_key", "event_id", "as_of", F.col("price").alias("size"), (F.col("event_id") % 101 / 100).alias("score"), "liquidity", (F.col("event_id") % 9000).cast("double").alias("age"), (F.col("price") - 50).alias("pnl"))
+    orders = t("v_snapshots").select((F.floor(F.col("token_key") / 8)).cast("long").alias("account"), "token_key", "event_id", "as_of", F.col("price").alias("size"), (F.col("event_id") % 101 / 100).alias("score"), "liquidity", (F.col("event_id") % 9000).cast("double").alias("age"), (F.col("price") - 50).alias("pnl"))
     return risk_entries(orders)
 
 
@@ -161,5 +161,5 @@ def backtest_replay(t):
     """Each account's marks in time order: marks update, exits sell, scores admit entries; what is left is valued at its last mark."""
     from ..operators.portfolio import replay
 
-    rows = t("v_snapshots").select((F.col("token_key") % 5).alias("account"), "token_key", "event_id", "as_of", "price", (F.col("liquidity") * 100).alias("liquidity"), (F.col("event_id") % 101 / 100).alias("score"))
+    rows = t("v_snapshots").select((F.floor(F.col("token_key") / 8)).cast("long").alias("account"), "token_key", "event_id", "as_of", "price", (F.col("liquidity") * 100).alias("liquidity"), (F.col("event_id") % 101 / 100).alias("score"))
     return replay(rows)
