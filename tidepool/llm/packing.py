@@ -157,7 +157,14 @@ class Encoder:
 _TOKENS = "doc_id long, n long, rest binary, rest_crc long, full_crc array<long>"
 
 
-def _tokens(path: str):
+def _kind(path: str) -> str:
+    """Two bytes an id where the vocabulary allows it."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def _tokens(path: str, kind: str):
     def run(batches):
         encoder = of_worker(f"packing {path}", lambda: Encoder(path))
         for batch in batches:
@@ -167,9 +174,13 @@ def _tokens(path: str):
                 raw = memoryview(ids.astype("<u4").tobytes())
                 n = np.diff(at)
                 middle = at[1:] - n % WINDOW
-                rest = [raw[4 * a : 4 * b] for a, b in zip(middle.tolist(), at[1:].tolist(), strict=True)]
+                ends = list(zip(middle.tolist(), at[1:].tolist(), strict=True))
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in ends]
+                slim = ids.astype(kind).tobytes()
+                width = np.dtype(kind).itemsize
+                rest = [slim[width * a : width * b] for a, b in ends]
                 full = [[zlib.crc32(raw[4 * i : 4 * (i + WINDOW)]) for i in range(a, b, WINDOW)] for a, b in zip(at[:-1].tolist(), middle.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(rest, pa.binary()), pa.array(map(zlib.crc32, rest), pa.int64()), pa.array(full, pa.list_(pa.int64()))], names=["doc_id", "n", "rest", "rest_crc", "full_crc"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(rest, pa.binary()), pa.array(crc, pa.int64()), pa.array(full, pa.list_(pa.int64()))], names=["doc_id", "n", "rest", "rest_crc", "full_crc"])
 
     return run
 
@@ -313,19 +324,23 @@ def _overlaid(gaps: DataFrame, stream: DataFrame) -> DataFrame:
     return whole.select("row", "size", "length", (F.col("pos") - F.col("at")).alias("inside"), "sequence_id", (F.col("offset") + F.col("pos") - F.col("g")).alias("offset"))
 
 
-def _cut_crc(batches):
-    names = ["row", "inside", "length", "ids_crc32"]
-    for batch in batches:
-        row, inside, length = (batch.column(c).to_numpy() for c in ("row", "inside", "length"))
-        crc = [zlib.crc32(x.as_buffer().slice(4 * int(a), 4 * int(n))) for x, a, n in zip(batch.column("ids"), inside, length, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(inside), pa.array(length), pa.array(crc, pa.int64())], names=names)
+def _cut_crc(kind: str):
+    def run(batches):
+        for batch in batches:
+            row, inside, length = (batch.column(c).to_numpy() for c in ("row", "inside", "length"))
+            crc = [zlib.crc32(np.frombuffer(x.as_buffer(), kind)[a : a + n].astype("<u4").tobytes()) for x, a, n in zip(batch.column("ids"), inside, length, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(inside), pa.array(length), pa.array(crc, pa.int64())], names=["row", "inside", "length", "ids_crc32"])
+
+    return run
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pieces (row, doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) and the documents' tokens (row, doc_id, rest: ids after whole windows)."""
+    """Pieces (row, doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) and the documents' tokens (row, doc_id, rest: ids after whole windows, two bytes or four each)."""
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = park(slim.mapInArrow(_tokens(tokenizer or _tokenizer()), _TOKENS).withColumn("row", F.monotonically_increasing_id()))
+    path = tokenizer or _tokenizer()
+    kind = _kind(path)
+    tokens = park(slim.mapInArrow(_tokens(path, kind), _TOKENS).withColumn("row", F.monotonically_increasing_id()), 1 << 24)
     rest = F.col("n") % WINDOW
     rows = tokens.select("row", "doc_id", "n", rest.alias("rest"), F.floor(F.col("n") / WINDOW).cast("long").alias("full"), F.ceil(rest / _Q).cast("long").alias("bin"), F.xxhash64("row").alias("mark"), "rest_crc", "full_crc")
     by_bin = {r.bin: r for r in rows.groupBy("bin").agg(F.count("*").alias("k"), F.sum("rest").alias("t"), F.sum("full").alias("f")).collect()}
@@ -375,7 +390,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> tuple[DataFrame, Data
     from_mark = [int(edge[b].mark) if b in edge else 0 for b in range(BINS + 1)]
     some = tokens.select("row", F.col("rest").alias("ids"), F.ceil(rest / _Q).cast("long").alias("bin"))
     some = some.filter((range_ > _of_bin(from_range, F.col("bin"))) | ((range_ == _of_bin(from_range, F.col("bin"))) & (mark >= _of_bin(from_mark, F.col("bin")))))
-    crcs = some.join(parts, F.col("row") == F.col("w")).select("row", "inside", "length", "ids").mapInArrow(_cut_crc, "row long, inside long, length long, ids_crc32 long")
+    crcs = some.join(parts, F.col("row") == F.col("w")).select("row", "inside", "length", "ids").mapInArrow(_cut_crc(kind), "row long, inside long, length long, ids_crc32 long")
     crcs = crcs.select(F.col("row").alias("r"), F.col("inside").alias("i"), "ids_crc32")
     pieces = pieces.join(crcs, (F.col("row") == F.col("r")) & (F.col("inside") == F.col("i")), "left")
     pieces = pieces.select("row", "doc_id", (F.col("n") - F.col("own") + F.col("inside")).alias("start"), "length", F.coalesce("ids_crc32", "rest_crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), "sequence_id", "offset")

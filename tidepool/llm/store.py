@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
 
-def park(df: DataFrame) -> DataFrame:
+def park(df: DataFrame, group_bytes: int = 0) -> DataFrame:
     """Write a frame to the shared folder once and read it back: lineage ends here.
 
     The table lies on shared storage, so a lost executor costs no recomputation.
+    ``group_bytes``: size of row groups, which a writing task holds in memory, if not Parquet's own.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidepool-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.size", group_bytes) if group_bytes else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidepool_path = path
     return out
