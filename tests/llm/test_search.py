@@ -64,7 +64,8 @@ def test_bounds_hold_and_leave_few(spark):
     for batch in batches:
         for i in range(batch.num_rows):
             upper, slack, (held, lo, hi) = shard.bounds(batch, i)
-            m, rows, tf = lexical._at(batch, i, "m", np.int64), lexical._at(batch, i, "rows", np.uint16), lexical._at(batch, i, "tf", np.uint32)
+            m, rows = lexical._at(batch, i, "m", np.int64), lexical._at(batch, i, "rows", np.uint16)
+            tf = lexical._tf(batch, i, len(rows))
             score = np.zeros(len(m), np.int64)
             for t, a, b in zip(held, lo, hi, strict=True):
                 score[rows[a:b]] += times[t] * lexical._impacts(tf[a:b].astype(np.int64), m[rows[a:b]])

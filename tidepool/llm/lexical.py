@@ -35,7 +35,7 @@ from .store import discard, park
 K = 20
 SCALE = 1_000_000  # no impact reaches it
 TERMS, ITEMS = 1 << 18, 2048  # distinct query terms and queries in a shard
-BLOCK, ROWS = 1 << 21, 1024  # bytes of text and documents in a block
+BLOCK, ROWS = 3 << 18, 1024  # bytes of text and documents in a block; its row stays well under a megabyte
 
 # Bytes of the term contract (digits, letters, everything beyond ASCII), A-Z lowered, the rest white.
 FOLD = np.full(256, 32, np.uint8)
@@ -98,7 +98,7 @@ def _index(documents: int, total: int):
                 key, tf = np.unique(back * (b - a) + np.repeat(np.arange(b - a), n), return_counts=True)
                 term, row = key // (b - a), key % (b - a)
                 impact = -(-_impacts(tf, m[row]) * 255 // SCALE)
-                columns = [ids[a:b], m, terms, np.searchsorted(term, np.arange(len(terms) + 1)), row.astype(np.uint16), impact.astype(np.uint8), tf.astype(np.uint32)]
+                columns = [ids[a:b], m, terms, np.searchsorted(term, np.arange(len(terms) + 1)).astype(np.int32), row.astype(np.uint16), impact.astype(np.uint8), tf.astype(np.min_scalar_type(int(tf.max(initial=0))))]
                 yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in columns], names=names)
 
     return run
@@ -118,7 +118,7 @@ def build(docs: DataFrame) -> Index:
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
     sizes = slim.select("text").mapInArrow(_sizes, "documents long, total long").agg(F.sum("documents"), F.sum("total")).first()
     documents, total = int(sizes[0] or 0), int(sizes[1] or 0)
-    return Index(park(slim.mapInArrow(_index(documents, total), _BLOCK)), documents, total)
+    return Index(park(slim.mapInArrow(_index(documents, total), _BLOCK), 1 << 24), documents, total)
 
 
 def _item_terms(batches):
@@ -137,9 +137,15 @@ def _at(batch: pa.RecordBatch, i: int, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(batch.column(name)[i].as_buffer(), kind)
 
 
+def _tf(batch: pa.RecordBatch, i: int, n: int) -> np.ndarray:
+    """Frequencies of a block of n postings, in as many bytes each as its largest needs."""
+    raw = batch.column("tf")[i].as_buffer()
+    return np.frombuffer(raw, f"<u{raw.size // max(n, 1) or 1}")
+
+
 def _present(batch: pa.RecordBatch, i: int, wanted: np.ndarray):
     """Of the wanted terms (sorted) those in a block: their numbers, and where their postings begin and end."""
-    terms, starts = _at(batch, i, "terms", np.uint64), _at(batch, i, "starts", np.int64)
+    terms, starts = _at(batch, i, "terms", np.uint64), _at(batch, i, "starts", np.int32)
     at = np.searchsorted(terms, wanted)
     held = np.flatnonzero(at < len(terms))
     held = held[terms[at[held]] == wanted[held]]
@@ -215,7 +221,8 @@ def _exact(shared, k: int):
                 some = np.flatnonzero(reached.any(1))
                 if not len(some):
                     continue
-                docs, m, rows, tf = _at(batch, i, "docs", np.int64), _at(batch, i, "m", np.int64), _at(batch, i, "rows", np.uint16), _at(batch, i, "tf", np.uint32)
+                docs, m, rows = _at(batch, i, "docs", np.int64), _at(batch, i, "m", np.int64), _at(batch, i, "rows", np.uint16)
+                tf = _tf(batch, i, len(rows))
                 score = np.zeros((len(some), len(m)), np.int64)
                 place = np.full(shard.size, -1)
                 place[some] = np.arange(len(some))

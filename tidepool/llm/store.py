@@ -20,7 +20,9 @@ def park(df: DataFrame, group_bytes: int = 0) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidepool-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.option("parquet.block.size", group_bytes) if group_bytes else writer).parquet(path)
+    if group_bytes:
+        writer = writer.option("parquet.block.size", group_bytes).option("parquet.block.row.count.limit", max(1, group_bytes >> 12))
+    writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidepool_path = path
     return out
