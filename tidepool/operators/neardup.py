@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ..sources.shared import discard, park
+from .hamming import near_hashes
+
 
 @F.pandas_udf(LongType())
 def simhash(texts: pd.Series) -> pd.Series:
@@ -27,23 +30,39 @@ def simhash(texts: pd.Series) -> pd.Series:
 
 
 def leader_groups(df: DataFrame, group: str, id_: str, hash_: str, distance: int) -> DataFrame:
-    """(group, id, leader): in id order, a row joins the first leader within ``distance``, or leads. Order-dependent, so one task a group."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(id_)
-        values = frame[hash_].to_numpy(np.int64).view(np.uint64)
-        leaders, ids, out = np.zeros(0, np.uint64), [], []
-        for i, h in zip(frame[id_].tolist(), values, strict=True):
-            near = np.flatnonzero(np.bitwise_count(leaders ^ h) <= distance)
-            if len(near):
-                out.append(ids[near[0]])
-            else:
-                leaders, ids = np.append(leaders, h), [*ids, i]
-                out.append(i)
-        return pd.DataFrame({group: frame[group], id_: frame[id_], "leader": out})
-
-    kind = df.schema[group].dataType.simpleString()
-    return df.groupBy(group).applyInPandas(run, f"{group} {kind}, {id_} long, leader long")
+    """(group, id, leader): in id order, a row joins the first leader within ``distance``, or leads.
+
+    The same groups as one pass in order gives, found in rounds over a table of neighbours: rows
+    with equal hashes go by the first of them; one that has no undecided or leading neighbour before it leads;
+    one with a leader before it doesn't. At last each row takes its first leader. A round
+    settles at least the first undecided row of every chain of neighbours.
+    """
+    rows = park(df.select(group, id_, F.col(hash_).alias("h")))
+    heads = rows.groupBy(group, "h").agg(F.min(id_).alias("v"))
+    near = near_hashes(rows, "h", distance, [group])
+    named = lambda name: heads.select(F.col(group).alias(f"g_{name}"), F.col("h").alias(f"h_{name}"), F.col("v").alias(name))
+    one, two = named("p"), named("q")
+    near = near.join(one, F.col(group).eqNullSafe(F.col("g_p")) & (F.col("x") == F.col("h_p"))).join(two, F.col(group).eqNullSafe(F.col("g_q")) & (F.col("y") == F.col("h_q")))
+    # An edge goes from the earlier to the later of two.
+    edges = park(near.select(F.least("p", "q").alias("early"), F.greatest("p", "q").alias("late"), group))
+    later = edges.select(group, F.col("late").alias("v")).distinct()
+    leads = park(heads.select(group, "v").join(later, [group, "v"], "left_anti"))
+    open_ = park(later)
+    parked = [rows, edges, leads, open_]
+    while open_.limit(1).count():
+        led = edges.join(leads.withColumnRenamed("v", "early"), [group, "early"], "left_semi").select(group, F.col("late").alias("v")).distinct()
+        left = park(open_.join(led, [group, "v"], "left_anti"))
+        # Of those without a leader before them, the ones without an undecided one lead.
+        waits = edges.join(left.withColumnRenamed("v", "early"), [group, "early"], "left_semi").select(group, F.col("late").alias("v")).distinct()
+        new = park(left.join(waits, [group, "v"], "left_anti"))
+        leads, open_ = park(leads.unionByName(new)), park(left.join(new, [group, "v"], "left_anti"))
+        parked += [left, new, leads, open_]
+    first = edges.join(leads.withColumnRenamed("v", "early"), [group, "early"], "left_semi").groupBy(group, F.col("late").alias("v")).agg(F.min("early").alias("leader"))
+    own = leads.select(group, "v", F.col("v").alias("leader"))
+    led = first.join(own, [group, "v"], "left_anti").unionByName(own)
+    found = park(rows.join(heads, [group, "h"]).join(led, [group, "v"]).select(group, id_, "leader"))
+    discard(*parked)
+    return found
 
 
 def template_share(rows: DataFrame, group: str, id_: str, skeleton: str, least: int = 3, distance: int = 8) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import label_components
+from .hamming import near_hashes
+
 SALTS = 8
 
 
@@ -15,18 +18,31 @@ def sign_bits(embedding: str) -> Column:
 
 
 def hamming_pairs(df: DataFrame, id_: str, bits: str, distance: int) -> DataFrame:
-    """Pairs (a < b) of 64-bit fingerprints within ``distance``.
+    """Pairs (a < b) of rows whose 64-bit fingerprints are within ``distance``, by a search over distinct fingerprints."""
+    near = near_hashes(df, bits, distance)
+    one = df.select(F.col(id_).alias("i"), F.col(bits).alias("hi"))
+    two = df.select(F.col(id_).alias("j"), F.col(bits).alias("hj"))
+    apart = near.join(one, F.col("x") == F.col("hi")).join(two, F.col("y") == F.col("hj")).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
+    equal = one.join(two, (F.col("hi") == F.col("hj")) & (F.col("i") < F.col("j"))).select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(0).alias("distance"))
+    return apart.unionByName(equal)
+
+
+def hamming_clusters(df: DataFrame, id_: str, bits: str, distance: int, keys: list[str] | None = None) -> DataFrame:
+    """(keys, id, cluster): connected components of the fingerprints of a key within ``distance``; a cluster is named by its least fingerprint.
 
-    Of distance + 1 bands at least one is equal in such a pair, so an equi-join on (band,
-    value) finds all; equal fingerprints of a bucket aren't compared twice.
+    Components are those of distinct fingerprints, so copies of one make no pairs.
     """
-    bands = distance + 1
-    edges = [64 * i // bands for i in range(bands + 1)]
-    parts = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.call_function("shiftleft", F.col(bits), F.lit(64 - edges[i + 1])), 64 - (edges[i + 1] - edges[i])).alias("value")) for i in range(bands)])
-    spread = df.select(F.col(id_).alias("a"), F.col(bits).alias("ha"), F.explode(parts).alias("p")).select("a", "ha", "p.band", "p.value")
-    other = spread.select(F.col("a").alias("b"), F.col("ha").alias("hb"), "band", "value")
-    near = spread.join(other, ["band", "value"]).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= distance))
-    return near.select("a", "b", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))).alias("distance")).distinct()
+    keys = keys or []
+    edges = near_hashes(df, bits, distance, keys)
+    if keys:
+        code = F.xxhash64(*keys)  # a vertex is a fingerprint of a key
+        edges = edges.select(F.xxhash64(code, "x").alias("u"), F.xxhash64(code, "y").alias("v"))
+        vertex = F.xxhash64(code, bits)
+    else:
+        edges, vertex = edges.select(F.col("x").alias("u"), F.col("y").alias("v")), F.col(bits)
+    found = label_components(edges).withColumnsRenamed({"v": "_v", "component": "_c"})
+    rows = df.filter(F.col(bits).isNotNull()).withColumn("_vertex", vertex)
+    return rows.join(found, F.col("_vertex") == F.col("_v"), "left").select(*keys, id_, F.coalesce("_c", "_vertex").alias("cluster"))
 
 
 def char_shingles(text: Column, k: int = 4) -> Column:

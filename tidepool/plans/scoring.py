@@ -46,8 +46,9 @@ plan("topology_edges", "WITH h AS (SELECT token_key, wallet, funded_by, share, r
 
 @key()
 def phash_clusters(t):
-    from ..operators.graph import label_components
-    from ..operators.similarity import hamming_pairs, sign_bits
+    """Clusters of two or more image hashes."""
+    from ..operators.similarity import hamming_clusters, sign_bits
 
-    pairs = hamming_pairs(t("embeddings").select("vec_id", sign_bits("embedding").alias("h")), "vec_id", "h", 17)
-    return label_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    found = hamming_clusters(t("embeddings").select("vec_id", sign_bits("embedding").alias("h")), "vec_id", "h", 17)
+    named = found.groupBy("cluster").agg(F.min("vec_id").alias("component"), F.count("*").alias("n")).filter("n > 1")
+    return found.join(named, "cluster").select(F.col("vec_id").alias("v"), "component")
