@@ -1,4 +1,4 @@
-"""Similarity joins: Hamming pairs by bands, Jaccard against a corpus, BM25."""
+"""Similarity: Hamming pairs and clusters, Jaccard of shingles, BM25."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from .graph import label_components
 from .hamming import near_hashes
 
-SALTS = 8
-
-
 def sign_bits(embedding: str) -> Column:
     """The signs of a 64-dimensional vector as a 64-bit fingerprint."""
     # The top bit is the sign bit of the long, so shifts wrap as wanted.
@@ -58,21 +55,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(1.0))
 
 
-def novelty(rows: DataFrame, ids: list[str], corpus: DataFrame, item: str) -> DataFrame:
-    """1 minus the greatest Jaccard similarity of a text's shingles with a corpus text's; a text without shingles has 0.
-
-    An inverted index on shingles: an equi-join and counts, never a product of texts. The
-    postings of a shingle are salted, so that a frequent one is spread over SALTS tasks.
-    """
-    texts = rows.select(*ids, char_shingles(F.col("text")).alias("all")).withColumn("n", F.size("all"))
-    left = texts.select(*ids, "n", F.explode("all").alias("s"), F.pmod(F.xxhash64(*ids), F.lit(SALTS)).alias("salt"))
-    own = corpus.select(item, char_shingles(F.col("text")).alias("all"))
-    right = own.select(item, F.size("all").alias("m"), F.explode("all").alias("s")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = left.join(right, ["s", "salt"]).groupBy(*ids, "n", item, "m").agg(F.count("*").alias("both"))
-    best = both.groupBy(*ids).agg(F.max(F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("best"))
-    return texts.select(*ids, "n").join(best, ids, "left").select(*ids, F.when(F.col("n") == 0, 0.0).otherwise(1 - F.coalesce("best", F.lit(0.0))).alias("novelty"))
-
-
 def bm25(rows: DataFrame, ids: list[str], text: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 scores of the documents that hold one of the terms."""
     words = rows.select(*ids, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)).alias("w"))

@@ -242,7 +242,7 @@ o AS (SELECT conv_id, turn, item_id, count(*) AS k FROM p JOIN g USING (s) GROUP
 j AS (SELECT o.conv_id, o.turn, max(CAST(k AS DOUBLE) / (pn.n + gn.n - k)) AS best FROM o JOIN pn USING (conv_id, turn) JOIN gn USING (item_id) GROUP BY ALL)
 SELECT c.conv_id, c.turn, round(CASE WHEN pn.n IS NULL THEN 0 ELSE 1 - coalesce(best, 0) END, 6) AS novelty FROM conversations c LEFT JOIN pn USING (conv_id, turn) LEFT JOIN j USING (conv_id, turn)""")
 def novelty_vs_corpus(t):
-    from ..operators.similarity import novelty
+    from ..operators.novelty import novelty
 
     skeletons = lambda rows, *ids: _skeletons(rows, *ids).withColumnRenamed("skel", "text")
     return novelty(skeletons(t("conversations"), "conv_id", "turn"), ["conv_id", "turn"], skeletons(t("benchmark"), "item_id"), "item_id").select("conv_id", "turn", F.round("novelty", 6).alias("novelty"))
