@@ -82,9 +82,10 @@ def test_clusters(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_leaders_as_one_pass_finds_them(spark, seed):
-    """One hot group with most rows, chains of neighbours among them."""
+@pytest.mark.parametrize(("seed", "local"), [(1, 4096), (2, 40), (3, 0)])
+def test_leaders_as_one_pass_finds_them(spark, monkeypatch, seed, local):
+    """One hot group with most rows, chains of neighbours among them; groups in a task each, the hot one in rounds, or all in rounds."""
+    monkeypatch.setattr(neardup, "LOCAL", local)
     values = clouds(seed, 150, 9)
     chain = random.Random(seed).getrandbits(64)
     for k in range(30):

@@ -20,7 +20,7 @@ from tidepool.operators.resample import bootstrap
 from tidepool.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-TESTED = {"weight_fit", "ablation", "backtest_replay", "phash_clusters", "risk_entry", "exit_policy", "bootstrap_ci", "phash_bits", "simhash_groups", "near_dup_groups", "template_share_fuzzy", "curve_binary", "json_walk", "reply_template_ratio"}
+TESTED = {"metric_normalize", "metric_confidence", "weight_fit", "ablation", "backtest_replay", "phash_clusters", "risk_entry", "exit_policy", "bootstrap_ci", "phash_bits", "simhash_groups", "near_dup_groups", "template_share_fuzzy", "curve_binary", "json_walk", "reply_template_ratio"}
 
 
 @pytest.fixture(scope="module")

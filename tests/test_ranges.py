@@ -111,3 +111,18 @@ def test_a_table_of_one_key_spreads(spark, monkeypatch):
 def test_cuts_are_found_by_bisection(spark):
     df = spark.createDataFrame([([1.0, 2.0, 2.5, 7.0], x) for x in (None, 0.0, 1.0, 2.2, 2.5, 6.9, 7.0, 9.0)] + [(None, 3.0), ([], 3.0)], "c array<double>, x double")
     assert [r.r for r in df.select(ranges.range_of(F.col("x"), F.col("c")).alias("r")).collect()] == [0, 0, 1, 2, 3, 3, 4, 4, 0, 0]
+
+
+def test_folds_of_clamped_maps(spark, rows_a_task):
+    rng = random.Random(11)
+    rows = [(rng.choice(("a", "a", "a", "b", None)), i, rng.choice((0.0, 0.5, 0.9, 1.0, 1.5)), rng.uniform(-0.6, 0.6)) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, id long, s double, v double")
+    got = {r.k: r.folded for r in ranges.folded(df, ["k"], ["id"], F.col("s"), F.col("v"), F.first(F.lit(0.5)), -1.0, 1.0).collect()}
+    free = {r.k: r.folded for r in ranges.folded(df, ["k"], ["id"], F.lit(0.7), 0.3 * F.col("v"), F.min_by("v", "id")).collect()}
+    for k in ("a", "b", None):
+        x, e = 0.5, None
+        for r in rows:
+            if r[0] == k:
+                x = max(-1.0, min(1.0, r[2] * x + r[3]))
+                e = r[3] if e is None else 0.3 * r[3] + 0.7 * e
+        assert got[k] == pytest.approx(x) and free[k] == pytest.approx(e)

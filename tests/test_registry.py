@@ -11,16 +11,42 @@ from tidepool.plans.metric_registry import PEERS, REGISTRY, Metric, MetricRegist
 def test_registry_rejects_unsound_metrics():
     registry = MetricRegistry()
     registry.custom("mine", gameability="by volume")(lambda t: None)
-    for bad in (Metric("mine", "f", "bullish", "x", None), Metric("unset", "f", "bullish", "x", None), Metric("other", "f", "bullish", "", None), Metric("other", "f", "up", "x", None)):
-        with pytest.raises(ValueError):
-            registry.register(bad)
-    assert registry.ids() == ["mine"] and "mine" in registry and registry.get("none") is None
+    for bad in (Metric("mine", "f", "bullish", "x", None), Metric("unset", "f", "bullish", "x", None), Metric("", "f", "bullish", "x", None), Metric("other", "f", "bullish", "", None), Metric("other", "f", "up", "x", None)):
+        with pytest.raises(ValueError, match="needs"):
+            registry.add(bad)
+    assert list(registry) == ["mine"] and registry["mine"].direction == "bullish" and registry.get("none") is None
 
 
-def test_families_and_exclusion():
-    assert len(REGISTRY) == 34 and sum(map(len, REGISTRY.families().values())) == 34
-    less = REGISTRY.exclude("ticker_contention", "meta_alignment")
-    assert len(less) == 32 and less.ids() == [i for i in REGISTRY.ids() if i not in ("ticker_contention", "meta_alignment")]
+def test_metrics_can_be_left_out():
+    assert len(REGISTRY) == 34 and len({m.family for m in REGISTRY.values()}) == 6
+    left_out = ("ticker_contention", "meta_alignment")
+    less = REGISTRY.where(lambda m: m.id not in left_out)
+    assert len(less) == 32 and list(less) == [i for i in REGISTRY if i not in left_out]
+
+
+def test_all_metrics_in_one_plan(spark):
+    """Every reading of every metric, from the metrics' own rows, in plain Python."""
+    from tidepool.plans import catalog, metrics
+    from tidepool.plans.views import view
+
+    folder = "/root/testdata/sf0.001"
+    created = {r.token_key: r.created_at for r in view(spark, folder, "v_launches").collect()}
+    read, trust = {}, {}
+    for id, m in REGISTRY.items():
+        rows = [(r.token_key, None if r.raw is None or not math.isfinite(r.raw) else float(r.raw), r.evidence) for r in catalog.QUERIES[id](spark, folder).collect()]
+        values = sorted(v for _, v, _ in rows if v is not None)
+        for token, raw, evidence in rows:
+            old = token in created and metrics.T - created[token] < m.earliest
+            state = "missing" if raw is None or evidence <= 0 else "low" if old or evidence < m.least else "medium" if evidence < 3 * m.least else "high"
+            trust[id, token] = state
+            if state != "missing":
+                v = sum(x <= raw for x in values) / len(values) if len(values) >= PEERS else 1 / (1 + math.exp(-max(-60, min(60, m.steepness * (raw - m.midpoint)))))
+                read[id, token] = 1 - v if m.direction == "bearish" else v
+    registered = catalog.QUERIES["metric_normalize"](spark, folder)
+    got = {(r.metric_id, r.token_key): r.normalized for r in registered.collect()}
+    assert set(got) == set(read) and len({i for i, _ in got}) > 25
+    assert all(got[k] == pytest.approx(read[k], abs=2e-6) for k in read)
+    assert {(r.metric_id, r.token_key): r.confidence for r in catalog.QUERIES["metric_confidence"](spark, folder).collect()} == trust
 
 
 def test_plugins_are_read_like_any_metric(spark):

@@ -14,6 +14,9 @@ from ..sources.shared import discard, park
 from .hamming import near_hashes
 
 
+LOCAL = 4096  # distinct hashes of a group that one task goes through in order
+
+
 @F.pandas_udf(LongType())
 def simhash(texts: pd.Series) -> pd.Series:
     """64 majority votes over the hashes of a skeleton's character 4-grams; an empty one is 0."""
@@ -35,11 +38,43 @@ def leader_groups(df: DataFrame, group: str, id_: str, hash_: str, distance: int
     The same groups as one pass in order gives, found in rounds over a table of neighbours: rows
     with equal hashes go by the first of them; one that has no undecided or leading neighbour before it leads;
     one with a leader before it doesn't. At last each row takes its first leader. A round
-    settles at least the first undecided row of every chain of neighbours.
+    settles at least the first undecided row of every chain of neighbours. Groups of at most
+    LOCAL distinct hashes are gone through in order, each in a task.
     """
     rows = park(df.select(group, id_, F.col(hash_).alias("h")))
-    heads = rows.groupBy(group, "h").agg(F.min(id_).alias("v"))
-    near = near_hashes(rows, "h", distance, [group])
+    every = rows.groupBy(group, "h").agg(F.min(id_).alias("v"))
+    large = park(every.groupBy(group).agg(F.count("*").alias("n")).filter(F.col("n") > LOCAL).select(group))
+    kind, id_kind = (df.schema[c].dataType.simpleString() for c in (group, id_))
+    small = every.join(large, group, "left_anti").groupBy(group).applyInPandas(_in_order(group, distance), f"{group} {kind}, v {id_kind}, leader {id_kind}")
+    parked = [rows, large]
+    if large.limit(1).count():
+        led, more = _in_rounds(every.join(large, group, "left_semi"), group, distance)
+        small, parked = small.unionByName(led), parked + more
+    found = park(rows.join(every, [group, "h"]).join(small, [group, "v"]).select(group, id_, "leader"))
+    discard(*parked)
+    return found
+
+
+def _in_order(group: str, distance: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("v")
+        own, values = frame["v"].tolist(), frame["h"].to_numpy(np.int64).view(np.uint64)
+        leaders, ids, out, n = np.zeros(len(own), np.uint64), [], [], 0
+        for i, h in zip(own, values, strict=True):
+            near = np.flatnonzero(np.bitwise_count(leaders[:n] ^ h) <= distance)
+            if not len(near):
+                leaders[n], n = h, n + 1
+                ids.append(i)
+            out.append(ids[near[0]] if len(near) else i)
+        return pd.DataFrame({group: frame[group].to_numpy(), "v": own, "leader": out})
+
+    return run
+
+
+def _in_rounds(heads: DataFrame, group: str, distance: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(group, v, leader) for the first rows ``v`` of distinct hashes ``h``, and the tables parked for it."""
+    heads = park(heads)
+    near = near_hashes(heads, "h", distance, [group])
     named = lambda name: heads.select(F.col(group).alias(f"g_{name}"), F.col("h").alias(f"h_{name}"), F.col("v").alias(name))
     one, two = named("p"), named("q")
     near = near.join(one, F.col(group).eqNullSafe(F.col("g_p")) & (F.col("x") == F.col("h_p"))).join(two, F.col(group).eqNullSafe(F.col("g_q")) & (F.col("y") == F.col("h_q")))
@@ -48,7 +83,7 @@ def leader_groups(df: DataFrame, group: str, id_: str, hash_: str, distance: int
     later = edges.select(group, F.col("late").alias("v")).distinct()
     leads = park(heads.select(group, "v").join(later, [group, "v"], "left_anti"))
     open_ = park(later)
-    parked = [rows, edges, leads, open_]
+    parked = [heads, edges, leads, open_]
     while open_.limit(1).count():
         led = edges.join(leads.withColumnRenamed("v", "early"), [group, "early"], "left_semi").select(group, F.col("late").alias("v")).distinct()
         left = park(open_.join(led, [group, "v"], "left_anti"))
@@ -59,10 +94,7 @@ def leader_groups(df: DataFrame, group: str, id_: str, hash_: str, distance: int
         parked += [left, new, leads, open_]
     first = edges.join(leads.withColumnRenamed("v", "early"), [group, "early"], "left_semi").groupBy(group, F.col("late").alias("v")).agg(F.min("early").alias("leader"))
     own = leads.select(group, "v", F.col("v").alias("leader"))
-    led = first.join(own, [group, "v"], "left_anti").unionByName(own)
-    found = park(rows.join(heads, [group, "h"]).join(led, [group, "v"]).select(group, id_, "leader"))
-    discard(*parked)
-    return found
+    return first.join(own, [group, "v"], "left_anti").unionByName(own), parked
 
 
 def template_share(rows: DataFrame, group: str, id_: str, skeleton: str, least: int = 3, distance: int = 8) -> DataFrame:

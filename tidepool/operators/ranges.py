@@ -157,3 +157,31 @@ def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFra
     counts = rows.groupBy("_part").agg(F.count("*").alias("_k")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return rows.join(F.broadcast(counts), F.col("_part") == F.col("_p")).select(*df.columns, (F.col("_before") + own).alias(name))
+
+
+def folded(df: DataFrame, keys: list[str], order: list[str], scale: Column, shift: Column, start: Column, lowest: float = float("-inf"), highest: float = float("inf"), name: str = "folded") -> DataFrame:
+    """(keys, name): x -> clamp(scale x + shift) over a key's rows in order, from ``start`` (an aggregate of the key); scales aren't negative.
+
+    Such maps compose to maps of the same kind: first within ranges of at most ROWS rows, or a
+    share of the shuffle, then over the ranges of a key.
+    """
+    cuts = hot_cuts(df, keys, order[0])
+    rows = df.withColumns({"_a": scale.cast("double"), "_b": shift.cast("double")})
+    rows = rows.withColumn("_range", F.lit(0)) if cuts is None else ranged(rows, keys, order[0], cuts)
+    clamp = lambda v: F.greatest(F.lit(lowest), F.least(F.lit(highest), v))
+    whole = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+
+    def step(m: Column, x: Column) -> Column:
+        # An end that is infinite stays so under any scale but 0.
+        end = lambda v: clamp(F.when(x["_a"] == 0, x["_b"]).otherwise(x["_a"] * v + x["_b"]))
+        return F.struct((x["_a"] * m["a"]).alias("a"), (x["_a"] * m["b"] + x["_b"]).alias("b"), end(m["lo"]).alias("lo"), end(m["hi"]).alias("hi"))
+
+    def then(m: Column, x: Column) -> Column:
+        held = lambda v: F.greatest(x["lo"], F.least(x["hi"], F.when(x["a"] == 0, x["b"]).otherwise(x["a"] * v + x["b"])))
+        return F.struct((x["a"] * m["a"]).alias("a"), (x["a"] * m["b"] + x["b"]).alias("b"), held(m["lo"]).alias("lo"), held(m["hi"]).alias("hi"))
+
+    parts = rows.groupBy(*keys, "_range").agg(F.array_sort(F.collect_list(F.struct(*order, "_a", "_b"))).alias("_rows"))
+    parts = parts.select(*keys, "_range", F.aggregate("_rows", whole, step).alias("_map"))
+    maps = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_range", "_map"))).alias("_maps")).select(*keys, F.aggregate(F.transform("_maps", lambda x: x["_map"]), whole, then).alias("_m"))
+    begun = with_keys(maps, keys, df.groupBy(*keys).agg(start.cast("double").alias("_start")))
+    return begun.select(*keys, F.greatest(F.col("_m.lo"), F.least(F.col("_m.hi"), F.col("_m.a") * F.col("_start") + F.col("_m.b"))).alias(name))

@@ -97,9 +97,12 @@ plan("suggest_ids", "SELECT want, id FROM (SELECT q.want, n.id, row_number() OVE
 
 @key("SELECT token_key, round(greatest(0, least(1, 0.5e0 + 0.08e0 * ups - 0.12e0 * downs)), 6) AS confidence FROM (SELECT token_key, count(*) FILTER (WHERE source = 'click') AS ups, count(*) FILTER (WHERE source = 'none') AS downs FROM v_snapshots GROUP BY token_key)", "v_snapshots")
 def memory_feedback(t):
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "source"))), lambda x: F.when(x["source"] == "click", 0.08).when(x["source"] == "none", -0.12).otherwise(0.0))
-    fold = F.aggregate("s", F.lit(0.5), lambda acc, x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), acc + x)))
-    return t("v_snapshots").groupBy("token_key").agg(steps.alias("s")).select("token_key", F.round(fold, 6).alias("confidence"))
+    """Confidence from 0.5 on, up or down by each verdict and held between 0 and 1 at each."""
+    from ..operators.ranges import folded
+
+    step = F.when(F.col("source") == "click", 0.08).when(F.col("source") == "none", -0.12).otherwise(0.0)
+    found = folded(t("v_snapshots"), ["token_key"], ["event_id"], F.lit(1.0), step, F.first(F.lit(0.5)), 0.0, 1.0)
+    return found.select("token_key", F.round("folded", 6).alias("confidence"))
 
 
 @key()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import pit, sequence
+from ..operators import pit, ranges, sequence
 from .registry import key
 
 _W = "OVER (PARTITION BY token_key ORDER BY as_of, event_id)"
@@ -93,10 +93,10 @@ def expanding_peer_rank(t):
 
 @key("WITH RECURSIVE s AS (SELECT user_id AS token_key, value AS price, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), r AS (SELECT token_key, i, price AS e FROM s WHERE i = 1 UNION ALL SELECT s.token_key, s.i, 0.3 * s.price + 0.7 * r.e FROM r JOIN s ON s.token_key = r.token_key AND s.i = r.i + 1) SELECT token_key, round(arg_max(e, i), 6) AS ewma FROM r GROUP BY token_key")
 def ewma(t):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"])
-    rows = t("events").groupBy(F.col("user_id").alias("token_key")).agg(ordered.alias("v"))
-    fold = F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(1))), F.col("v")[0], lambda acc, x: 0.3 * x + 0.7 * acc)
-    return rows.select("token_key", F.round(F.when(F.size("v") > 1, fold).otherwise(F.col("v")[0]), 6).alias("ewma"))
+    """From the first value on, 0.3 of each value and 0.7 of what was: an affine map a row."""
+    rows = t("events").select(F.col("user_id").alias("token_key"), "event_id", "value")
+    found = ranges.folded(rows, ["token_key"], ["event_id"], F.lit(0.7), 0.3 * F.col("value"), F.min_by("value", "event_id"))
+    return found.select("token_key", F.round("folded", 6).alias("ewma"))
 
 
 @key("SELECT token_key, round(regr_slope(price, as_of / 3600.0), 6) AS slope FROM v_snapshots GROUP BY token_key", "v_snapshots")
