@@ -38,10 +38,59 @@ def training_examples(t):
 
 
 plan("denomination", "SELECT token_key, CASE WHEN count(CASE WHEN event_id % 4 <> 0 THEN price END) < count(price) * 0.7e0 THEN 'usd' ELSE 'native' END AS denomination FROM v_snapshots GROUP BY token_key", "v_snapshots")
-_PATH = "SELECT token_key, as_of, price, progress, liquidity, event_id, min(as_of) OVER (PARTITION BY token_key) AS t0 FROM v_snapshots"
-plan("price_path", "SELECT token_key, hour, round(median(price), 6) AS price, max(progress) AS progress, count(*) AS n FROM (SELECT token_key, floor(as_of / 3600) AS hour, price, progress FROM v_snapshots) x GROUP BY token_key, hour", "v_snapshots")
-_LABEL = f"SELECT token_key, max(price) / max(CASE WHEN as_of = t0 THEN price END) AS multiple, max(CASE WHEN as_of <= t0 + 86400 THEN as_of - t0 END) AS seen_1d, max(progress) >= 0.999e0 AS graduated, max(price) AS peak, max_by(price, as_of * 100000 + event_id % 100000) AS final, max_by(as_of - t0, price * 1e9 - as_of) AS to_peak FROM ({_PATH}) p GROUP BY token_key"
-plan("outcome_label", f"SELECT token_key, round(multiple, 6) AS multiple, graduated, to_peak, final >= 0.5e0 * peak AS survived FROM ({_LABEL}) l", "v_snapshots")
+_LABEL = "SELECT token_key, max(progress) >= 0.999e0 AS graduated, max(price) AS peak, max_by(price, as_of * 100000 + event_id % 100000) AS final FROM v_snapshots GROUP BY token_key"
+#: Points of the path: snapshots, candles of three a row of one source, and creation up to 1,200 seconds before the first; twenty minutes of events count as a second.
+_STAGE = "CASE WHEN token_key % 29 = 0 AND progress > 0.9e0 THEN 5 WHEN progress >= 0.97e0 THEN 3 WHEN progress >= 0.9e0 THEN 2 ELSE 1 END"
+_PATH_SQL = f""", pts AS (SELECT token_key, CAST(floor(as_of / 1200) AS BIGINT) AS as_of, event_id AS id, price, price AS high, CASE WHEN event_id % 6 > 0 THEN liquidity * 30 END AS liquidity, CASE WHEN event_id % 4 > 0 THEN price * 1000 END AS market_cap, {_STAGE} AS stage, progress, source, 0 AS candle FROM v_snapshots WHERE source <> 'error'),
+raw AS (SELECT token_key, event_id AS id, k, CAST(floor(as_of / 12000) AS BIGINT) * 10 + 10 * k AS as_of, price + k AS price, greatest(price + k, (price + k) * (1 + (event_id + k) % 4 / 10e0)) AS high FROM v_snapshots, (SELECT unnest([0, 1, 2]) AS k) WHERE source = 'error' AND price + k > 0),
+cnd AS (SELECT token_key, as_of, id, price, high, NULL AS liquidity, NULL AS market_cap, 1 AS stage, NULL AS progress, 'candles' AS source, 1 AS candle FROM raw QUALIFY row_number() OVER (PARTITION BY token_key, as_of ORDER BY (price) * (1 + (id + k) % 4 / 10e0) DESC, id, k) = 1),
+born AS (SELECT token_key, CAST(floor(min(as_of) / 1200) AS BIGINT) - token_key % 7 * 200 AS created_at FROM v_snapshots GROUP BY token_key),
+own AS (SELECT x.*, created_at FROM (SELECT * FROM pts UNION ALL SELECT * FROM cnd) x JOIN born USING (token_key) WHERE price > 0 AND as_of >= created_at - 30 QUALIFY row_number() OVER (PARTITION BY token_key, as_of ORDER BY candle, id) = 1),
+mom AS (SELECT *, sum(f) OVER (PARTITION BY token_key ORDER BY as_of) AS moment FROM (SELECT *, CASE WHEN as_of - lag(as_of) OVER (PARTITION BY token_key ORDER BY as_of) > 30 THEN 1 ELSE 0 END AS f FROM own)),
+mid AS (SELECT *, median(price) OVER w AS p, greatest(median(price) OVER w, median(high) OVER w) AS h, median(liquidity) OVER w AS l, median(market_cap) OVER w AS m, max(stage) OVER w AS s, max(progress) OVER w AS g FROM mom WINDOW w AS (PARTITION BY token_key, moment)),
+path AS (SELECT token_key, created_at, as_of, p AS price, h AS high, l AS liquidity, m AS market_cap, s AS stage, g AS progress, source FROM mid QUALIFY row_number() OVER (PARTITION BY token_key, moment ORDER BY abs(price - p), as_of) = 1)"""
+
+
+def _path(t, policy):
+    from ..operators import paths
+
+    s = t("v_snapshots")
+    at = F.floor(F.col("as_of") / 1200).cast("long")
+    seen = s.filter("source <> 'error'").select("token_key", at.alias("as_of"), F.col("event_id").alias("id"), "price", F.col("price").alias("high"), F.when(F.col("event_id") % 6 > 0, F.col("liquidity") * 30).alias("liquidity"), F.when(F.col("event_id") % 4 > 0, F.col("price") * 1000).alias("market_cap"), F.expr(_STAGE).alias("stage"), "progress", "source", F.lit(False).alias("candle"))
+    candle = lambda k: F.struct((F.floor(F.col("as_of") / 12000) * 10 + 10 * k).cast("long").alias("timestamp"), (F.col("price") + k).alias("close"), ((F.col("price") + k) * (1 + (F.col("event_id") + k) % 4 / 10)).alias("high"))
+    payloads = s.filter("source = 'error'").select("token_key", F.col("event_id").alias("id"), F.array(candle(0), candle(1), candle(2)).alias("candles"))
+    born = s.groupBy("token_key").agg((F.floor(F.min("as_of") / 1200) - F.col("token_key") % 7 * 200).cast("long").alias("created_at"))
+    return paths.price_path(seen.unionByName(paths.candle_points(payloads)), born, policy)
+
+
+@key(f"{_PATH_SQL} SELECT token_key, as_of, round(price, 6) AS price, round(high, 6) AS high, round(liquidity, 4) AS liquidity, round(market_cap, 3) AS market_cap, CAST(stage AS INTEGER) AS stage, progress, source FROM path", "v_snapshots")
+def price_path(t):
+    """Snapshots and candles as one path a token, one point a moment."""
+    return _path(t, None).select("token_key", "as_of", F.round("price", 6).alias("price"), F.round("high", 6).alias("high"), F.round("liquidity", 4).alias("liquidity"), F.round("market_cap", 3).alias("market_cap"), F.col("stage").cast("int").alias("stage"), "progress", "source")
+
+
+_HORIZONS = (("survived_1h", 600.0), ("survived_24h", 1500.0), ("survived_7d", 2100.0))
+
+
+@key(f"""{_PATH_SQL}, ends AS (SELECT token_key, any_value(created_at) AS created_at, min(as_of) AS first_at, max(as_of) AS last_at, arg_min(price, as_of) AS first_price, max(high) AS peak, max(market_cap) AS peak_cap, max(stage) AS last_stage, count(liquidity) AS depths, max(liquidity) AS deepest,
+ min(as_of) FILTER (WHERE stage = 3 OR progress >= 0.999) AS graduated_at FROM path GROUP BY token_key),
+t0 AS (SELECT e.*, CASE WHEN first_at - created_at <= 900 THEN first_price END AS t0, (SELECT min(as_of) FROM path p WHERE p.token_key = e.token_key AND p.high = e.peak) AS peak_at,
+ (SELECT market_cap FROM path p WHERE p.token_key = e.token_key AND market_cap IS NOT NULL ORDER BY as_of DESC LIMIT 1) AS final_cap, (SELECT liquidity FROM path p WHERE p.token_key = e.token_key AND liquidity IS NOT NULL ORDER BY as_of DESC LIMIT 1) AS depth,
+ {', '.join(f"(SELECT price FROM path p WHERE p.token_key = e.token_key ORDER BY abs(as_of - e.created_at - {h}), as_of LIMIT 1) AS p_{n}" for n, h in _HORIZONS)} FROM ends e),
+curve AS (SELECT p.token_key, p.high, 0.25e0 / t0 AS q, CASE WHEN stage IN (1, 2) THEN 30 + CASE WHEN progress IS NULL THEN greatest(1e0, coalesce(liquidity, 0) / 300) ELSE least(85e0, greatest(0e0, 85 * progress)) END ELSE greatest(1e-6, coalesce(liquidity, 0) / 300) END AS x FROM path p JOIN t0 USING (token_key) WHERE t0 IS NOT NULL),
+sold AS (SELECT token_key, max(x - x * (x / high) / (x / high + q)) / 0.25e0 AS realizable FROM curve GROUP BY token_key)
+SELECT token_key, round(peak / t0, 6) AS multiple, round(realizable, 6) AS realizable, CASE WHEN t0 IS NOT NULL THEN peak_at - created_at END AS to_peak, round(peak_cap, 3) AS peak_cap, round(final_cap, 3) AS final_cap, graduated_at IS NOT NULL AS graduated, graduated_at,
+ {', '.join(f"coalesce(last_at - created_at >= {h} AND p_{n} >= 0.5e0 * t0, false) AS {n}" for n, h in _HORIZONS)}, last_stage >= 4 OR coalesce(depths >= 2 AND deepest > 500 AND depth <= 500 AND depth <= 0.25e0 * deepest, false) AS rugged FROM t0 LEFT JOIN sold USING (token_key)""", "v_snapshots")
+def outcome_label(t):
+    """Multiples, the best sale, graduation, survival and withdrawal of every path; horizons in the path's own time."""
+    from ..operators import paths
+
+    policy = paths.Policy(horizons=_HORIZONS)
+    found = paths.outcomes(_path(t, policy), policy)
+    digits = {"multiple": 6, "realizable": 6, "peak_cap": 3, "final_cap": 3}
+    return found.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in found.columns])
+
+
 plan("rug_label", f"SELECT token_key, peak > 100 AND final <= 30 AND final <= 0.25e0 * peak AND NOT graduated AS rugged FROM ({_LABEL}) l", "v_snapshots")
 plan("training_label", "SELECT token_key, round(least(CASE WHEN rugged THEN 0.2e0 ELSE 1e0 END, greatest(0e0, least(1e0, ln(1 + coalesce(nullif(realizable, 0), nullif(multiple, 0), 0e0)) / ln(21e0)))), 9) AS label FROM v_outcomes", "v_outcomes")
 _CORR = "SELECT metric_id, a, b FROM (SELECT metric_id, rank() OVER (PARTITION BY metric_id ORDER BY normalized) + (count(*) OVER (PARTITION BY metric_id, normalized) - 1) / 2e0 AS a, rank() OVER (PARTITION BY metric_id ORDER BY label) + (count(*) OVER (PARTITION BY metric_id, label) - 1) / 2e0 AS b FROM (SELECT metric_id, normalized, event_id % 37 AS label FROM v_scores WHERE normalized IS NOT NULL) x) y"
