@@ -254,10 +254,29 @@ def corpus_manifest(t):
     return one("documents", "doc_id").union(one("events", "event_id"))
 
 
-@key("SELECT token_key, wallet, arg_min(supp_id, CASE WHEN side = 'buy' THEN 0 ELSE 1 END * 1e9 - amount_native + slot * 1e-3 + supp_id * 1e-7) AS funder FROM v_trades GROUP BY ALL", "v_trades")
+#: Transactions in the forms that funding takes; @W is the wallet, @S the one asked for, @O another.
+_TX = (
+    '{"transaction":{"message":{"instructions":[{"parsed":"memo"},{"parsed":{"info":{"source":"@S","destination":"@W","lamports":5}}}]}}}',
+    '{"transaction":{"message":{"instructions":[{"parsed":{"info":{"source":"@O","destination":"@O2"}}}]}},"meta":{"innerInstructions":[{"index":0,"instructions":[{},{"parsed":{"info":{"lamportsSource":"@S","newAccount":"@W"}}}]}]}}',
+    '{"transaction":{"message":{"instructions":[{"parsed":{"info":{"source":"@W","destination":"@W"}}},{"parsed":{"info":{"wallet":"@W","source":"@S","mint":"m"}}}]}}}',
+    '{"transaction":{"message":{"accountKeys":["@O","@S","@W"],"instructions":[{"parsed":{"info":{"source":"11111111111111111111111111111111","destination":"@W"}}}]}},"meta":{"preBalances":[50,900,1],"postBalances":[40,100,811]}}',
+    '{"transaction":{"message":{"accountKeys":["@S","@W"],"instructions":[]}},"meta":{"preBalances":[900,10],"postBalances":[800,10]}}',
+    '{"transaction":{"message":{"accountKeys":[{"pubkey":"@W"},{"pubkey":"@S","signer":true},{"pubkey":"ComputeBudget111111111111111111111111111111"}],"instructions":[]}},"meta":{"preBalances":[0,7,99],"postBalances":[5,2,1]}}',
+    '{"transaction":',
+)
+_TX_KIND = "(order_id + slot) % 7"
+
+
+@key(f"""SELECT concat_ws('.', order_id, slot, supp_id, token_key) AS tx_id, 'w' || CAST(wallet AS VARCHAR) AS wallet, CASE WHEN {_TX_KIND} IN (0, 1, 2, 3, 5) THEN 's' || CAST(supp_id AS VARCHAR) END AS funder,
+CASE {_TX_KIND} WHEN 0 THEN 'transfer' WHEN 1 THEN 'transfer' WHEN 2 THEN 'account-payer' WHEN 3 THEN 'balance-delta' WHEN 4 THEN 'none' WHEN 5 THEN 'balance-delta' ELSE 'no-transaction' END AS mechanism FROM v_trades""", "v_trades")
 def funder_parse(t):
-    best = pit.ranked_by(t("v_trades"), ["token_key", "wallet"], [F.when(F.col("side") == "buy", 0).otherwise(1).asc(), F.desc("amount_native"), F.asc("slot"), F.asc("supp_id")])
-    return best.select("token_key", "wallet", F.col("supp_id").alias("funder"))
+    """Who funded the wallet of each trade, from a transaction document built for it."""
+    from ..sources.documents import funders
+
+    wallet, funder = F.concat(F.lit("w"), F.col("wallet").cast("string")), F.concat(F.lit("s"), F.col("supp_id").cast("string"))
+    form = F.get(F.array(*map(F.lit, _TX)), (F.expr(_TX_KIND)).cast("int"))
+    doc = F.replace(F.replace(F.replace(form, F.lit("@W"), wallet), F.lit("@S"), funder), F.lit("@O"), F.lit("o"))
+    return funders(t("v_trades").select(F.concat_ws(".", *[F.col(c).cast("string") for c in ("order_id", "slot", "supp_id", "token_key")]).alias("tx_id"), wallet.alias("wallet"), doc.alias("doc")))
 
 
 @key()
@@ -270,7 +289,7 @@ def curve_binary(t):
 
 @key()
 def json_walk(t):
-    from ..sources.normalize import json_walk as walk
+    from ..sources.documents import json_walk as walk
 
     doc = F.concat(F.lit('{"data":[{"k":'), F.get_json_object("props", "$.k"), F.lit('},{"deep":{"k":1}}]}'))
     return walk(t("events").select("event_id", doc.alias("doc")), "event_id", "doc", "k")
