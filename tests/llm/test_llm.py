@@ -459,3 +459,45 @@ def test_licence_sentences_wrapped_over_lines():
     assert names("No end here\nAll\n rights  reserved.\nmore") == ["Proprietary"]
     assert names("Nur für Gäste.\nFoo bar\nbaz.", licences.Rulebook([("own", ["Foo bar baz."])])) == ["own"]
     assert names("Licensed under. the MIT License.") == []
+
+
+def test_copies_of_a_vector_stay_few():
+    """However deep a tree, its leaves hold less than twice the vectors; near pairs share leaves."""
+    rng = np.random.default_rng(4)
+    copies = []
+    for n in (2_000, 20_000):
+        x = rng.standard_normal((n, 64))
+        x[1::2] = x[::2] + 0.36 * rng.standard_normal((n // 2, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        tree = forest.Forest(x, 16)
+        together = np.zeros(n // 2, bool)
+        rows = 0
+        for t in range(len(tree.trees)):
+            who, leaf = tree.leaves(x, t)
+            rows += len(who)
+            own = {}
+            for r, c in zip(who.tolist(), leaf.tolist(), strict=True):
+                own.setdefault(r, set()).add(c)
+            together |= np.array([bool(own[2 * i] & own[2 * i + 1]) for i in range(n // 2)])
+        near = (x[::2] * x[1::2]).sum(1) >= 0.93
+        copies.append(rows / n / len(tree.trees))
+        print(f"{n} vectors: {copies[-1]:.2f} copies a tree, recall {together[near].mean():.3f} of {near.sum()}")
+        assert together[near].mean() > 0.95
+    assert max(copies) < 2
+
+
+@pytest.mark.parametrize("scrub", [run_index.scrub, automata.scrub])
+def test_periodic_texts_in_bounded_strings(spark, monkeypatch, scrub):
+    monkeypatch.setattr(anchors, "RUN", 32)
+    words = " ".join(f"w{i}" for i in range(7))
+    texts = [(words + " ") * 60, "x " * 30 + (words + " ") * 45, "ab" * 900, "a" * 700, "q" + "ab" * 800, "ab " * 300, None]
+    rows = list(enumerate(texts))
+    want = (brute.byte_scrub if scrub is run_index.scrub else brute.window_scrub)(rows)
+    got = {r.doc_id: tuple(r[c] for c in r.__fields__ if c not in ("doc_id", "kept")) for r in scrub(frame(spark, rows), with_text=False).collect()}
+    assert got == want
+
+
+def test_strings_of_periodic_text_are_short():
+    raw = np.frombuffer(b"0123456789abcdef" * 100_000, np.uint8)
+    cut = anchors.Cut(run_index.UNIT, raw, np.array([0, len(raw)]))
+    assert cut.count.max() <= anchors.RUN and cut.count.sum() == len(raw) - run_index.WIN + 1

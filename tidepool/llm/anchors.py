@@ -2,7 +2,8 @@
 
 A window of ``win`` units (bytes or words) has one anchor, the least hash of the k-grams
 in it, which depends on the window's content alone; equal windows have equal anchors.
-Consecutive windows with one anchor form a run, and a run's units are its string.
+Consecutive windows with one anchor form a run, of at most RUN windows, and a run's units are
+its string; so strings are bounded, also in periodic text, where one anchor holds for long.
 A repeated window has the units before or after its anchor in common with its other
 occurrences. Contexts are counted over the whole corpus and come back to the documents'
 blocks by a join (see ``blocks``); runs of which neither context occurs twice go no
@@ -28,6 +29,7 @@ from .kernels import _tables, mix64, slices, span_hashes, window_min, word_spans
 from .store import discard, park, release
 
 HOT = 8192
+RUN = 2048  # windows of a run
 SLICE = 1 << 18  # bytes of text worked on at once
 
 
@@ -61,6 +63,8 @@ class Cut:
         inside = np.arange(len(anchor)) + unit.win <= self.first[1:][row] if len(anchor) else np.zeros(0, bool)
         new = inside.copy()
         new[1:] &= ~inside[:-1] | (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+        places = np.arange(len(anchor))
+        new |= inside & ((places - np.maximum.accumulate(np.where(new, places, 0))) % RUN == 0) if len(anchor) else False
         stop = np.ones(len(anchor) + 1, bool)
         stop[:-1] = new | ~inside
         #: First window, number of windows, anchor and row of every run.

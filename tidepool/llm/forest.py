@@ -4,8 +4,9 @@ Trees are sets of random hyperplanes with split values; their upper levels are f
 bounded sample, and every vector is routed through all of them. Leaves that hold too many
 vectors of a label are split further, level by level, at the medians of seeded projections
 that Spark computes over the leaf's own vectors, so leaves don't grow with the table. At a
-split, a vector whose projection lies within the spill margin goes to both sides, so near
-neighbours rarely part. Vectors are compared within (label, leaf) only; a pair that shares
+fitted split, the vectors nearest to it go to both sides: a share of the node that falls
+from level to level, so a tree holds less than twice the vectors however deep it is, and near
+neighbours part in few of the trees. Vectors are compared within (label, leaf) only; a pair that shares
 leaves of several trees counts in the first of them. Links (cosine of at least THRESHOLD in double precision) are counted
 per vector and joined into components by one edge a vector and leaf.
 
@@ -34,10 +35,10 @@ from .components import components
 from .store import park, release, small_hashes
 
 THRESHOLD = 0.93
-TREES = 8
+TREES = 12
 LEAF = 256  # vectors of the sample a leaf stands for, scaled to the table
 SAMPLE = 20_000
-SPILL = 0.10  # margin of a split, in cosine units
+SPILL, FALL = 0.05, 0.8  # share of a node that spills over to either side at the root; what is left of it a level below
 BLOCK = 1024
 MAX_DEPTH = 24
 FULL = 2048  # vectors of a label from which a leaf is split further
@@ -48,14 +49,14 @@ _NONE = -(1 << 63)
 
 
 class Forest:
-    """trees[t]: list of (vector, split) by heap index, None for a leaf."""
+    """trees[t]: (plane, split, margin) by heap index; an index that isn't there is a leaf."""
 
     def __init__(self, sample: np.ndarray, leaf: float, seed: int = SEED, trees: int = TREES):
         rng = np.random.default_rng(seed)
         self.dim = sample.shape[1] if len(sample) else 0
         self.trees = []
         for _ in range(trees):
-            nodes: dict[int, tuple[np.ndarray, float]] = {}
+            nodes: dict[int, tuple[np.ndarray, float, float]] = {}
             todo = [(1, np.arange(len(sample)))]
             while todo:
                 at, rows = todo.pop()
@@ -68,7 +69,8 @@ class Forest:
                 low = put < split
                 if low.all() or not low.any():
                     continue
-                nodes[at] = (plane, split)
+                spill = 2 * SPILL * FALL ** (at.bit_length() - 1)
+                nodes[at] = (plane, split, float(np.quantile(np.abs(put - split), spill)))
                 todo += [(2 * at, rows[low]), (2 * at + 1, rows[~low])]
             self.trees.append(nodes)
 
@@ -90,9 +92,9 @@ class Forest:
                 done_rows.append(rows)
                 done_leaves.append(np.full(len(rows), at, np.int64))
                 continue
-            plane, split = self.trees[t][at]
+            plane, split, margin = self.trees[t][at]
             put = unit[rows] @ plane - split
-            todo += [(2 * at, rows[put < SPILL / 2]), (2 * at + 1, rows[put >= -SPILL / 2])]
+            todo += [(2 * at, rows[put < margin]), (2 * at + 1, rows[put >= -margin])]
         if not done_rows:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(done_rows), np.concatenate(done_leaves)
@@ -171,7 +173,7 @@ def _split_full(cells: DataFrame, vectors: DataFrame, kind: str) -> DataFrame:
         rows = open_.join(full.select(*keys), keys, "left_semi").join(vectors.select("id", "x"), "id")
         put = park(rows.select(*keys, "id", "x").mapInArrow(_project, f"label {kind}, dim int, cell long, id long, put double"))
         mid = put.groupBy(*keys).agg(F.percentile_approx("put", 0.5, 1000).alias("mid"), F.count("*").alias("n"))
-        low, high = F.col("put") < F.col("mid") + SPILL / 2, F.col("put") >= F.col("mid") - SPILL / 2
+        low, high = F.col("put") < F.col("mid"), F.col("put") >= F.col("mid")
         counted = put.join(mid, keys).groupBy(*keys, "mid", "n").agg(F.count_if(low).alias("a"), F.count_if(high).alias("b"))
         good = F.greatest("a", "b") <= F.col("n") * LEAST_GAIN
         counted = park(counted.select(*keys, "mid", good.alias("good")))
