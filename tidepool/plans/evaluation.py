@@ -122,14 +122,9 @@ def autopsy_timeline(t):
 
 
 plan("token_compare", "WITH s AS (SELECT token_key, metric_id, avg(normalized) AS v FROM v_scores WHERE token_key IN (3, 4) GROUP BY token_key, metric_id) SELECT a.metric_id, round(a.v, 9) AS a, round(b.v, 9) AS b, round(a.v - b.v, 9) AS delta FROM s a JOIN s b ON a.metric_id = b.metric_id WHERE a.token_key = 3 AND b.token_key = 4", "v_scores")
-_AT = "SELECT s.token_key, g.t, s.metric_id, s.normalized, row_number() OVER (PARTITION BY s.token_key, g.t, s.metric_id ORDER BY s.as_of DESC, s.event_id DESC) AS i FROM v_scores s JOIN (SELECT 500000 AS t UNION ALL SELECT 1000000 UNION ALL SELECT 1500000 UNION ALL SELECT 2000000) g ON s.as_of <= g.t WHERE s.normalized IS NOT NULL"
-plan("replay_ticks", f"SELECT token_key, t, round(avg(normalized), 9) AS composite, count(*) AS metrics FROM ({_AT}) x WHERE i = 1 GROUP BY token_key, t", "v_scores")
-plan("backtest_scores", f"SELECT t, count(*) AS decisions, round(avg(c), 9) AS mean, max(n) AS metrics FROM (SELECT token_key, t, avg(normalized) AS c, count(*) AS n FROM ({_AT}) x WHERE i = 1 GROUP BY token_key, t) y GROUP BY t", "v_scores")
 plan("threshold_sensitivity", "SELECT q.f, count(*) AS entries, round(avg(s.v), 9) AS mean FROM (SELECT token_key, avg(normalized) AS v FROM v_scores GROUP BY token_key) s CROSS JOIN (SELECT 0.5e0 AS f UNION ALL SELECT 0.75e0 UNION ALL SELECT 0.9e0 UNION ALL SELECT 1e0 UNION ALL SELECT 1.1e0 UNION ALL SELECT 1.25e0) q WHERE s.v >= 0.165e0 * q.f GROUP BY q.f", "v_scores")
 plan("meme_lineage", "SELECT text_key, count(*) AS n, min(post_id) AS root, round(count(DISTINCT author) / CAST(count(*) AS DOUBLE), 9) AS originality FROM (SELECT post_id, author, md5(text) AS text_key FROM v_posts) x GROUP BY text_key HAVING count(*) > 1", "v_posts")
 plan("recent_publication", "SELECT l.token_key FROM v_launches l WHERE EXISTS (SELECT 1 FROM v_trades t WHERE t.token_key = l.token_key AND t.as_of >= 1500 - 24 AND t.as_of <= 1500)", "v_launches")
-plan("evidence_rank", "SELECT token_key, metric_id, event_id, direction FROM (SELECT token_key, metric_id, event_id, CASE WHEN normalized >= 0.5e0 THEN 'for' ELSE 'against' END AS direction, row_number() OVER (PARTITION BY token_key ORDER BY normalized DESC, event_id) AS i FROM v_scores WHERE normalized IS NOT NULL) x WHERE i <= 8", "v_scores")
-plan("veto_histogram", "SELECT veto, count(*) AS n FROM (SELECT CASE WHEN share > 0.55e0 THEN 'top_holder' WHEN label = 'BUILDING' THEN 'insider' WHEN sold > bought THEN 'dev_sold' END AS veto FROM v_holders) x WHERE veto IS NOT NULL GROUP BY veto", "v_holders")
 
 
 @key("SELECT token_key, '[' || metric_id || ':' || CAST(event_id AS VARCHAR(20)) || ']' AS fact FROM v_scores WHERE confidence = 'high' UNION ALL SELECT token_key, '[holder:' || CAST(wallet AS VARCHAR(20)) || ']' FROM v_holders WHERE share > 0.5e0", "v_scores", "v_holders")
