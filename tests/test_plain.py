@@ -20,7 +20,7 @@ from tidepool.operators.resample import bootstrap
 from tidepool.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-TESTED = {"metric_normalize", "metric_confidence", "weight_fit", "ablation", "backtest_replay", "phash_clusters", "risk_entry", "exit_policy", "bootstrap_ci", "phash_bits", "simhash_groups", "near_dup_groups", "template_share_fuzzy", "curve_binary", "json_walk", "reply_template_ratio"}
+TESTED = {"stream_exits", "metric_normalize", "metric_confidence", "weight_fit", "ablation", "backtest_replay", "phash_clusters", "risk_entry", "exit_policy", "bootstrap_ci", "phash_bits", "simhash_groups", "near_dup_groups", "template_share_fuzzy", "curve_binary", "json_walk", "reply_template_ratio"}
 
 
 @pytest.fixture(scope="module")
@@ -318,6 +318,34 @@ def test_exit_policy(spark):
     assert len(got) == len(set(got)) and set(got) == want and len({r for _, _, r, _ in want}) > 2
 
 
+def test_stream_exits(spark, duck):
+    """Every user's events by hand, with six idle hours between marks or before the stream's last moment."""
+    rows = duck.sql("SELECT user_id, event_id, epoch(ts) AS at, value FROM events ORDER BY ts, event_id").fetchall()
+    end, want = max(r[2] for r in rows) - 60, []
+    rules = P.sale_rules(P.Exit())
+    for token in {r[0] for r in rows}:
+        p = None
+        for _, event, at, price in [r for r in rows if r[0] == token]:
+            if p is not None and at - p.last >= 21600:
+                want += [(token, -1, "idle", 1 - p.sold)] if p.sold < 1 - 1e-9 else []
+                p = None
+            if p is None:
+                p = types.SimpleNamespace(opened=at, entry=price, peak=price, sold=0.0, last=at)
+                continue
+            p.last, p.peak = at, max(p.peak, price)
+            if p.sold >= 1 - 1e-9 or p.entry <= 0 or price <= 0:
+                continue
+            rule = P.decide(rules, types.SimpleNamespace(price=price, entry=p.entry, peak=p.peak, held=at - p.opened, liquidity=price * (1 + event % 9) * 100))
+            for name, to in [(rule, 1.0)] if rule else P.partial_sales(P.Exit(), p.sold, price / p.entry, price * 1000):
+                if to > p.sold:
+                    want.append((token, event, name, to - p.sold))
+                    p.sold = to
+        if p.last + 21600 < end and p.sold < 1 - 1e-9:
+            want.append((token, -1, "idle", 1 - p.sold))
+    got = [(r.token_key, r.event_id, r.rule, round(r.part, 9)) for r in query(spark, "stream_exits")]
+    assert sorted(got) == sorted((a, b, c, round(d, 9)) for a, b, c, d in want) and len({r[2] for r in got}) > 2
+
+
 def test_risk_entry(spark):
     """Every account by hand."""
     by, want = {}, {}

@@ -94,3 +94,87 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(121), 0), 500: 500, 501: 500}
     with pytest.raises(RuntimeError):
         label_components(edges, rounds=1)
+
+
+def test_the_ledger_has_empty_and_failed_batches(spark, source, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    from tidepool.streaming.ledger import Ledger
+
+    add, stream = source
+    add(0)
+    add(1)
+    at = f"file://{tmp_path}/ledger-job"
+    with Ledger(spark, at) as ledger:
+        jobs.run(stream().filter("event_id < 0"), at)  # batches that give no rows
+        jobs.run(stream().filter("event_id < 0"), at)  # a run without anything new
+        broken = stream().select(F.when(F.col("event_id") == 130, F.raise_error(F.lit("damaged"))).otherwise(F.col("event_id")).alias("event_id"))
+        with pytest.raises(StreamingQueryException):
+            jobs.run(broken, f"{at}-broken")
+    rows = ledger.rows().collect()
+    runs = {}
+    for r in rows:
+        runs.setdefault(r.run_id, {})[r.batch] = (r.state, r.rows)
+    assert len(runs) == 3 and len(rows) == len({(r.run_id, r.batch) for r in rows})
+    whole = [r for r in runs.values() if r.get(1, ("", 0))[0] == "done"]
+    assert whole == [{-1: ("started", 0), 0: ("done", 0), 1: ("done", 0), -2: ("ended", 0)}]
+    failed = [r for r in runs.values() if any(s == "failed" for s, _ in r.values())]
+    assert failed == [{-1: ("started", 0), 0: ("done", 60), 1: ("failed", 0)}]
+    assert any("damaged" in (r.message or "") or "Exception" in (r.message or "") for r in rows if r.state == "failed")
+
+
+def marks(number):
+    """Three tokens; one falls silent after the first file and one comes back after a long gap."""
+    start = datetime(2024, 1, 1) + timedelta(minutes=10 * number)
+    out = []
+    for token, prices in ((1, ([1.0, 1.3, 2.1], [1.9, 4.2, 4.0], [3.0, 2.9, 1.0])), (2, ([1.0, 1.05, 1.2], [], [])), (3, ([1.0, 0.7], [], [5.0, 5.1, 12.0]))):
+        out += [(100 * number + 10 * token + i, start + timedelta(seconds=50 * i), token, p, 1e5, 7e4 if token == 3 else None) for i, p in enumerate(prices[number])]
+    return out
+
+
+def test_exits_over_batches_with_a_restart_and_idle_tokens(spark, tmp_path):
+    kind = "event_id long, ts timestamp_ntz, token_key long, price double, liquidity double, market_cap double"
+    (tmp_path / "marks").mkdir()
+    schema = spark.createDataFrame([], kind).schema
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/marks")
+    at, idle = f"file://{tmp_path}/exits", 700
+
+    def add(number):
+        spark.createDataFrame(marks(number) + [(9000 + number, datetime(2024, 1, 1) + timedelta(minutes=10 * number), 9, 1.0, 1e5, None)], kind).coalesce(1).write.parquet(f"{tmp_path}/m-{number}")
+        (made,) = (tmp_path / f"m-{number}").glob("*.parquet")
+        made.rename(tmp_path / "marks" / f"m-{number}.parquet")
+
+    add(0)
+    add(1)
+    jobs.run(jobs.exits(stream(), idle=idle), at)  # then a new start at the same place
+    add(2)
+    found = jobs.exits(stream(), idle=idle)
+    jobs.run(found, at)
+    got = sorted((r.token_key, r.event_id, r.rule, round(r.part, 6)) for r in jobs.batches(spark, at, found.schema).collect() if r.token_key != 9)
+
+    from tidepool.operators.portfolio import Exit, decide, partial_sales, sale_rules
+    from types import SimpleNamespace
+
+    want, rules = [], sale_rules(Exit())
+    rows = [m for n in range(3) for m in marks(n)]
+    for token in (1, 2, 3):
+        own, p = sorted((m for m in rows if m[2] == token), key=lambda m: m[1]), None
+        for m in [*own, None]:
+            now = m[1].timestamp() if m else float("inf")
+            if p and now - p.last >= idle and (m or token == 2):
+                if p.sold < 1:
+                    want.append((token, -1, "idle", round(1 - p.sold, 6)))
+                p = None
+            if m is None:
+                break
+            if p is None:
+                p = SimpleNamespace(opened=now, entry=m[3], peak=m[3], sold=0.0, last=now)
+                continue
+            p.last, p.peak = now, max(p.peak, m[3])
+            if p.sold >= 1:
+                continue
+            rule = decide(rules, SimpleNamespace(price=m[3], entry=p.entry, peak=p.peak, held=now - p.opened, liquidity=m[4]))
+            for name, to in [(rule, 1.0)] if rule else partial_sales(Exit(), p.sold, m[3] / p.entry, m[5] or 0.0):
+                want.append((token, m[0], name, round(to - p.sold, 6)))
+                p.sold = to
+    assert got == sorted(want) and {"idle", "stop"} <= {r for _, _, r, _ in got}

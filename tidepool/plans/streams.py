@@ -41,3 +41,10 @@ def stream_watermark(t):
 @key("SELECT 0 AS batch, count(*) AS rows FROM events")
 def stream_heartbeat(t):
     return jobs.heartbeat(_events(t))
+
+
+@key()
+def stream_exits(t):
+    """Positions of each user's events as a stream: parts sold by rule, and what is left after six idle hours by a timer."""
+    marks = _events(t).select(F.col("user_id").alias("token_key"), "event_id", "ts", F.col("value").alias("price"), (F.col("value") * (1 + F.col("event_id") % 9) * 100).alias("liquidity"), (F.col("value") * 1000).alias("market_cap"))
+    return jobs.drain(jobs.exits(marks, idle=21_600))

@@ -12,13 +12,16 @@ from __future__ import annotations
 import time
 import uuid
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators.portfolio import Exit, decide, partial_sales, sale_rules
 from ..sources.shared import shared_folder
+from .ledger import Ledger
 
 
 def folder(spark: SparkSession) -> str:
@@ -81,10 +84,11 @@ def drain(stream: DataFrame, mode: str = "append", keys: list[str] | None = None
 
 
 def heartbeat(stream: DataFrame, at: str | None = None) -> DataFrame:
-    """(batch, rows): one row for each batch that a job has finished."""
+    """(batch, rows): one row for each batch of a job that was done, empty ones too, from the ledger of its runs."""
     at = at or folder(stream.sparkSession)
-    run(stream, at)
-    return batches(stream.sparkSession, at, stream.schema).groupBy("batch").agg(F.count("*").alias("rows"))
+    with Ledger(stream.sparkSession, at) as ledger:
+        run(stream, at)
+    return ledger.rows().filter("state = 'done'").groupBy("batch").agg(F.max("rows").alias("rows"))
 
 
 def frames(stream: DataFrame) -> DataFrame:
@@ -135,3 +139,56 @@ def positions(stream: DataFrame) -> DataFrame:
         yield pd.DataFrame({"token_key": [key[0]], "peak": [peak], "low": [low], "n": [n]})
 
     return stream.groupBy("user_id").applyInPandasWithState(track, "token_key long, peak double, low double, n long", "peak double, low double, n long", "update", GroupStateTimeout.NoTimeout)
+
+
+_HELD = "opened double, entry double, peak double, sold double, last double"
+
+
+def exits(stream: DataFrame, rules: Exit | None = None, idle: int = 180, late: str = "1 minute") -> DataFrame:
+    """(token_key, event_id, rule, part): each token's position, opened at its first mark, leaves by the rules of ``portfolio``.
+
+    Marks have token_key, event_id, ts, price, liquidity and market_cap. State is one row a token; a token without a
+    mark for ``idle`` seconds of event time is sold at its last mark (rule 'idle', event_id -1) by a timer,
+    and its next mark opens a new position. Marks of a batch are taken in order of time, so batches must
+    not be older than the watermark.
+    """
+    x = rules or Exit()
+    selling = sale_rules(x)
+
+    def track(key, parts, state):
+        out = []
+        held = SimpleNamespace(**dict(zip(("opened", "entry", "peak", "sold", "last"), state.get, strict=True))) if state.exists else None
+
+        def expire():
+            nonlocal held
+            if held is not None and held.sold < 1 - 1e-9:
+                out.append((key[0], -1, "idle", 1 - held.sold))
+            held = None
+
+        if state.hasTimedOut:
+            expire()
+            state.remove()
+        else:
+            frame = pd.concat(list(parts))
+            frame["at"] = frame["ts"].astype("datetime64[ms]").astype("int64") / 1000
+            for m in frame.sort_values(["at", "event_id"]).itertuples():
+                if held is not None and m.at - held.last >= idle:
+                    expire()
+                if held is None:
+                    held = SimpleNamespace(opened=m.at, entry=m.price, peak=m.price, sold=0.0, last=m.at)
+                    continue
+                held.last, held.peak = m.at, max(held.peak, m.price)
+                if held.sold >= 1 - 1e-9 or held.entry <= 0 or m.price <= 0:
+                    continue
+                known = lambda v, other: other if v is None or v != v else float(v)
+                rule = decide(selling, SimpleNamespace(price=m.price, entry=held.entry, peak=held.peak, held=m.at - held.opened, liquidity=known(m.liquidity, float("inf"))))
+                for name, to in [(rule, 1.0)] if rule else partial_sales(x, held.sold, m.price / held.entry, known(m.market_cap, 0.0)):
+                    if to > held.sold:
+                        out.append((m.token_key, m.event_id, name, to - held.sold))
+                        held.sold = to
+            state.update((held.opened, held.entry, held.peak, held.sold, held.last))
+            state.setTimeoutTimestamp(max(int((held.last + idle) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["token_key", "event_id", "rule", "part"])
+
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy("token_key").applyInPandasWithState(track, "token_key long, event_id long, rule string, part double", _HELD, "append", GroupStateTimeout.EventTimeTimeout)
