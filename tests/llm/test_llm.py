@@ -501,3 +501,64 @@ def test_strings_of_periodic_text_are_short():
     raw = np.frombuffer(b"0123456789abcdef" * 100_000, np.uint8)
     cut = anchors.Cut(run_index.UNIT, raw, np.array([0, len(raw)]))
     assert cut.count.max() <= anchors.RUN and cut.count.sum() == len(raw) - run_index.WIN + 1
+
+
+def scripts(seed, n):
+    """Texts of several scripts, bytes without pieces, and mixes, of up to 2,000 characters."""
+    rng = random.Random(seed)
+    ranges = [(0x400, 0x460), (0x370, 0x400), (0xAC00, 0xD7A4), (0x4E00, 0x9FFF), (0x20, 0x7F), (0xA0, 0x2000), (0x1F300, 0x1F600)]
+    out = []
+    for i in range(n):
+        kinds = rng.sample(ranges, rng.randint(1, 3))
+        out.append((i, "".join(chr(rng.randint(a, b - 1)) for a, b in (rng.choice(kinds) for _ in range(rng.choice((1, 30, 1000, 2000)))))))
+    return [(i, "".join(c for c in t if not 0xD800 <= ord(c) < 0xE000)) for i, t in out]
+
+
+def test_pieces_of_any_script_are_lossless_and_a_rows_own(spark):
+    rows = scripts(3, 60)
+    one = {r.doc_id: (list(r.ids), r.lossless) for r in pieces.encode(frame(spark, rows).coalesce(1)).collect()}
+    assert all(same for _, same in one.values())
+    back = {r.doc_id: r.text for r in pieces.decoded(pieces.encode(frame(spark, rows))).collect()}
+    assert back == dict(rows)
+    for dealt in (frame(spark, rows).repartition(7), frame(spark, rows[::-1]).coalesce(2)):
+        assert {r.doc_id: list(r.ids) for r in pieces.encode(dealt).collect()} == {i: ids for i, (ids, _) in one.items()}
+    alone = frame(spark, rows[20:21])
+    assert list(pieces.encode(alone).first().ids) == one[20][0]
+
+
+def test_segmentations_of_three_byte_characters_follow_the_lattice():
+    """Every segmentation of a short text of wide characters is drawn about as often as its weight says."""
+    vocab = pieces.Vocabulary(pieces.MODEL)
+    raw = "한国а".encode()
+    known = {}
+    for i, b in enumerate(vocab.bytes_of):
+        if b:
+            known.setdefault(bytes(b), []).append(i)
+    ways = {}
+
+    def extend(at, ids, weight):
+        if at == len(raw):
+            ways[tuple(ids)] = weight
+            return
+        for end in range(at + 1, len(raw) + 1):
+            for i in known.get(raw[at:end], ()):
+                extend(end, [*ids, i], weight * vocab.weight[i])
+
+    extend(0, [], 1.0)
+    total, seen, n = sum(ways.values()), {}, 3000
+    for k in range(n):
+        ids, _ = pieces.sample(vocab, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), np.array([k], np.uint64))
+        assert tuple(ids.tolist()) in ways
+        seen[tuple(ids.tolist())] = seen.get(tuple(ids.tolist()), 0) + 1
+    assert len(ways) > 1 and all(abs(seen.get(w, 0) / n - x / total) < 0.03 for w, x in ways.items())
+
+
+def test_a_score_doesnt_depend_on_the_next_row(spark):
+    texts = ["ΟΔΟΣ ΜΕΓΑΛΟΣ", "Α", "ΛΟΓΟΣ", "αλλο", "ΟΔΟΣ ΜΕΓΑΛΟΣ", "the end of it", "Σ", "İstanbul Σ"]
+    docs = spark.createDataFrame([(i, t, "el" if i % 2 else "en") for i, t in enumerate(texts * 4)], "doc_id long, text string, lang string")
+    model = language.fit_by_remainder(docs)
+    whole = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs.coalesce(1), model).collect()}
+    for i in range(len(texts)):
+        r = language.identify(docs.filter(F.col("doc_id") == i), model).first()
+        assert (r.lang_pred, r.score) == whole[i]
+    assert whole[0] == whole[4]

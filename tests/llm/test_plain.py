@@ -23,7 +23,7 @@ def gram(points):
 
 
 def features(text):
-    points = [ord(c) for c in text.replace("İ", "i").lower()]
+    points = [ord(c) for c in text.replace("İ", "i").replace("Σ", "σ").lower()]
     return [gram(points[i : i + n]) for n in language.ORDERS for i in range(len(points) - n + 1)]
 
 

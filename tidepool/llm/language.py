@@ -46,12 +46,13 @@ def _letters(points: np.ndarray) -> np.ndarray:
 
 
 def _points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code points of a slice and their row offsets."""
+    """Lower-cased code points of a slice and their row offsets. A capital sigma has one small form here, as the other depends on what follows."""
+    small = lambda s: s.replace("İ", "i").replace("Σ", "σ").lower()
     try:
-        text = data.tobytes().decode("utf-8").replace("İ", "i").lower()
+        text = small(data.tobytes().decode("utf-8"))
         ahead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
     except UnicodeDecodeError:  # rows that aren't UTF-8, one by one
-        rows = [data[a:b].tobytes().decode("utf-8", "replace").lower() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        rows = [small(data[a:b].tobytes().decode("utf-8", "replace")) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         text, ahead = "".join(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), ahead
 
