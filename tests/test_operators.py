@@ -78,3 +78,23 @@ def test_reads_push_filters_and_prune_columns(spark):
     plan = catalog.QUERIES["launch_lookup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(p_partkey), EqualTo(p_partkey,42)]" in plan
     assert "CartesianProduct" not in plan
+
+
+def test_parked_tables_go_when_the_driver_ends(tmp_path):
+    """A driver of its own leaves nothing in the shared folder."""
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}').getOrCreate()
+from tidepool.operators.graph import label_components
+from tidepool.sources.shared import discard, park
+import os
+one, two = park(spark.range(5)), park(spark.range(7))
+label_components(spark.createDataFrame([(1, 2)], 'u long, v long')).collect()
+discard(one)
+print('kept', sum('-' in n and n.split('-')[0] in ('tidepool', 'components') for n in os.listdir('{tmp_path}')), two.count())
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert "kept 2 7" in out.stdout and not [p.name for p in tmp_path.iterdir() if p.name.startswith(("tidepool-", "components-"))]

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, until_exit
 
 
 def qualifying_funders(holders: DataFrame, least: int = 2, share: float = 0.08) -> DataFrame:
@@ -29,6 +29,7 @@ def label_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     spark = edges.sparkSession
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     at = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
+    until_exit(spark, at)
 
     def kept(frame: DataFrame, name: str) -> DataFrame:
         frame.write.parquet(f"{at}/{name}")

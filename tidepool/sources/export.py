@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from .shared import shared_folder
+from .shared import shared_folder, until_exit
 
 FORMATS = ("csv", "json", "parquet", "orc")
 
@@ -27,5 +27,6 @@ def roundtrip(df: DataFrame, fmt: str) -> DataFrame:
     """Through a file format and back, in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    until_exit(spark, path)
     export(df, path, fmt)
     return load(spark, path, fmt, df.schema)

@@ -25,6 +25,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+_parked: dict[str, SparkSession] = {}
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """The table at ``path`` is deleted when the driver ends, if not before: frames that are handed out may still read it."""
+    if not _parked:
+        atexit.register(_leave)
+    _parked[path] = spark
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _parked.pop(path, None)
+
+
+def _leave() -> None:
+    for path, spark in list(_parked.items()):
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001  the session has ended before the driver
+            return
+
+
 def park(df: DataFrame) -> DataFrame:
     """Writes a frame to the shared folder once and reads it back, so that all that follows sees the same rows and a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -32,11 +56,11 @@ def park(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidepool_path = path
+    until_exit(spark, path)
     return out
 
 
 def discard(*parked: DataFrame) -> None:
     """Deletes parked tables; only for those that no later job reads, not even to recompute."""
     for df in parked:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tidepool_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df._tidepool_path)

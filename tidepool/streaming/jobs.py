@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.portfolio import Exit, decide, partial_sales, sale_rules
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, until_exit
 from .ledger import Ledger
 
 
 def folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    """A place of a job's own, until the driver ends; a job that is to go on later names its place."""
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    until_exit(spark, at)
+    return at
 
 
 def events(spark: SparkSession, sf_dir: str, glob: str = "events.parquet") -> DataFrame:
