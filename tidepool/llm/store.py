@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
+from ..sources.shared import delete, shared_folder, until_exit
 
 def park(df: DataFrame, group_bytes: int = 0) -> DataFrame:
     """Write a frame to the shared folder once and read it back: lineage ends here.
@@ -25,15 +25,14 @@ def park(df: DataFrame, group_bytes: int = 0) -> DataFrame:
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidepool_path = path
+    until_exit(spark, path)
     return out
 
 
 def discard(*parked: DataFrame) -> None:
     """Deletes parked tables; only for those that no later job reads, not even to recompute."""
     for df in parked:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._tidepool_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df._tidepool_path)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
