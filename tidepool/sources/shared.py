@@ -25,24 +25,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
-_parked: dict[str, SparkSession] = {}
-
-
 def until_exit(spark: SparkSession, path: str) -> None:
-    """The table at ``path`` is deleted when the driver ends, if not before: frames that are handed out may still read it."""
-    if not _parked:
-        atexit.register(_leave)
-    _parked[path] = spark
+    """The table at ``path`` is deleted when the driver ends, if not before: frames that are handed out may still read it.
+
+    The session knows its tables; a module's globals would travel to executors with the functions beside them.
+    """
+    if not hasattr(spark, "_tidepool_tables"):
+        spark._tidepool_tables = set()
+        atexit.register(_leave, spark)
+    spark._tidepool_tables.add(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _parked.pop(path, None)
+    getattr(spark, "_tidepool_tables", set()).discard(path)
 
 
-def _leave() -> None:
-    for path, spark in list(_parked.items()):
+def _leave(spark: SparkSession) -> None:
+    for path in list(spark._tidepool_tables):
         try:
             delete(spark, path)
         except Exception:  # noqa: BLE001  the session has ended before the driver
