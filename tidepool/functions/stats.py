@@ -76,8 +76,8 @@ def impact_bps(sol_reserve, token_reserve, sol_in) -> Column:
 
 
 def leading_digit(x) -> Column:
-    """First non-zero digit as the number is written."""
-    return F.regexp_extract(_col(x).cast("string"), "[1-9]", 0).cast("int")
+    """First non-zero digit as the number is written; zero has none."""
+    return F.nullif(F.regexp_extract(_col(x).cast("string"), "[1-9]", 0), F.lit("")).cast("int")
 
 
 def decay(value, age_hours, half_life: float = 72.0) -> Column:
