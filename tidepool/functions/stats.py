@@ -12,6 +12,23 @@ def _col(x) -> Column:
     return x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x)
 
 
+def quotient(a, b) -> Column:
+    """a / b in doubles with the results of floating point for a divisor of zero: an infinity, or NaN for 0 / 0."""
+    a, b = _col(a).cast("double"), _col(b).cast("double")
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
+
+
+def ln(x) -> Column:
+    """Natural logarithm, minus infinity at 0 and NaN below it (null only for null)."""
+    x = _col(x).cast("double")
+    return F.when(x == 0, float("-inf")).when(x < 0, float("nan")).otherwise(F.ln(x))
+
+
+def rounded(x, digits: int) -> Column:
+    """Rounds the number itself, half away from zero; Spark's own ``round`` rounds its shortest decimal form, which may lie above it."""
+    return F.round(_col(x).cast("double") * 10.0**digits, 0) / 10.0**digits
+
+
 def clamp(x, lo: float = 0.0, hi: float = 1.0) -> Column:
     x = _col(x).cast("double")
     return F.when(x.isNull(), None).when(F.isnan(x), F.lit(lo)).otherwise(F.greatest(F.lit(lo), F.least(F.lit(hi), x)))

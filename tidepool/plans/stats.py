@@ -126,8 +126,8 @@ def curve_impact(t):
 
 @key("SELECT event_id, round(sol, 6) AS sol, round(sol / price, 6) AS tokens FROM (SELECT event_id, price, CASE WHEN progress < 0.95 THEN 30 + greatest(0, least(85, progress * 85)) ELSE 0.5 * liquidity / price END AS sol FROM v_snapshots)", "v_snapshots")
 def curve_reserves(t):
-    sol = F.when(F.col("progress") < 0.95, 30 + S.clamp(F.col("progress") * 85, 0.0, 85.0)).otherwise(0.5 * F.col("liquidity") / F.col("price"))
-    return t("v_snapshots").select("event_id", F.round(sol, 6).alias("sol"), F.round(sol / F.col("price"), 6).alias("tokens"))
+    sol = F.when(F.col("progress") < 0.95, 30 + S.clamp(F.col("progress") * 85, 0.0, 85.0)).otherwise(S.quotient(0.5 * F.col("liquidity"), "price"))
+    return t("v_snapshots").select("event_id", F.round(sol, 6).alias("sol"), S.rounded(S.quotient(sol, "price"), 6).alias("tokens"))
 
 
 @key()
