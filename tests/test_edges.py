@@ -69,3 +69,9 @@ def test_volatility_over_prices_of_zero(spark, folder):
 
 def test_a_price_of_zero_leaves_no_half_life(spark, folder):
     same_as_twin(spark, folder, "half_life")
+
+
+def test_fills_against_a_price_of_zero(spark, folder):
+    got = catalog.QUERIES["fill_calibration"](spark, folder).first()
+    assert got.observed == math.inf  # the table has such a pair
+    same_as_twin(spark, folder, "fill_calibration")

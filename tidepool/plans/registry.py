@@ -22,13 +22,13 @@ class Tables:
         return view(self.spark, self.sf_dir, name)
 
 
-def plan(name: str, sql: str, *views: str) -> None:
-    """Registers one SQL text over the views, written in the part of SQL that both engines share."""
+def plan(name: str, sql: str, *views: str, own: Callable[[Tables], DataFrame] | None = None) -> None:
+    """Registers one SQL text over the views, written in the part of SQL that both engines share; where they part, Spark runs ``own``."""
     from .views import bound
 
     if name in QUERIES:
         raise ValueError(f"query {name} is registered twice")
-    QUERIES[name] = lambda spark, sf_dir: bound(spark, sf_dir, sql)
+    QUERIES[name] = lambda spark, sf_dir: own(Tables(spark, sf_dir)) if own else bound(spark, sf_dir, sql)
     text = sql.strip()
     ORACLES[name] = f"WITH {ctes(*views)}, {text[4:].lstrip()}" if views and text.upper().startswith("WITH") else f"WITH {ctes(*views)} {text}" if views else text
 

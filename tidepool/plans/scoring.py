@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import stats as S
+from ..operators import pit
 from .registry import key, plan
 
 # Confidence weights, family budgets and metric weights of the two-level score.
@@ -25,7 +27,17 @@ plan("confluence_boost", "SELECT t.token_key, count(DISTINCT t.wallet) AS matche
 plan("fill_sim", "SELECT event_id, round(tokens * (1 - 0.013e0), 6) AS tokens, round((d / tokens / (x / y) - 1) * 10000, 4) AS bps, (d / tokens / (x / y) - 1) * 10000 > 350 AS rejected FROM (SELECT event_id, 30e0 + event_id % 85 AS x, 1000e0 + event_id % 777 AS y, 0.2e0 + event_id % 3 AS d, (1000e0 + event_id % 777) - (30e0 + event_id % 85) * (1000e0 + event_id % 777) / ((30e0 + event_id % 85) + (0.2e0 + event_id % 3)) AS tokens FROM events) q")
 plan("contention", "SELECT token_key, round(least(1e0, greatest(0e0, log10(1 + median(fee) * 100) / 1.5e0)), 6) AS contention FROM v_trades WHERE as_of <= 1500 AND observed_at <= 1500 AND as_of >= 1200 GROUP BY token_key", "v_trades")
 plan("kill_switch", "SELECT token_key, round(min(m), 6) AS worst, max(CASE WHEN e AND e1 AND e2 THEN 1 ELSE 0 END) AS tripped FROM (SELECT token_key, avg(price) OVER (PARTITION BY token_key ORDER BY as_of, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS m, source = 'error' AS e, lag(source) OVER (PARTITION BY token_key ORDER BY as_of, event_id) = 'error' AS e1, lag(source, 2) OVER (PARTITION BY token_key ORDER BY as_of, event_id) = 'error' AS e2 FROM v_snapshots) x GROUP BY token_key", "v_snapshots")
-plan("fill_calibration", "SELECT count(*) AS n, round(avg(o), 4) AS observed, round(avg(m), 4) AS modelled, round(avg(o) - avg(m), 4) AS gap FROM (SELECT (t.amount_native / t.amount_token / s.price - 1) * 10000 AS o, t.discount * 10000 AS m FROM v_trades t JOIN v_snapshots s ON s.token_key = t.token_key AND s.as_of <= t.as_of * 1000 AND t.as_of * 1000 <= s.as_of + 3000 WHERE side = 'buy') x", "v_trades", "v_snapshots")
+
+def _fill_calibration(t):
+    """What buys paid over the snapshots of the three seconds before, in basis points, and what was modelled; a snapshot's price may be 0."""
+    buys = t("v_trades").filter("side = 'buy'").select("token_key", (F.col("as_of") * 1000).alias("as_of"), "amount_native", "amount_token", "discount")
+    pairs = pit.band_join(buys, t("v_snapshots").select("token_key", "as_of", "price"), "token_key", 3000)
+    paid = (S.quotient(S.quotient("amount_native", "amount_token"), "right_price") - 1) * 10_000
+    g = pairs.agg(F.count("*").alias("n"), F.avg(paid).alias("o"), F.avg(F.col("discount") * 10_000).alias("m"))
+    return g.select("n", F.round("o", 4).alias("observed"), F.round("m", 4).alias("modelled"), F.round(F.col("o") - F.col("m"), 4).alias("gap"))
+
+
+plan("fill_calibration", "SELECT count(*) AS n, round(avg(o), 4) AS observed, round(avg(m), 4) AS modelled, round(avg(o) - avg(m), 4) AS gap FROM (SELECT (t.amount_native / t.amount_token / s.price - 1) * 10000 AS o, t.discount * 10000 AS m FROM v_trades t JOIN v_snapshots s ON s.token_key = t.token_key AND s.as_of <= t.as_of * 1000 AND t.as_of * 1000 <= s.as_of + 3000 WHERE side = 'buy') x", "v_trades", "v_snapshots", own=_fill_calibration)
 plan("revenue_share", "SELECT c_mktsegment AS tier, count(*) AS n, round(sum(o_totalprice * CASE WHEN c_acctbal > 5000 THEN 0.005e0 ELSE 0.01e0 END), 2) AS fees, round(sum(o_totalprice * CASE WHEN c_acctbal > 5000 THEN 0.005e0 ELSE 0.01e0 END * 0.2e0), 2) AS referral FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment")
 plan("authority_audit", "SELECT p_partkey, score, CASE WHEN score <= 40 OR p_partkey % 7 = 0 THEN 'critical' WHEN score <= 80 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN p_size < 5 THEN 'QUARANTINE' WHEN score <= 40 THEN 'VETO' ELSE 'APPROVE' END AS verdict FROM (SELECT p_partkey, p_size, 100 - CASE WHEN p_partkey % 5 = 0 THEN 40 ELSE 0 END - CASE WHEN p_partkey % 7 = 0 THEN 50 ELSE 0 END - CASE WHEN p_partkey % 3 = 0 THEN 20 ELSE 0 END AS score FROM part) x")
 
