@@ -75,3 +75,7 @@ def test_fills_against_a_price_of_zero(spark, folder):
     got = catalog.QUERIES["fill_calibration"](spark, folder).first()
     assert got.observed == math.inf  # the table has such a pair
     same_as_twin(spark, folder, "fill_calibration")
+
+
+def test_stability_of_a_price_that_fell_to_zero(spark, folder):
+    same_as_twin(spark, folder, "price_stability_under_flow")

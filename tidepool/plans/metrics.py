@@ -6,6 +6,9 @@ never 0. ``metric_normalize`` and ``metric_confidence`` apply to all of them ali
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import stats as S
 from .registry import plan
 
 T = 1500
@@ -13,8 +16,8 @@ _SEEN = f"SELECT * FROM v_trades WHERE as_of <= {T} AND observed_at <= {T}"
 _CLAMP = "greatest(0e0, least(1e0, {}))"
 
 
-def _metric(name: str, sql: str, *views: str, digits: int = 6) -> None:
-    plan(name, f"WITH m AS ({sql}) SELECT token_key, round(raw, {digits}) AS raw, evidence FROM m", *views)
+def _metric(name: str, sql: str, *views: str, digits: int = 6, own=None) -> None:
+    plan(name, f"WITH m AS ({sql}) SELECT token_key, round(raw, {digits}) AS raw, evidence FROM m", *views, own=own)
 
 
 _WILSON = "greatest(0e0, least(1e0, ({k} / {n} + 1.9208e0 / {n} - 1.96e0 * sqrt(({k} / {n} * (1 - {k} / {n}) + 0.9604e0 / {n}) / {n})) / (1 + 3.8416e0 / {n})))"
@@ -41,7 +44,16 @@ _metric("entry_contention", f"SELECT token_key, CASE WHEN count(*) >= 6 AND coun
 
 _ES = "SELECT * FROM v_snapshots WHERE as_of <= 1000000 AND observed_at <= 1000000"
 _metric("realizable_exit_depth", f"SELECT token_key, min(liquidity) * (0.25e0 + 0.75e0 * max(progress)) * (0.05e0 / 1.05e0) / 40 AS raw, count(*) AS evidence FROM ({_ES}) s WHERE as_of >= 700000 GROUP BY token_key", "v_snapshots")
-_metric("price_stability_under_flow", f"SELECT token_key, CASE WHEN count(*) >= 3 THEN CASE WHEN max(price) = min(price) THEN ln(1e0 + sum(liquidity)) ELSE ln(1e0 + sum(liquidity) / abs(ln(max(price) / min(price)))) - 3 END END AS raw, count(*) AS evidence FROM ({_ES}) s GROUP BY token_key", "v_snapshots")
+
+def _price_stability(t):
+    """A token whose least price is 0 has moved without bound."""
+    g = t("v_snapshots").filter("as_of <= 1000000 AND observed_at <= 1000000").groupBy("token_key").agg(F.max("price").alias("hi"), F.min("price").alias("lo"), F.sum("liquidity").alias("flow"), F.count("*").alias("evidence"))
+    moved = S.ln(1 + S.quotient("flow", F.abs(S.ln(S.quotient("hi", "lo"))))) - 3
+    raw = F.when(F.col("evidence") >= 3, F.when(F.col("hi") == F.col("lo"), S.ln(1 + F.col("flow"))).otherwise(moved))
+    return g.select("token_key", F.round(raw, 6).alias("raw"), "evidence")
+
+
+_metric("price_stability_under_flow", f"SELECT token_key, CASE WHEN count(*) >= 3 THEN CASE WHEN max(price) = min(price) THEN ln(1e0 + sum(liquidity)) ELSE ln(1e0 + sum(liquidity) / abs(ln(max(price) / min(price)))) - 3 END END AS raw, count(*) AS evidence FROM ({_ES}) s GROUP BY token_key", "v_snapshots", own=_price_stability)
 _metric("launch_timing_quality", f"SELECT token_key, 0.5e0 * {_CLAMP.format('avg(CASE WHEN progress >= 0.95e0 THEN 1e0 ELSE 0e0 END) / 0.02e0')} + 0.3e0 * (sum(liquidity) / (sum(liquidity) + 750000e0)) + 0.2e0 * (1 - count(*) / (count(*) + 400e0)) AS raw, count(*) AS evidence FROM ({_ES}) s GROUP BY token_key", "v_snapshots")
 
 # --- posts ---------------------------------------------------------------------------------
