@@ -79,3 +79,15 @@ def test_fills_against_a_price_of_zero(spark, folder):
 
 def test_stability_of_a_price_that_fell_to_zero(spark, folder):
     same_as_twin(spark, folder, "price_stability_under_flow")
+
+
+def test_sums_at_a_threshold_are_those_in_wallet_order(spark):
+    from tidepool.plans.views import view
+
+    at, sums = "/root/testdata/sf0.1", {}
+    for r in sorted(view(spark, at, "v_holders").filter("label IN ('FURNITURE', 'BUILDING')").select("wallet", "token_key", "label", "share").collect()):
+        sums[r.token_key, r.label] = sums.get((r.token_key, r.label), 0.0) + r.share
+    got = catalog.QUERIES["bundle_sybil"](spark, at).collect()
+    part = lambda r, label: sums.get((r.token_key, label), 0.0)
+    want = {r.token_key: part(r, "FURNITURE") >= 0.25 or (part(r, "FURNITURE") >= 0.2 and part(r, "BUILDING") >= 0.2) for r in got}
+    assert {r.token_key: r.sybil for r in got} == want

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
@@ -20,7 +21,18 @@ plan("composite_score", f"SELECT token_key, round(composite, 6) AS composite, ro
 plan("usable_values", f"SELECT token_key, count(*) AS usable, round(sum(w), 6) AS weight FROM ({_USABLE}) u GROUP BY token_key", "v_scores")
 plan("wash_filter", "WITH v AS (SELECT token_key, wallet, sum(amount_native) AS x, count(*) AS n FROM v_trades GROUP BY token_key, wallet), r AS (SELECT token_key, x, n, row_number() OVER (PARTITION BY token_key ORDER BY x) AS i, row_number() OVER (PARTITION BY token_key ORDER BY x DESC) AS j FROM v), g AS (SELECT token_key, sum(n) AS trades, count(*) AS k, sum(CASE WHEN j <= 2 THEN x ELSE 0e0 END) / sum(x) AS top2, 2 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1e0) / count(*) AS gini FROM r GROUP BY token_key) SELECT token_key, CAST(trades AS BIGINT) AS trades, round(top2, 6) AS top2, trades >= 6 AND (top2 >= 0.75e0 OR (gini >= 0.9e0 AND k > 3)) AS washed FROM g", "v_trades")
 plan("curve_stage", "SELECT event_id, round(least(1e0, liquidity / 4000e0), 9) AS progress, least(1e0, liquidity / 4000e0) > 0.85e0 AS late, source = 'purchase' AS suffix_ok FROM v_snapshots", "v_snapshots")
-plan("bundle_sybil", "SELECT token_key, round(b, 9) AS bundled, round(i, 9) AS insider, b >= 0.25e0 OR (b >= 0.2e0 AND i >= 0.2e0) AS sybil FROM (SELECT token_key, coalesce(sum(CASE WHEN label = 'FURNITURE' THEN share END), 0e0) AS b, coalesce(sum(CASE WHEN label = 'BUILDING' THEN share END), 0e0) AS i FROM v_holders GROUP BY token_key) x", "v_holders")
+
+def _bundle_sybil(t):
+    """Shares are added in the order of wallets, so that sums at a threshold are the same in every run."""
+    run = Window.partitionBy("token_key").orderBy("wallet").rowsBetween(Window.unboundedPreceding, 0)
+    part = lambda label: F.sum(F.when(F.col("label") == label, F.col("share"))).over(run)
+    rows = t("v_holders").select("token_key", "wallet", part("FURNITURE").alias("b"), part("BUILDING").alias("i"))
+    g = rows.groupBy("token_key").agg(*[F.coalesce(F.max_by(c, "wallet"), F.lit(0.0)).alias(c) for c in ("b", "i")])
+    b, i = F.col("b"), F.col("i")
+    return g.select("token_key", F.round(b, 9).alias("bundled"), F.round(i, 9).alias("insider"), ((b >= 0.25) | ((b >= 0.2) & (i >= 0.2))).alias("sybil"))
+
+
+plan("bundle_sybil", "SELECT token_key, round(b, 9) AS bundled, round(i, 9) AS insider, b >= 0.25e0 OR (b >= 0.2e0 AND i >= 0.2e0) AS sybil FROM (SELECT token_key, coalesce(sum(CASE WHEN label = 'FURNITURE' THEN share END), 0e0) AS b, coalesce(sum(CASE WHEN label = 'BUILDING' THEN share END), 0e0) AS i FROM v_holders GROUP BY token_key) x", "v_holders", own=_bundle_sybil)
 plan("screen", "SELECT token_key, event_id, round(rank, 6) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY token_key ORDER BY rank DESC, event_id) AS i FROM (SELECT token_key, event_id, price / (price + 100e0) + 0.3e0 * progress + CASE WHEN source = 'signup' THEN 0.2e0 ELSE 0e0 END - 0.1e0 * (event_id % 3) AS rank FROM v_snapshots WHERE liquidity >= 400 AND as_of >= 1000000) a) b WHERE i = 1 ORDER BY rank DESC, token_key LIMIT 40", "v_snapshots")
 plan("ticker_index", "SELECT symbol, count(*) AS tokens, min(token_key) AS first_token, round(sum(price), 2) AS liquidity FROM v_launches WHERE created_at <= 900 AND created_at >= 300 GROUP BY symbol", "v_launches")
 plan("confluence_boost", "SELECT t.token_key, count(DISTINCT t.wallet) AS matches, round(CASE WHEN count(DISTINCT t.wallet) >= 2 THEN greatest(0.99e0, 0.6e0 * max(c_acctbal) / 10000) ELSE 0.45e0 * max(c_acctbal) / 10000 END, 9) AS boost FROM v_trades t JOIN customer ON c_custkey = t.wallet WHERE c_acctbal > 9500 AND side = 'buy' GROUP BY t.token_key", "v_trades")
