@@ -91,3 +91,14 @@ def test_sums_at_a_threshold_are_those_in_wallet_order(spark):
     part = lambda r, label: sums.get((r.token_key, label), 0.0)
     want = {r.token_key: part(r, "FURNITURE") >= 0.25 or (part(r, "FURNITURE") >= 0.2 and part(r, "BUILDING") >= 0.2) for r in got}
     assert {r.token_key: r.sybil for r in got} == want
+
+
+def test_a_concentration_at_its_limit_counts_as_in_the_twin(spark):
+    same_as_twin(spark, "/root/testdata/sf0.1", "veto_histogram")
+
+
+def test_equal_contributions_are_in_order_of_their_source(spark, tmp_path):
+    stamp = datetime.datetime(2024, 1, 2)
+    rows = [(0, stamp, 1, "view", 0.1, "{}"), (1, stamp, 1, "view", 0.2, "{}"), (2, stamp, 1, "view", 0.3, "{}"), (3, stamp, 1, "click", 0.6, "{}")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert catalog.QUERIES["top_contributions"](spark, str(tmp_path)).first().top == "click,view"

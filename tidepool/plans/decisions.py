@@ -63,7 +63,7 @@ def veto_set(t):
     twins = t("v_launches").select("token_key", (F.row_number().over(Window.partitionBy("symbol", "name").orderBy("created_at", "token_key")) - 1).alias("twins"))
     x = t("v_security").join(rugs, "token_key", "left").join(twins, "token_key", "left").join(wash, "token_key", "left")
     c = F.col
-    young = F.when(c("graduated"), TOP10).otherwise(min(0.90, TOP10 + 0.30))
+    young = F.when(c("graduated"), TOP10).otherwise(round(min(0.90, TOP10 + 0.30), 9))  # 0.85, which the sum of doubles is not
     few = (c("holder_count") < 85) | ((c("age") >= 300) & (c("holder_count") < 120)) | ((c("age") >= 600) & (c("holder_count") < 200))
     rules = [
         (~c("mint_revoked"), "mint_authority_live"), (~c("freeze_revoked"), "freeze_authority_live"), (c("transfer_fee_bps") > 0, "transfer_tax_present"), ((c("lp_burned") < 0.5) & c("graduated"), "lp_not_burned"),
