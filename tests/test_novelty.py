@@ -32,3 +32,17 @@ def test_an_empty_corpus_and_empty_rows(spark):
     rows = spark.createDataFrame([(1, "some text")], "id long, text string")
     assert N.novelty(rows, ["id"], rows.filter("id < 0"), "id").first().novelty == 1.0
     assert N.novelty(rows.filter("id < 0"), ["id"], rows, "id").count() == 0
+
+
+def test_texts_of_a_period_are_held_against_the_one_before_in_blocks(spark):
+    """Copies count as rows but are compared once; the pairs of blocks hold every pair of texts."""
+    from tidepool.operators.novelty import against_last_period
+
+    draw = random.Random(5)
+    texts = {(b, "".join(draw.choice("abc ") for _ in range(draw.randint(1, 14))).strip() or "a"): draw.randint(1, 50) for b in (1, 1, 2, 4) for _ in range(40)}
+    rows = spark.createDataFrame([(b, x, k) for (b, x), k in texts.items()], "b long, skel string, k long")
+    got = {(r.b, r.skel): (r.best, r.close) for r in against_last_period(rows, "b", "skel", "k", 0.3, size=7).collect()}
+    cut = lambda x: {x[i : i + 4] for i in range(max(1, len(x) - 3))}
+    like = lambda x, y: len(cut(x) & cut(y)) / len(cut(x) | cut(y))
+    want = {(b, x): (max(like(x, y) for c, y in texts if c == b - 1), sum(k for (c, y), k in texts.items() if c == b - 1 and like(x, y) > 0.3)) for b, x in texts if b == 2}
+    assert got == want and len(want) > 20

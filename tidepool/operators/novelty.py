@@ -11,6 +11,7 @@ characters of the basic plane, hashed for others.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import discard, park
 
 GRAMS = 1 << 22
+BLOCK = 4096  # texts of a period on either side of a comparison
 K = 4
 
 
@@ -111,3 +113,33 @@ def novelty(rows: DataFrame, ids: list[str], corpus: DataFrame, item: str, near:
     out = out.groupBy(*ids).agg(F.max("some").alias("some"), F.max("best").alias("best"), F.sum("close").alias("close"))
     more = [F.col("close").alias("n_near")] if near is not None else []
     return out.select(*ids, F.when(~F.col("some"), 0.0).otherwise(1 - F.col("best")).alias("novelty"), *more)
+
+
+def _compared(period: str, text: str, near: float):
+    def run(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        index, weights = Postings.of([grams(x) for x in held["_text"]]), held["_rows"].to_numpy(np.int64)
+        best, close = [], []
+        for own in rows[text]:
+            like = index.similarities(grams(own))
+            best.append(float(like.max(initial=0.0)))
+            close.append(int(weights[like > near].sum()))
+        return pd.DataFrame({period: rows[period], text: rows[text], "best": best, "close": close})
+
+    return run
+
+
+def against_last_period(texts: DataFrame, period: str, text: str, count: str, near: float, size: int = BLOCK) -> DataFrame:
+    """(period, text, best, close): the greatest similarity of a period's text with one of the period before, and the rows of texts more similar than ``near``.
+
+    ``texts`` holds each distinct text of a period once, with its ``count`` of rows; periods are whole numbers. Every text is held against every one of the
+    period before, by blocks of about ``size`` texts on either side: a pair of blocks is a group, and an index of the one is all that it holds.
+    """
+    blocks = texts.groupBy(period).agg(F.ceil(F.count("*") / size).cast("int").alias("_k"))
+    both = blocks.withColumnRenamed("_k", "_chunks").join(blocks.select((F.col(period) + 1).alias(period), F.col("_k").alias("_shards")), period)
+    own = lambda k: F.pmod(F.xxhash64(text), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    rows = texts.join(F.broadcast(both), period).select(period, text, own("_chunks").alias("_chunk"), every("_shards").alias("_shard"))
+    held = texts.withColumn(period, F.col(period) + 1).join(F.broadcast(both), period).select(F.col(period).alias("_p"), F.col(text).alias("_text"), F.col(count).alias("_rows"), own("_shards").alias("_s"), every("_chunks").alias("_c"))
+    kind = texts.schema[period].dataType.simpleString()
+    found = rows.groupBy(period, "_chunk", "_shard").cogroup(held.groupBy("_p", "_c", "_s")).applyInPandas(_compared(period, text, near), f"{period} {kind}, {text} string, best double, close long")
+    return found.groupBy(period, text).agg(F.max("best").alias("best"), F.sum("close").alias("close"))

@@ -424,17 +424,17 @@ _NARR = "name || ' ' || symbol || ' ' || launchpad"
 p AS (SELECT a.token_key, CAST(len(list_intersect(a.g, o.g)) AS DOUBLE) / len(list_distinct(list_concat(a.g, o.g))) AS sim FROM s a JOIN s o ON o.b = a.b - 1), q AS (SELECT token_key, count(*) AS n, max(sim) AS best, count(*) FILTER (WHERE sim > 0.55) AS near FROM p GROUP BY token_key)
 SELECT s.token_key, round(CASE WHEN n >= 15 THEN {_CL.format('(1 - best) * (1 - 0.6e0 * least(1e0, near / 8e0))')} END, 6) AS raw, coalesce(n, 0) AS evidence FROM s LEFT JOIN q USING (token_key)""", "v_launches")
 def narrative_novelty(t):
-    """A launch's name, symbol and pad against those of the hundred seconds before its own; an inverted index on shingles and the period."""
+    """A launch's name, symbol and pad against those of the hundred seconds before its own; equal ones of a period are compared once."""
+    from ..operators.novelty import against_last_period
+    from ..sources.shared import park
+
     text = t("v_launches").select("token_key", F.floor(F.col("created_at") / 100).alias("b"), F.concat_ws(" ", "name", "symbol", "launchpad").alias("text"))
-    s = _skeletons(text, "token_key", "b").select("token_key", "b", char_shingles(F.col("skel")).alias("g")).withColumn("n", F.size("g"))
-    grams = s.select("token_key", "b", "n", F.explode("g").alias("x"))
-    prior = grams.select(F.col("token_key").alias("o"), (F.col("b") + 1).alias("b"), F.col("n").alias("m"), "x")
-    pairs = grams.join(prior, ["b", "x"]).groupBy("token_key", "o", "n", "m").agg(F.count("*").alias("k"))
-    sim = F.col("k") / (F.col("n") + F.col("m") - F.col("k"))
-    best = pairs.groupBy("token_key").agg(F.max(sim).alias("best"), _sum(sim > 0.55).alias("near"))
-    corpus = s.groupBy((F.col("b") + 1).alias("b")).agg(F.count("*").alias("c"))
-    g = s.join(corpus, "b", "left").join(best, "token_key", "left")
-    score = (1 - F.coalesce("best", F.lit(0.0))) * (1 - 0.6 * S.clamp(F.coalesce("near", F.lit(0)) / 8))
+    s = park(_skeletons(text, "token_key", "b"))
+    texts = s.groupBy("b", "skel").agg(F.count("*").alias("k"))
+    best = against_last_period(texts, "b", "skel", "k", 0.55)
+    corpus = texts.groupBy((F.col("b") + 1).alias("b")).agg(F.sum("k").alias("c"))
+    g = s.join(corpus, "b", "left").join(best, ["b", "skel"], "left")
+    score = (1 - F.coalesce("best", F.lit(0.0))) * (1 - 0.6 * S.clamp(F.coalesce("close", F.lit(0)) / 8))
     return _out(g, F.when(F.col("c") >= 15, S.clamp(score)), F.coalesce("c", F.lit(0)))
 
 
