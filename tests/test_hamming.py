@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_plain import leaders
 from tidepool.operators import hamming, neardup, similarity
@@ -103,3 +104,19 @@ def test_leaders_as_one_pass_finds_them(spark, monkeypatch, seed, local):
 
 def test_leaders_of_an_empty_table(spark):
     assert neardup.leader_groups(spark.createDataFrame([], "g string, id long, h long"), "g", "id", "h", 6).count() == 0
+
+
+def test_wide_distances_are_compared_in_blocks(spark):
+    """All pairs within each key, over one block and over many, and no plan with thousands of constants."""
+    from tidepool.operators import hamming as H
+
+    draw = random.Random(8)
+    seeds = [draw.getrandbits(64) for _ in range(12)]
+    made = sorted({(g, (s ^ sum(1 << b for b in draw.sample(range(64), draw.randint(0, 12)))) - (1 << 63)) for s in seeds for g in (1, 2, None) for _ in range(6)}, key=str)
+    rows = spark.createDataFrame(made, "g int, h long")
+    want = sorted((str(g), x, y, bin((x ^ y) & (1 << 64) - 1).count("1")) for g, x in made for k, y in made if g == k and x < y and bin((x ^ y) & (1 << 64) - 1).count("1") <= 16)
+    own = rows.select("g", F.col("h").alias("x")).distinct()
+    for found in (H.near_hashes(rows, "h", 16, ["g"]), H.in_blocks(own, 16, ["g"], len(made), size=9)):
+        assert sorted((str(r.g), r.x, r.y, r.distance) for r in found.collect()) == want
+    assert len(want) > 100
+    assert len(H.near_hashes(rows, "h", 16)._jdf.queryExecution().toString()) < 20_000

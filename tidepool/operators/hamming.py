@@ -6,6 +6,10 @@ So one side is spread to all values within that radius of each of its bands, and
 (band, value) finds every pair. Wide bands make buckets small, narrow ones make probes
 few; m is chosen for the number of fingerprints. A pair is reported by the first band that
 finds it, so nothing has to be made distinct, and equal fingerprints count once.
+
+At wide distances bands hardly prune: at 16, a fingerprint has thousands of probes and meets a tenth of the others.
+There the fingerprints are dealt into blocks and each pair of blocks is one group, compared whole by
+exclusive or and bit counts; a task holds two blocks and the pairs it has found.
 """
 
 from __future__ import annotations
@@ -13,9 +17,14 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BLOCK = 1 << 14  # fingerprints of a block
+ROW = 500  # fixed value: comparisons in a block that cost as much as a row of a join
+
 
 def bands(distance: int, m: int) -> list[tuple[int, int, int]]:
     """(first bit, bits, radius) of m bands; a band of no use has radius -1."""
@@ -55,7 +64,11 @@ def near_hashes(df: DataFrame, bits: str, distance: int, keys: list[str] | None
     """(keys, x, y, distance): pairs x < y of different fingerprints of a key within ``distance``."""
     keys = keys or []
     own = df.filter(F.col(bits).isNotNull()).select(*keys, F.col(bits).alias("x")).distinct()
-    cuts = cuts or chosen(distance, max(2, own.count()))
+    if cuts is None:
+        n = max(2, own.count())
+        cuts = chosen(distance, n)
+        if n / ROW < sum(_probes(w, r) * (1 + n / 2**w) for _, w, r in cuts if r >= 0):
+            return in_blocks(own, distance, keys, n)
     used = [(i, *c) for i, c in enumerate(cuts) if c[2] >= 0]
     stored = F.array(*[F.struct(F.lit(i).alias("band"), _part("y", lo, w).alias("value")) for i, lo, w, _ in used])
     probed = F.array(*[F.struct(F.lit(i).alias("band"), _part("x", lo, w).alias("value"), F.array(*[F.lit(m) for m in masks(w, r)]).alias("masks")) for i, lo, w, r in used])
@@ -74,6 +87,38 @@ def near_hashes(df: DataFrame, bits: str, distance: int, keys: list[str] | None
     return found.select(*keys, "x", "y", "distance")
 
 
+def in_blocks(own: DataFrame, distance: int, keys: list[str], n: int, size: int = BLOCK) -> DataFrame:
+    """(keys, x, y, distance) by comparing all pairs of distinct fingerprints ``x`` of a key, a pair of blocks in a group."""
+    k = -(-n // size)  # a key's blocks: as many as the whole table has, so none is larger
+    names = [f"_k{i}" for i in range(len(keys))]
+    kinds = "".join(f"{name} {own.schema[key].dataType.simpleString()}, " for name, key in zip(names, keys, strict=True))
+    dealt = own.select(*[F.col(c).alias(name) for c, name in zip(keys, names, strict=True)], "x", F.pmod(F.xxhash64("x"), F.lit(k)).cast("int").alias("_b"))
+    # A block meets itself once and every other one: (least, greatest) names the pair.
+    placed = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_o")).select(*names, "x", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame["_b"].to_numpy() == frame["_i"].iloc[0]
+        every = frame["x"].to_numpy(np.int64)
+        one = np.sort(every[first])
+        alike = frame["_i"].iloc[0] == frame["_j"].iloc[0]
+        two = one if alike else every[~first]
+        xs, ys, ds = [], [], []
+        for at, a in enumerate(one):
+            others = two[at + 1 :] if alike else two
+            apart_ = np.bitwise_count(others.view(np.uint64) ^ np.int64(a).view(np.uint64))
+            near = np.flatnonzero(apart_ <= distance)
+            if len(near):
+                xs.append(np.minimum(a, others[near])), ys.append(np.maximum(a, others[near])), ds.append(apart_[near])
+        flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        out = pd.DataFrame({"x": flat(xs, np.int64), "y": flat(ys, np.int64), "distance": flat(ds, np.int32)})
+        for name in reversed(names):
+            out.insert(0, name, [frame[name].iloc[0]] * len(out))
+        return out
+
+    found = placed.groupBy(*names, "_i", "_j").applyInPandas(run, f"{kinds}x long, y long, distance int")
+    return found.withColumnsRenamed(dict(zip(names, keys, strict=True)))
+
+
 def candidates(n: int, cuts: list[tuple[int, int, int]]) -> float:
     """Expected candidate pairs a fingerprint meets among n random ones."""
     return sum(_probes(w, r) * n / 2**w for _, w, r in cuts)
