@@ -120,3 +120,20 @@ def test_wide_distances_are_compared_in_blocks(spark):
         assert sorted((str(r.g), r.x, r.y, r.distance) for r in found.collect()) == want
     assert len(want) > 100
     assert len(H.near_hashes(rows, "h", 16)._jdf.queryExecution().toString()) < 20_000
+
+
+def test_clusters_at_a_wide_distance_are_made_without_probes(spark):
+    """Components over blocks equal those over the bands."""
+    draw = random.Random(11)
+    seeds = [draw.getrandbits(64) for _ in range(9)]
+    made = [(i, signed(draw.choice(seeds) ^ sum(1 << b for b in draw.sample(range(64), draw.randint(0, 9))))) for i in range(80)]
+    rows = spark.createDataFrame(made, "i long, h long")
+    assert len(hamming.near_hashes(rows, "h", 17)._jdf.queryExecution().toString()) < 20_000
+    got = {r.i: r.cluster for r in similarity.hamming_clusters(rows, "i", "h", 17).collect()}
+    part = {h: h for _, h in made}
+    for _ in made:
+        for _, a in made:
+            for _, b in made:
+                if bin((a ^ b) & (1 << 64) - 1).count("1") <= 17:
+                    part[a] = part[b] = min(part[a], part[b])
+    assert got == {i: part[h] for i, h in made}
