@@ -92,3 +92,11 @@ def test_funders_of_random_transactions(spark):
     got = {r.tx_id: (r.funder, r.mechanism) for r in D.funders(spark.createDataFrame(docs, "tx_id long, wallet string, doc string")).collect()}
     want = {i: plain_funder(d, w) for i, w, d in docs}
     assert got == want and len({m for _, m in want.values()}) == 5
+
+
+def test_funders_go_by_row_without_a_shuffle(spark):
+    """Rows that share a number keep their own documents, an account whose balance isn't a number counts as unknown, and nothing is shuffled."""
+    tx = lambda who, pre="1": json.dumps({"transaction": {"message": {"accountKeys": ["w", who], "instructions": []}}, "meta": {"preBalances": [pre, 9], "postBalances": [5, 2]}})
+    df = D.funders(spark.createDataFrame([(1, "w", tx("s1")), (1, "w", tx("s2")), (2, "w", tx("s3", "much")), (None, "w", tx("s4"))], "tx_id long, wallet string, doc string"))
+    assert sorted((r.tx_id or 0, r.funder or "", r.mechanism) for r in df.collect()) == [(0, "s4", "balance-delta"), (1, "s1", "balance-delta"), (1, "s2", "balance-delta"), (2, "", "none")]
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()

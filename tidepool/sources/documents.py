@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 MAX_DEPTH, MAX_HITS = 16, 600  # fixed values: how deep a search for a field goes, and how many it finds in a document
 
@@ -68,10 +71,37 @@ def json_walk(df: DataFrame, id_: str, doc: str, field: str) -> DataFrame:
 
 # Programs that are party to transfers and fund nobody.
 NON_FUNDERS = ("11111111111111111111111111111111", "1nc1nerator11111111111111111111111111111111", "SysvarRent111111111111111111111111111111111", "ComputeBudget111111111111111111111111111111")
-_TOP = r"^/transaction/message/instructions/([0-9]+)/parsed/info/(\w+)$"
-_INNER = r"^/meta/innerInstructions/([0-9]+)/instructions/([0-9]+)/parsed/info/(\w+)$"
-_KEY = r"^/transaction/message/accountKeys/([0-9]+)(/pubkey)?$"
-_BALANCE = r"^/meta/(preBalances|postBalances)/([0-9]+)$"
+_FIELDS = ("destination", "newAccount", "source", "lamportsSource", "wallet", "owner")
+_MOVES = StructType([StructField("read", BooleanType()), StructField("parties", ArrayType(StructType([StructField(f, StringType()) for f in _FIELDS])))] + [StructField(n, ArrayType(StringType())) for n in ("accountKeys", "preBalances", "postBalances")])
+
+
+def _inside(node, *names):
+    for name in names:
+        node = node.get(name) if isinstance(node, dict) else None
+    return node
+
+
+def _listed(node, *names) -> list:
+    found = _inside(node, *names)
+    return found if isinstance(found, list) else []
+
+
+def _moves(doc: str | None) -> dict:
+    """Who was party to a transaction's instructions, top-level ones before inner ones, and its accounts with their balances."""
+    read, tx = _parsed(doc)
+    message = _inside(tx, "transaction", "message")
+    steps = _listed(message, "instructions") + [x for inner in _listed(tx, "meta", "innerInstructions") for x in _listed(inner, "instructions")]
+    infos = [info for x in steps if isinstance(info := _inside(x, "parsed", "info"), dict)]
+    parties = [{f: v for f in _FIELDS if isinstance(v := info.get(f), str) and v} for info in infos]
+    keys = [_inside(k, "pubkey") if isinstance(k, dict) else k for k in _listed(message, "accountKeys")]
+    amount = lambda v: v if isinstance(v, str) else None if v is None or isinstance(v, (dict, list)) else json.dumps(v)
+    balances = {name: [amount(v) for v in _listed(tx, "meta", name)] for name in ("preBalances", "postBalances")}
+    return {"read": read, "parties": parties, "accountKeys": [k for k in keys if isinstance(k, str)]} | balances
+
+
+@F.arrow_udf(_MOVES)
+def moves(docs: pa.Array) -> pa.Array:
+    return pa.array([_moves(doc) for doc in docs.to_pylist()], to_arrow_type(_MOVES))
 
 
 def funders(transactions: DataFrame) -> DataFrame:
@@ -81,36 +111,22 @@ def funders(transactions: DataFrame) -> DataFrame:
     inner ones; who paid for an account that the wallet owns; who lost most where the wallet gained.
     Mechanisms are transfer, account-payer, balance-delta, none, and no-transaction where doc isn't JSON.
     """
-    rows = leaves(transactions.select("tx_id", "wallet", "doc"), "doc").drop("doc")
-    of = lambda pattern, k: F.regexp_extract("path", pattern, k)
-    top, inner = F.col("path").rlike(_TOP), F.col("path").rlike(_INNER)
-    named = rows.filter((top | inner) & (F.col("kind") == "string") & (F.col("value") != ""))
-    place = F.when(top, F.struct(F.lit(0).alias("inner"), of(_TOP, 1).cast("int").alias("a"), F.lit(0).alias("b"))).otherwise(F.struct(F.lit(1).alias("inner"), of(_INNER, 1).cast("int").alias("a"), of(_INNER, 2).cast("int").alias("b")))
-    info = named.select("tx_id", "wallet", place.alias("place"), F.when(top, of(_TOP, 2)).otherwise(of(_INNER, 3)).alias("field"), "value")
-    fields = ("destination", "newAccount", "source", "lamportsSource", "wallet", "owner")
-    each = info.filter(F.col("field").isin(*fields)).groupBy("tx_id", "wallet", "place").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"f_{f}") for f in fields])
-
-    def first(source, target, name):
-        ok = (target == F.col("wallet")) & (source != F.col("wallet")) & ~source.isin(*NON_FUNDERS)
-        return F.min(F.when(ok, F.struct("place", source.alias("who"))))["who"].alias(name)
-
-    paid = each.groupBy("tx_id", "wallet").agg(first(F.coalesce("f_source", "f_lamportsSource"), F.coalesce("f_destination", "f_newAccount"), "by_transfer"), first(F.col("f_source"), F.coalesce("f_wallet", "f_owner"), "by_payer"))
-
-    listed = lambda condition, *cols: F.array_sort(F.collect_list(F.when(condition, F.struct(*cols))))
-    is_key = F.col("path").rlike(_KEY) & (F.col("kind") == "string")
-    balance = F.col("path").rlike(_BALANCE)
-    at = lambda which: listed(balance & (of(_BALANCE, 1) == which), of(_BALANCE, 2).cast("int").alias("i"), F.col("value").cast("decimal(38,0)").alias("v"))
-    held = rows.filter(is_key | balance).groupBy("tx_id", "wallet").agg(listed(is_key, of(_KEY, 1).cast("int").alias("i"), F.col("value").alias("v")).alias("keys"), at("preBalances").alias("pre"), at("postBalances").alias("post"))
-    whole = (F.size("keys") == F.size("pre")) & (F.size("keys") == F.size("post"))
-    lines = F.transform("keys", lambda k, i: F.struct(k["v"].alias("key"), (F.get("pre", i)["v"] - F.get("post", i)["v"]).alias("lost"), (-i).alias("back")))
-    held = held.filter(whole).select("tx_id", "wallet", lines.alias("lines"))
+    rows = transactions.select("tx_id", "wallet", moves("doc").alias("m")).select("tx_id", "wallet", "m.*")
+    # A transaction is one row throughout: what it takes is in its own document.
+    other = lambda who: (who != F.col("wallet")) & ~who.isin(*NON_FUNDERS)
+
+    def first(source, target):
+        who = F.transform("parties", lambda p: F.when((target(p) == F.col("wallet")) & other(source(p)), source(p)))
+        return F.get(F.filter(who, lambda x: x.isNotNull()), F.lit(0))
+
+    by_transfer = first(lambda p: F.coalesce(p["source"], p["lamportsSource"]), lambda p: F.coalesce(p["destination"], p["newAccount"]))
+    by_payer = first(lambda p: p["source"], lambda p: F.coalesce(p["wallet"], p["owner"]))
+    amount = lambda which, i: F.get(which, i).try_cast("decimal(38,0)")
+    whole = (F.size("accountKeys") == F.size("preBalances")) & (F.size("accountKeys") == F.size("postBalances"))
+    lines = F.transform("accountKeys", lambda k, i: F.struct((amount("preBalances", i) - amount("postBalances", i)).alias("lost"), (-i).alias("back"), k.alias("key")))
     own = F.get(F.filter("lines", lambda x: x["key"] == F.col("wallet")), F.lit(0))
-    spent = F.filter("lines", lambda x: (x["key"] != F.col("wallet")) & ~x["key"].isin(*NON_FUNDERS) & (x["lost"] > 0))
-    most = F.array_max(F.transform(spent, lambda x: F.struct(x["lost"].alias("lost"), x["back"].alias("back"), x["key"].alias("key"))))["key"]
-    lost = held.filter(own["lost"] < 0).select("tx_id", "wallet", most.alias("by_delta"))
-
-    known = rows.select("tx_id", "wallet").distinct().withColumn("read", F.lit(True))
-    keys = ["tx_id", "wallet"]
-    found = transactions.select(*keys).join(known, keys, "left").join(paid, keys, "left").join(lost, keys, "left")
+    most = F.array_max(F.filter("lines", lambda x: other(x["key"]) & (x["lost"] > 0)))["key"]
+    rows = rows.select("tx_id", "wallet", "read", by_transfer.alias("by_transfer"), by_payer.alias("by_payer"), F.when(whole, lines).alias("lines"))
+    rows = rows.withColumn("by_delta", F.when(own["lost"] < 0, most))
     how = F.when(F.col("by_transfer").isNotNull(), "transfer").when(F.col("by_payer").isNotNull(), "account-payer").when(F.col("by_delta").isNotNull(), "balance-delta").when(F.col("read"), "none").otherwise("no-transaction")
-    return found.select(*keys, F.coalesce("by_transfer", "by_payer", "by_delta").alias("funder"), how.alias("mechanism"))
+    return rows.select("tx_id", "wallet", F.coalesce("by_transfer", "by_payer", "by_delta").alias("funder"), how.alias("mechanism"))
