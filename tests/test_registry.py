@@ -71,3 +71,20 @@ def test_plugins_are_read_like_any_metric(spark):
     assert got["few", 20].normalized is None and got["many", 60].confidence == "missing"
     dark = registry.evaluate(None, ages, degraded=("feed",)).filter("metric_id = 'many' AND raw IS NOT NULL").select(F.collect_set("confidence")).first()[0]
     assert dark == ["low"]
+
+
+def test_metrics_share_their_views_and_run_in_jobs_of_their_own(spark):
+    from tidepool.plans.registry import Kept, Tables
+
+    kept = Kept(Tables(spark, "/root/testdata/sf0.001"))
+    trades = kept("v_trades")
+    files = lambda df: {f.rsplit("/", 2)[1 if "testdata" not in f else 2].removesuffix(".parquet") for f in df.inputFiles()}
+    assert kept("v_trades") is trades and {"lineitem", "orders"}.isdisjoint(files(kept("v_holders")) | files(kept("v_launches")))
+    registry = MetricRegistry()
+    asked = []
+    for name in ("one", "two"):
+        registry.custom(name)(lambda t: asked.append(1) or t("v_launches").groupBy("token_key").agg(F.count("*").alias("raw"), F.count("*").alias("evidence")))
+    found = registry.evaluate(kept, kept("v_launches").selectExpr("token_key", "1500 AS age"))
+    assert len(asked) == 2 and found.count() == 2 * kept("v_launches").count()
+    assert len({f.rsplit("/", 2)[1] for f in found.inputFiles() if "part=" in f}) == 2
+    kept.discard()

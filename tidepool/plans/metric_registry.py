@@ -1,8 +1,8 @@
 """The registry of metrics: what each measures, how its raw value becomes a reading, and plugins.
 
 A metric is a function of the tables that gives (token_key, raw, evidence); the registry adds
-direction, logistic parameters, the earliest age and the least evidence. ``evaluate`` runs all
-of them in one plan: a reading is the percentile among the metric's peers where there are
+direction, logistic parameters, the earliest age and the least evidence. ``evaluate`` runs each
+of them in a job of its own, then reads all alike: a reading is the percentile among the metric's peers where there are
 PEERS of them, else a logistic of the raw value; bearish metrics are turned round; and
 confidence falls with thin evidence, youth and degraded sources.
 """
@@ -12,16 +12,16 @@ from __future__ import annotations
 from collections import UserDict
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..operators import ranges
-from ..sources.shared import park
+from ..sources.shared import park_each
 from . import metrics, signals
-from .registry import QUERIES, Tables, key
+from .registry import OVER, Kept, Tables, key
 
 PEERS = 30
 DIRECTIONS = ("bullish", "bearish", "non_monotonic")
@@ -87,14 +87,14 @@ class MetricRegistry(UserDict):
 
     def evaluate(self, t: Tables, ages: DataFrame, degraded: tuple[str, ...] = ()) -> DataFrame:
         """(token_key, metric_id, family, raw, evidence, normalized, confidence); ages: (token_key, age)."""
-        parts = []
-        for m in self.values():
+        def rows_of(m: Metric) -> DataFrame:
             own = m.compute(t).select("token_key", F.col("raw").cast("double").alias("raw"), F.col("evidence").cast("long").alias("evidence"))
-            extra = {"metric_id": m.id, "family": m.family, "bearish": m.direction == "bearish", "mid": m.midpoint, "k": m.steepness, "earliest": m.earliest, "least": m.least, "dark": any(s in degraded for s in m.sources)}
-            parts.append(own.withColumns({n: F.lit(v) for n, v in extra.items()}))
-        rows = reduce(DataFrame.unionByName, parts).withColumn("raw", F.when(~F.isnan("raw") & (F.abs("raw") != float("inf")), F.col("raw")))
-        # The metrics' rows are written once. A metric has one for each token, so its percentiles come from counted values in ranges, not from one task's window.
-        rows = ranges.ranked(park(rows), ["metric_id"], "raw").withColumnRenamed("n", "peers").withColumn("rank", F.col("upto") / F.col("peers"))
+            extra = {"metric_id": m.id, "family": m.family, "bearish": m.direction == "bearish", "mid": float(m.midpoint), "k": float(m.steepness), "earliest": float(m.earliest), "least": m.least, "dark": any(s in degraded for s in m.sources)}
+            return own.withColumns({n: F.lit(v) for n, v in extra.items()})
+
+        rows = park_each(ages.sparkSession, [partial(rows_of, m) for m in self.values()]).withColumn("raw", F.when(~F.isnan("raw") & (F.abs("raw") != float("inf")), F.col("raw")))
+        # A metric has one for each token, so its percentiles come from counted values in ranges, not from one task's window.
+        rows = ranges.ranked(rows, ["metric_id"], "raw").withColumnRenamed("n", "peers").withColumn("rank", F.col("upto") / F.col("peers"))
         rows = rows.join(ages.select("token_key", "age"), "token_key", "left")
         value = F.when(F.col("peers") >= PEERS, F.col("rank")).otherwise(S.logistic("raw", "mid", "k"))
         trust = confidence(F.col("raw"), F.col("evidence"), F.col("age"), F.col("earliest"), F.col("least"), F.col("dark"))
@@ -130,7 +130,7 @@ _GAMED = {
 
 
 def _registered(name: str) -> Callable[[Tables], DataFrame]:
-    return lambda t: QUERIES[name](t.spark, t.sf_dir)
+    return lambda t: OVER[name](t)
 
 
 assert signals.T == metrics.T
@@ -143,13 +143,16 @@ def metric_catalogue(t):
 
 
 def _readings(t):
-    ages = t("v_launches").select("token_key", (F.lit(metrics.T) - F.col("created_at")).alias("age"))
-    return REGISTRY.evaluate(t, ages)
+    kept = Kept(t)
+    ages = kept("v_launches").select("token_key", (F.lit(metrics.T) - F.col("created_at")).alias("age"))
+    readings = REGISTRY.evaluate(kept, ages)
+    kept.discard("v_launches")
+    return readings
 
 
 @key()
 def metric_normalize(t):
-    """Readings of all metrics for all tokens, in one plan."""
+    """Readings of all metrics for all tokens."""
     return _readings(t).filter("normalized IS NOT NULL").select("metric_id", "token_key", F.round("normalized", 6).alias("normalized"))
 
 

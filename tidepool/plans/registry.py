@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .views import ctes, view
+from ..sources.shared import discard, park
+from .views import bound, ctes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The same queries as functions of Tables.
+OVER: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
 class Tables:
@@ -19,16 +24,43 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __call__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+        return view(self.spark, self.sf_dir, name, self)
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A step that queries have in common."""
+        return make()
+
+
+class Kept(Tables):
+    """Tables for many queries at a time: the views and steps that they have in common are written when first asked for."""
+
+    VIEWS = ("v_trades", "v_holders", "v_launches", "v_social")
+
+    def __init__(self, t: Tables):
+        super().__init__(t.spark, t.sf_dir)
+        self._kept: dict[str, DataFrame] = {}
+        self._locks: defaultdict[str, Lock] = defaultdict(Lock)
+
+    def __call__(self, name: str) -> DataFrame:
+        own = super().__call__
+        return self.once(name, lambda: own(name)) if name in self.VIEWS else own(name)
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        with self._locks[name]:
+            if name not in self._kept:
+                self._kept[name] = park(make())
+            return self._kept[name]
+
+    def discard(self, *but: str) -> None:
+        discard(*(self._kept.pop(name) for name in set(self._kept) - set(but)))
 
 
 def plan(name: str, sql: str, *views: str, own: Callable[[Tables], DataFrame] | None = None) -> None:
     """Registers one SQL text over the views, written in the part of SQL that both engines share; where they part, Spark runs ``own``."""
-    from .views import bound
-
     if name in QUERIES:
         raise ValueError(f"query {name} is registered twice")
-    QUERIES[name] = lambda spark, sf_dir: own(Tables(spark, sf_dir)) if own else bound(spark, sf_dir, sql)
+    OVER[name] = own or (lambda t: bound(t.spark, t.sf_dir, sql, t))
+    QUERIES[name] = lambda spark, sf_dir: OVER[name](Tables(spark, sf_dir))
     text = sql.strip()
     ORACLES[name] = f"WITH {ctes(*views)}, {text[4:].lstrip()}" if views and text.upper().startswith("WITH") else f"WITH {ctes(*views)} {text}" if views else text
 
@@ -40,6 +72,7 @@ def key(oracle: str | None = None, *views: str, name: str | None = None):
         own = name or fn.__name__
         if own in QUERIES:
             raise ValueError(f"query {own} is registered twice")
+        OVER[own] = fn
         QUERIES[own] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if oracle is not None:
             text = oracle.strip()

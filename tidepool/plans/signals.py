@@ -43,6 +43,10 @@ e AS (SELECT *, least(1e0, ({_hits(X.SHILL, 'norm')}) / 3e0) AS shill, least(1e0
 
 def _texted(t) -> DataFrame:
     """Posts with shill and conviction densities and effort."""
+    return t.once("texted", lambda: _measured(t))
+
+
+def _measured(t) -> DataFrame:
     rows = t("v_social").withColumn("emoji", F.regexp_count("text", F.lit(X.EMOJI))).withColumn("norm", X.normalize("text"))
     return rows.withColumns({"shill": X.shill_density("norm"), "conviction": X.conviction_density("norm"), "effort": X.effort_score("norm", F.col("emoji"))})
 
@@ -214,6 +218,10 @@ def prior_counts(asks: DataFrame, events: DataFrame, by: str, at: str, when: str
 
 def _buyers(t) -> DataFrame:
     """(token_key, wallet, created_at, prior): buyers with their trades before the launch."""
+    return t.once("buyers", lambda: _counted_buyers(t))
+
+
+def _counted_buyers(t) -> DataFrame:
     buyers = _seen(t).filter("side = 'buy'").select("token_key", "wallet").distinct().join(t("v_launches").select("token_key", "created_at"), "token_key")
     return prior_counts(buyers, _seen(t), "wallet", "created_at", "as_of", prior=F.lit(1))
 

@@ -6,6 +6,9 @@ whole seconds from 2024-01-01. ``as_of`` is event time and ``observed_at`` knowl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Templates; {day:x} is days since 1995-01-01, {sec:x} whole seconds since 2024-01-01.
@@ -97,23 +100,20 @@ def ctes(*names: str) -> str:
     return ", ".join(f"{n} AS ({_render(_VIEWS[n][1], False)})" for n in order)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table or domain view as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, over: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """A table or domain view as a DataFrame; ``over`` gives what it stands on."""
     if name in _TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = _render(_VIEWS[name][1], True)
-    frames = {t: view(spark, sf_dir, t) for t in (*_TABLES, *_VIEWS) if _mentions(sql, t)}
-    for t in frames:
-        sql = _bind(sql, t)
-    return spark.sql(sql, **frames) if frames else spark.sql(sql)
+    return bound(spark, sf_dir, _render(_VIEWS[name][1], True), over)
 
 
-def bound(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def bound(spark: SparkSession, sf_dir: str, sql: str, over: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """A SQL text over tables and views, run by Spark."""
-    frames = {t: view(spark, sf_dir, t) for t in (*_TABLES, *_VIEWS) if _mentions(sql, t)}
+    over = over or partial(view, spark, sf_dir)
+    frames = {t: over(t) for t in (*_TABLES, *_VIEWS) if _mentions(sql, t)}
     for t in frames:
         sql = _bind(sql, t)
-    return spark.sql(sql, **frames)
+    return spark.sql(sql, **frames) if frames else spark.sql(sql)
 
 
 def _mentions(sql: str, table: str) -> bool:

@@ -6,8 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _own: list[str] = []
 
@@ -61,6 +65,24 @@ def park(df: DataFrame) -> DataFrame:
     return out
 
 
+def park_each(spark: SparkSession, makes: list[Callable[[], DataFrame]], at_once: int = 8) -> DataFrame:
+    """Frames of one schema in one table, each written by a job of its own, several at a time: one plan of them all would be planned anew after each of its stages."""
+    path = f"{shared_folder(spark)}/tidepool-{uuid.uuid4().hex}"
+    until_exit(spark, path)
+
+    def write(part: int, make: Callable[[], DataFrame]) -> StructType:
+        df = make()
+        df.write.option("compression", "zstd").parquet(f"{path}/part={part}")
+        return df.schema
+
+    with ThreadPoolExecutor(at_once) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(write), part, make) for part, make in enumerate(makes)]
+        schemas = [job.result() for job in jobs]
+    out = spark.read.schema(schemas[0]).parquet(path).drop("part")
+    out._tidepool_path = path
+    return out
+
+
 def discard(*parked: DataFrame) -> None:
     """Deletes parked tables; only for those that no later job reads, not even to recompute."""
     for df in parked:
