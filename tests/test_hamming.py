@@ -137,3 +137,30 @@ def test_clusters_at_a_wide_distance_are_made_without_probes(spark):
                 if bin((a ^ b) & (1 << 64) - 1).count("1") <= 17:
                     part[a] = part[b] = min(part[a], part[b])
     assert got == {i: part[h] for i, h in made}
+
+
+def test_blocks_give_a_forest_of_dense_clusters(spark):
+    """Of near fingerprints, a pair of blocks gives fewer pairs than it has fingerprints, and components stay the same."""
+    draw = random.Random(12)
+    seeds = [draw.getrandbits(64) for _ in range(4)]
+    made = sorted({signed(draw.choice(seeds) ^ sum(1 << b for b in draw.sample(range(64), draw.randint(0, 6)))) for _ in range(240)})
+    own = spark.createDataFrame([(h,) for h in made], "x long")
+    for size in (60, 1000):
+        k = -(-len(made) // size)
+        pairs = {f: [(r.x, r.y) for r in hamming.in_blocks(own, 17, [], len(made), size, forest=f).collect()] for f in (False, True)}
+        assert len(pairs[False]) > 5000 and set(pairs[True]) < set(pairs[False]) and len(pairs[True]) < k * (k + 1) * 2 * size
+        parts = []
+        for f in (False, True):
+            part = {h: h for h in made}
+            for _ in range(len(made)):
+                last = dict(part)
+                for a, b in pairs[f]:
+                    part[a] = part[b] = min(part[a], part[b])
+                if part == last:
+                    break
+            parts.append(part)
+        assert parts[0] == parts[1]
+        if k == 1:
+            assert len(pairs[True]) == len(made) - len(set(parts[0].values()))
+    plan = similarity.hamming_clusters(own.withColumn("i", F.col("x")), "i", "x", 17)
+    assert {r.i: r.cluster for r in plan.collect()} == parts[0]

@@ -60,15 +60,15 @@ def apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def near_hashes(df: DataFrame, bits: str, distance: int, keys: list[str] | None = None, cuts: list[tuple[int, int, int]] | None = None) -> DataFrame:
-    """(keys, x, y, distance): pairs x < y of different fingerprints of a key within ``distance``."""
+def near_hashes(df: DataFrame, bits: str, distance: int, keys: list[str] | None = None, cuts: list[tuple[int, int, int]] | None = None, forest: bool = False) -> DataFrame:
+    """(keys, x, y, distance): pairs x < y of different fingerprints of a key within ``distance``; of a ``forest``, at least those that hold components together."""
     keys = keys or []
     own = df.filter(F.col(bits).isNotNull()).select(*keys, F.col(bits).alias("x")).distinct()
     if cuts is None:
         n = max(2, own.count())
         cuts = chosen(distance, n)
         if n / ROW < sum(_probes(w, r) * (1 + n / 2**w) for _, w, r in cuts if r >= 0):
-            return in_blocks(own, distance, keys, n)
+            return in_blocks(own, distance, keys, n, forest=forest)
     used = [(i, *c) for i, c in enumerate(cuts) if c[2] >= 0]
     stored = F.array(*[F.struct(F.lit(i).alias("band"), _part("y", lo, w).alias("value")) for i, lo, w, _ in used])
     probed = F.array(*[F.struct(F.lit(i).alias("band"), _part("x", lo, w).alias("value"), F.array(*[F.lit(m) for m in masks(w, r)]).alias("masks")) for i, lo, w, r in used])
@@ -87,8 +87,23 @@ def near_hashes(df: DataFrame, bits: str, distance: int, keys: list[str] | None
     return found.select(*keys, "x", "y", "distance")
 
 
-def in_blocks(own: DataFrame, distance: int, keys: list[str], n: int, size: int = BLOCK) -> DataFrame:
-    """(keys, x, y, distance) by comparing all pairs of distinct fingerprints ``x`` of a key, a pair of blocks in a group."""
+def _joined(parent: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+    """Joins a node to others in place, and says which of them were in parts of their own (the first of each part)."""
+    every = np.append(others, one)
+    roots = parent[every]
+    while (parent[roots] != roots).any():
+        roots = parent[roots]
+    parent[every] = roots
+    parts, first = np.unique(roots[:-1], return_index=True)
+    parent[parts] = roots[-1]
+    return first[parts != roots[-1]]
+
+
+def in_blocks(own: DataFrame, distance: int, keys: list[str], n: int, size: int = BLOCK, forest: bool = False) -> DataFrame:
+    """(keys, x, y, distance) by comparing all pairs of distinct fingerprints ``x`` of a key, a pair of blocks in a group.
+
+    Of a ``forest``, a group gives only pairs between parts that earlier ones haven't joined: fewer than it has fingerprints, however many are near.
+    """
     k = -(-n // size)  # a key's blocks: as many as the whole table has, so none is larger
     names = [f"_k{i}" for i in range(len(keys))]
     kinds = "".join(f"{name} {own.schema[key].dataType.simpleString()}, " for name, key in zip(names, keys, strict=True))
@@ -103,10 +118,15 @@ def in_blocks(own: DataFrame, distance: int, keys: list[str], n: int, size: int
         alike = frame["_i"].iloc[0] == frame["_j"].iloc[0]
         two = one if alike else every[~first]
         xs, ys, ds = [], [], []
+        start = 0 if alike else len(one)  # of ``two`` among the nodes
+        parent = np.arange(start + len(two))
         for at, a in enumerate(one):
-            others = two[at + 1 :] if alike else two
+            after = at + 1 if alike else 0
+            others = two[after:]
             apart_ = np.bitwise_count(others.view(np.uint64) ^ np.int64(a).view(np.uint64))
             near = np.flatnonzero(apart_ <= distance)
+            if forest and len(near):
+                near = near[_joined(parent, at, start + after + near)]
             if len(near):
                 xs.append(np.minimum(a, others[near])), ys.append(np.maximum(a, others[near])), ds.append(apart_[near])
         flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)

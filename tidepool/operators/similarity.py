@@ -30,7 +30,7 @@ def hamming_clusters(df: DataFrame, id_: str, bits: str, distance: int, keys: li
     Components are those of distinct fingerprints, so copies of one make no pairs.
     """
     keys = keys or []
-    edges = near_hashes(df, bits, distance, keys)
+    edges = near_hashes(df, bits, distance, keys, forest=True)
     if keys:
         code = F.xxhash64(*keys)  # a vertex is a fingerprint of a key
         edges = edges.select(F.xxhash64(code, "x").alias("u"), F.xxhash64(code, "y").alias("v"))
