@@ -102,3 +102,15 @@ def test_equal_contributions_are_in_order_of_their_source(spark, tmp_path):
     rows = [(0, stamp, 1, "view", 0.1, "{}"), (1, stamp, 1, "view", 0.2, "{}"), (2, stamp, 1, "view", 0.3, "{}"), (3, stamp, 1, "click", 0.6, "{}")]
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     assert catalog.QUERIES["top_contributions"](spark, str(tmp_path)).first().top == "click,view"
+
+
+def test_texts_pass_to_python_in_small_batches(spark):
+    """Normal texts and simhashes take a hundred texts at a time, so a worker's memory doesn't grow with a partition's rows up to ten thousand long texts."""
+    from tidepool.functions import text as X
+    from tidepool.operators.neardup import simhash
+
+    rows = spark.createDataFrame([(0, "Ünï\u200bcode  TEXT "), (1, None), (2, "")], "i long, text string")
+    for f in (X.normalize, simhash):
+        assert "ArrowEvalPython" not in rows.select(f("text"))._jdf.queryExecution().executedPlan().toString()
+    assert [r.t for r in rows.orderBy("i").select(X.normalize("text").alias("t")).collect()] == ["unicode text", None, ""]
+    assert [r.h for r in rows.orderBy("i").select(simhash("text").alias("h")).collect()][1:] == [0, 0]

@@ -1,10 +1,9 @@
-"""Text functions as column expressions; exact Unicode normalisation is the one Arrow UDF."""
+"""Text functions as column expressions; exact Unicode normalisation is the one Python UDF."""
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -27,18 +26,19 @@ def normalize_ascii(text) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-@F.pandas_udf(StringType())
-def normalize(texts: pd.Series) -> pd.Series:
-    """Compatibility decomposition without marks and zero-width characters, case-folded, white space collapsed."""
-    hidden = dict.fromkeys(map(ord, "​‌‍﻿"))
+_HIDDEN = dict.fromkeys(map(ord, "\u200b\u200c\u200d\ufeff"))
 
-    def one(s):
-        if s is None:
-            return None
-        s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
-        return " ".join(s.translate(hidden).replace("\xa0", " ").casefold().split())
 
-    return texts.map(one)
+@F.udf(StringType(), useArrow=False)
+def normalize(s: str | None) -> str | None:
+    """Compatibility decomposition without marks and zero-width characters, case-folded, white space collapsed.
+
+    Texts pass in batches of a hundred rows: an Arrow batch would hold ten thousand, of any length, several times over.
+    """
+    if s is None:
+        return None
+    s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    return " ".join(s.translate(_HIDDEN).replace("\xa0", " ").casefold().split())
 
 
 def skeletonize(text) -> Column:

@@ -17,19 +17,15 @@ from .hamming import near_hashes
 LOCAL = 4096  # distinct hashes of a group that one task goes through in order
 
 
-@F.pandas_udf(LongType())
-def simhash(texts: pd.Series) -> pd.Series:
-    """64 majority votes over the hashes of a skeleton's character 4-grams; an empty one is 0."""
-
-    def one(s):
-        if not s:
-            return 0
-        grams = {s[i : i + 4] for i in range(max(1, len(s) - 3))}
-        raw = np.frombuffer(b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in sorted(grams)), np.uint8)
-        votes = np.unpackbits(raw.reshape(-1, 8), axis=1).mean(0) > 0.5
-        return int(np.packbits(votes).view(">i8")[0])
-
-    return texts.map(one)
+@F.udf(LongType(), useArrow=False)
+def simhash(s: str | None) -> int:
+    """64 majority votes over the hashes of a skeleton's character 4-grams; an empty one is 0. Skeletons pass in batches of a hundred rows."""
+    if not s:
+        return 0
+    grams = {s[i : i + 4] for i in range(max(1, len(s) - 3))}
+    raw = np.frombuffer(b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in sorted(grams)), np.uint8)
+    votes = np.unpackbits(raw.reshape(-1, 8), axis=1).mean(0) > 0.5
+    return int(np.packbits(votes).view(">i8")[0])
 
 
 def leader_groups(df: DataFrame, group: str, id_: str, hash_: str, distance: int) -> DataFrame:
