@@ -164,3 +164,37 @@ def test_blocks_give_a_forest_of_dense_clusters(spark):
             assert len(pairs[True]) == len(made) - len(set(parts[0].values()))
     plan = similarity.hamming_clusters(own.withColumn("i", F.col("x")), "i", "x", 17)
     assert {r.i: r.cluster for r in plan.collect()} == parts[0]
+
+
+def test_leaders_of_many_groups_in_bundles(spark):
+    """A task takes many groups at a time, and each is gone through as if it were alone."""
+    rng = random.Random(5)
+    rows = [(g, 10 * g + k, rng.getrandbits(4) - 8 if k else 7, k) for g in [None, *range(300)] for k in range(9) for g in [g if g is not None else 300]]
+    df = spark.createDataFrame(rows, "g long, id long, h long, w long")
+    want = {}
+    for g in {r[0] for r in rows}:
+        led = []
+        for _, i, h, _ in sorted(r for r in rows if r[0] == g):
+            near = [x for x in led if bin((x[1] ^ h) & (2**64 - 1)).count("1") <= 2]
+            want[i] = near[0][0] if near else i
+            led += [] if near else [(i, h)]
+    got = neardup.leader_groups(df, "g", "id", "h", 2, "w")
+    assert {r.id: (r.leader, r.w) for r in got.collect()} == {r[1]: (want[r[1]], r[3]) for r in rows}
+
+
+def test_plain_texts_need_no_python(spark):
+    """ASCII texts are normalised and cut to skeletons by Spark itself, as Python does it."""
+    from tidepool.functions import text as X
+
+    texts = [None, "", " ", "A\x1cB\x1f\tc \n", "Gm @Al_1 $SOL #Gem https://e.co/1?x 12.5k!!  <a> it's", "１２ ＠Ab Straße é​ \U0001f680 #日本 $Abc", "x" * 30 + "\x0b\x0c\r end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {r.id: r.n for r in df.select("id", X.normalize("text").alias("n")).collect()}
+    normal = X.normal_rows(df, "id")
+    assert {r.id: r.text for r in normal.collect()} == want
+    patterns = [*X.KINDS, (X.EMOJI, "emo")]
+    old = F.col("text")
+    for pattern, kind in patterns:
+        old = F.regexp_replace(old, f"(?U){pattern}", f" <{kind}> ")
+    old = F.trim(F.regexp_replace(F.regexp_replace(old, r"(?U)[^\w<>\s]", " "), r"(?U)\s+", " "))
+    rows = normal.select(X.skeletonize("text").alias("new"), old.alias("old")).collect()
+    assert all(r.new == r.old for r in rows) and any(r.new and "<emo>" in r.new for r in rows)

@@ -21,7 +21,7 @@ _SH = "CASE WHEN len(s) > 0 THEN list_distinct(list_transform(range(1, greatest(
 
 def _normal(rows, *kept):
     """Rows with normal texts."""
-    return rows.select(*kept, X.normalize("text").alias("text"))
+    return X.normal_rows(rows, *kept)
 
 
 def _skeletons(rows, *kept):
@@ -129,9 +129,10 @@ def simhash_groups(t):
 @key()
 def near_dup_groups(t):
     """Groups of two or more posts of an author within 6 bits of the group's first."""
-    from ..operators.neardup import leader_groups, simhash
+    from ..operators.neardup import dealt, fingerprints, leader_groups
 
-    rows = _skeletons(t("v_talk"), "author", "post_id").select("author", F.col("post_id").alias("id"), simhash("skel").alias("hash")).filter("hash <> 0")
+    talk = dealt(t("v_talk").select("author", F.col("post_id").alias("id"), "text"), "id")
+    rows = fingerprints(_skeletons(talk, "author", "id"), "skel", "author", "id")
     groups = leader_groups(rows, "author", "id", "hash", 6)
     several = groups.groupBy("author", "leader").agg(F.count("*").alias("n")).filter("n > 1")
     return groups.join(several, ["author", "leader"]).select("author", "leader", "id")
@@ -139,9 +140,10 @@ def near_dup_groups(t):
 
 @key()
 def template_share_fuzzy(t):
-    from ..operators.neardup import template_share
+    from ..operators.neardup import dealt, template_share
 
-    return template_share(_skeletons(t("v_talk"), "author", "post_id"), "author", "post_id", "skel").select("author", F.round("share", 9).alias("share"))
+    talk = dealt(t("v_talk").select("author", "post_id", "text"), "post_id")
+    return template_share(_skeletons(talk, "author", "post_id"), "author", "post_id", "skel").select("author", F.round("share", 9).alias("share"))
 
 
 # --- sources -------------------------------------------------------------------------------
