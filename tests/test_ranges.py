@@ -126,3 +126,17 @@ def test_folds_of_clamped_maps(spark, rows_a_task):
                 x = max(-1.0, min(1.0, r[2] * x + r[3]))
                 e = r[3] if e is None else 0.3 * r[3] + 0.7 * e
         assert got[k] == pytest.approx(x) and free[k] == pytest.approx(e)
+
+
+def test_earlier_counts_in_blocks_and_bands(spark):
+    """Blocks of a few rows, with keys across blocks, ties of order and value, nulls and NaN: as counted by hand."""
+    rng = random.Random(11)
+    values = [None, float("nan"), -0.0, 0.0, 1.5, 2.0, 2.5, 3.0, 9.0]
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(6), i, rng.choice(values)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t long, id long, v double")
+    greater = lambda v, w: v == v and (w != w or w > v)  # noqa: E731  NaN is the greatest
+    for keys, of in ((["k"], lambda r: r[0]), ([], lambda r: 0)):
+        got = {r.id: (r.earlier, r.lower) for r in sequence.earlier_counts(df, keys, ["t", "id"], "v", 17).collect()}
+        for r in rows:
+            before = [x for x in rows if of(x) == of(r) and x[1:3] < r[1:3]]
+            assert got[r[2]] == (len(before), 0 if r[3] is None else sum(x[3] is not None and not greater(r[3], x[3]) for x in before))

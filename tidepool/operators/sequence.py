@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from ..sources.shared import park
 from . import ranges
 
 
@@ -75,48 +80,139 @@ def leading_streak(df: DataFrame, keys: list[str], order: list[Column], hit: Col
     return seen.groupBy(*keys).agg(F.count_if(F.col("_seen") == 0).alias(name))
 
 
+TASK = 1 << 17  # rows that a task holds at a time where places or values are compared
+
+
 def earlier_share(rows: DataFrame, keys: list[str], order: list[str], id_: str, value: str) -> DataFrame:
-    """(id, earlier, lower): the key's rows before in order, and those of them whose value is no greater.
+    """(id, earlier, lower): the key's rows before in order, and those of them whose value is no greater."""
+    return earlier_counts(rows.select(*keys, *[c for c in dict.fromkeys([*order, id_, value]) if c not in keys]), keys, order, value).select(id_, "earlier", "lower")
 
-    Two places in the order meet at the highest bit in which they differ, so each row stands
-    in as many groups as its place has bits; within a group the later half counts the
-    earlier half's values by running sums. Groups of the high bits hold a whole key and
-    are cut into ranges of the value like any hot key.
-    """
-    numbered = ranges.placed(rows, keys, order, "_i").withColumn("_i", F.col("_i") - 1)
-    bits = numbered.groupBy(*keys).agg(F.length(F.bin(F.max("_i"))).alias("_bits"))
-    part = ranges.with_keys(numbered, keys, bits).select(*keys, F.col(id_), F.col(value).alias("_v"), "_i", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)).alias("_level"))
-    part = part.withColumn("_block", F.expr("shiftright(_i, _level + 1)")).withColumn("_late", F.expr("(shiftright(_i, _level) & 1) = 1"))
-    early = F.when(~F.col("_late") & F.col("_v").isNotNull(), 1).otherwise(0)
-    found = ranges.running(part, [*keys, "_level", "_block"], ["_v"], {"_under": early}, peers=True)
-    return found.groupBy(id_, "_i").agg(F.sum(F.when(F.col("_late") & F.col("_v").isNotNull(), F.col("_under")).otherwise(0)).alias("lower")).select(id_, F.col("_i").alias("earlier"), "lower")
-
-
-def earlier_rank(rows: DataFrame, at: str, id_: str, value: str, width: int = 1024) -> DataFrame:
-    """Adds ``earlier``: rows before in (at, id_) order, and ``lower``: those of them whose value is no greater.
-
-    Two levels: rows fall into ranges of ``width`` moments of ``at`` and are compared within
-    their range; earlier ranges come as counts by range and value, so the widest window holds
-    a row for each range and distinct value, not for each row. In both, a pair of places
-    meets at the highest bit in which they differ.
+
+def earlier_rank(rows: DataFrame, at: str, id_: str, value: str, task: int = TASK) -> DataFrame:
+    """Adds ``earlier``: rows before in (at, id_) order, and ``lower``: those of them whose value is no greater."""
+    return earlier_counts(rows, [], [at, id_], value, task)
+
+
+def earlier_counts(rows: DataFrame, keys: list[str], order: list[str], value: str, task: int = TASK) -> DataFrame:
+    """Adds ``earlier``: the key's rows before in order, and ``lower``: those of them whose value is no greater; a null value is no one's, and counts none.
+
+    The whole table is sorted by (keys, order) into blocks, and its values, once for each block that holds them, by (keys,
+    value) into bands; a task holds one of either. A row counts those of its own block there. Of earlier blocks it counts
+    those of its own band in the band, and those of lower bands in a table with a row for each block and band.
+    So a row is shuffled four times, however many there are, and ties of either kind may be many.
     """
-    n = F.row_number().over(Window.partitionBy("_r").orderBy(at, id_)) - 1
-    own = rows.withColumn("_r", F.floor(F.col(at) / width)).withColumn("_i", n)
-    counts = own.groupBy("_r").agg(F.count("*").alias("_n"))
-    every = Window.partitionBy(F.lit(1))  # one row a range: their number follows the span of ``at``
-    ranges = counts.select("_r", "_n", (F.sum("_n").over(every.orderBy("_r")) - F.col("_n")).alias("_before"), F.length(F.bin(F.max("_r").over(every) + 1)).alias("_levels"))
-    placed = own.join(ranges, "_r")
-    inner = _bits(placed.withColumn("_w", F.lit(1)), [id_], value, F.col("_r"), F.col("_i"), F.length(F.bin("_n"))).groupBy(id_).agg(F.sum("_under").alias("_within"))
-    pairs = own.groupBy("_r", value).agg(F.count("*").alias("_w")).join(ranges.select("_r", "_levels"), "_r")
-    outer = _bits(pairs, ["_r", value], value, F.lit(0), F.col("_r"), F.col("_levels")).groupBy("_r", value).agg(F.sum("_under").alias("_past"))
-    out = placed.join(inner, id_).join(outer, ["_r", value])
-    return out.select(*rows.columns, (F.col("_before") + F.col("_i")).alias("earlier"), (F.col("_within") + F.col("_past")).alias("lower"))
-
-
-def _bits(rows: DataFrame, ids: list[str], value: str, scope, place, levels) -> DataFrame:
-    """(ids, _under): for each row the weights ``_w`` of smaller places in its scope whose value is no greater, in parts by the highest differing bit."""
-    part = rows.select(*ids, "_w", F.col(value).alias("_v"), scope.alias("_s"), place.alias("_p"), F.explode(F.sequence(F.lit(0), levels - 1)).alias("_l"))
-    late = F.expr("(shiftright(_p, _l) & 1) = 1")
-    run = Window.partitionBy("_s", "_l", F.expr("shiftright(_p, _l + 1)")).orderBy("_v")
-    found = part.withColumn("_late", late).withColumn("_c", F.sum(F.when(~F.col("_late"), F.col("_w")).otherwise(0)).over(run))
-    return found.select(*ids, F.when(F.col("_late"), F.col("_c")).otherwise(0).alias("_under"))
+    spark = rows.sparkSession
+    rows = park(rows)
+    n = rows.count()
+    task = max(task, n >> 10)  # the table of blocks and bands has at most about a million rows
+    parts = lambda k: max(1, -(-k // task), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-k // 8192)))
+    sort = [F.col(c).asc_nulls_first() for c in keys]
+    blocks = rows.repartitionByRange(parts(n), *sort, *[F.col(c) for c in order]).withColumn("_b", F.spark_partition_id()).sortWithinPartitions(*sort, *order)
+    more = StructType([StructField("_i", LongType()), StructField("_c", LongType()), StructField("_w", LongType()), StructField("_own", LongType())])
+    blocks = park(blocks.mapInArrow(_in_block(keys, value), StructType([*rows.schema.fields, StructField("_b", IntegerType()), *more.fields])))
+    held = blocks.filter("_w > 0").select(*keys, value, "_b", "_c", "_w")
+    bands = held.repartitionByRange(parts(held.count()), *sort, value).withColumn("_s", F.spark_partition_id()).sortWithinPartitions(*sort, value)
+    bands = park(bands.mapInArrow(_in_band(keys, value), StructType([*held.schema.fields, StructField("_s", IntegerType()), StructField("_past", LongType())])))
+    below = park(_below(bands, keys))
+    named = [F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]
+    below = below.select(*named, F.col("_b").alias("_hb"), F.col("_s").alias("_hs"), "_below")
+    past = bands.join(F.broadcast(below), ranges._same(keys) & (F.col("_b") == F.col("_hb")) & (F.col("_s") == F.col("_hs")), "left")
+    past = past.select(F.col("_b").alias("_pb"), F.col("_c").alias("_pc"), (F.col("_past") + F.coalesce("_below", F.lit(0))).alias("_past"))
+    sizes = blocks.groupBy(*keys, "_b").agg(F.count("*").alias("_k"))
+    started = F.coalesce(F.sum("_k").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Only keys that lie in several blocks have rows before a block.
+    before = sizes.select(*named, F.col("_b").alias("_hb"), started.alias("_before")).filter("_before > 0")
+    out = blocks.join(F.broadcast(before), ranges._same(keys) & (F.col("_b") == F.col("_hb")), "left").join(past, (F.col("_b") == F.col("_pb")) & (F.col("_c") == F.col("_pc")), "left")
+    earlier = F.coalesce("_before", F.lit(0)) + F.col("_i")
+    return out.select(*rows.columns, earlier.alias("earlier"), (F.col("_own") + F.coalesce("_past", F.lit(0))).alias("lower"))
+
+
+def _below(bands: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _b, _s, _below): of a block and band, the weights of the key's earlier blocks in lower bands, where there are any."""
+    cells = bands.groupBy(*keys, "_b", "_s").agg(F.sum("_w").alias("_w"))
+    spans = cells.groupBy(*keys).agg(*[f(c).alias(f"_{n}{c}") for c in ("_b", "_s") for n, f in (("lo", F.min), ("hi", F.max))]).filter("_lo_b < _hi_b AND _lo_s < _hi_s")
+    span = lambda c: F.explode(F.sequence(F.col(f"_lo{c}"), F.col(f"_hi{c}"))).alias(c)
+    grid = spans.select("*", span("_b")).select(*keys, "_b", span("_s"))
+    named = cells.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.col("_b").alias("_hb"), F.col("_s").alias("_hs"), "_w")
+    full = grid.join(named, ranges._same(keys) & (F.col("_b") == F.col("_hb")) & (F.col("_s") == F.col("_hs")), "left")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    lower = full.withColumn("_lower", F.sum("_w").over(upto(Window.partitionBy(*keys, "_b").orderBy("_s"))))
+    found = lower.withColumn("_below", F.sum("_lower").over(upto(Window.partitionBy(*keys, "_s").orderBy("_b"))))
+    return found.select(*keys, "_b", "_s", "_below").filter("_below > 0")
+
+
+def _changed(table: pa.Table, columns: list[str]) -> np.ndarray:
+    """Whether a row differs from the row before in one of the columns; nulls are alike, and so are NaNs."""
+    out = np.zeros(table.num_rows, bool)
+    for name in columns:
+        own = table.column(name).combine_chunks()
+        one, two = own.slice(1), own.slice(0, max(0, len(own) - 1))
+        differs = np.asarray(pc.fill_null(pc.not_equal(one, two), False)) | (np.asarray(one.is_null()) != np.asarray(two.is_null()))
+        if pa.types.is_floating(own.type):
+            nan = lambda x: np.asarray(pc.fill_null(pc.is_nan(x), False))
+            differs &= ~(nan(one) & nan(two))
+        out[1:] |= differs
+    return out
+
+
+def _no_greater(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each place the weights of smaller places whose code is no greater: two places meet at the highest bit in which they differ."""
+    place, out, at = np.argsort(code, kind="stable"), np.zeros(len(code), np.int64), np.arange(len(code))
+    for bit in reversed(range(max(1, len(code) - 1).bit_length())):
+        # By the bits above this one, and in each such group by code.
+        late, start = (place >> bit & 1).astype(bool), place >> (bit + 1) << (bit + 1)
+        run = np.concatenate(([0], np.cumsum(np.where(late, 0, weight[place]))))
+        out[place[late]] += (run[:-1] - run[start])[late]
+        few = np.concatenate(([0], np.cumsum(~late)))
+        early = few[:-1] - few[start]  # of the group, before this one
+        to = np.where(late, start + (1 << bit) + (at - start - early), start + early)
+        moved = np.empty_like(place)
+        moved[to] = place
+        place = moved
+    return out
+
+
+def _in_block(keys: list[str], value: str):
+    def run(batches):
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        n = table.num_rows
+        own = table.column(value).combine_chunks()
+        some = np.asarray(own.is_valid())
+        key = np.cumsum(_changed(table, keys))
+        first = np.searchsorted(key, key)
+        kinds = np.unique(np.asarray(pc.fill_null(own, 0)), return_inverse=True)[1] + 1
+        kinds[~some] = 0
+        code = np.unique(key.astype(np.int64) * (n + 1) + kinds, return_inverse=True)[1].astype(np.int64)
+        weight = some.astype(np.int64)
+        counted = np.concatenate(([0], np.cumsum(weight)))
+        within = np.where(some, _no_greater(code, weight) - counted[first], 0)
+        # One row of each value of a key carries how many there are; nulls carry none.
+        alone = np.zeros(n, np.int64)
+        lead = np.unique(code, return_index=True)[1]
+        alone[lead] = np.bincount(code)
+        alone[~some] = 0
+        for name, column in (("_i", np.arange(n) - first), ("_c", code), ("_w", alone), ("_own", within)):
+            table = table.append_column(name, pa.array(column, pa.int64()))
+        yield from table.to_batches(10_000)
+
+    return run
+
+
+def _in_band(keys: list[str], value: str):
+    def run(batches):
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        key, code = np.cumsum(_changed(table, keys)), np.cumsum(_changed(table, [*keys, value]))
+        block, weight = (table.column(c).to_numpy().astype(np.int64) for c in ("_b", "_w"))
+        # A block's greater values come first, so that none of its own is counted.
+        turn = np.lexsort((-code, block, key))
+        first = np.searchsorted(key[turn], key[turn])
+        counted = np.concatenate(([0], np.cumsum(weight[turn])))
+        found = np.empty(len(turn), np.int64)
+        found[turn] = _no_greater(code[turn], weight[turn]) - counted[first]
+        yield from table.append_column("_past", pa.array(found, pa.int64())).to_batches(10_000)
+
+    return run
