@@ -140,3 +140,12 @@ def test_earlier_counts_in_blocks_and_bands(spark):
         for r in rows:
             before = [x for x in rows if of(x) == of(r) and x[1:3] < r[1:3]]
             assert got[r[2]] == (len(before), 0 if r[3] is None else sum(x[3] is not None and not greater(r[3], x[3]) for x in before))
+
+
+def test_earlier_rank_within_one_moment(spark):
+    """All rows at one moment: no task holds more than some of them, and each is ranked among those before it."""
+    rng = random.Random(3)
+    rows = [(5, i, rng.randrange(4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "at long, id long, m long")
+    got = {r.id: (r.earlier, r.lower) for r in sequence.earlier_rank(df, "at", "id", "m", task=16).collect()}
+    assert got == {i: (i, sum(x <= m for _, _, x in rows[:i])) for _, i, m in rows}
