@@ -290,6 +290,23 @@ def check_distribution():
     assert abs(hits / 400 - p) < 0.1
 
 
+def test_pieces_are_ordered_by_one_key(monkeypatch):
+    """Edges of a lattice are sorted by one number, by end node and falling share, then length, byte pieces first."""
+    rng = np.random.default_rng(3)
+    ends, length = rng.integers(25, 400, 3000), rng.integers(1, 26, 3000)
+    share, byte = rng.choice([0.0, 1e-40, 1e-9, 0.25, 0.5, 1.0], 3000), (length == 1) & (rng.random(3000) < 0.5)
+    by = np.lexsort((~byte, length, -share.astype(np.float32), ends))
+    vocab = pieces.Vocabulary(pieces.MODEL)
+    data = np.frombuffer("The onion's naïve 漢字 façade".encode(), np.uint8)
+    at = np.array([0, len(data)])
+    monkeypatch.setattr(np, "lexsort", None)
+    got = pieces._by_node(ends, share, length, 25, byte)
+    for a in (ends, share.astype(np.float32), length, byte):
+        assert np.array_equal(a[got], a[by])
+    ids, _ = pieces.sample(vocab, data, at, np.array([1], np.uint64))
+    assert pieces.decode(vocab, ids).tobytes() == data.tobytes()
+
+
 def test_pieces_span_no_cut():
     """Units tile the text, and no piece of the vocabulary stands over the border of two units."""
     vocab = pieces.Vocabulary(pieces.MODEL)

@@ -34,6 +34,7 @@ RESCALE = 24  # bytes between two rescalings of a unit's sums
 SEED = 20
 BYTE_WEIGHT = math.exp(-14)
 _SLOT_BITS = 20
+_ONE = np.float32(1).view(np.int32)  # bits of positive numbers rise with them, up to these 30
 
 
 class Vocabulary:
@@ -118,6 +119,20 @@ def units(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.
     return starts, np.searchsorted(starts, offsets)
 
 
+def _by_node(ends: np.ndarray, share: np.ndarray, length: np.ndarray, longest: int, byte: np.ndarray) -> np.ndarray:
+    """Order of edges by end node and falling share (in single precision), then by length, byte pieces first.
+
+    No two edges are alike in all four, so they go into one number and a sort of any kind gives one order; sorting by
+    two columns takes five times as long and is left to slices whose numbers would need more than 64 bits.
+    """
+    low = int(2 * longest + 1).bit_length()
+    last = 2 * length + ~byte
+    falling = _ONE - np.minimum(share, 1.0).astype(np.float32).view(np.int32)
+    if (int(ends.max()) if len(ends) else 0) >> (64 - 30 - low):
+        return np.lexsort((last, falling, ends))
+    return np.argsort(ends.astype(np.uint64) << np.uint64(30 + low) | falling.astype(np.uint64) << np.uint64(low) | last.astype(np.uint64))
+
+
 def lattice(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
     """Forward filtering over distinct units.
 
@@ -164,7 +179,7 @@ def lattice(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, lengths: np
             long = long[lengths[long] > p]
             nodes = base[long][:, None] + p - reach[reach <= p]
             alpha[nodes] /= alpha[base[long] + p][:, None]
-    order = np.lexsort((-share, ends))  # by end node, then by falling share
+    order = _by_node(ends, share, ends - tails, vocab.lengths[-1], piece == vocab.byte_piece[vocab.joined[vocab.start[piece]]])
     ends, tails, piece, share = ends[order], tails[order], piece[order], share[order]
     first = np.concatenate(([0], np.cumsum(np.bincount(ends, minlength=len(alpha)))))
     run = np.cumsum(share)
