@@ -88,3 +88,14 @@ def test_metrics_share_their_views_and_run_in_jobs_of_their_own(spark):
     assert len(asked) == 2 and found.count() == 2 * kept("v_launches").count()
     assert len({f.rsplit("/", 2)[1] for f in found.inputFiles() if "part=" in f}) == 2
     kept.discard()
+
+
+@pytest.mark.parametrize("name", ["training_examples"])
+def test_trades_and_launches_are_evaluated_once(spark, monkeypatch, name):
+    """Each evaluation of the trades is a shuffle of lineitem and orders, so a query that reads them several times has them written."""
+    from tidepool.plans import catalog, registry
+
+    made, view = [], registry.view
+    monkeypatch.setattr(registry, "view", lambda spark, sf_dir, name, over=None: made.append(name) or view(spark, sf_dir, name, over))
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert made.count("v_trades") == made.count("v_launches") == 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .registry import key, plan
+from .registry import key, plan, written
 
 
 
@@ -27,6 +27,7 @@ def training_examples(t):
     """A row per labelled token at launch + 300 s: what was known then, its rank among the tokens launched before it (never later ones), the regime of its period, and the label."""
     from ..operators.sequence import earlier_rank
 
+    t = written(t, v_trades="token_key as_of observed_at", v_launches="token_key deployer created_at")
     seen = t("v_trades").join(t("v_outcomes").select("token_key", "created_at"), "token_key").filter((F.col("as_of") <= F.col("created_at") + 300) & (F.col("observed_at") <= F.col("created_at") + 300)).groupBy("token_key").agg(F.count("*").alias("m"))
     rows = t("v_outcomes").select("token_key", "created_at", "multiple").join(seen, "token_key", "left").withColumn("m", F.coalesce("m", F.lit(0)))
     ranked = earlier_rank(rows, "created_at", "token_key", "m")

@@ -55,6 +55,31 @@ class Kept(Tables):
         discard(*(self._kept.pop(name) for name in set(self._kept) - set(but)))
 
 
+class Written(Tables):
+    """Tables for a query that reads a view several times: the named ones are written when first asked for, with the columns it needs.
+
+    Each reading would join the trades anew: columns are pruned apart, so the engine doesn't see that the shuffles are the same.
+    """
+
+    ROWS = 1 << 18  # of a file; a task then reads some five million, however narrow
+
+    def __init__(self, t: Tables, **columns: str):
+        super().__init__(t.spark, t.sf_dir)
+        self._columns, self._written = columns, {}
+
+    def __call__(self, name: str) -> DataFrame:
+        if name not in self._columns:
+            return super().__call__(name)
+        if name not in self._written:
+            self._written[name] = park(super().__call__(name).select(*self._columns[name].split()), self.ROWS)
+        return self._written[name]
+
+
+def written(t: Tables, **columns: str) -> Tables:
+    """``Written`` of views and their columns; tables that keep views themselves stay as they are."""
+    return t if isinstance(t, Kept | Written) else Written(t, **columns)
+
+
 def plan(name: str, sql: str, *views: str, own: Callable[[Tables], DataFrame] | None = None) -> None:
     """Registers one SQL text over the views, written in the part of SQL that both engines share; where they part, Spark runs ``own``."""
     if name in QUERIES:

@@ -54,11 +54,14 @@ def _leave(spark: SparkSession) -> None:
             return
 
 
-def park(df: DataFrame) -> DataFrame:
-    """Writes a frame to the shared folder once and reads it back, so that all that follows sees the same rows and a lost executor costs no recomputation."""
+def park(df: DataFrame, rows: int = 0) -> DataFrame:
+    """Writes a frame to the shared folder once and reads it back, so that all that follows sees the same rows and a lost executor costs no recomputation.
+
+    ``rows`` bounds those of a file. Readers fill a task by bytes and count a file as some megabytes at least, so narrow rows need it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidepool-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidepool_path = path
     until_exit(spark, path)
