@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..functions import text as X
 from ..operators.similarity import char_shingles, jaccard
-from .registry import key
+from .registry import key, written
 from .texts import _NORM, _SH, _SKEL, _STOP, _hits, _skeletons
 
 T, AT = 1500, 9000
@@ -375,6 +375,7 @@ def buy_pressure_quality(t):
 @key(f""", m AS ({_TEAM.format(h='SELECT * FROM v_holders')}), x AS (SELECT m.token_key, count(*) AS n, sum(CASE WHEN side = 'buy' THEN amount_native ELSE 0e0 END) AS bought, sum(CASE WHEN side = 'sell' THEN amount_native ELSE 0e0 END) AS sold, sum(CASE WHEN side = 'sell' AND as_of >= {T} - 600 THEN amount_native ELSE 0e0 END) AS recent FROM m JOIN ({_SEEN}) v ON v.token_key = m.token_key AND v.wallet = m.wallet GROUP BY m.token_key)
 SELECT l.token_key, round(CASE WHEN n IS NULL THEN CASE WHEN {T} - created_at < 120 THEN NULL ELSE 0.5e0 END WHEN bought <= 0 AND sold <= 0 THEN 0e0 WHEN sold <= 0 THEN 1 + bought / (bought + 2e0) ELSE -3 * sold / (bought + sold) * (1 + least(1e0, recent / sold)) END, 6) AS raw, coalesce(n, CASE WHEN {T} - created_at < 120 THEN 0 ELSE 1 END) AS evidence FROM v_launches l LEFT JOIN x ON x.token_key = l.token_key""", "v_launches", "v_holders")
 def deployer_behaviour_now(t):
+    t = written(t, v_trades="token_key wallet side amount_token amount_native as_of observed_at", v_launches="token_key deployer created_at", v_holders="token_key wallet funded_by")
     trades = _seen(t).join(_team(t, t("v_holders")), ["token_key", "wallet"], "left_semi")
     part = lambda c: F.sum(F.when(c, F.col("amount_native")).otherwise(0.0))
     sell = F.col("side") == "sell"
