@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .registry import key
+from .registry import key, written
 from .scoring import _COMPOSITE
 from .signals import prior_counts
 
@@ -53,6 +53,7 @@ _TWINS = "SELECT token_key, row_number() OVER (PARTITION BY symbol, name ORDER B
 SELECT token_key, CASE WHEN halted THEN 'kill_switch' ELSE array_to_string(list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for c, n in _VETO_SQL)}], lambda v: v IS NOT NULL), ',') END AS vetoes FROM x""", "v_security", "v_outcomes")
 def veto_set(t):
     """All hard refusals of each token, in order; a halted engine gives that alone."""
+    t = written(t, v_trades="token_key wallet side amount_token amount_native as_of observed_at", v_launches="token_key symbol name deployer price created_at")
     trades = t("v_trades").groupBy("token_key", "wallet").agg(F.sum("amount_native").alias("x"), F.count("*").alias("n"))
     up = Window.partitionBy("token_key").orderBy("x", "wallet")
     sizes = trades.withColumn("i", F.row_number().over(up)).withColumn("k", F.count("*").over(Window.partitionBy("token_key")))
