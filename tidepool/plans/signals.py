@@ -247,6 +247,7 @@ def fresh_wallet_ratio(t):
 s AS (SELECT DISTINCT b.token_key, b.wallet FROM b JOIN f USING (token_key) WHERE as_of <= created_at + 20 OR slot - first_slot <= 12)
 SELECT f.token_key, round(CASE WHEN n >= 5 THEN coalesce(x, 0e0) END, 6) AS raw, n AS evidence FROM f LEFT JOIN (SELECT s.token_key, sum(coalesce(h.share, 0e0) * (0.4e0 + 0.6e0 * {_CL.format('ln(1e0 + prior) / ln(201e0)')})) AS x FROM s JOIN ({_PRIOR}) p ON p.token_key = s.token_key AND p.wallet = s.wallet LEFT JOIN ({_TRADEABLE}) h ON h.token_key = s.token_key AND h.wallet = s.wallet GROUP BY s.token_key) q ON q.token_key = f.token_key""", "v_launches", "v_holders")
 def sniper_supply_share(t):
+    t = written(t, v_trades="token_key wallet side amount_token as_of observed_at order_id", v_launches="token_key created_at")
     buys = _seen(t).filter("side = 'buy'").select("token_key", "wallet", "as_of", (F.col("order_id") % 200).alias("slot"))
     by_wallet = buys.groupBy("token_key", "wallet").agg(F.count("*").alias("k"), F.min("as_of").alias("first_at"), F.min("slot").alias("slot"))
     first = by_wallet.groupBy("token_key").agg(F.sum("k").alias("n"), F.min("slot").alias("first_slot"))
