@@ -90,7 +90,7 @@ def test_metrics_share_their_views_and_run_in_jobs_of_their_own(spark):
     kept.discard()
 
 
-@pytest.mark.parametrize("name", ["training_examples", "deployer_behaviour_now", "veto_set", "sniper_supply_share"])
+@pytest.mark.parametrize("name", ["training_examples", "deployer_behaviour_now", "veto_set", "sniper_supply_share", "evidence_rank", "veto_histogram"])
 def test_trades_and_launches_are_evaluated_once(spark, monkeypatch, name):
     """Each evaluation of the trades is a shuffle of lineitem and orders, so a query that reads them several times has them written."""
     from tidepool.plans import catalog, registry
