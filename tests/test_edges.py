@@ -63,6 +63,19 @@ def test_a_quotient_just_under_half_rounds_down(spark):
     assert found[:3] == [1.017187, math.inf, -math.inf] and math.isnan(found[3]) and found[4:] == [None, 0.0025]
 
 
+def test_a_number_too_large_to_scale_stays_as_it_is(spark):
+    from tidepool.functions.stats import rounded
+
+    values = [3e304, -3e304, 1.7976931348623157e308, math.inf, 1e301]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select(rounded("x", 6))
+    assert [r[0] for r in rows.collect()] == values
+
+
+def test_reserves_at_prices_near_zero(spark, tmp_path):
+    duckdb.sql(f"COPY (SELECT * REPLACE (value * 1e-305 AS value) FROM '{BASE}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    same_as_twin(spark, str(tmp_path), "curve_reserves")
+
+
 def test_volatility_over_prices_of_zero(spark, folder):
     same_as_twin(spark, folder, "realized_vol")
 

@@ -25,8 +25,13 @@ def ln(x) -> Column:
 
 
 def rounded(x, digits: int) -> Column:
-    """Rounds the number itself, half away from zero; Spark's own ``round`` rounds its shortest decimal form, which may lie above it."""
-    return F.round(_col(x).cast("double") * 10.0**digits, 0) / 10.0**digits
+    """Rounds the number itself, half away from zero; Spark's own ``round`` rounds its shortest decimal form, which may lie above it.
+
+    A number too large to be scaled stays as it is.
+    """
+    x = _col(x).cast("double")
+    scaled = x * 10.0**digits
+    return F.when(F.abs(scaled) == float("inf"), x).otherwise(F.round(scaled, 0) / 10.0**digits)
 
 
 def clamp(x, lo: float = 0.0, hi: float = 1.0) -> Column:
