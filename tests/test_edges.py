@@ -117,6 +117,19 @@ def test_equal_contributions_are_in_order_of_their_source(spark, tmp_path):
     assert catalog.QUERIES["top_contributions"](spark, str(tmp_path)).first().top == "click,view"
 
 
+@pytest.fixture(scope="module")
+def gaps(tmp_path_factory):
+    """Events some of which have no token, no time, no price or none of them; no token has two at one second."""
+    at = tmp_path_factory.mktemp("gaps")
+    missing = "CASE WHEN event_id % 13 = 5 THEN NULL ELSE user_id END AS user_id, CASE WHEN event_id % 11 = 3 THEN NULL ELSE ts END AS ts, CASE WHEN event_id % 7 = 2 THEN NULL ELSE value END AS value"
+    duckdb.sql(f"COPY (SELECT * REPLACE ({missing}) FROM '{BASE}/events.parquet') TO '{at}/events.parquet' (FORMAT parquet)")
+    return str(at)
+
+
+def test_what_has_no_token_or_time_is_before_nothing(spark, gaps):
+    same_as_twin(spark, gaps, "asof_backward")
+
+
 def test_texts_pass_to_python_in_small_batches(spark):
     """Normal texts and simhashes take a hundred texts at a time, so a worker's memory doesn't grow with a partition's rows up to ten thousand long texts."""
     from tidepool.functions import text as X

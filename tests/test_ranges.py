@@ -45,6 +45,15 @@ def test_as_of_joins(spark, rows_a_task, seed):
         assert near[i] == pick
 
 
+def test_rows_without_a_time_are_before_nothing(spark, rows_a_task):
+    left, right = table(8), table(18, 300)
+    dl, dr = spark.createDataFrame(left, KIND).select("k", "t", "id"), spark.createDataFrame(right, KIND).select("k", "t", F.col("id").alias("rid"))
+    back = {r.id: (r.right_t, r.right_rid) for r in pit.asof_backward(dl, dr, ["k"], "t", ["rid"]).collect()}
+    assert len(back) == len(left) and any(r[1] is None for r in left) and any(r[1] is None for r in right)
+    for k, t, i, _ in left:
+        assert back[i] == max(((rt, rid) for rk, rt, rid, _ in right if rk == k and None not in (t, rt) and rt <= t), default=(None, None))
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_running_sums_and_places(spark, rows_a_task, seed):
     rows = table(seed)

@@ -35,8 +35,9 @@ def _as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, tie: lis
     """The left rows with a struct of the nearest right row for each way (True: strictly after, False: at or before).
 
     Both sides go through one shuffle on the keys, and on ranges of time for keys with a large
-    share of the rows (see ``ranges``).
+    share of the rows (see ``ranges``). A row without a time is near none, on either side.
     """
+    right = right.filter(F.col(at).isNotNull())
     payload = [c for c in right.columns if c not in keys and c != at]
     found = F.struct(*[F.col(c).alias(f"_r_{c}") for c in (at, *payload)])
     r = right.select(*keys, F.col(at).alias("_t"), F.lit(0).alias("_side"), *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie)], found.alias("_found"))
@@ -44,7 +45,8 @@ def _as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, tie: lis
     both = r.unionByName(l, allowMissingColumns=True)
     # At equal times right rows come first, so those at the left row's time are before it and never after it.
     order = ["_t", "_side", *[f"_tie{i}" for i in range(len(tie))]]
-    return ranges.last_seen(both, keys, order, {n: ("_found", later) for n, later in ways.items()}).filter("_side = 1")
+    rows = ranges.last_seen(both, keys, order, {n: ("_found", later) for n, later in ways.items()}).filter("_side = 1")
+    return rows.withColumns({n: F.when(F.col("_t").isNotNull(), F.col(n)) for n in ways})
 
 
 def _one_way(left: DataFrame, right: DataFrame, keys: list[str], at: str, tie: list[str] | None, later: bool) -> DataFrame:

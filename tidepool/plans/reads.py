@@ -107,12 +107,17 @@ def _decisions(t):
     return t("v_snapshots").select("token_key", F.col("event_id").alias("decision_id"), (F.col("as_of") + 777).alias("as_of"))
 
 
+def _of_tokens(t):
+    """Snapshots that have a token; SQL holds a null key equal to none."""
+    return t("v_snapshots").filter("token_key IS NOT NULL").select("token_key", "as_of", "price", "event_id")
+
+
 _DEC = ", d AS (SELECT token_key, event_id AS decision_id, as_of + 777 AS as_of FROM v_snapshots)"
 
 
 @key(f"{_DEC} SELECT d.token_key, d.decision_id, d.as_of, s.as_of AS right_as_of, s.price AS right_price FROM d ASOF LEFT JOIN v_snapshots s ON d.token_key = s.token_key AND d.as_of >= s.as_of", "v_snapshots")
 def asof_backward(t):
-    return pit.asof_backward(_decisions(t), t("v_snapshots").select("token_key", "as_of", "price", "event_id"), ["token_key"], tie=["event_id"]).select("token_key", "decision_id", "as_of", "right_as_of", "right_price")
+    return pit.asof_backward(_decisions(t), _of_tokens(t), ["token_key"], tie=["event_id"]).select("token_key", "decision_id", "as_of", "right_as_of", "right_price")
 
 
 @key(f"{_DEC} SELECT d.token_key, d.decision_id, d.as_of, s.as_of AS right_as_of, s.price AS right_price FROM d ASOF LEFT JOIN v_snapshots s ON d.token_key = s.token_key AND d.as_of < s.as_of", "v_snapshots")
