@@ -130,6 +130,10 @@ def test_what_has_no_token_or_time_is_before_nothing(spark, gaps):
     same_as_twin(spark, gaps, "asof_backward")
 
 
+def test_what_has_no_token_or_time_is_after_nothing(spark, gaps):
+    same_as_twin(spark, gaps, "asof_forward")
+
+
 def test_texts_pass_to_python_in_small_batches(spark):
     """Normal texts and simhashes take a hundred texts at a time, so a worker's memory doesn't grow with a partition's rows up to ten thousand long texts."""
     from tidepool.functions import text as X

@@ -54,6 +54,15 @@ def test_rows_without_a_time_are_before_nothing(spark, rows_a_task):
         assert back[i] == max(((rt, rid) for rk, rt, rid, _ in right if rk == k and None not in (t, rt) and rt <= t), default=(None, None))
 
 
+def test_rows_without_a_time_are_after_nothing(spark, rows_a_task):
+    left, right = table(9), table(19, 300)
+    dl, dr = spark.createDataFrame(left, KIND).select("k", "t", "id"), spark.createDataFrame(right, KIND).select("k", "t", F.col("id").alias("rid"))
+    ahead = {r.id: (r.right_t, r.right_rid) for r in pit.asof_forward(dl, dr, ["k"], "t", ["rid"]).collect()}
+    assert len(ahead) == len(left)
+    for k, t, i, _ in left:
+        assert ahead[i] == min(((rt, rid) for rk, rt, rid, _ in right if rk == k and None not in (t, rt) and rt > t), default=(None, None))
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_running_sums_and_places(spark, rows_a_task, seed):
     rows = table(seed)

@@ -122,7 +122,7 @@ def asof_backward(t):
 
 @key(f"{_DEC} SELECT d.token_key, d.decision_id, d.as_of, s.as_of AS right_as_of, s.price AS right_price FROM d ASOF LEFT JOIN v_snapshots s ON d.token_key = s.token_key AND d.as_of < s.as_of", "v_snapshots")
 def asof_forward(t):
-    return pit.asof_forward(_decisions(t), t("v_snapshots").select("token_key", "as_of", "price", "event_id"), ["token_key"], tie=["event_id"]).select("token_key", "decision_id", "as_of", "right_as_of", "right_price")
+    return pit.asof_forward(_decisions(t), _of_tokens(t), ["token_key"], tie=["event_id"]).select("token_key", "decision_id", "as_of", "right_as_of", "right_price")
 
 
 @key(f"{_DEC} SELECT d.token_key, d.decision_id, d.as_of, min_by(s.as_of, abs(s.as_of - d.as_of) * 2 + CASE WHEN s.as_of > d.as_of THEN 1 ELSE 0 END) AS right_as_of FROM d LEFT JOIN v_snapshots s ON d.token_key = s.token_key GROUP BY ALL", "v_snapshots")
